@@ -163,5 +163,55 @@ SELECT query_id, chunk_id, document_id, chunk_idx, chunk_text, best_distance, av
 FROM scored WHERE score >= 0.15""")
 
 
+B = "[ \\t\\r\\n\\f]"
+STRIP = "regexp_replace({x}, '^" + B + "+|" + B + "+$', '', 'g')"
+
+CTE["doc_sents"] = """doc_sents AS (
+  SELECT doc_id AS document_id,
+    list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])""" + B + """+', '\\1' || chr(1), 'g'), chr(1)),
+                               lambda s: """ + STRIP.format(x="s") + """), lambda s: s <> '') AS s
+  FROM documents)"""
+
+CTE["doc_chunks"] = """doc_chunks AS (
+  SELECT document_id, i // 3 AS chunk_idx, list_slice(s, i + 1, i + 5) AS cs,
+    array_to_string(list_slice(s, i + 1, i + 5), ' ') AS chunk_text
+  FROM (SELECT document_id, s, unnest(range(0, len(s), 3)) AS i FROM doc_sents))"""
+
+CTE["chunk_units"] = """chunk_units AS (
+  SELECT document_id, chunk_idx,
+    regexp_extract_all(""" + STRIP.format(x="chunk_text") + """, '[^ \\t\\r\\n\\f]+""" + B + """*') AS u
+  FROM doc_chunks)"""
+
+CTE["chunk_windows"] = """chunk_windows AS (
+  SELECT document_id, chunk_idx, u, unnest(range(0,
+    CAST(CASE WHEN len(u) = 0 THEN 0 ELSE (greatest(ceil((len(u) - 254) / 222.0), 0) + 1) * 222 END AS BIGINT), 222)) AS s
+  FROM chunk_units)"""
+
+SQL["sentence_chunks"] = with_ctes(["doc_sents", "doc_chunks"], """
+SELECT document_id, chunk_idx, len(cs) AS n_sentences, chunk_text, 2 AS overlap FROM doc_chunks""")
+
+SQL["token_subchunks"] = with_ctes(["doc_sents", "doc_chunks", "chunk_units", "chunk_windows"], """
+SELECT document_id, chunk_idx, s // 222 AS subchunk_idx, s AS token_start,
+  len(list_slice(u, s + 1, s + 254)) AS n_tokens,
+  """ + STRIP.format(x="array_to_string(list_slice(u, s + 1, s + 254), '')") + """ AS subchunk_text
+FROM chunk_windows""")
+
+SQL["chunk_metadata"] = with_ctes(["doc_sents", "doc_chunks"], """
+SELECT sha256(CAST(document_id AS VARCHAR) || '|' || CAST(chunk_idx AS VARCHAR)) AS chunk_uid,
+  CAST(document_id AS VARCHAR) AS document_id, false AS is_hot, chunk_idx AS position
+FROM doc_chunks""")
+
+_HTML = "html"
+_HTML = "regexp_replace(" + _HTML + ", '(?s)<!--.*?-->', ' ', 'g')"
+for _tag in ["script", "style", "noscript", "nav"]:
+    _HTML = "regexp_replace(" + _HTML + ", '(?is)<" + _tag + "[^>]*>.*?</" + _tag + ">', ' ', 'g')"
+_HTML = "regexp_replace(" + _HTML + ", '<[^>]*>', ' ', 'g')"
+for _e, _c in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"),
+               ("&middot;", "·"), ("&amp;", "&")]:
+    _HTML = "replace(" + _HTML + ", '" + _e + "', '" + _c + "')"
+_HTML = STRIP.format(x="regexp_replace(" + _HTML + ", '" + B + "+', ' ', 'g')")
+SQL["page_text"] = "SELECT page_id, url, " + _HTML + " AS text, length(" + _HTML + ") AS n_chars FROM pages"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kbspark.functions.html import html_to_text
 from kbspark.functions.vectors import cosine_distance, l2_distance
-from kbspark.operators import access, retrieve as rt
+from kbspark.operators import access, chunking, retrieve as rt
 from kbspark.operators.joins import require_bounded
 from kbspark.sources import fixtures as fx
 from kbspark.sources.tables import read_table
@@ -108,5 +109,41 @@ def q_retrieve_with_access(spark, sf_dir):
                     "avg_distance", "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "score")
 
 
+# ---------------------------------------------------------------------------------- ingestion text
+def _docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+
+
+def doc_chunks(spark, sf_dir) -> DataFrame:
+    return chunking.sentence_chunks(_docs(spark, sf_dir))
+
+
+@query("sentence_chunks")
+def q_sentence_chunks(spark, sf_dir):
+    c = doc_chunks(spark, sf_dir)
+    return c.select("document_id", "chunk_idx", F.col("n_sentences").cast("bigint").alias("n_sentences"),
+                    "chunk_text", "overlap")
+
+
+@query("token_subchunks")
+def q_token_subchunks(spark, sf_dir):
+    s = chunking.token_subchunks(doc_chunks(spark, sf_dir))
+    return s.select("document_id", "chunk_idx", "subchunk_idx",
+                    F.col("token_start").cast("bigint").alias("token_start"),
+                    F.col("n_tokens").cast("bigint").alias("n_tokens"), "subchunk_text")
+
+
+@query("chunk_metadata")
+def q_chunk_metadata(spark, sf_dir):
+    return chunking.chunk_metadata(doc_chunks(spark, sf_dir))
+
+
+@query("page_text")
+def q_page_text(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    t = html_to_text(F.col("html"))
+    return p.select("page_id", "url", t.alias("text"), F.length(t).cast("bigint").alias("n_chars"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
