@@ -213,5 +213,213 @@ _HTML = STRIP.format(x="regexp_replace(" + _HTML + ", '" + B + "+', ' ', 'g')")
 SQL["page_text"] = "SELECT page_id, url, " + _HTML + " AS text, length(" + _HTML + ") AS n_chars FROM pages"
 
 
+# ------------------------------------------------------------------------------- answering
+CTE["retrieved"] = _dists(True) + ",\n" + _STATS + """,
+retrieved AS (SELECT * FROM scored WHERE score >= 0.15)"""
+
+CTE["ctx"] = """ctx_docs AS (
+  SELECT query_id, document_id, min(chunk_rank) AS first_rank, count(*) AS n_chunks,
+    list(struct_pack(chunk_idx := coalesce(chunk_idx, 0), chunk_id := chunk_id, chunk_text := chunk_text)
+         ORDER BY coalesce(chunk_idx, 0), chunk_id, chunk_text) AS chunks
+  FROM retrieved GROUP BY query_id, document_id),
+ctx AS (
+  SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS doc_rank,
+    n_chunks, chunks FROM ctx_docs)"""
+
+_N = "(query_id * 1000 + document_id)"
+_CERT = "['high', 'MEDIUM', 'low', 'contradicts'][(({n} + {j}) % 4) + 1]"
+_TAG = "CAST(query_id AS VARCHAR) || '-' || CAST(document_id AS VARCHAR)"
+_BODY = ("""'{"answer": "answer ' || """ + _TAG + """ || '", "reasoning": "doc ' || CAST(document_id AS VARCHAR) ||
+  '", "can_answer": true, "new_facts": [{"fact": "fact ' || """ + _TAG + """ || '-a", "certainty": "' ||
+  CASE WHEN """ + _N + """ % 13 = 0 THEN 'certain' ELSE """ + _CERT.format(n=_N, j=0) + """ END ||
+  '", "reasoning": "seen in ' || CAST(document_id AS VARCHAR) || '"}, ' ||
+  CASE WHEN """ + _N + """ % 11 = 0 THEN '{"fact": "fact ' || """ + _TAG + """ || '-b"}'
+       ELSE '{"fact": "fact ' || """ + _TAG + """ || '-b", "certainty": "' || """ + _CERT.format(n=_N, j=1) + """ || '"}' END ||
+  '], "updated_facts": [{"id": "' || CAST(1 + doc_rank % 3 AS VARCHAR) || '", "fact": "' ||
+  CASE WHEN """ + _N + """ % 3 = 0 THEN '' ELSE 'revised ' || """ + _TAG + """ END ||
+  '", "certainty": "' || """ + _CERT.format(n=_N, j=2) + """ || '", "reasoning": ""}]}'""")
+_REPLY = ("CASE WHEN " + _N + " % 7 = 0 THEN 'Sorry, no structured answer {' || CAST(" + _N + " AS VARCHAR) "
+          "WHEN " + _N + " % 5 = 0 THEN 'Here is the result: ' || " + _BODY + " || ' Hope it helps.' "
+          "ELSE " + _BODY + " END")
+_FACT_T = '{"id": "VARCHAR", "fact": "VARCHAR", "certainty": "VARCHAR", "reasoning": "VARCHAR"}'
+_REPLY_T = ('{"answer": "VARCHAR", "reasoning": "VARCHAR", "can_answer": "BOOLEAN", "new_facts": [' + _FACT_T +
+            '], "updated_facts": [' + _FACT_T + ']}')
+_BAD = "len(list_filter(coalesce(d.{k}, []), lambda f: NOT (f.fact IS NOT NULL AND f.certainty IS NOT NULL AND lower(f.certainty) IN ('high', 'medium', 'low', 'contradicts'))))"
+_CLEAN = ("list_transform(coalesce(d.{k}, []), lambda f: struct_pack(id := f.id, fact := f.fact, "
+          "certainty := lower(f.certainty), reasoning := coalesce(f.reasoning, '')))")
+
+CTE["replies"] = """replies_raw AS (
+  SELECT query_id, document_id, doc_rank, chunks, """ + _REPLY + """ AS reply_text FROM ctx),
+replies_b AS (
+  SELECT *, instr(reply_text, '{') AS st, length(reply_text) - instr(reverse(reply_text), '}') + 1 AS en,
+    instr(reverse(reply_text), '}') AS rv FROM replies_raw),
+replies_j AS (
+  SELECT *, CASE WHEN st > 0 AND rv > 0 AND en >= st THEN substring(reply_text, st, en - st + 1) END AS body
+  FROM replies_b),
+replies_p AS (
+  SELECT *, CASE WHEN body IS NOT NULL AND json_valid(body) THEN json_transform(body, '""" + _REPLY_T + """') END AS d
+  FROM replies_j),
+replies AS (
+  SELECT query_id, document_id, doc_rank, chunks, reply_text,
+    coalesce(d IS NOT NULL AND """ + _BAD.format(k="new_facts") + """ = 0 AND """ + _BAD.format(k="updated_facts") + """ = 0, false) AS valid,
+    d FROM replies_p),
+replies_v AS (
+  SELECT query_id, document_id, doc_rank, chunks, valid,
+    CASE WHEN valid THEN coalesce(d.answer, '') ELSE '' END AS answer,
+    CASE WHEN valid THEN coalesce(d.reasoning, '') ELSE '' END AS reasoning,
+    CASE WHEN valid THEN coalesce(d.can_answer, false) ELSE false END AS can_answer,
+    CASE WHEN valid THEN """ + _CLEAN.format(k="new_facts") + """ ELSE [] END AS new_facts,
+    CASE WHEN valid THEN """ + _CLEAN.format(k="updated_facts") + """ ELSE [] END AS updated_facts
+  FROM replies)"""
+
+CTE["fold"] = """newf AS (
+  SELECT query_id, doc_rank, pos, new_facts[pos] AS f
+  FROM (SELECT query_id, doc_rank, new_facts, unnest(range(1, len(new_facts) + 1)) AS pos FROM replies_v)),
+created AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_rank, pos) AS VARCHAR) AS fact_id,
+    doc_rank AS created_rank, f.fact AS fact, f.certainty AS certainty, f.reasoning AS reasoning
+  FROM newf WHERE f.certainty <> 'contradicts'),
+updf AS (
+  SELECT query_id, doc_rank AS u_rank, upos, updated_facts[upos] AS u
+  FROM (SELECT query_id, doc_rank, updated_facts, unnest(range(1, len(updated_facts) + 1)) AS upos FROM replies_v)),
+valid_upd AS (
+  SELECT u.query_id, u.u_rank, u.upos, u.u.id AS fact_id, u.u.fact AS u_fact, u.u.certainty AS u_certainty,
+    u.u.reasoning AS u_reasoning
+  FROM updf u JOIN created c ON c.query_id = u.query_id AND c.fact_id = u.u.id
+  WHERE u.u.id IS NOT NULL AND trim(u.u.id) <> '' AND c.created_rank <= u.u_rank),
+deleted AS (SELECT DISTINCT query_id, fact_id FROM valid_upd WHERE u_certainty = 'contradicts'),
+latest AS (
+  SELECT query_id, fact_id,
+    arg_max(u_fact, u_rank * 100000 + upos) FILTER (WHERE coalesce(u_fact, '') <> '') AS u_fact,
+    arg_max(u_certainty, u_rank * 100000 + upos) FILTER (WHERE coalesce(u_certainty, '') <> '') AS u_certainty,
+    arg_max(u_reasoning, u_rank * 100000 + upos) FILTER (WHERE coalesce(u_reasoning, '') <> '') AS u_reasoning
+  FROM valid_upd WHERE u_certainty <> 'contradicts' GROUP BY query_id, fact_id),
+folded AS (
+  SELECT c.query_id, c.fact_id, c.created_rank, coalesce(l.u_fact, c.fact) AS fact,
+    coalesce(l.u_certainty, c.certainty) AS certainty, coalesce(l.u_reasoning, c.reasoning) AS reasoning
+  FROM created c LEFT JOIN latest l ON l.query_id = c.query_id AND l.fact_id = c.fact_id
+  WHERE NOT EXISTS (SELECT 1 FROM deleted x WHERE x.query_id = c.query_id AND x.fact_id = c.fact_id))"""
+
+CTE["used"] = """used AS (
+  SELECT u.query_id, d.used_documents, u.used_chunks FROM
+    (SELECT query_id, string_agg(CAST(c.chunk_id AS VARCHAR), ',' ORDER BY doc_rank, c.chunk_idx) AS used_chunks
+     FROM (SELECT query_id, doc_rank, unnest(chunks) AS c FROM ctx) GROUP BY query_id) u
+    JOIN (SELECT query_id, string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY doc_rank) AS used_documents
+          FROM ctx GROUP BY query_id) d ON d.query_id = u.query_id)"""
+
+CTE["answer"] = """answer AS (
+  SELECT q.query_id, coalesce(la.final_result, '') AS final_result, coalesce(fs.n_facts, 0) AS n_facts,
+    round(least(1.0, coalesce(fs.n_facts, 0) * 0.2), 6) AS confidence, coalesce(fs.reasoning, '') AS reasoning,
+    coalesce(u.used_documents, '') AS used_documents, coalesce(u.used_chunks, '') AS used_chunks
+  FROM kb_questions q
+  LEFT JOIN (SELECT query_id, arg_max(answer, doc_rank) AS final_result FROM replies_v GROUP BY query_id) la
+    ON la.query_id = q.query_id
+  LEFT JOIN (SELECT query_id, count(*) AS n_facts,
+                    string_agg(reasoning, chr(10) ORDER BY CAST(fact_id AS BIGINT)) AS reasoning
+             FROM folded GROUP BY query_id) fs ON fs.query_id = q.query_id
+  LEFT JOIN used u ON u.query_id = q.query_id)"""
+
+CTE["conv_hist"] = """conv_ranked AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age
+  FROM conversations),
+conv_hist AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history
+  FROM conv_ranked WHERE age <= 20 GROUP BY conv_id)"""
+
+CTE["q_hist"] = """q_hist AS (
+  SELECT q.query_id, q.user_id, q.question,
+    CASE WHEN h.history IS NULL THEN 'user: ' || q.question ELSE h.history || chr(10) || 'user: ' || q.question END
+      AS dialog_history
+  FROM kb_questions q LEFT JOIN conv_hist h ON h.conv_id = q.user_id)"""
+
+ANSWER_BASE = RETRIEVE_ACCESS + ["retrieved", "ctx"]
+SQL["context_by_document"] = with_ctes(ANSWER_BASE, """
+SELECT query_id, document_id, doc_rank, n_chunks,
+  array_to_string(list_transform(chunks, lambda c: CAST(c.chunk_id AS VARCHAR)), ',') AS chunk_ids,
+  to_json(list_transform(chunks, lambda c: struct_pack(chunk_id := c.chunk_id, chunk_text := c.chunk_text)))::VARCHAR
+    AS context_json
+FROM ctx""")
+SQL["used_ids"] = with_ctes(ANSWER_BASE + ["used"], "SELECT query_id, used_documents, used_chunks FROM used")
+SQL["reply_parse"] = with_ctes(ANSWER_BASE + ["replies"], """
+SELECT query_id, document_id, doc_rank, valid, answer, reasoning, can_answer,
+  len(new_facts) AS n_new_facts, len(updated_facts) AS n_updated_facts FROM replies_v""")
+SQL["fact_fold"] = with_ctes(ANSWER_BASE + ["replies", "fold"], """
+SELECT query_id, fact_id, created_rank, fact, certainty, reasoning FROM folded""")
+SQL["answer_summary"] = with_ctes(ANSWER_BASE + ["replies", "fold", "used", "answer"], """
+SELECT * FROM answer""")
+SQL["fact_fold_model_loop"] = with_ctes(ANSWER_BASE + ["replies", "fold"], """,
+last_answer AS (SELECT query_id, arg_max(answer, doc_rank) AS final_result FROM replies_v GROUP BY query_id)
+SELECT f.query_id, f.fact_id, f.fact, f.certainty, f.reasoning, a.final_result
+FROM folded f JOIN last_answer a ON a.query_id = f.query_id
+UNION ALL
+SELECT a.query_id, NULL, NULL, NULL, NULL, a.final_result FROM last_answer a
+WHERE NOT EXISTS (SELECT 1 FROM folded f WHERE f.query_id = a.query_id)""")
+
+CTE["before"] = """docs_r AS (SELECT query_id, doc_rank FROM replies_v),
+deleted_at AS (SELECT query_id, fact_id, min(u_rank) AS deleted_rank FROM valid_upd
+               WHERE u_certainty = 'contradicts' GROUP BY query_id, fact_id),
+alive_b AS (
+  SELECT d.query_id, d.doc_rank, c.fact_id, c.fact, c.certainty, c.reasoning
+  FROM docs_r d JOIN created c ON c.query_id = d.query_id AND c.created_rank < d.doc_rank
+  LEFT JOIN deleted_at x ON x.query_id = c.query_id AND x.fact_id = c.fact_id
+  WHERE x.deleted_rank IS NULL OR x.deleted_rank >= d.doc_rank),
+latest_b AS (
+  SELECT d.query_id, d.doc_rank, v.fact_id,
+    arg_max(v.u_fact, v.u_rank * 100000 + v.upos) FILTER (WHERE coalesce(v.u_fact, '') <> '') AS u_fact,
+    arg_max(v.u_certainty, v.u_rank * 100000 + v.upos) FILTER (WHERE coalesce(v.u_certainty, '') <> '') AS u_certainty,
+    arg_max(v.u_reasoning, v.u_rank * 100000 + v.upos) FILTER (WHERE coalesce(v.u_reasoning, '') <> '') AS u_reasoning
+  FROM docs_r d JOIN valid_upd v ON v.query_id = d.query_id AND v.u_rank < d.doc_rank
+  WHERE v.u_certainty <> 'contradicts' GROUP BY d.query_id, d.doc_rank, v.fact_id),
+before AS (
+  SELECT a.query_id, a.doc_rank,
+    list(struct_pack(id := a.fact_id, fact := coalesce(l.u_fact, a.fact), certainty := coalesce(l.u_certainty, a.certainty),
+                     reasoning := coalesce(l.u_reasoning, a.reasoning)) ORDER BY CAST(a.fact_id AS BIGINT)) AS pf
+  FROM alive_b a LEFT JOIN latest_b l ON l.query_id = a.query_id AND l.doc_rank = a.doc_rank AND l.fact_id = a.fact_id
+  GROUP BY a.query_id, a.doc_rank)"""
+
+SQL["request_json"] = with_ctes(ANSWER_BASE + ["replies", "fold", "before", "conv_hist", "q_hist"], """
+SELECT r.query_id, r.document_id, r.doc_rank,
+  to_json(struct_pack(task := 'Analyze document for relevant information', question := h.question,
+    document_context := list_transform(r.chunks, lambda c: struct_pack(chunk_id := c.chunk_id, chunk_text := c.chunk_text)),
+    previous_facts := coalesce(b.pf, []),
+    previous_answer := coalesce(lag(r.answer) OVER (PARTITION BY r.query_id ORDER BY r.doc_rank), ''),
+    dialog_history := h.dialog_history))::VARCHAR AS request
+FROM replies_v r LEFT JOIN before b ON b.query_id = r.query_id AND b.doc_rank = r.doc_rank
+JOIN q_hist h ON h.query_id = r.query_id""")
+
+SQL["prompt_render"] = with_ctes(ANSWER_BASE + ["conv_hist", "q_hist"], """
+SELECT c.query_id, c.document_id,
+  replace(replace(replace(replace('Context:' || chr(10) || '{context}' || chr(10) || chr(10) || 'History:' || chr(10) ||
+    '{history}' || chr(10) || chr(10) || 'Date: {date}' || chr(10) || chr(10) || 'Question: {question}' || chr(10) ||
+    'Answer with JSON only.',
+    '{context}', array_to_string(list_transform(c.chunks, lambda x: x.chunk_text), chr(10) || chr(10))),
+    '{history}', h.dialog_history), '{date}', '2024-01-15'), '{question}', h.question) AS prompt
+FROM ctx c JOIN q_hist h ON h.query_id = c.query_id""")
+
+SQL["dialog_history"] = with_ctes(["conv_hist"], "SELECT conv_id, n_turns, history FROM conv_hist")
+SQL["dialog_compact"] = with_ctes(["conv_hist"], """,
+parts AS (
+  SELECT conv_id,
+    count(*) FILTER (WHERE age <= 10) AS n_recent, count(*) FILTER (WHERE age > 10) AS n_old,
+    string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) FILTER (WHERE age <= 10) AS recent,
+    string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) FILTER (WHERE age > 10) AS old
+  FROM conv_ranked WHERE age <= 20 GROUP BY conv_id)
+SELECT conv_id, n_recent, n_old,
+  CASE WHEN n_old > 0 THEN 'summary of ' || CAST(n_old AS VARCHAR) || ' earlier messages: ' ||
+    regexp_replace(old, '""" + B + """+', ' ', 'g') || chr(10) || recent ELSE recent END AS history
+FROM parts""")
+SQL["dialog_append"] = with_ctes(ANSWER_BASE + ["replies", "fold", "used", "answer"], """,
+last_turn AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+ex AS (
+  SELECT q.user_id AS conv_id, q.question, a.final_result AS answer,
+    row_number() OVER (PARTITION BY q.user_id ORDER BY q.query_id) - 1 AS k
+  FROM kb_questions q JOIN answer a ON a.query_id = q.query_id)
+SELECT ex.conv_id, coalesce(l.last, -1) + 1 + 2 * ex.k AS turn, 'user' AS role, ex.question AS text
+FROM ex LEFT JOIN last_turn l ON l.conv_id = ex.conv_id
+UNION ALL
+SELECT ex.conv_id, coalesce(l.last, -1) + 2 + 2 * ex.k AS turn, 'system' AS role, coalesce(ex.answer, '') AS text
+FROM ex LEFT JOIN last_turn l ON l.conv_id = ex.conv_id""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kbspark.functions.html import html_to_text
 from kbspark.functions.vectors import cosine_distance, l2_distance
-from kbspark.operators import access, chunking, retrieve as rt
+from kbspark.operators import access, chunking, context as ctx, dialog, facts, generate as gen, retrieve as rt
 from kbspark.operators.joins import require_bounded
 from kbspark.sources import fixtures as fx
 from kbspark.sources.tables import read_table
@@ -145,5 +145,135 @@ def q_page_text(spark, sf_dir):
     return p.select("page_id", "url", t.alias("text"), F.length(t).cast("bigint").alias("n_chars"))
 
 
+# ---------------------------------------------------------------------------------- answering
+PROMPT_TEMPLATE = ("Context:\n{context}\n\nHistory:\n{history}\n\nDate: {date}\n\n"
+                   "Question: {question}\nAnswer with JSON only.")
+
+
+def retrieved(spark, sf_dir) -> DataFrame:
+    return _retrieve(spark, sf_dir, True, 0.15)
+
+
+def contexts(spark, sf_dir) -> DataFrame:
+    return ctx.context_by_document(retrieved(spark, sf_dir))
+
+
+def parsed_replies(spark, sf_dir) -> DataFrame:
+    c = contexts(spark, sf_dir)
+    return (c.withColumn("reply_text", fx.reply_text(F.col("query_id"), F.col("document_id"), F.col("doc_rank")))
+            .withColumn("reply", facts.parse_reply(F.col("reply_text"))))
+
+
+def user_history(spark, sf_dir) -> DataFrame:
+    """Memory per asking user: the conversation with conv_id = user_id, newest 20 turns."""
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dialog.dialog_history(conv).select(F.col("conv_id").alias("user_id"), "history")
+
+
+def _with_question_history(spark, sf_dir, df):
+    q = fx.kb_questions(spark, sf_dir).select("query_id", "user_id", "question")
+    h = user_history(spark, sf_dir)
+    line = F.concat(F.lit("user: "), F.col("question"))
+    hist = F.when(F.col("history").isNull(), line).otherwise(F.concat(F.col("history"), F.lit("\n"), line))
+    return df.join(q, "query_id").join(h, "user_id", "left").withColumn("dialog_history", hist)
+
+
+@query("context_by_document")
+def q_context_by_document(spark, sf_dir):
+    c = contexts(spark, sf_dir)
+    return c.select("query_id", "document_id", "doc_rank", "n_chunks",
+                    F.array_join(F.transform("chunks", lambda x: x["chunk_id"].cast("string")), ",").alias("chunk_ids"),
+                    ctx.context_json(F.col("chunks")).alias("context_json"))
+
+
+@query("used_ids")
+def q_used_ids(spark, sf_dir):
+    return ctx.used_ids(contexts(spark, sf_dir))
+
+
+@query("reply_parse")
+def q_reply_parse(spark, sf_dir):
+    r = parsed_replies(spark, sf_dir)
+    return r.select("query_id", "document_id", "doc_rank", F.col("reply.valid").alias("valid"),
+                    F.col("reply.answer").alias("answer"), F.col("reply.reasoning").alias("reasoning"),
+                    F.col("reply.can_answer").alias("can_answer"),
+                    F.size("reply.new_facts").cast("bigint").alias("n_new_facts"),
+                    F.size("reply.updated_facts").cast("bigint").alias("n_updated_facts"))
+
+
+@query("fact_fold")
+def q_fact_fold(spark, sf_dir):
+    return facts.fold_facts(parsed_replies(spark, sf_dir))
+
+
+@query("answer_summary")
+def q_answer_summary(spark, sf_dir):
+    r = parsed_replies(spark, sf_dir)
+    return facts.answer_summary(fx.kb_questions(spark, sf_dir), r, facts.fold_facts(r),
+                                ctx.used_ids(contexts(spark, sf_dir)))
+
+
+@query("fact_fold_model_loop")
+def q_fact_fold_model_loop(spark, sf_dir):
+    c = contexts(spark, sf_dir)
+    rows = _with_question_history(spark, sf_dir, c).select(
+        "query_id", "doc_rank", "question", "dialog_history",
+        ctx.context_json(F.col("chunks")).alias("context_json"),
+        fx.reply_text(F.col("query_id"), F.col("document_id"), F.col("doc_rank")).alias("reply_text"))
+    return facts.fold_facts_sequential(rows, gen.table_reply)
+
+
+@query("request_json")
+def q_request_json(spark, sf_dir):
+    r = parsed_replies(spark, sf_dir)
+    before = (facts.facts_before(r).groupBy("query_id", "doc_rank")
+              .agg(F.array_sort(F.collect_list(F.struct(F.col("fact_id").cast("bigint").alias("k"), "fact_id", "fact",
+                                                        "certainty", "reasoning"))).alias("pf")))
+    w = Window.partitionBy("query_id").orderBy("doc_rank")
+    base = (r.join(before, ["query_id", "doc_rank"], "left")
+            .withColumn("previous_answer", F.coalesce(F.lag("reply.answer").over(w), F.lit(""))))
+    base = _with_question_history(spark, sf_dir, base)
+    pf = F.transform(F.coalesce(F.col("pf"), F.array().cast(before.schema["pf"].dataType)),
+                     lambda x: F.struct(x["fact_id"].alias("id"), x["fact"].alias("fact"),
+                                        x["certainty"].alias("certainty"), x["reasoning"].alias("reasoning")))
+    return base.select("query_id", "document_id", "doc_rank",
+                       ctx.request_json(F.col("question"), F.col("chunks"), pf, F.col("previous_answer"),
+                                        F.col("dialog_history")).alias("request"))
+
+
+@query("prompt_render")
+def q_prompt_render(spark, sf_dir):
+    c = _with_question_history(spark, sf_dir, contexts(spark, sf_dir))
+    text = F.array_join(F.transform("chunks", lambda x: x["chunk_text"]), "\n\n")
+    return c.select("query_id", "document_id",
+                    ctx.render_prompt(PROMPT_TEMPLATE, context=text, history=F.col("dialog_history"),
+                                      date=F.lit(fx.AS_OF[:10]), question=F.col("question")).alias("prompt"))
+
+
+# ---------------------------------------------------------------------------------- dialog
+def _conversations(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+
+@query("dialog_history")
+def q_dialog_history(spark, sf_dir):
+    return dialog.dialog_history(_conversations(spark, sf_dir)).select(
+        "conv_id", F.col("n_turns").cast("bigint").alias("n_turns"), "history")
+
+
+@query("dialog_compact")
+def q_dialog_compact(spark, sf_dir):
+    return dialog.compact_history(_conversations(spark, sf_dir))
+
+
+@query("dialog_append")
+def q_dialog_append(spark, sf_dir):
+    ans = q_answer_summary(spark, sf_dir).select("query_id", F.col("final_result").alias("answer"))
+    ex = (fx.kb_questions(spark, sf_dir).select("query_id", F.col("user_id").alias("conv_id"), "question")
+          .join(ans, "query_id").withColumn("exchange_id", F.col("query_id")))
+    return dialog.append_turns(_conversations(spark, sf_dir), ex).select(
+        "conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

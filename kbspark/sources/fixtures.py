@@ -112,3 +112,41 @@ def kb_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The asking users with their attributes (NULL attributes when unknown to the store)."""
     q = kb_questions(spark, sf_dir).select("query_id", "user_id")
     return q.join(kb_users(spark, sf_dir), "user_id", "left")
+
+
+# ---------------------------------------------------------------------------------------------
+# Certainty cycle of the fixture replies.
+# ---------------------------------------------------------------------------------------------
+REPLY_CERTAINTIES = ["high", "MEDIUM", "low", "contradicts"]
+# ---------------------------------------------------------------------------------------------
+
+
+def reply_text(query_id: Column, document_id: Column, doc_rank: Column) -> Column:
+    """Deterministic model reply for one (question, document) of the retrieved context.
+
+    ``n = query_id * 1000 + document_id``: n % 7 = 0 → no JSON; n % 5 = 0 → JSON wrapped in
+    prose; n % 11 = 0 → a fact without certainty; n % 13 = 0 → an unknown certainty. The
+    certainty cycles through ``REPLY_CERTAINTIES``; the update points at fact 1 + doc_rank % 3
+    and has an empty fact text when n % 3 = 0.
+    """
+    n = query_id * 1000 + document_id
+    s = lambda c: c.cast("string")
+    certs = F.array(*[F.lit(c) for c in REPLY_CERTAINTIES])
+
+    def cert(j):
+        return F.element_at(certs, (F.pmod(n + j, F.lit(4)) + 1).cast("int"))
+
+    tag = F.concat(s(query_id), F.lit("-"), s(document_id))
+    first_cert = F.when(n % 13 == 0, F.lit("certain")).otherwise(cert(0))
+    second = F.when(n % 11 == 0, F.concat(F.lit('{"fact": "fact '), tag, F.lit('-b"}'))).otherwise(
+        F.concat(F.lit('{"fact": "fact '), tag, F.lit('-b", "certainty": "'), cert(1), F.lit('"}')))
+    upd_fact = F.when(n % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("revised "), tag))
+    body = F.concat(
+        F.lit('{"answer": "answer '), tag, F.lit('", "reasoning": "doc '), s(document_id),
+        F.lit('", "can_answer": true, "new_facts": [{"fact": "fact '), tag, F.lit('-a", "certainty": "'),
+        first_cert, F.lit('", "reasoning": "seen in '), s(document_id), F.lit('"}, '), second,
+        F.lit('], "updated_facts": [{"id": "'), s(F.lit(1) + doc_rank % 3), F.lit('", "fact": "'), upd_fact,
+        F.lit('", "certainty": "'), cert(2), F.lit('", "reasoning": ""}]}'))
+    return (F.when(n % 7 == 0, F.concat(F.lit("Sorry, no structured answer {"), s(n)))
+            .when(n % 5 == 0, F.concat(F.lit("Here is the result: "), body, F.lit(" Hope it helps.")))
+            .otherwise(body))
