@@ -421,5 +421,33 @@ SELECT ex.conv_id, coalesce(l.last, -1) + 2 + 2 * ex.k AS turn, 'system' AS role
 FROM ex LEFT JOIN last_turn l ON l.conv_id = ex.conv_id""")
 
 
+# ------------------------------------------------------------------------------- group & concat
+_SEP = """SELECT o_custkey, o_orderstatus,
+  string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY o_orderkey) AS order_keys,
+  string_agg(o_orderpriority, '    ' ORDER BY o_orderkey) AS priorities,
+  string_agg(CAST(o_totalprice AS VARCHAR), chr(10) ORDER BY o_orderkey) AS o_totalprice
+FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL
+GROUP BY o_custkey, o_orderstatus"""
+SQL["group_concat_separator"] = _SEP
+
+
+def _na(x):
+    v = STRIP.format(x="CAST(" + x + " AS VARCHAR)")
+    return "coalesce(nullif(" + v + ", ''), 'N/A')"
+
+
+SQL["group_concat_template"] = """SELECT conv_id,
+  string_agg(CASE WHEN text IS NOT NULL THEN CAST(p_text AS VARCHAR) || '. [' || """ + _na("role") + """ || '] ' || text || chr(10) END,
+             '' ORDER BY turn) AS transcript,
+  string_agg(CASE WHEN role IS NOT NULL THEN """ + _na("turn") + """ || ':' END, '' ORDER BY turn) AS turn_tags
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, text IS NULL ORDER BY turn) AS p_text FROM conversations)
+WHERE conv_id IS NOT NULL GROUP BY conv_id"""
+
+SQL["grouped_records"] = """SELECT CAST(o_custkey AS VARCHAR) || ' | ' || o_orderstatus AS text,
+  to_json(struct_pack(o_custkey := o_custkey, o_orderstatus := o_orderstatus, order_keys := order_keys,
+                      priorities := priorities, o_totalprice := o_totalprice))::VARCHAR AS data
+FROM (""" + _SEP + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -1,22 +1,36 @@
 """The registered queries: each takes (spark, sf_dir) and returns a DataFrame whose columns
-match the DuckDB oracle in ``kbspark.plans.oracle`` by name."""
+match the DuckDB oracle in ``kbspark.plans.oracle`` by name.
+
+A query builds one ``KB`` over the input folder; every derived table is built once per query
+and shared, so a table used twice in one plan is one subtree (Spark reuses its exchange) and
+each size check runs once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kbspark.functions.html import html_to_text
 from kbspark.functions.vectors import cosine_distance, l2_distance
-from kbspark.operators import access, chunking, context as ctx, dialog, facts, generate as gen, retrieve as rt
+from kbspark.operators import access, chunking, context as ctx, dialog, facts, generate as gen, groupconcat as gc
+from kbspark.operators import retrieve as rt
 from kbspark.operators.joins import require_bounded
+from kbspark.session import materialize
 from kbspark.sources import fixtures as fx
 from kbspark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+TOP_K = 20
+SUBCHUNK_TOP_K = 3
+FIXTURE_THRESHOLD = 0.15
+PROMPT_TEMPLATE = ("Context:\n{context}\n\nHistory:\n{history}\n\nDate: {date}\n\n"
+                   "Question: {question}\nAnswer with JSON only.")
+
 
 def query(name: str):
     def deco(fn):
@@ -25,54 +39,143 @@ def query(name: str):
     return deco
 
 
-# ---------------------------------------------------------------------------------- access
-def _list_access(spark, sf_dir):
-    return access.list_policy(fx.kb_documents(spark, sf_dir), fx.kb_callers(spark, sf_dir),
-                              fx.kb_grants(spark, sf_dir), fx.AS_OF)
+class KB:
+    """Lazily built, shared tables of one query over one input folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.sf_dir, name)
+
+    # entity tables
+    @cached_property
+    def documents(self):
+        return fx.kb_documents(self.spark, self.sf_dir)
+
+    @cached_property
+    def grants(self):
+        return fx.kb_grants(self.spark, self.sf_dir)
+
+    @cached_property
+    def questions(self):
+        return fx.kb_questions(self.spark, self.sf_dir)
+
+    @cached_property
+    def callers(self):
+        return self.questions.select("query_id", "user_id").join(fx.kb_users(self.spark, self.sf_dir), "user_id", "left")
+
+    @cached_property
+    def chunks(self):
+        return fx.kb_chunks(self.spark, self.sf_dir)
+
+    @cached_property
+    def embeddings(self):
+        return fx.kb_embeddings(self.spark, self.sf_dir)
+
+    @cached_property
+    def conversations(self):
+        return self.table("conversations").select("conv_id", "turn", "role", "text")
+
+    # access
+    @cached_property
+    def list_access(self):
+        return access.list_policy(self.documents, self.callers, self.grants, fx.AS_OF)
 
+    @cached_property
+    def point_access(self):
+        return access.point_policy(self.documents, self.callers, self.grants, fx.AS_OF)
 
-def _point_access(spark, sf_dir):
-    return access.point_policy(fx.kb_documents(spark, sf_dir), fx.kb_callers(spark, sf_dir),
-                               fx.kb_grants(spark, sf_dir), fx.AS_OF)
+    @cached_property
+    def question_access(self):
+        q = self.questions.select("query_id", "user_id")
+        return q.join(self.list_access, "user_id").select("query_id", "document_id").distinct()
 
+    # retrieval and answering
+    def retrieve(self, with_access: bool, threshold):
+        acc = self.question_access if with_access else None
+        return rt.retrieve(self.questions, self.chunks, self.embeddings, accessible=acc, top_k=TOP_K,
+                           subchunk_top_k=SUBCHUNK_TOP_K, score_threshold=threshold)
 
-def question_access(spark, sf_dir) -> DataFrame:
-    """(query_id, document_id) each question's asker may read (list form)."""
-    q = fx.kb_questions(spark, sf_dir).select("query_id", "user_id")
-    return q.join(_list_access(spark, sf_dir), "user_id").select("query_id", "document_id").distinct()
+    @cached_property
+    def retrieved(self):
+        return materialize(self.retrieve(True, FIXTURE_THRESHOLD))
 
+    @cached_property
+    def contexts(self):
+        return ctx.context_by_document(self.retrieved)
 
+    @cached_property
+    def replies(self):
+        c = self.contexts
+        return materialize(
+            c.withColumn("reply_text", fx.reply_text(F.col("query_id"), F.col("document_id"), F.col("doc_rank")))
+            .withColumn("reply", facts.parse_reply(F.col("reply_text"))))
+
+    @cached_property
+    def folded(self):
+        return facts.fold_facts(self.replies)
+
+    @cached_property
+    def used(self):
+        return ctx.used_ids(self.contexts)
+
+    @cached_property
+    def answers(self):
+        return facts.answer_summary(self.questions, self.replies, self.folded, self.used)
+
+    @cached_property
+    def user_history(self):
+        """Memory per asking user: the conversation with conv_id = user_id, newest 20 turns."""
+        return dialog.dialog_history(self.conversations).select(F.col("conv_id").alias("user_id"), "history")
+
+    def with_question_history(self, df: DataFrame) -> DataFrame:
+        q = self.questions.select("query_id", "user_id", "question")
+        line = F.concat(F.lit("user: "), F.col("question"))
+        hist = F.when(F.col("history").isNull(), line).otherwise(F.concat(F.col("history"), F.lit("\n"), line))
+        return df.join(q, "query_id").join(self.user_history, "user_id", "left").withColumn("dialog_history", hist)
+
+    # ingestion text
+    @cached_property
+    def doc_chunks(self):
+        docs = self.table("documents").select(F.col("doc_id").alias("document_id"), "text")
+        return chunking.sentence_chunks(docs)
+
+
+# ---------------------------------------------------------------------------------- access
 @query("access_list_policy")
 def q_access_list_policy(spark, sf_dir):
-    return _list_access(spark, sf_dir)
+    return KB(spark, sf_dir).list_access
 
 
 @query("access_point_policy")
 def q_access_point_policy(spark, sf_dir):
-    return _point_access(spark, sf_dir)
+    return KB(spark, sf_dir).point_access
 
 
 @query("access_policy_diff")
 def q_access_policy_diff(spark, sf_dir):
-    return access.policy_diff(_list_access(spark, sf_dir), _point_access(spark, sf_dir))
+    kb = KB(spark, sf_dir)
+    return access.policy_diff(kb.list_access, kb.point_access)
 
 
 @query("requested_docs_filter")
 def q_requested_docs_filter(spark, sf_dir):
+    kb = KB(spark, sf_dir)
     qid = F.col("query_id")
-    requests = fx.kb_questions(spark, sf_dir).select(
+    requests = kb.questions.select(
         "query_id",
         F.when(qid % 4 == 0, F.lit(None).cast("array<bigint>"))
          .otherwise(F.array(qid % 20, (qid * 3) % 20, (qid * 7) % 200)).alias("doc_ids"))
-    return access.restrict_to_requested(question_access(spark, sf_dir), requests)
+    return access.restrict_to_requested(kb.question_access, requests)
 
 
 # ---------------------------------------------------------------------------------- vectors
 @query("vector_distance")
 def q_vector_distance(spark, sf_dir):
-    q = fx.kb_questions(spark, sf_dir).select("query_id", "query_vector")
-    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("embedding_id"),
-                                                        F.col("embedding").alias("v"))
+    kb = KB(spark, sf_dir)
+    q = kb.questions.select("query_id", "query_vector")
+    e = kb.table("embeddings").select(F.col("vec_id").alias("embedding_id"), F.col("embedding").alias("v"))
     pairs = e.crossJoin(require_bounded(q, rt.MAX_QUESTIONS, "question table"))
     return pairs.select("query_id", "embedding_id",
                         cosine_distance("v", "query_vector").alias("cosine_distance"),
@@ -80,54 +183,40 @@ def q_vector_distance(spark, sf_dir):
                         F.size("v").alias("dim"))
 
 
-def _retrieve(spark, sf_dir, with_access: bool, threshold):
-    acc = question_access(spark, sf_dir) if with_access else None
-    return rt.retrieve(fx.kb_questions(spark, sf_dir), fx.kb_chunks(spark, sf_dir), fx.kb_embeddings(spark, sf_dir),
-                       accessible=acc, top_k=20, subchunk_top_k=3, score_threshold=threshold)
-
-
 @query("retrieve_topk")
 def q_retrieve_topk(spark, sf_dir):
-    d = rt.candidate_distances(fx.kb_questions(spark, sf_dir), fx.kb_chunks(spark, sf_dir),
-                               fx.kb_embeddings(spark, sf_dir))
-    top = rt.top_chunks(rt.chunk_stats(d, 3), 20)
+    kb = KB(spark, sf_dir)
+    d = rt.candidate_distances(kb.questions, kb.chunks, kb.embeddings)
+    top = rt.top_chunks(rt.chunk_stats(d, SUBCHUNK_TOP_K), TOP_K)
     return top.select("query_id", "chunk_id", "document_id", "chunk_idx", "chunk_text", "best_distance",
                       "avg_distance", "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"))
 
 
 @query("retrieve_scored")
 def q_retrieve_scored(spark, sf_dir):
-    r = _retrieve(spark, sf_dir, False, 0.25)
+    r = KB(spark, sf_dir).retrieve(False, 0.25)
     return r.select("query_id", "chunk_id", "document_id", "chunk_idx", "best_distance", "avg_distance",
                     "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "score")
 
 
 @query("retrieve_with_access")
 def q_retrieve_with_access(spark, sf_dir):
-    r = _retrieve(spark, sf_dir, True, 0.15)
+    r = KB(spark, sf_dir).retrieved
     return r.select("query_id", "chunk_id", "document_id", "chunk_idx", "chunk_text", "best_distance",
                     "avg_distance", "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "score")
 
 
 # ---------------------------------------------------------------------------------- ingestion text
-def _docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
-
-
-def doc_chunks(spark, sf_dir) -> DataFrame:
-    return chunking.sentence_chunks(_docs(spark, sf_dir))
-
-
 @query("sentence_chunks")
 def q_sentence_chunks(spark, sf_dir):
-    c = doc_chunks(spark, sf_dir)
+    c = KB(spark, sf_dir).doc_chunks
     return c.select("document_id", "chunk_idx", F.col("n_sentences").cast("bigint").alias("n_sentences"),
                     "chunk_text", "overlap")
 
 
 @query("token_subchunks")
 def q_token_subchunks(spark, sf_dir):
-    s = chunking.token_subchunks(doc_chunks(spark, sf_dir))
+    s = chunking.token_subchunks(KB(spark, sf_dir).doc_chunks)
     return s.select("document_id", "chunk_idx", "subchunk_idx",
                     F.col("token_start").cast("bigint").alias("token_start"),
                     F.col("n_tokens").cast("bigint").alias("n_tokens"), "subchunk_text")
@@ -135,52 +224,20 @@ def q_token_subchunks(spark, sf_dir):
 
 @query("chunk_metadata")
 def q_chunk_metadata(spark, sf_dir):
-    return chunking.chunk_metadata(doc_chunks(spark, sf_dir))
+    return chunking.chunk_metadata(KB(spark, sf_dir).doc_chunks)
 
 
 @query("page_text")
 def q_page_text(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    p = KB(spark, sf_dir).table("pages").select("page_id", "url", "html")
     t = html_to_text(F.col("html"))
     return p.select("page_id", "url", t.alias("text"), F.length(t).cast("bigint").alias("n_chars"))
 
 
 # ---------------------------------------------------------------------------------- answering
-PROMPT_TEMPLATE = ("Context:\n{context}\n\nHistory:\n{history}\n\nDate: {date}\n\n"
-                   "Question: {question}\nAnswer with JSON only.")
-
-
-def retrieved(spark, sf_dir) -> DataFrame:
-    return _retrieve(spark, sf_dir, True, 0.15)
-
-
-def contexts(spark, sf_dir) -> DataFrame:
-    return ctx.context_by_document(retrieved(spark, sf_dir))
-
-
-def parsed_replies(spark, sf_dir) -> DataFrame:
-    c = contexts(spark, sf_dir)
-    return (c.withColumn("reply_text", fx.reply_text(F.col("query_id"), F.col("document_id"), F.col("doc_rank")))
-            .withColumn("reply", facts.parse_reply(F.col("reply_text"))))
-
-
-def user_history(spark, sf_dir) -> DataFrame:
-    """Memory per asking user: the conversation with conv_id = user_id, newest 20 turns."""
-    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return dialog.dialog_history(conv).select(F.col("conv_id").alias("user_id"), "history")
-
-
-def _with_question_history(spark, sf_dir, df):
-    q = fx.kb_questions(spark, sf_dir).select("query_id", "user_id", "question")
-    h = user_history(spark, sf_dir)
-    line = F.concat(F.lit("user: "), F.col("question"))
-    hist = F.when(F.col("history").isNull(), line).otherwise(F.concat(F.col("history"), F.lit("\n"), line))
-    return df.join(q, "query_id").join(h, "user_id", "left").withColumn("dialog_history", hist)
-
-
 @query("context_by_document")
 def q_context_by_document(spark, sf_dir):
-    c = contexts(spark, sf_dir)
+    c = KB(spark, sf_dir).contexts
     return c.select("query_id", "document_id", "doc_rank", "n_chunks",
                     F.array_join(F.transform("chunks", lambda x: x["chunk_id"].cast("string")), ",").alias("chunk_ids"),
                     ctx.context_json(F.col("chunks")).alias("context_json"))
@@ -188,12 +245,12 @@ def q_context_by_document(spark, sf_dir):
 
 @query("used_ids")
 def q_used_ids(spark, sf_dir):
-    return ctx.used_ids(contexts(spark, sf_dir))
+    return KB(spark, sf_dir).used
 
 
 @query("reply_parse")
 def q_reply_parse(spark, sf_dir):
-    r = parsed_replies(spark, sf_dir)
+    r = KB(spark, sf_dir).replies
     return r.select("query_id", "document_id", "doc_rank", F.col("reply.valid").alias("valid"),
                     F.col("reply.answer").alias("answer"), F.col("reply.reasoning").alias("reasoning"),
                     F.col("reply.can_answer").alias("can_answer"),
@@ -203,20 +260,18 @@ def q_reply_parse(spark, sf_dir):
 
 @query("fact_fold")
 def q_fact_fold(spark, sf_dir):
-    return facts.fold_facts(parsed_replies(spark, sf_dir))
+    return KB(spark, sf_dir).folded
 
 
 @query("answer_summary")
 def q_answer_summary(spark, sf_dir):
-    r = parsed_replies(spark, sf_dir)
-    return facts.answer_summary(fx.kb_questions(spark, sf_dir), r, facts.fold_facts(r),
-                                ctx.used_ids(contexts(spark, sf_dir)))
+    return KB(spark, sf_dir).answers
 
 
 @query("fact_fold_model_loop")
 def q_fact_fold_model_loop(spark, sf_dir):
-    c = contexts(spark, sf_dir)
-    rows = _with_question_history(spark, sf_dir, c).select(
+    kb = KB(spark, sf_dir)
+    rows = kb.with_question_history(kb.contexts).select(
         "query_id", "doc_rank", "question", "dialog_history",
         ctx.context_json(F.col("chunks")).alias("context_json"),
         fx.reply_text(F.col("query_id"), F.col("document_id"), F.col("doc_rank")).alias("reply_text"))
@@ -225,14 +280,15 @@ def q_fact_fold_model_loop(spark, sf_dir):
 
 @query("request_json")
 def q_request_json(spark, sf_dir):
-    r = parsed_replies(spark, sf_dir)
+    kb = KB(spark, sf_dir)
+    r = kb.replies
     before = (facts.facts_before(r).groupBy("query_id", "doc_rank")
               .agg(F.array_sort(F.collect_list(F.struct(F.col("fact_id").cast("bigint").alias("k"), "fact_id", "fact",
                                                         "certainty", "reasoning"))).alias("pf")))
     w = Window.partitionBy("query_id").orderBy("doc_rank")
     base = (r.join(before, ["query_id", "doc_rank"], "left")
             .withColumn("previous_answer", F.coalesce(F.lag("reply.answer").over(w), F.lit(""))))
-    base = _with_question_history(spark, sf_dir, base)
+    base = kb.with_question_history(base)
     pf = F.transform(F.coalesce(F.col("pf"), F.array().cast(before.schema["pf"].dataType)),
                      lambda x: F.struct(x["fact_id"].alias("id"), x["fact"].alias("fact"),
                                         x["certainty"].alias("certainty"), x["reasoning"].alias("reasoning")))
@@ -243,7 +299,8 @@ def q_request_json(spark, sf_dir):
 
 @query("prompt_render")
 def q_prompt_render(spark, sf_dir):
-    c = _with_question_history(spark, sf_dir, contexts(spark, sf_dir))
+    kb = KB(spark, sf_dir)
+    c = kb.with_question_history(kb.contexts)
     text = F.array_join(F.transform("chunks", lambda x: x["chunk_text"]), "\n\n")
     return c.select("query_id", "document_id",
                     ctx.render_prompt(PROMPT_TEMPLATE, context=text, history=F.col("dialog_history"),
@@ -251,29 +308,54 @@ def q_prompt_render(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------------- dialog
-def _conversations(spark, sf_dir):
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-
-
 @query("dialog_history")
 def q_dialog_history(spark, sf_dir):
-    return dialog.dialog_history(_conversations(spark, sf_dir)).select(
+    return dialog.dialog_history(KB(spark, sf_dir).conversations).select(
         "conv_id", F.col("n_turns").cast("bigint").alias("n_turns"), "history")
 
 
 @query("dialog_compact")
 def q_dialog_compact(spark, sf_dir):
-    return dialog.compact_history(_conversations(spark, sf_dir))
+    return dialog.compact_history(KB(spark, sf_dir).conversations)
 
 
 @query("dialog_append")
 def q_dialog_append(spark, sf_dir):
-    ans = q_answer_summary(spark, sf_dir).select("query_id", F.col("final_result").alias("answer"))
-    ex = (fx.kb_questions(spark, sf_dir).select("query_id", F.col("user_id").alias("conv_id"), "question")
+    kb = KB(spark, sf_dir)
+    ans = kb.answers.select("query_id", F.col("final_result").alias("answer"))
+    ex = (kb.questions.select("query_id", F.col("user_id").alias("conv_id"), "question")
           .join(ans, "query_id").withColumn("exchange_id", F.col("query_id")))
-    return dialog.append_turns(_conversations(spark, sf_dir), ex).select(
+    return dialog.append_turns(kb.conversations, ex).select(
         "conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
 
 
+# ---------------------------------------------------------------------------------- group & concat
+SEPARATOR_RULES = [gc.ConcatRule("o_orderkey", ", ", "order_keys"), gc.ConcatRule("o_orderpriority", "%tab%", "priorities"),
+                   gc.ConcatRule("o_totalprice", "", "")]
+TEMPLATE_RULES = [gc.ConcatRule("text", "%id%. [{role}] %value%%newLine%", "transcript"),
+                  gc.ConcatRule("role", "{turn}:", "turn_tags")]
+
+
+def _separator_concat(kb: KB) -> DataFrame:
+    o = kb.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    return gc.group_concat(o, "o_custkey, o_orderstatus", SEPARATOR_RULES, "o_orderkey")
+
+
+@query("group_concat_separator")
+def q_group_concat_separator(spark, sf_dir):
+    return _separator_concat(KB(spark, sf_dir))
+
+
+@query("group_concat_template")
+def q_group_concat_template(spark, sf_dir):
+    return gc.group_concat(KB(spark, sf_dir).conversations, "conv_id", TEMPLATE_RULES, "turn")
+
+
+@query("grouped_records")
+def q_grouped_records(spark, sf_dir):
+    r = gc.as_records(_separator_concat(KB(spark, sf_dir)), "o_custkey, o_orderstatus")
+    return r.select("text", F.to_json("data").alias("data"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

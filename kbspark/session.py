@@ -57,3 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+
+    Used where a small, bounded intermediate (top-k retrieval results, parsed replies) feeds
+    several branches of a plan: the branches then read the written rows instead of each
+    re-running the lineage, and a lost executor re-reads files instead of recomputing.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
