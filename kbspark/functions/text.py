@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from kbspark.functions.exprs import let
+
 BLANK = "[ \\t\\r\\n\\f]"
 MARK = "\u0001"
 
@@ -55,7 +57,7 @@ def sentence_windows(sentences: Column, size: int = 5, overlap: int = 2) -> Colu
     if overlap >= size or size <= 0:
         raise ValueError("sentence windows need 0 <= overlap < size")
     step = size - overlap
-    return F.transform(window_starts(F.size(sentences), step), lambda i: F.slice(sentences, i + 1, size))
+    return let(sentences, lambda s: F.transform(window_starts(F.size(s), step), lambda i: F.slice(s, i + 1, size)))
 
 
 def token_units(c) -> Column:
@@ -77,16 +79,20 @@ def token_windows(units: Column, max_tokens: int = 256, special_tokens: int = 2,
     step = width - overlap
     if width <= 0 or step <= 0:
         raise ValueError("token windows need max_tokens - special_tokens > overlap")
-    n = F.size(units)
-    count = F.when(n <= 0, F.lit(0)).otherwise(
-        F.greatest(F.ceil((n - F.lit(width)) / F.lit(step)).cast("int"), F.lit(0)) + 1)
-    starts = F.when(count == 0, F.array().cast("array<int>")).otherwise(
-        F.sequence(F.lit(0), (count - 1) * step, F.lit(step)))
-    wins = F.transform(starts, lambda s: F.struct(
-        s.alias("token_start"),
-        F.size(F.slice(units, s + 1, width)).alias("n_tokens"),
-        strip_blanks(F.array_join(F.slice(units, s + 1, width), "")).alias("text")))
-    return F.filter(wins, lambda w: w["text"] != "")
+
+    def windows(u: Column) -> Column:
+        n = F.size(u)
+        count = F.when(n <= 0, F.lit(0)).otherwise(
+            F.greatest(F.ceil((n - F.lit(width)) / F.lit(step)).cast("int"), F.lit(0)) + 1)
+        starts = F.when(count == 0, F.array().cast("array<int>")).otherwise(
+            F.sequence(F.lit(0), (count - 1) * step, F.lit(step)))
+        wins = F.transform(starts, lambda s: F.struct(
+            s.alias("token_start"),
+            F.size(F.slice(u, s + 1, width)).alias("n_tokens"),
+            strip_blanks(F.array_join(F.slice(u, s + 1, width), "")).alias("text")))
+        return F.filter(wins, lambda w: w["text"] != "")
+
+    return let(units, windows)
 
 
 def render_template(template: Column | str, values: dict[str, Column]) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from kbspark.functions.exprs import let
+
 DIST_DIGITS = 9
 
 
@@ -29,8 +31,7 @@ def norm(a) -> Column:
 
 def unit(a) -> Column:
     """``a / |a|``; a zero vector stays all zeros (its cosine distance is defined as 1.0)."""
-    n = norm(a)
-    return F.when(n == 0, F.transform(_d(a), lambda x: x * 0.0)).otherwise(F.transform(_d(a), lambda x: x / n))
+    return let(_d(a), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
 def cosine_distance_unit(u, v) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kbspark.functions.vectors import DIST_DIGITS, dot, norm
+from kbspark.functions.vectors import DIST_DIGITS, dot, norm, unit
 from kbspark.operators.joins import require_bounded
 
 MAX_QUESTIONS = 100_000
@@ -28,18 +28,12 @@ def prepare_vectors(embeddings: DataFrame, status: str | None = "COMPLETED") ->
     if status is not None:
         e = e.where(F.col("status") == status)
     v = F.col("vector").cast("array<double>")
-    n = norm(v)
-    return e.select("embedding_id", "chunk_id", "subchunk_idx",
-                    F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))).alias("_u"),
-                    (n > 0).alias("_nz"))
+    return e.select("embedding_id", "chunk_id", "subchunk_idx", unit(v).alias("_u"), (norm(v) > 0).alias("_nz"))
 
 
 def prepare_questions(questions: DataFrame, vector_col: str = "query_vector") -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
-    n = norm(v)
-    return questions.select("query_id",
-                            F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))).alias("_q"),
-                            (n > 0).alias("_qnz"))
+    return questions.select("query_id", unit(v).alias("_q"), (norm(v) > 0).alias("_qnz"))
 
 
 def _distance() -> F.Column:

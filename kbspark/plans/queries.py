@@ -8,6 +8,7 @@ each size check runs once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -16,11 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from kbspark.functions.html import html_to_text
 from kbspark.functions.vectors import cosine_distance, l2_distance
 from kbspark.operators import access, chunking, context as ctx, dialog, facts, generate as gen, groupconcat as gc
-from kbspark.operators import retrieve as rt
+from kbspark.operators import embed as emb, importance as imp, index as idx, integrity as integ, metrics
+from kbspark.operators import mixing as mx, qa_data as qa, retrieve as rt
+from kbspark.plans import ingest, report
+from kbspark import schema as S
 from kbspark.operators.joins import require_bounded
-from kbspark.session import materialize
+from kbspark.session import materialize, scratch_path
 from kbspark.sources import fixtures as fx
-from kbspark.sources.tables import read_table
+from kbspark.sources.tables import read_table, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -180,7 +184,7 @@ def q_vector_distance(spark, sf_dir):
     return pairs.select("query_id", "embedding_id",
                         cosine_distance("v", "query_vector").alias("cosine_distance"),
                         l2_distance("v", "query_vector").alias("l2_distance"),
-                        F.size("v").alias("dim"))
+                        F.size("v").cast("bigint").alias("dim"))
 
 
 @query("retrieve_topk")
@@ -357,5 +361,345 @@ def q_grouped_records(spark, sf_dir):
     return r.select("text", F.to_json("data").alias("data"))
 
 
+# ---------------------------------------------------------------------------------- mixing
+def mix_input(kb: KB) -> DataFrame:
+    """documents as a multi-dataset training pool: dataset = language, split by a hash of the id."""
+    u = mx.hash_uniform(F.col("doc_id"), F.lit(":split"))
+    return kb.table("documents").select(
+        "doc_id", F.col("lang").alias("dataset"),
+        F.when(u < 0.8, "train").when(u < 0.9, "validation").otherwise("test").alias("split"))
+
+
+@query("mixing_weights")
+def q_mixing_weights(spark, sf_dir):
+    m = mix_input(KB(spark, sf_dir))
+    w = mx.dataset_weights(mx.dataset_sizes(m, "dataset", "split"), "dataset", "split")
+    return w.select("split", "dataset", "n_rows", F.round("weight", 9).alias("weight"))
+
+
+@query("mixing_index")
+def q_mixing_index(spark, sf_dir):
+    m = mix_input(KB(spark, sf_dir)).select("doc_id", "dataset")
+    return mx.global_index(m, "dataset", "doc_id").select("doc_id", "dataset", "local_index", "global_index")
+
+
+@query("mixing_sample")
+def q_mixing_sample(spark, sf_dir):
+    m = mix_input(KB(spark, sf_dir)).select("doc_id", "dataset")
+    w = mx.dataset_weights(mx.dataset_sizes(m, "dataset"), "dataset")
+    return mx.weighted_sample(m, w, "dataset", "doc_id").select("draw", "dataset", "local_index", "doc_id")
+
+
+@query("sample_rows")
+def q_sample_rows(spark, sf_dir):
+    m = mix_input(KB(spark, sf_dir)).select("doc_id", "dataset")
+    return mx.hash_sample(m, 3, "doc_id", by="dataset").select(
+        "dataset", F.col("sample_rank").cast("bigint").alias("sample_rank"), "doc_id")
+
+
+# ---------------------------------------------------------------------------------- QA data
+def qa_examples(kb: KB) -> DataFrame:
+    return qa.conversation_examples(kb.conversations)
+
+
+@query("qa_format")
+def q_qa_format(spark, sf_dir):
+    e = qa_examples(KB(spark, sf_dir))
+    return e.select("conv_id", "turn", qa.format_input(F.col("context"), F.col("question")).alias("input_text"),
+                    F.col("answer_text").alias("target_text"))
+
+
+@query("qa_pad_mask")
+def q_qa_pad_mask(spark, sf_dir):
+    e = qa_examples(KB(spark, sf_dir))
+    src = qa.encode(qa.token_ids(qa.format_input(F.col("context"), F.col("question"))), qa.SOURCE_MAX_TOKENS)
+    tgt = qa.encode(qa.token_ids(F.col("answer_text")), qa.TARGET_MAX_TOKENS)
+    t = e.select("conv_id", "turn", src.alias("input_ids"), tgt.alias("target_ids"))
+    as_text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    return t.select("conv_id", "turn", as_text("input_ids").alias("input_ids"),
+                    F.aggregate(qa.attention_mask(F.col("input_ids")), F.lit(0), lambda a, x: a + x).cast("bigint")
+                    .alias("n_attended"),
+                    F.array_join(qa.mask_labels(F.col("target_ids")).cast("array<string>"), " ").alias("labels"),
+                    F.array_join(qa.unmask_labels(qa.mask_labels(F.col("target_ids"))).cast("array<string>"), " ")
+                    .alias("labels_unmasked"))
+
+
+@query("qa_length_filter")
+def q_qa_length_filter(spark, sf_dir):
+    e = qa_examples(KB(spark, sf_dir))
+    return qa.length_filter(e, 256, 64, ["conv_id", "turn"]).select("conv_id", "turn", "context", "question",
+                                                                    "answer_text")
+
+
+@query("qa_length_max")
+def q_qa_length_max(spark, sf_dir):
+    e = qa_examples(KB(spark, sf_dir))
+    n = lambda c: F.size(qa.token_ids(F.col(c)))
+    return e.agg(F.count(F.lit(1)).alias("n_examples"), F.max(n("context")).cast("bigint").alias("max_context_tokens"),
+                 F.max(n("question")).cast("bigint").alias("max_question_tokens"),
+                 F.max(n("answer_text")).cast("bigint").alias("max_answer_tokens"))
+
+
+@query("qa_nested_load")
+def q_qa_nested_load(spark, sf_dir):
+    """Conversation examples written as SQuAD-shaped JSON by Spark, read back by the loader."""
+    e = qa_examples(KB(spark, sf_dir))
+    nested = (e.groupBy("conv_id").agg(F.collect_list(F.struct(
+        "context", F.array(F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), "question",
+                                    F.array(F.struct(F.col("answer_text").alias("text"),
+                                                     F.lit(0).cast("bigint").alias("answer_start"))).alias("answers")))
+        .alias("qas"))).alias("paragraphs"))
+        .select(F.array(F.struct(F.col("conv_id").cast("string").alias("title"), "paragraphs")).alias("data")))
+    path = scratch_path(spark, "squad-" + uuid.uuid4().hex)
+    nested.write.mode("overwrite").json(path)
+    return qa.load_squad(spark, path, multi_line=False).select(F.col("question_id"), "context", "question", "answer_text")
+
+
+@query("qa_jsonl_load")
+def q_qa_jsonl_load(spark, sf_dir):
+    """Yes/no examples (label = quality) written as JSON lines by Spark, read back by the loader."""
+    kb = KB(spark, sf_dir)
+    rows = (kb.table("documents").select("doc_id", F.col("text").alias("passage"))
+            .join(kb.table("labels").select("doc_id", (F.col("quality") == 1).alias("label")), "doc_id")
+            .select("passage", F.concat(F.lit("Is document "), F.col("doc_id").cast("string"), F.lit(" good?"))
+                    .alias("question"), "label", F.col("doc_id").alias("idx")))
+    path = scratch_path(spark, "yesno-" + uuid.uuid4().hex)
+    rows.write.mode("overwrite").json(path)
+    return qa.load_yesno(spark, path, "yes", "no").select("question", "answer_text")
+
+
+# ---------------------------------------------------------------------------------- GLEU
+def gleu_input(kb: KB) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = kb.conversations.withColumn("reference", F.lead("text").over(w))
+    return c.where(F.col("reference").isNotNull()).select(
+        F.concat_ws("-", "conv_id", "turn").alias("pair_id"), F.col("text").alias("hypothesis"), "reference")
+
+
+@query("gleu_pair")
+def q_gleu_pair(spark, sf_dir):
+    return metrics.gleu_pairs(gleu_input(KB(spark, sf_dir))).select("pair_id", "matches", "total", "gleu")
+
+
+@query("gleu_corpus")
+def q_gleu_corpus(spark, sf_dir):
+    return metrics.gleu_corpus(gleu_input(KB(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------------- vector index
+@query("vector_l2_topk")
+def q_vector_l2_topk(spark, sf_dir):
+    kb = KB(spark, sf_dir)
+    r = idx.l2_topk(kb.table("embeddings"), kb.questions, k=4)
+    return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "l2_distance")
+
+
+@query("index_conditional_update")
+def q_index_conditional_update(spark, sf_dir):
+    """Create the index from even labels, append all vectors (duplicates skipped), then read."""
+    e = KB(spark, sf_dir).table("embeddings").select("vec_id", "embedding", "label")
+    d = scratch_path(spark, "index-" + uuid.uuid4().hex)
+    idx.update_index(spark, d, "vectors", e.where(F.col("label") % 2 == 0))
+    idx.update_index(spark, d, "vectors", e, search_query="")
+    out = idx.update_index(spark, d, "vectors", None, search_query="find me")
+    return out.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dim"))
+
+
+@query("vector_ivf_topk")
+def q_vector_ivf_topk(spark, sf_dir):
+    kb = KB(spark, sf_dir)
+    e = kb.table("embeddings").select("vec_id", "embedding")
+    assigned, cents = idx.ivf_build(e, lists=8)
+    r = idx.ivf_topk(assigned, cents, kb.questions, k=TOP_K, nprobe=3)
+    return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "distance")
+
+
+# ---------------------------------------------------------------------------------- audits
+@query("audit_unique")
+def q_audit_unique(spark, sf_dir):
+    kb = KB(spark, sf_dir)
+    users = fx.kb_users(spark, sf_dir)
+    parts = [integ.unique_violations(users, "users", ["user_id"]),
+             integ.unique_violations(users, "users", ["provider", "external_id"]),
+             integ.unique_violations(kb.documents, "documents", ["document_id"]),
+             integ.unique_violations(kb.chunks, "document_chunks", ["chunk_id"]),
+             integ.unique_violations(kb.chunks, "document_chunks", ["document_id", "chunk_idx"]),
+             integ.unique_violations(kb.doc_chunks, "sentence_chunks", ["document_id", "chunk_idx"]),
+             integ.unique_violations(kb.embeddings, "chunk_embeddings", ["embedding_id"]),
+             integ.unique_violations(kb.table("documents"), "documents_text", ["text"])]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("audit_orphans")
+def q_audit_orphans(spark, sf_dir):
+    kb = KB(spark, sf_dir)
+    users, companies = fx.kb_users(spark, sf_dir), fx.kb_companies(spark, sf_dir)
+    parts = [integ.orphans(users, companies, "users", "company_id", "company_id", "companies"),
+             integ.orphans(kb.documents, companies, "documents", "company_id", "company_id", "companies"),
+             integ.orphans(kb.documents, users, "documents", "owner_id", "user_id", "users"),
+             integ.orphans(kb.chunks, kb.documents, "document_chunks", "document_id", "document_id", "documents"),
+             integ.orphans(kb.embeddings, kb.chunks, "chunk_embeddings", "chunk_id", "chunk_id", "document_chunks"),
+             integ.orphans(kb.grants, kb.documents, "access_grants", "document_id", "document_id", "documents"),
+             integ.orphans(kb.grants, users, "access_grants", "user_id", "user_id", "users")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("audit_domain")
+def q_audit_domain(spark, sf_dir):
+    kb = KB(spark, sf_dir)
+    users = fx.kb_users(spark, sf_dir)
+    d = integ.domain_violations(kb.documents, "documents", {
+        "access_level in domain": integ.in_domain("access_level", S.ACCESS_LEVELS),
+        "source_type in domain": integ.in_domain("source_type", S.SOURCE_TYPES),
+        "title length <= 512": integ.max_length("title", S.TITLE_MAX),
+        "title not null": integ.not_null("title"),
+        "public is approved": (F.col("access_level") != "PUBLIC") | F.coalesce(F.col("is_approved"), F.lit(False)),
+    })
+    u = integ.domain_violations(users, "users", {
+        "provider in domain": integ.in_domain("provider", S.AUTH_PROVIDERS),
+        "user_type in domain": integ.in_domain("user_type", S.USER_TYPES),
+        "role in domain": integ.in_domain("role", S.USER_ROLES),
+        "external_id length <= 255": integ.max_length("external_id", S.EXTERNAL_ID_MAX),
+    })
+    e = integ.domain_violations(kb.embeddings, "chunk_embeddings", {
+        "status in domain": integ.in_domain("status", S.EMBEDDING_STATUSES),
+        "vector dim = 64": F.size("vector") == 64,
+        "vector not null": integ.not_null("vector"),
+    })
+    return d.unionByName(u).unionByName(e)
+
+
+@query("cascade_delete")
+def q_cascade_delete(spark, sf_dir):
+    kb = KB(spark, sf_dir)
+    companies, users = fx.kb_companies(spark, sf_dir), fx.kb_users(spark, sf_dir)
+    gone = companies.where(F.col("company_id") == 0).select("company_id")
+    left = integ.cascade_delete(gone, companies, users, kb.documents, kb.chunks, kb.embeddings, kb.grants)
+    before = {"companies": companies, "users": users, "documents": kb.documents, "chunks": kb.chunks,
+              "embeddings": kb.embeddings, "grants": kb.grants}
+    rows = None
+    for name, df in left.items():
+        nulls = F.col("owner_id").isNull().cast("bigint") if name == "documents" else F.lit(0).cast("bigint")
+        both = (before[name].select(F.lit(1).alias("_b"), F.lit(0).alias("_a"), F.lit(0).cast("bigint").alias("_n"))
+                .unionByName(df.select(F.lit(0).alias("_b"), F.lit(1).alias("_a"), nulls.alias("_n"))))
+        r = both.agg(F.sum("_b").cast("bigint").alias("n_before"), F.sum("_a").cast("bigint").alias("n_remaining"),
+                     F.sum("_n").cast("bigint").alias("n_null_owner")).select(
+            F.lit(name).alias("table_name"), "n_before", "n_remaining", "n_null_owner")
+        rows = r if rows is None else rows.unionByName(r)
+    return rows
+
+
+@query("conform_schema")
+def q_conform_schema(spark, sf_dir):
+    """An old-revision vector table (no status/attempts/scope columns, ``is_important`` instead of
+    ``is_hot`` on chunks) conformed to the current schema with back-filled defaults."""
+    old = KB(spark, sf_dir).embeddings.select("embedding_id", "chunk_id", "subchunk_idx", "vector")
+    c = S.conform(old, S.EMBEDDINGS, defaults={"embedding_scope": "chunk", "embedding_model": "unknown", "overlap": 0,
+                                               "status": "PENDING", "attempts": 0})
+    return c.select("embedding_id", "chunk_id", "subchunk_idx", "embedding_scope", "embedding_model", "overlap",
+                    "status", "attempts", "error_message", F.size("vector").cast("bigint").alias("dim"))
+
+
+# ---------------------------------------------------------------------------------- ingestion
+@query("ingest_status")
+def q_ingest_status(spark, sf_dir):
+    req = ingest.requests_from_documents(KB(spark, sf_dir).table("documents"))
+    v = ingest.validate(req)
+    return v.select(F.col("request_id").alias("doc_id"), "title", "status", "error",
+                    F.col("document_uid").isNotNull().alias("has_document_id"))
+
+
+@query("embedding_status")
+def q_embedding_status(spark, sf_dir):
+    e = KB(spark, sf_dir).embeddings
+    return e.groupBy("status").agg(F.count(F.lit(1)).alias("n_vectors"), F.max("attempts").cast("bigint").alias(
+        "max_attempts"), F.countDistinct("chunk_id").alias("n_chunks"))
+
+
+@query("ingest_batch")
+def q_ingest_batch(spark, sf_dir):
+    req = ingest.requests_from_documents(KB(spark, sf_dir).table("documents"))
+    out = scratch_path(spark, "ingest-" + uuid.uuid4().hex)
+    ingest.ingest_batch(req, out, batch_id=0, as_of=fx.AS_OF)
+    return ingest.ingest_summary(spark, out)
+
+
+@query("ingest_stream")
+def q_ingest_stream(spark, sf_dir):
+    from kbspark.streaming.ingest_stream import run_ingest_stream
+    out = scratch_path(spark, "ingest-stream-" + uuid.uuid4().hex)
+    run_ingest_stream(spark, sf_dir, out, as_of=fx.AS_OF, file_glob="documents.parquet")
+    return ingest.ingest_summary(spark, out)
+
+
+@query("ingest_embeddings")
+def q_ingest_embeddings(spark, sf_dir):
+    """Vectors of the default embedder for every token window: dimension and norm per window."""
+    kb = KB(spark, sf_dir)
+    sub = chunking.token_subchunks(kb.doc_chunks)
+    t = sub.select("document_id", "chunk_idx", "subchunk_idx", emb.embed(F.col("subchunk_text")).alias("v"),
+                   emb.hashed_counts(F.col("subchunk_text")).alias("c"))
+    return t.select("document_id", "chunk_idx", "subchunk_idx", F.size("v").cast("bigint").alias("dim"),
+                    F.round(F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)), 3)
+                    .alias("norm"),
+                    F.element_at("c", 1).cast("bigint").alias("bucket0_count"),
+                    F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x).cast("bigint").alias("sum_sq_counts"))
+
+
+# ---------------------------------------------------------------------------------- importance
+@query("importance_exact")
+def q_importance_exact(spark, sf_dir):
+    d = KB(spark, sf_dir).table("documents").select(F.col("doc_id").alias("document_id"), "text")
+    return imp.exact_importance(d).select("document_id", "importance")
+
+
+@query("importance_lsh")
+def q_importance_lsh(spark, sf_dir):
+    d = KB(spark, sf_dir).table("documents").select(F.col("doc_id").alias("document_id"), "text")
+    return imp.near_importance(d)
+
+
+T_THR, T_RECENT, T_LATEST = "2024-01-10 00:00:00", "2024-01-20 00:00:00", "2024-01-28 00:00:00"
+
+
+@query("training_selection")
+def q_training_selection(spark, sf_dir):
+    kb = KB(spark, sf_dir)
+    d = kb.table("documents").select(F.col("doc_id").alias("document_id"), "text")
+    i = imp.exact_importance(d)
+    return imp.select_training(kb.documents, i, T_THR, T_RECENT, 0.5)
+
+
+@query("rag_only_new")
+def q_rag_only_new(spark, sf_dir):
+    return imp.route_new(KB(spark, sf_dir).documents, T_LATEST, 100)
+
+
+@query("recent_window")
+def q_recent_window(spark, sf_dir):
+    return imp.recent_window(KB(spark, sf_dir).documents, 3).select("document_id", "created_at")
+
+
+# ---------------------------------------------------------------------------------- report
+def _monthly(kb: KB) -> DataFrame:
+    return report.monthly_by_region(kb.table("orders"), kb.table("customer"), kb.table("nation"), kb.table("region"))
+
+
+@query("order_dynamics")
+def q_order_dynamics(spark, sf_dir):
+    return _monthly(KB(spark, sf_dir))
+
+
+@query("problem_regions")
+def q_problem_regions(spark, sf_dir):
+    return report.problem_regions(_monthly(KB(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -125,5 +125,11 @@ def conform(df: DataFrame, schema: T.StructType, renames: dict | None = None,
             c = F.lit(defaults[field.name])
         else:
             c = F.lit(None)
-        cols.append(c.try_cast(field.dataType).alias(field.name))
+        src_type = df.schema[source].dataType if source in present else None
+        if src_type is not None and src_type.simpleString() == field.dataType.simpleString():
+            cols.append(c.alias(field.name))
+        elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            cols.append(c.cast(field.dataType).alias(field.name))
+        else:
+            cols.append(c.try_cast(field.dataType).alias(field.name))
     return df.select(*cols)
