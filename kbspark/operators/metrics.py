@@ -23,13 +23,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(strip_blanks(F.coalesce(text, F.lit(""))), f"{BLANK}+"), lambda t: t != "")
 
 
+def _gram_at(t: Column, n: int):
+    """One-argument lambda (PySpark treats a two-argument lambda as (element, index))."""
+    return lambda i: F.concat(F.lit(f"{n}:"), F.array_join(F.slice(t, i + 1, n), " "))
+
+
 def ngrams(toks: Column, max_n: int = MAX_N) -> Column:
     """All 1..max_n-grams as strings (tokens never contain blanks, so ' ' joins unambiguously)."""
     def build(t: Column) -> Column:
         per_n = []
         for n in range(1, max_n + 1):
             starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
-            per_n.append(F.transform(starts, lambda i, n=n: F.concat(F.lit(f"{n}:"), F.array_join(F.slice(t, i + 1, n), " "))))
+            per_n.append(F.transform(starts, _gram_at(t, n)))
         return F.flatten(F.array(*per_n))
 
     return let(toks, build)

@@ -451,3 +451,313 @@ FROM (""" + _SEP + ")"
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# ------------------------------------------------------------------------------- mixing
+def _u(x):
+    return "(('0x' || substr(md5(" + x + "), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+CTE["mix"] = """mix AS (
+  SELECT doc_id, lang AS dataset,
+    CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT doc_id, lang, """ + _u("CAST(doc_id AS VARCHAR) || ':split'") + """ AS u FROM documents))"""
+
+CTE["mix_index"] = """mix_local AS (
+  SELECT doc_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY doc_id) - 1 AS local_index FROM mix),
+mix_sizes AS (SELECT dataset, count(*) AS n_rows FROM mix GROUP BY dataset),
+mix_off AS (
+  SELECT dataset, n_rows,
+    CAST(coalesce(sum(n_rows) OVER (ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset
+  FROM mix_sizes),
+mix_index AS (
+  SELECT l.doc_id, l.dataset, l.local_index, o.n_rows,
+    o.offset + (((l.local_index - o.offset) % o.n_rows) + o.n_rows) % o.n_rows AS global_index
+  FROM mix_local l JOIN mix_off o ON o.dataset = l.dataset)"""
+
+SQL["mixing_weights"] = with_ctes(["mix"], """,
+s AS (SELECT split, dataset, count(*) AS n_rows FROM mix GROUP BY split, dataset)
+SELECT split, dataset, n_rows,
+  round(pow(1.0 / (n_rows + 1e-6), 0.3) / sum(pow(1.0 / (n_rows + 1e-6), 0.3)) OVER (PARTITION BY split), 9) AS weight
+FROM s""")
+
+SQL["mixing_index"] = with_ctes(["mix", "mix_index"], "SELECT doc_id, dataset, local_index, global_index FROM mix_index")
+
+SQL["mixing_sample"] = with_ctes(["mix", "mix_index"], """,
+w AS (SELECT dataset, n_rows, pow(1.0 / (n_rows + 1e-6), 0.3) / sum(pow(1.0 / (n_rows + 1e-6), 0.3)) OVER () AS weight
+      FROM mix_sizes),
+m AS (SELECT dataset, n_rows, weight * n_rows AS mass FROM w),
+b AS (SELECT dataset, n_rows,
+        (sum(mass) OVER (ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - mass) / sum(mass) OVER () AS lo,
+        sum(mass) OVER (ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(mass) OVER () AS hi
+      FROM m),
+d AS (SELECT global_index AS draw, """ + _u("CAST(global_index AS VARCHAR) || ':mix:d'") + """ AS u1,
+        """ + _u("CAST(global_index AS VARCHAR) || ':mix:r'") + """ AS u2 FROM mix_index),
+p AS (SELECT d.draw, b.dataset, CAST(floor(d.u2 * b.n_rows) AS BIGINT) AS local_index
+      FROM d JOIN b ON d.u1 >= b.lo AND d.u1 < b.hi)
+SELECT p.draw, p.dataset, p.local_index, i.doc_id FROM p JOIN mix_index i ON i.dataset = p.dataset AND i.local_index = p.local_index""")
+
+SQL["sample_rows"] = with_ctes(["mix"], """
+SELECT dataset, sample_rank, doc_id FROM (
+  SELECT dataset, doc_id, row_number() OVER (PARTITION BY dataset ORDER BY md5(CAST(doc_id AS VARCHAR) || ':sample'), doc_id)
+    AS sample_rank FROM mix) WHERE sample_rank <= 3""")
+
+# ------------------------------------------------------------------------------- QA data
+CTE["qa_ex"] = """qa_t AS (
+  SELECT conv_id, turn, role, text,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+    lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text,
+    lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_text
+  FROM conversations),
+qa_ex AS (
+  SELECT conv_id, turn, coalesce(prev_text, '') AS context, text AS question, next_text AS answer_text
+  FROM qa_t WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+def _toks(x):
+    return "list_filter(regexp_split_to_array(" + STRIP.format(x="coalesce(" + x + ", '')") + ", '" + B + "+'), lambda t: t <> '')"
+
+
+def _ids(x):
+    return "list_transform(" + _toks(x) + ", lambda t: CAST((('0x' || substr(md5(t), 1, 6))::UBIGINT % 32000) + 2 AS INTEGER))"
+
+
+def _enc(ids, n):
+    body = "list_concat(" + ids + "[1:" + str(n - 1) + "], [1])"
+    return "list_concat(" + body + ", list_transform(range(" + str(n) + " - len(" + body + ")), lambda x: 0))"
+
+
+_INPUT = "'[КОНТЕКСТ]' || coalesce(context, '') || '[ВОПРОС]' || coalesce(question, '')"
+SQL["qa_format"] = with_ctes(["qa_ex"], "SELECT conv_id, turn, " + _INPUT + " AS input_text, answer_text AS target_text FROM qa_ex")
+SQL["qa_pad_mask"] = with_ctes(["qa_ex"], """,
+enc AS (SELECT conv_id, turn, """ + _enc(_ids(_INPUT), 396) + """ AS input_ids, """ + _enc(_ids("answer_text"), 32) + """ AS target_ids FROM qa_ex)
+SELECT conv_id, turn, array_to_string(input_ids, ' ') AS input_ids,
+  CAST(len(list_filter(input_ids, lambda x: x <> 0)) AS BIGINT) AS n_attended,
+  array_to_string(list_transform(target_ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ' ') AS labels,
+  array_to_string(target_ids, ' ') AS labels_unmasked
+FROM enc""")
+SQL["qa_length_filter"] = with_ctes(["qa_ex"], """
+SELECT conv_id, turn, context, question, answer_text FROM (
+  SELECT *, row_number() OVER (PARTITION BY context, question ORDER BY conv_id, turn) AS rn FROM qa_ex
+  WHERE len(""" + _toks("context") + """) <= 256 AND len(""" + _toks("question") + """) <= 64) WHERE rn = 1""")
+SQL["qa_length_max"] = with_ctes(["qa_ex"], """
+SELECT count(*) AS n_examples, max(len(""" + _toks("context") + """)) AS max_context_tokens,
+  max(len(""" + _toks("question") + """)) AS max_question_tokens, max(len(""" + _toks("answer_text") + """)) AS max_answer_tokens
+FROM qa_ex""")
+SQL["qa_nested_load"] = with_ctes(["qa_ex"], """
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS question_id, context, question, answer_text FROM qa_ex""")
+SQL["qa_jsonl_load"] = """SELECT 'Is document ' || CAST(d.doc_id AS VARCHAR) || ' good?' AS question,
+  CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS answer_text
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
+
+# ------------------------------------------------------------------------------- GLEU
+_NG = " || ".join([])
+
+
+def _grams(t):
+    parts = ["list_transform(range(0, len(" + t + ") - " + str(n) + " + 1), lambda i: '" + str(n) + ":' || array_to_string("
+             + t + "[i + 1:i + " + str(n) + "], ' '))" for n in range(1, 5)]
+    return "flatten([" + ", ".join(parts) + "])"
+
+
+def _ncount(t):
+    return "(" + " + ".join("greatest(len(" + t + ") - " + str(n) + " + 1, 0)" for n in range(1, 5)) + ")"
+
+
+CTE["gleu"] = """gp AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS pair_id, text AS hypothesis,
+    lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations),
+gt AS (SELECT pair_id, """ + _toks("hypothesis") + """ AS h, """ + _toks("reference") + """ AS r FROM gp WHERE reference IS NOT NULL),
+gtot AS (SELECT pair_id, greatest(""" + _ncount("h") + ", " + _ncount("r") + """) AS total FROM gt),
+gg AS (SELECT pair_id, unnest(""" + _grams("h") + """) AS g, 1 AS hh, 0 AS rr FROM gt
+       UNION ALL SELECT pair_id, unnest(""" + _grams("r") + """) AS g, 0 AS hh, 1 AS rr FROM gt),
+gc AS (SELECT pair_id, g, sum(hh) AS ch, sum(rr) AS cr FROM gg GROUP BY pair_id, g),
+gm AS (SELECT pair_id, CAST(sum(least(ch, cr)) AS BIGINT) AS matches FROM gc GROUP BY pair_id),
+gleu AS (SELECT t.pair_id, coalesce(m.matches, 0) AS matches, CAST(t.total AS BIGINT) AS total
+         FROM gtot t LEFT JOIN gm m ON m.pair_id = t.pair_id)"""
+
+SQL["gleu_pair"] = with_ctes(["gleu"], """
+SELECT pair_id, matches, total, round(CASE WHEN total > 0 THEN matches / total ELSE 0.0 END, 6) AS gleu FROM gleu""")
+SQL["gleu_corpus"] = with_ctes(["gleu"], """
+SELECT count(*) AS n_pairs, CAST(sum(matches) AS BIGINT) AS matches, CAST(sum(total) AS BIGINT) AS total,
+  round(CASE WHEN sum(total) > 0 THEN sum(matches) / sum(total) ELSE 0.0 END, 6) AS gleu FROM gleu""")
+
+# ------------------------------------------------------------------------------- vector index
+SQL["vector_l2_topk"] = with_ctes(["kb_questions"], """
+SELECT query_id, rank, vec_id, l2_distance FROM (
+  SELECT q.query_id, e.vec_id,
+    round(sqrt(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAST(q.query_vector AS DOUBLE[])),
+                                       lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS l2_distance,
+    row_number() OVER (PARTITION BY q.query_id ORDER BY
+      round(sqrt(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAST(q.query_vector AS DOUBLE[])),
+                                         lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9), e.vec_id) AS rank
+  FROM embeddings e CROSS JOIN kb_questions q WHERE length(trim(q.question)) > 0) WHERE rank <= 4""")
+SQL["index_conditional_update"] = "SELECT vec_id, label, len(embedding) AS dim FROM embeddings"
+
+# ------------------------------------------------------------------------------- audits
+CTE["kb_companies"] = """kb_companies AS (
+  SELECT company_id, 'company ' || CAST(company_id AS VARCHAR) AS name FROM (SELECT DISTINCT company_id FROM kb_users))"""
+
+
+def _uniq(table, cte, keys):
+    nn = " AND ".join(k + " IS NOT NULL" for k in keys)
+    return ("SELECT '" + table + "' AS table_name, 'unique(" + ", ".join(keys) + ")' AS rule, count(*) AS n_violations FROM "
+            "(SELECT " + ", ".join(keys) + " FROM " + cte + " WHERE " + nn + " GROUP BY " + ", ".join(keys)
+            + " HAVING count(*) > 1)")
+
+
+SQL["audit_unique"] = with_ctes(["kb_users", "kb_documents", "kb_chunks", "kb_embeddings", "doc_sents", "doc_chunks"], "\n" + "\nUNION ALL\n".join([
+    _uniq("users", "kb_users", ["user_id"]), _uniq("users", "kb_users", ["provider", "external_id"]),
+    _uniq("documents", "kb_documents", ["document_id"]), _uniq("document_chunks", "kb_chunks", ["chunk_id"]),
+    _uniq("document_chunks", "kb_chunks", ["document_id", "chunk_idx"]),
+    _uniq("sentence_chunks", "doc_chunks", ["document_id", "chunk_idx"]),
+    _uniq("chunk_embeddings", "kb_embeddings", ["embedding_id"]), _uniq("documents_text", "documents", ["text"])]))
+
+
+def _orph(table, child, fk, parent, pk, pname):
+    return ("SELECT '" + table + "' AS table_name, '" + fk + " -> " + pname + "." + pk + "' AS rule, count(*) AS n_violations "
+            "FROM " + child + " c WHERE c." + fk + " IS NOT NULL AND NOT EXISTS (SELECT 1 FROM " + parent + " p WHERE p." + pk
+            + " = c." + fk + ")")
+
+
+SQL["audit_orphans"] = with_ctes(["kb_users", "kb_companies", "kb_documents", "kb_chunks", "kb_embeddings", "kb_grants"],
+                                 "\n" + "\nUNION ALL\n".join([
+    _orph("users", "kb_users", "company_id", "kb_companies", "company_id", "companies"),
+    _orph("documents", "kb_documents", "company_id", "kb_companies", "company_id", "companies"),
+    _orph("documents", "kb_documents", "owner_id", "kb_users", "user_id", "users"),
+    _orph("document_chunks", "kb_chunks", "document_id", "kb_documents", "document_id", "documents"),
+    _orph("chunk_embeddings", "kb_embeddings", "chunk_id", "kb_chunks", "chunk_id", "document_chunks"),
+    _orph("access_grants", "kb_grants", "document_id", "kb_documents", "document_id", "documents"),
+    _orph("access_grants", "kb_grants", "user_id", "kb_users", "user_id", "users")]))
+
+
+def _dom(table, cte, rules):
+    return "\nUNION ALL\n".join("SELECT '" + table + "' AS table_name, '" + name + "' AS rule, count(*) FILTER (WHERE NOT coalesce("
+                                + cond + ", false)) AS n_violations FROM " + cte for name, cond in rules)
+
+
+SQL["audit_domain"] = with_ctes(["kb_users", "kb_documents", "kb_embeddings"], "\n" + "\nUNION ALL\n".join([
+    _dom("documents", "kb_documents", [
+        ("access_level in domain", "access_level IN ('RESTRICTED', 'INTERNAL', 'PUBLIC')"),
+        ("source_type in domain", "source_type IN ('TEXT_INPUT', 'FILE', 'URI', 'WEB_SCRAPING', 'CONFLUENCE')"),
+        ("title length <= 512", "title IS NULL OR length(title) <= 512"), ("title not null", "title IS NOT NULL"),
+        ("public is approved", "access_level <> 'PUBLIC' OR coalesce(is_approved, false)")]),
+    _dom("users", "kb_users", [
+        ("provider in domain", "provider IN ('INTERNAL', 'VK', 'YANDEX', 'GOOGLE')"),
+        ("user_type in domain", "user_type IN ('UNKNOWN', 'INTERNAL', 'EXTERNAL', 'SYSTEM')"),
+        ("role in domain", "role IN ('BASE', 'MANAGER', 'MODERATOR', 'ADMIN', 'API')"),
+        ("external_id length <= 255", "external_id IS NULL OR length(external_id) <= 255")]),
+    _dom("chunk_embeddings", "kb_embeddings", [
+        ("status in domain", "status IN ('PENDING', 'PROCESSING', 'COMPLETED', 'FAILED')"),
+        ("vector dim = 64", "len(vector) = 64"), ("vector not null", "vector IS NOT NULL")])]))
+
+SQL["cascade_delete"] = with_ctes(["kb_users", "kb_companies", "kb_documents", "kb_chunks", "kb_embeddings", "kb_grants"], """,
+u_left AS (SELECT * FROM kb_users WHERE company_id IS NULL OR company_id <> 0),
+u_gone AS (SELECT user_id FROM kb_users WHERE company_id = 0),
+d_left AS (SELECT document_id, CASE WHEN owner_id IN (SELECT user_id FROM u_gone) THEN NULL ELSE owner_id END AS owner_id
+           FROM kb_documents WHERE company_id <> 0),
+c_left AS (SELECT * FROM kb_chunks WHERE document_id IN (SELECT document_id FROM d_left)),
+e_left AS (SELECT * FROM kb_embeddings WHERE chunk_id IN (SELECT chunk_id FROM c_left)),
+g_left AS (SELECT * FROM kb_grants WHERE document_id IN (SELECT document_id FROM d_left)
+           AND user_id IN (SELECT user_id FROM u_left))
+SELECT 'companies' AS table_name, (SELECT count(*) FROM kb_companies) AS n_before,
+  (SELECT count(*) FROM kb_companies WHERE company_id <> 0) AS n_remaining, CAST(0 AS BIGINT) AS n_null_owner
+UNION ALL SELECT 'users', (SELECT count(*) FROM kb_users), (SELECT count(*) FROM u_left), 0
+UNION ALL SELECT 'documents', (SELECT count(*) FROM kb_documents), (SELECT count(*) FROM d_left),
+  (SELECT count(*) FROM d_left WHERE owner_id IS NULL)
+UNION ALL SELECT 'chunks', (SELECT count(*) FROM kb_chunks), (SELECT count(*) FROM c_left), 0
+UNION ALL SELECT 'embeddings', (SELECT count(*) FROM kb_embeddings), (SELECT count(*) FROM e_left), 0
+UNION ALL SELECT 'grants', (SELECT count(*) FROM kb_grants), (SELECT count(*) FROM g_left), 0""")
+
+SQL["conform_schema"] = """SELECT vec_id AS embedding_id, vec_id // 3 AS chunk_id, vec_id % 3 AS subchunk_idx,
+  'chunk' AS embedding_scope, 'unknown' AS embedding_model, 0 AS overlap, 'PENDING' AS status, 0 AS attempts,
+  CAST(NULL AS VARCHAR) AS error_message, len(embedding) AS dim FROM embeddings"""
+
+# ------------------------------------------------------------------------------- ingestion
+CTE["requests"] = """requests AS (
+  SELECT doc_id AS request_id, text, 'doc ' || CAST(doc_id AS VARCHAR) AS title,
+    ['TEXT_INPUT', 'FILE', 'URI', 'WEB_SCRAPING', 'CONFLUENCE'][doc_id % 5 + 1] AS source_type,
+    ['PUBLIC', 'INTERNAL', 'RESTRICTED'][doc_id % 3 + 1] AS access_level
+  FROM documents),
+validated AS (
+  SELECT *, CASE
+      WHEN NOT coalesce(access_level IN ('RESTRICTED', 'INTERNAL', 'PUBLIC'), false) THEN 'unknown access level'
+      WHEN access_level = 'PUBLIC' AND NOT (access_level = 'RESTRICTED') THEN 'Public documents must be approved'
+      WHEN title IS NULL OR trim(title) = '' THEN 'title is required'
+      WHEN length(title) > 512 THEN 'title is longer than 512 characters'
+      WHEN NOT coalesce(source_type IN ('TEXT_INPUT', 'FILE', 'URI', 'WEB_SCRAPING', 'CONFLUENCE'), false) THEN 'unknown source type'
+    END AS error
+  FROM requests)"""
+
+SQL["ingest_status"] = with_ctes(["requests"], """
+SELECT request_id AS doc_id, title, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error,
+  error IS NULL AS has_document_id FROM validated""")
+
+SQL["embedding_status"] = with_ctes(["kb_embeddings"], """
+SELECT status, count(*) AS n_vectors, CAST(max(attempts) AS BIGINT) AS max_attempts, count(DISTINCT chunk_id) AS n_chunks
+FROM kb_embeddings GROUP BY status""")
+
+_INGEST = with_ctes(["requests", "doc_sents", "doc_chunks", "chunk_units", "chunk_windows"], """,
+ok AS (SELECT request_id FROM validated WHERE error IS NULL),
+nc AS (SELECT document_id, count(*) AS n_chunks FROM doc_chunks GROUP BY document_id),
+nv AS (SELECT document_id, count(*) AS n_vectors FROM chunk_windows GROUP BY document_id)
+SELECT ok.request_id AS doc_id, coalesce(nc.n_chunks, 0) AS n_chunks, coalesce(nv.n_vectors, 0) AS n_vectors
+FROM ok LEFT JOIN nc ON nc.document_id = ok.request_id LEFT JOIN nv ON nv.document_id = ok.request_id""")
+SQL["ingest_batch"] = _INGEST
+SQL["ingest_stream"] = _INGEST
+
+_ETOKS = "list_filter(regexp_split_to_array(lower(" + STRIP.format(x="coalesce(t, '')") + "), '" + B + "+'), lambda x: x <> '')"
+SQL["ingest_embeddings"] = with_ctes(["doc_sents", "doc_chunks", "chunk_units", "chunk_windows"], """,
+w AS (SELECT document_id, chunk_idx, s // 222 AS subchunk_idx,
+        """ + STRIP.format(x="array_to_string(list_slice(u, s + 1, s + 254), '')") + """ AS t FROM chunk_windows),
+b AS (SELECT document_id, chunk_idx, subchunk_idx,
+        list_transform(""" + _ETOKS + """, lambda x: CAST(('0x' || substr(md5(x), 1, 8))::UBIGINT % 64 AS INTEGER)) AS bk FROM w),
+c AS (SELECT document_id, chunk_idx, subchunk_idx, list_transform(range(64), lambda i: len(list_filter(bk, lambda x: x = i))) AS cnt
+      FROM b)
+SELECT document_id, chunk_idx, subchunk_idx, CAST(64 AS BIGINT) AS dim,
+  CASE WHEN list_sum(list_transform(cnt, lambda x: x * x)) > 0 THEN 1.0 ELSE 0.0 END AS norm,
+  CAST(cnt[1] AS BIGINT) AS bucket0_count, CAST(list_sum(list_transform(cnt, lambda x: x * x)) AS BIGINT) AS sum_sq_counts
+FROM c""")
+
+# ------------------------------------------------------------------------------- importance
+CTE["imp"] = """imp AS (
+  SELECT doc_id AS document_id, count(*) OVER (PARTITION BY fp) - 1 AS importance FROM (
+    SELECT doc_id, sha256(lower(regexp_replace(""" + STRIP.format(x="coalesce(text, '')") + """, '""" + B + """+', ' ', 'g'))) AS fp
+    FROM documents))"""
+SQL["importance_exact"] = with_ctes(["imp"], "SELECT document_id, importance FROM imp")
+SQL["training_selection"] = with_ctes(["kb_documents", "imp"], """,
+r AS (SELECT d.document_id, d.created_at, i.importance,
+        list_filter([CASE WHEN i.importance > 0.5 THEN 'important' END,
+                      CASE WHEN d.created_at < TIMESTAMP '2024-01-10 00:00:00' AND i.importance > 0.5 THEN 'selected' END,
+                      CASE WHEN d.created_at > TIMESTAMP '2024-01-20 00:00:00' AND i.importance < 0.5 THEN 'moderate' END],
+                     lambda x: x IS NOT NULL) AS rs
+      FROM kb_documents d JOIN imp i ON i.document_id = d.document_id)
+SELECT document_id, created_at, importance, array_to_string(rs, ',') AS reasons FROM r WHERE len(rs) > 0""")
+SQL["rag_only_new"] = with_ctes(["kb_documents"], """
+SELECT document_id, created_at,
+  CASE WHEN created_at > TIMESTAMP '2024-01-28 00:00:00' THEN 'retrieval_only' ELSE 'training_candidate' END AS route,
+  (SELECT count(*) FROM kb_documents WHERE created_at > TIMESTAMP '2024-01-28 00:00:00') >= 100 AS mass_reached
+FROM kb_documents""")
+SQL["recent_window"] = with_ctes(["kb_documents"], """
+SELECT document_id, created_at FROM kb_documents
+WHERE created_at >= (SELECT max(created_at) FROM kb_documents) - INTERVAL 3 DAY""")
+
+# ------------------------------------------------------------------------------- report
+CTE["monthly"] = """monthly0 AS (
+  SELECT r.r_name, CAST(date_trunc('month', o.o_orderdate) AS TIMESTAMP) AS month, count(*) AS n_orders,
+    round(sum(o.o_totalprice), 2) AS revenue
+  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+  JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name, month),
+monthly AS (
+  SELECT *, lag(revenue) OVER (PARTITION BY r_name ORDER BY month) AS prev_revenue,
+    round(revenue - lag(revenue) OVER (PARTITION BY r_name ORDER BY month), 2) AS revenue_change
+  FROM monthly0)"""
+SQL["order_dynamics"] = with_ctes(["monthly"], "SELECT r_name, month, n_orders, revenue, prev_revenue, revenue_change FROM monthly")
+SQL["problem_regions"] = with_ctes(["monthly"], """,
+last AS (SELECT * FROM monthly WHERE month = (SELECT max(month) FROM monthly))
+SELECT r_name, month, n_orders, revenue, revenue_change, round((SELECT avg(revenue_change) FROM last), 2) AS avg_change,
+  coalesce(revenue_change < (SELECT avg(revenue_change) FROM last), false) AS is_problem FROM last""")
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811 - the final registry
+    return dict(SQL)
