@@ -17,9 +17,10 @@ DEFAULT_SALT = 32
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame | None:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``None``.
 
-    The count is one small job on the small side; the big side is never counted.
+    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan early), so it costs
+    one small job even when the side turns out to be large.
     """
-    n = df.count()
+    n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else None
 
 

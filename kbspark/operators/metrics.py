@@ -49,16 +49,18 @@ def n_ngrams(toks: Column, max_n: int = MAX_N) -> Column:
 
 def gleu_parts(pairs: DataFrame, hyp_col: str = "hypothesis", ref_col: str = "reference",
                id_col: str = "pair_id") -> DataFrame:
-    """(pair_id, matches, total) per pair."""
+    """(pair_id, matches, total) per pair. One aggregate per (pair, n-gram) gives the clipped
+    matches and both sides' n-gram counts; pairs without any n-gram keep total 0."""
     t = pairs.select(id_col, tokens(F.col(hyp_col)).alias("_h"), tokens(F.col(ref_col)).alias("_r"))
-    totals = t.select(id_col, F.greatest(n_ngrams(F.col("_h")), n_ngrams(F.col("_r"))).alias("total"))
     grams = (t.select(id_col, F.explode(ngrams(F.col("_h"))).alias("g"), F.lit(1).alias("h"), F.lit(0).alias("r"))
              .unionByName(t.select(id_col, F.explode(ngrams(F.col("_r"))).alias("g"), F.lit(0).alias("h"),
                                    F.lit(1).alias("r"))))
     counts = grams.groupBy(id_col, "g").agg(F.sum("h").alias("ch"), F.sum("r").alias("cr"))
-    matches = counts.groupBy(id_col).agg(F.sum(F.least("ch", "cr")).cast("bigint").alias("matches"))
-    return totals.join(matches, id_col, "left").select(id_col, F.coalesce(F.col("matches"), F.lit(0)).alias("matches"),
-                                                      "total")
+    per_pair = counts.groupBy(id_col).agg(F.sum(F.least("ch", "cr")).cast("bigint").alias("matches"),
+                                          F.greatest(F.sum("ch"), F.sum("cr")).cast("bigint").alias("total"))
+    return pairs.select(id_col).join(per_pair, id_col, "left").select(
+        id_col, F.coalesce(F.col("matches"), F.lit(0)).cast("bigint").alias("matches"),
+        F.coalesce(F.col("total"), F.lit(0)).cast("bigint").alias("total"))
 
 
 def gleu_pairs(pairs: DataFrame, hyp_col: str = "hypothesis", ref_col: str = "reference",

@@ -48,11 +48,11 @@ def validate(requests: DataFrame) -> DataFrame:
             .withColumn("document_uid", F.when(F.col("error").isNull(), stable_id("request_id"))))
 
 
-def build(requests: DataFrame, model=DEFAULT_MODEL_NAME, dim: int = DEFAULT_DIM, as_of: str | None = None):
-    """(responses, documents, chunks, embeddings) DataFrames for one batch of requests
+def build(requests: DataFrame, as_of: str | None = None):
+    """(responses, documents, chunks) DataFrames for one batch of requests
     (request_id, text, title, source_type, access_level, company_id, owner_id)."""
     v = validate(requests)
-    stamp = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+    stamp = _stamp(as_of)
     responses = v.select("request_id", "document_uid", "title", "status", "error")
     ok = v.where(F.col("status") == "success")
     documents = ok.select(F.col("document_uid").alias("document_id"), "request_id", "company_id", "owner_id",
@@ -62,15 +62,24 @@ def build(requests: DataFrame, model=DEFAULT_MODEL_NAME, dim: int = DEFAULT_DIM,
     chunks = ch.select(stable_id("document_id", "chunk_idx").alias("chunk_id"), "document_id", "chunk_idx",
                        "chunk_text", F.lit(CHUNK_SCOPE).alias("chunk_scope"), F.lit(False).alias("is_hot"),
                        "overlap", stamp.alias("created_at"))
+    return responses, documents, chunks
+
+
+def _stamp(as_of: str | None) -> Column:
+    return F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+
+
+def build_embeddings(chunks: DataFrame, model=DEFAULT_MODEL_NAME, dim: int = DEFAULT_DIM,
+                     as_of: str | None = None) -> DataFrame:
+    """Token windows of the chunks and their vectors."""
     sub = chunking.token_subchunks(chunks, key_cols=("chunk_id", "document_id", "chunk_idx"))
     model_name = model if isinstance(model, str) else getattr(model, "__name__", "user-model")
-    embeddings = sub.select(
+    return sub.select(
         stable_id("document_id", "chunk_idx", "subchunk_idx").alias("embedding_id"), "chunk_id", "subchunk_idx",
         embed(F.col("subchunk_text"), model, dim).alias("vector"), F.lit(EMBEDDING_SCOPE).alias("embedding_scope"),
         F.lit(model_name).alias("embedding_model"), F.lit(chunking.SUBCHUNK_OVERLAP_TOKENS).alias("overlap"),
         F.lit("COMPLETED").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error_message"),
-        stamp.alias("created_at"))
-    return responses, documents, chunks, embeddings
+        _stamp(as_of).alias("created_at"))
 
 
 def write_batch(tables: dict[str, DataFrame], out_dir: str, batch_id: int) -> None:
@@ -84,9 +93,15 @@ def write_batch(tables: dict[str, DataFrame], out_dir: str, batch_id: int) -> No
 
 def ingest_batch(requests: DataFrame, out_dir: str, batch_id: int, model=DEFAULT_MODEL_NAME,
                  dim: int = DEFAULT_DIM, as_of: str | None = None) -> None:
-    responses, documents, chunks, embeddings = build(requests, model, dim, as_of)
-    write_batch({"responses": responses, "documents": documents, "chunks": chunks, "embeddings": embeddings},
-                out_dir, batch_id)
+    """Write one batch. Chunks are written first and the vectors are built from the written
+    chunk rows, so sentence splitting runs once per document and the vector stage restarts
+    from files, not from the raw text, if it is retried."""
+    responses, documents, chunks = build(requests, as_of)
+    write_batch({"responses": responses, "documents": documents, "chunks": chunks}, out_dir, batch_id)
+    spark = requests.sparkSession
+    written = (spark.read.parquet(os.path.join(out_dir, "chunks"))
+               .where(F.col("batch_id") == int(batch_id)).drop("batch_id"))
+    write_batch({"embeddings": build_embeddings(written, model, dim, as_of)}, out_dir, batch_id)
 
 
 def ingest_summary(spark, out_dir: str) -> DataFrame:

@@ -643,8 +643,8 @@ def q_ingest_embeddings(spark, sf_dir):
     """Vectors of the default embedder for every token window: dimension and norm per window."""
     kb = KB(spark, sf_dir)
     sub = chunking.token_subchunks(kb.doc_chunks)
-    t = sub.select("document_id", "chunk_idx", "subchunk_idx", emb.embed(F.col("subchunk_text")).alias("v"),
-                   emb.hashed_counts(F.col("subchunk_text")).alias("c"))
+    c = sub.select("document_id", "chunk_idx", "subchunk_idx", emb.hashed_counts(F.col("subchunk_text")).alias("c"))
+    t = c.withColumn("v", emb.normalize(F.col("c")))
     return t.select("document_id", "chunk_idx", "subchunk_idx", F.size("v").cast("bigint").alias("dim"),
                     F.round(F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)), 3)
                     .alias("norm"),
