@@ -1,6 +1,6 @@
 """Row-level access policies over documents (O-17..O-20, O-23, O-31, O-62).
 
-Two policies exist and disagree on purpose-less corners; both are built and named:
+Two policies exist and disagree in corner cases; both are built and named:
 
 * ``list_policy`` — the OR of four branches used to filter documents before retrieval:
   PUBLIC ∧ approved ∧ same company; owner; INTERNAL ∧ caller INTERNAL ∧ same company;
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kbspark.operators.joins import hot_key_join
+from kbspark.operators.joins import bounded_broadcast, hot_key_join
 
 
 def live_grants(grants: DataFrame, as_of: str) -> DataFrame:
@@ -33,10 +33,15 @@ def live_grants(grants: DataFrame, as_of: str) -> DataFrame:
             .select("user_id", "document_id"))
 
 
-def _same_company(docs: DataFrame, callers: DataFrame) -> DataFrame:
+def _same_company(docs: DataFrame, callers: DataFrame, fits: bool) -> DataFrame:
     c = callers.select("user_id", "company_id").where(F.col("company_id").isNotNull())
     return hot_key_join(docs.select("document_id", "company_id"), c, ["company_id"],
-                        salt_by=["document_id"]).select("user_id", "document_id")
+                        salt_by=["document_id"], small_fits=fits).select("user_id", "document_id")
+
+
+def _fits(callers: DataFrame) -> bool:
+    """One size check of the caller table for all company joins of a policy."""
+    return bounded_broadcast(callers.select("user_id", "company_id", "user_type")) is not None
 
 
 def list_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_of: str) -> DataFrame:
@@ -44,10 +49,11 @@ def list_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_
     docs = documents.select("document_id", "company_id", "owner_id", "access_level", "is_approved")
     known = callers.where(F.col("user_id").isNotNull()).select("user_id", "company_id", "user_type")
 
+    fits = _fits(known)
     public = _same_company(docs.where((F.col("access_level") == "PUBLIC") & (F.col("is_approved") == F.lit(True))),
-                           known)
+                           known, fits)
     internal = _same_company(docs.where(F.col("access_level") == "INTERNAL"),
-                             known.where(F.col("user_type") == "INTERNAL"))
+                             known.where(F.col("user_type") == "INTERNAL"), fits)
     owned = (docs.where(F.col("owner_id").isNotNull())
              .join(known.select(F.col("user_id").alias("owner_id")), "owner_id")
              .select(F.col("owner_id").alias("user_id"), "document_id"))
@@ -66,7 +72,8 @@ def point_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as
     anonymous = callers.where(F.col("user_id").isNull()).select("user_id")
 
     approved_public = docs.where((F.col("access_level") == "PUBLIC") & (F.col("is_approved") == F.lit(True)))
-    public = _same_company(approved_public, known)
+    fits = _fits(known)
+    public = _same_company(approved_public, known, fits)
     # Existence test only: one output row per approved PUBLIC document when any anonymous
     # caller is present (a semi join, no pairs are produced).
     public_anon = (approved_public.join(anonymous, how="left_semi")
@@ -76,7 +83,7 @@ def point_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as
              .join(known.select(F.col("user_id").alias("owner_id")), "owner_id")
              .select(F.col("owner_id").alias("user_id"), "document_id"))
     internal = _same_company(non_public.where(F.col("access_level") == "INTERNAL"),
-                             known.where(F.col("user_type") == "INTERNAL"))
+                             known.where(F.col("user_type") == "INTERNAL"), fits)
     restricted = docs.where(F.col("access_level") == "RESTRICTED").select("document_id")
     granted = (live_grants(grants, as_of)
                .join(known.select("user_id"), "user_id", "left_semi")

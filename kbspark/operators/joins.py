@@ -35,15 +35,19 @@ def require_bounded(df: DataFrame, max_rows: int, what: str) -> DataFrame:
 
 def hot_key_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salt: int = DEFAULT_SALT,
-                 salt_by: list[str] | None = None) -> DataFrame:
+                 salt_by: list[str] | None = None, small_fits: bool | None = None) -> DataFrame:
     """Equi-join where ``on`` may have very few distinct values (company ids, statuses).
 
     Small side within the bound: broadcast hash join, no shuffle of ``big`` at all.
     Otherwise: ``big`` rows get a salt from a hash of ``salt_by`` (their own key), ``small`` rows
     are replicated once per salt value, and the join key is extended by the salt, so a hot key
-    is split over ``salt`` partitions. Rows are never dropped or sampled.
+    is split over ``salt`` partitions. Rows are never dropped or sampled. ``small_fits`` passes
+    the result of a size check the caller already made.
     """
-    b = bounded_broadcast(small, max_broadcast_rows)
+    if small_fits is None:
+        b = bounded_broadcast(small, max_broadcast_rows)
+    else:  # the caller already checked this side (or a superset of it)
+        b = F.broadcast(small) if small_fits else None
     if b is not None:
         return big.join(b, on, how)
     cols = salt_by or big.columns
