@@ -106,11 +106,11 @@ def recent_window(docs: DataFrame, days: int, t_col: str = "created_at") -> Data
 def key_fragments(chunk_vectors: DataFrame, n: int, id_col: str = "document_id") -> DataFrame:
     """S(D): the ``n`` chunks of each document closest (cosine) to the document's centroid.
     The centroid is an aggregate per document; ranking is a per-document window limit."""
-    dim = F.size(F.col("vector"))
     cent = (chunk_vectors.select(id_col, F.posexplode(F.col("vector").cast("array<double>")).alias("_i", "_x"))
             .groupBy(id_col, "_i").agg(F.avg("_x").alias("_m"))
             .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
             .select(id_col, F.transform("_c", lambda s: s["_m"]).alias("centroid")))
     d = chunk_vectors.join(cent, id_col).withColumn("centroid_distance", cosine_distance("vector", "centroid"))
+    # per-document windows: a document's chunks are bounded by its length
     w = Window.partitionBy(id_col).orderBy("centroid_distance", "chunk_idx")
     return d.withColumn("fragment_rank", F.row_number().over(w)).where(F.col("fragment_rank") <= n).drop("centroid")

@@ -761,3 +761,30 @@ SELECT r_name, month, n_orders, revenue, revenue_change, round((SELECT avg(reven
 
 def oracle_sql() -> dict[str, str]:  # noqa: F811 - the final registry
     return dict(SQL)
+
+CTE["fragments"] = """sel AS (
+  SELECT d.document_id FROM kb_documents d JOIN imp i ON i.document_id = d.document_id
+  WHERE d.created_at < TIMESTAMP '2024-01-10 00:00:00' AND i.importance > 0.5),
+fc AS (SELECT c.document_id, c.chunk_idx, c.chunk_text FROM doc_chunks c WHERE c.document_id IN (SELECT document_id FROM sel)),
+fb AS (SELECT document_id, chunk_idx,
+         list_transform(list_filter(regexp_split_to_array(lower(""" + STRIP.format(x="coalesce(chunk_text, '')") + """), '""" + B + """+'),
+                                    lambda x: x <> ''),
+                        lambda x: CAST(('0x' || substr(md5(x), 1, 8))::UBIGINT % 64 AS INTEGER)) AS bk FROM fc),
+fcnt AS (SELECT document_id, chunk_idx,
+           list_transform(range(64), lambda i: CAST(len(list_filter(bk, lambda x: x = i)) AS DOUBLE)) AS cnt FROM fb),
+fv AS (SELECT document_id, chunk_idx,
+         CASE WHEN list_sum(list_transform(cnt, lambda x: x * x)) > 0
+              THEN list_transform(cnt, lambda x: x / sqrt(list_sum(list_transform(cnt, lambda y: y * y))))
+              ELSE list_transform(cnt, lambda x: 0.0) END AS v FROM fcnt),
+fcomp AS (SELECT document_id, i, avg(v[i + 1]) AS m FROM (SELECT document_id, v, unnest(range(64)) AS i FROM fv)
+          GROUP BY document_id, i),
+fcent AS (SELECT document_id, list(m ORDER BY i) AS c FROM fcomp GROUP BY document_id),
+fd AS (SELECT v.document_id, v.chunk_idx,
+         round(CASE WHEN list_dot_product(v.v, v.v) = 0 OR list_dot_product(c.c, c.c) = 0 THEN 1.0
+               ELSE 1.0 - list_dot_product(v.v, c.c) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(c.c, c.c)))
+               END, 9) AS dist
+       FROM fv v JOIN fcent c ON c.document_id = v.document_id)"""
+SQL["selected_fragments"] = with_ctes(["kb_documents", "imp", "doc_sents", "doc_chunks", "fragments"], """
+SELECT document_id, chunk_idx, fragment_rank, round(dist, 6) AS centroid_distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY dist, chunk_idx) AS fragment_rank FROM fd)
+WHERE fragment_rank <= 2""")

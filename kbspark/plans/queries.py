@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kbspark.functions.html import html_to_text
-from kbspark.functions.vectors import cosine_distance, l2_distance
+from kbspark.functions.vectors import cosine_distance, l2_distance, unit
 from kbspark.operators import access, chunking, context as ctx, dialog, facts, generate as gen, groupconcat as gc
 from kbspark.operators import embed as emb, importance as imp, index as idx, integrity as integ, metrics
 from kbspark.operators import mixing as mx, qa_data as qa, retrieve as rt
@@ -676,6 +676,20 @@ def q_training_selection(spark, sf_dir):
     return imp.select_training(kb.documents, i, T_THR, T_RECENT, 0.5)
 
 
+@query("selected_fragments")
+def q_selected_fragments(spark, sf_dir):
+    """S(D): the two chunks closest to the document centroid, for old important documents."""
+    kb = KB(spark, sf_dir)
+    d = kb.table("documents").select(F.col("doc_id").alias("document_id"), "text")
+    sel = imp.select_training(kb.documents, imp.exact_importance(d), T_THR, T_RECENT, 0.5)
+    sel = sel.where(F.array_contains(F.split("reasons", ","), "selected")).select("document_id")
+    chunks = kb.doc_chunks.join(sel, "document_id", "left_semi")
+    vecs = chunks.select("document_id", "chunk_idx", unit(emb.hashed_counts(F.col("chunk_text"))).alias("vector"))
+    f = imp.key_fragments(vecs, 2)
+    return f.select("document_id", "chunk_idx", F.col("fragment_rank").cast("bigint").alias("fragment_rank"),
+                    F.round("centroid_distance", 6).alias("centroid_distance"))
+
+
 @query("rag_only_new")
 def q_rag_only_new(spark, sf_dir):
     return imp.route_new(KB(spark, sf_dir).documents, T_LATEST, 100)

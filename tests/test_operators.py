@@ -340,3 +340,18 @@ def test_ivf_recall(spark):
     assert min(rec) == 1.0
     partial = idx.recall(idx.ivf_topk(assigned, cents, q, k=10, nprobe=2), exact)
     assert partial.agg(F.avg("recall")).first()[0] > 0.3
+
+
+def test_sequential_fold_isolates_failing_question(spark):
+    rows = [(1, 1, _reply(new=[("a", "low")])), (2, 1, _reply(new=[("b", "high")]))]
+    df = (spark.createDataFrame(rows, "query_id long, doc_rank long, reply_text string")
+          .withColumn("question", F.lit("q")).withColumn("dialog_history", F.lit("")).withColumn("context_json", F.lit("[]")))
+
+    def flaky(request, row):
+        if row["query_id"] == 2:
+            raise RuntimeError("model unavailable")
+        return row["reply_text"]
+
+    out = {r.query_id: r for r in facts.fold_facts_sequential(df, flaky).collect()}
+    assert out[1].fact == "a" and out[1].final_result == "ans"
+    assert out[2].fact_id is None and out[2].final_result == facts.ERROR_ANSWER
