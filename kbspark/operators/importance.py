@@ -23,6 +23,7 @@ from kbspark.functions.exprs import let
 from kbspark.functions.text import BLANK, strip_blanks
 from kbspark.functions.vectors import DIST_DIGITS, cosine_distance
 from kbspark.operators.joins import hot_key_join
+from kbspark.session import materialize
 
 N_HASHES = 32
 ROWS_PER_BAND = 4
@@ -39,7 +40,9 @@ def fingerprint(text: Column) -> Column:
 
 def exact_importance(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, importance = number of other documents with the same text)."""
-    fp = docs.select(id_col, fingerprint(F.col(text_col)).alias("fingerprint"))
+    # the (id, fingerprint) table is written once: both the group sizes and the join back read
+    # it instead of hashing every text twice more
+    fp = materialize(docs.select(id_col, fingerprint(F.col(text_col)).alias("fingerprint")))
     sizes = fp.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("_n"))
     j = hot_key_join(fp, sizes, ["fingerprint"], salt_by=[id_col])
     return j.select(id_col, "fingerprint", (F.col("_n") - 1).alias("importance"))
@@ -65,7 +68,7 @@ def near_importance(docs: DataFrame, id_col: str = "document_id", text_col: str
     banded = sig.select(id_col, F.posexplode(let(F.col("_sig"), lambda sg: F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.xxhash64(F.slice(sg, b * rows_per_band + 1, rows_per_band))))).alias("band", "bucket"))
-    banded = banded.where(F.col("bucket").isNotNull())
+    banded = materialize(banded.where(F.col("bucket").isNotNull()))
     sizes = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("_n"))
     j = hot_key_join(banded, sizes, ["band", "bucket"], salt_by=[id_col])
     best = j.groupBy(id_col).agg((F.max("_n") - 1).alias("importance_near"))
