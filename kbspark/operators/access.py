@@ -39,6 +39,20 @@ def _same_company(docs: DataFrame, callers: DataFrame, fits: bool) -> DataFrame:
                         salt_by=["document_id"], small_fits=fits).select("user_id", "document_id")
 
 
+def _owned(docs: DataFrame, callers: DataFrame, fits: bool) -> DataFrame:
+    """Documents owned by a caller; one owner may hold a large share of all documents, so the
+    caller side is broadcast (checked) or the join salted."""
+    c = callers.select(F.col("user_id").alias("owner_id"))
+    return hot_key_join(docs.select("document_id", "owner_id"), c, ["owner_id"], salt_by=["document_id"],
+                        small_fits=fits).select(F.col("owner_id").alias("user_id"), "document_id")
+
+
+def _granted_to(grants: DataFrame, callers: DataFrame, fits: bool) -> DataFrame:
+    """Live grants held by callers (semi join, same hot-key handling)."""
+    return hot_key_join(grants, callers.select("user_id").distinct(), ["user_id"], how="left_semi",
+                        salt_by=["user_id", "document_id"], small_fits=fits)
+
+
 def _fits(callers: DataFrame) -> bool:
     """One size check of the caller table for all company joins of a policy."""
     return bounded_broadcast(callers.select("user_id", "company_id", "user_type")) is not None
@@ -54,11 +68,8 @@ def list_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_
                            known, fits)
     internal = _same_company(docs.where(F.col("access_level") == "INTERNAL"),
                              known.where(F.col("user_type") == "INTERNAL"), fits)
-    owned = (docs.where(F.col("owner_id").isNotNull())
-             .join(known.select(F.col("user_id").alias("owner_id")), "owner_id")
-             .select(F.col("owner_id").alias("user_id"), "document_id"))
-    granted = (live_grants(grants, as_of)
-               .join(known.select("user_id"), "user_id", "left_semi")
+    owned = _owned(docs.where(F.col("owner_id").isNotNull()), known, fits)
+    granted = (_granted_to(live_grants(grants, as_of), known, fits)
                .join(docs.select("document_id"), "document_id", "left_semi")
                .select("user_id", "document_id"))
     return public.unionByName(owned).unionByName(internal).unionByName(granted).distinct()
@@ -79,14 +90,11 @@ def point_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as
     public_anon = (approved_public.join(anonymous, how="left_semi")
                    .select(F.lit(None).cast("bigint").alias("user_id"), "document_id"))
     non_public = docs.where(F.col("access_level") != "PUBLIC")
-    owned = (non_public.where(F.col("owner_id").isNotNull())
-             .join(known.select(F.col("user_id").alias("owner_id")), "owner_id")
-             .select(F.col("owner_id").alias("user_id"), "document_id"))
+    owned = _owned(non_public.where(F.col("owner_id").isNotNull()), known, fits)
     internal = _same_company(non_public.where(F.col("access_level") == "INTERNAL"),
                              known.where(F.col("user_type") == "INTERNAL"), fits)
     restricted = docs.where(F.col("access_level") == "RESTRICTED").select("document_id")
-    granted = (live_grants(grants, as_of)
-               .join(known.select("user_id"), "user_id", "left_semi")
+    granted = (_granted_to(live_grants(grants, as_of), known, fits)
                .join(restricted, "document_id", "left_semi")
                .select("user_id", "document_id"))
     return (public.unionByName(public_anon).unionByName(owned).unionByName(internal)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kbspark.operators.joins import bounded_broadcast
+from kbspark.operators.joins import bounded_broadcast, require_bounded
 
 SMOOTHING = 0.3
 EPS = 1e-6
@@ -67,7 +67,11 @@ def local_index(df: DataFrame, dataset_col: str, order_col: str) -> DataFrame:
     """Position of each row inside its dataset (0-based, in ``order_col`` order)."""
     g = consecutive_index(df, [dataset_col, order_col], name="_g")
     starts = g.groupBy(dataset_col).agg(F.min("_g").alias("_start"))
-    return g.join(starts, dataset_col).withColumn("local_index", F.col("_g") - F.col("_start")).drop("_g", "_start")
+    # one row per dataset, joined to every row: a checked broadcast keeps a dataset holding a
+    # third of all rows from landing in one join task
+    small = bounded_broadcast(starts, 100_000)
+    return (g.join(small if small is not None else starts, dataset_col)
+            .withColumn("local_index", F.col("_g") - F.col("_start")).drop("_g", "_start"))
 
 
 def _offsets(sizes: DataFrame, dataset_col: str) -> DataFrame:
@@ -98,9 +102,10 @@ def weighted_sample(df: DataFrame, weights: DataFrame, dataset_col: str = "datas
     draws = indexed.select(F.col("global_index").alias("draw"),
                            hash_uniform(F.col("global_index"), F.lit(":" + seed + ":d")).alias("_u1"),
                            hash_uniform(F.col("global_index"), F.lit(":" + seed + ":r")).alias("_u2"))
-    # the dataset table has one row per dataset: a size-checked broadcast range lookup
-    b = bounded_broadcast(bounds, 100_000)
-    picked = draws.join(b if b is not None else bounds, (F.col("_u1") >= F.col("_lo")) & (F.col("_u1") < F.col("_hi")))
+    # the dataset table has one row per dataset: a range lookup against a broadcast whose size is
+    # checked (a range condition must never meet a large table)
+    b = require_bounded(bounds, 100_000, "dataset table")
+    picked = draws.join(b, (F.col("_u1") >= F.col("_lo")) & (F.col("_u1") < F.col("_hi")))
     picked = picked.select("draw", dataset_col, F.floor(F.col("_u2") * F.col("n_rows")).cast("bigint").alias("local_index"))
     return picked.join(indexed.drop("global_index", "n_rows"), [dataset_col, "local_index"])
 
