@@ -68,3 +68,24 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Partition sizing for a cluster run over ``input_bytes`` of input.
+
+    Scan splits and shuffle partitions target ``partition_bytes`` each (so a task's working
+    set fits comfortably in executor memory and spills stay rare); the shuffle partition count
+    is at least two waves of the cluster's cores, and AQE coalesces small partitions and splits
+    skewed ones around the same advisory size. Pass the result as ``extra`` to ``get_session``.
+    """
+    waves = 2 * executors * cores_per_executor
+    shuffle = max(waves, -(-input_bytes // partition_bytes))
+    size = f"{partition_bytes // (1024 * 1024)}m"
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * partition_bytes // (1024 * 1024)}m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    }

@@ -355,3 +355,27 @@ def test_sequential_fold_isolates_failing_question(spark):
     out = {r.query_id: r for r in facts.fold_facts_sequential(df, flaky).collect()}
     assert out[1].fact == "a" and out[1].final_result == "ans"
     assert out[2].fact_id is None and out[2].final_result == facts.ERROR_ANSWER
+
+
+# ----------------------------------------------------------------------------------- joins
+def test_salted_join_equals_plain_join(spark):
+    from kbspark.operators.joins import hot_key_join, require_bounded
+    big = spark.range(0, 3000).select(F.col("id").alias("doc"), (F.col("id") % 3 == 0).cast("int").alias("k"))
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c")], "k int, v string")
+    plain = {tuple(r) for r in big.join(small, "k").collect()}
+    salted = {tuple(r) for r in hot_key_join(big, small, ["k"], max_broadcast_rows=0, salt_by=["doc"]).collect()}
+    assert plain == salted and len(plain) == 2000 + 2 * 1000
+    semi = hot_key_join(big, small.where("k = 0"), ["k"], how="left_semi", max_broadcast_rows=0, salt_by=["doc"])
+    assert semi.count() == 2000
+    with pytest.raises(ValueError):
+        require_bounded(big, 10, "big")
+
+
+def test_access_policies_salted_path(spark, monkeypatch):
+    from kbspark.operators import joins
+    docs, callers, grants = _access_tables(spark)
+    expected_list = _pairs(access.list_policy(docs, callers, grants, AS_OF))
+    expected_point = _pairs(access.point_policy(docs, callers, grants, AS_OF))
+    monkeypatch.setattr(access, "_fits", lambda c: False)
+    assert _pairs(access.list_policy(docs, callers, grants, AS_OF)) == expected_list
+    assert _pairs(access.point_policy(docs, callers, grants, AS_OF)) == expected_point
