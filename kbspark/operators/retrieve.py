@@ -43,7 +43,10 @@ def _distance() -> F.Column:
 
 def candidate_distances(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame,
                         accessible: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, document_id, chunk_idx, chunk_text, embedding_id, subchunk_idx, dist).
+    """(query_id, chunk_id, document_id, embedding_id, subchunk_idx, dist).
+
+    Only ids and the distance travel through the per-chunk shuffle; chunk index and text are
+    attached to the (bounded) top-k rows at the end by ``attach_chunk_details``.
 
     With ``accessible`` (query_id, document_id): candidate vectors reach a question through an
     equi-join on document_id, so only permitted (question, vector) pairs are ever formed.
@@ -52,15 +55,15 @@ def candidate_distances(questions: DataFrame, chunks: DataFrame, embeddings: Dat
     """
     q = prepare_questions(questions)
     vecs = prepare_vectors(embeddings)
-    cand = chunks.select("chunk_id", "document_id", "chunk_idx", "chunk_text").join(vecs, "chunk_id")
+    cand = chunks.select("chunk_id", "document_id").join(vecs, "chunk_id")
     if accessible is None:
         pairs = cand.crossJoin(require_bounded(q, MAX_QUESTIONS, "question table"))
     else:
         acc = accessible.select("query_id", "document_id").distinct()
         pairs = (cand.join(acc, "document_id")
                  .join(require_bounded(q, MAX_QUESTIONS, "question table"), "query_id"))
-    return pairs.select("query_id", "chunk_id", "document_id", "chunk_idx", "chunk_text",
-                        "embedding_id", "subchunk_idx", _distance().alias("dist"))
+    return pairs.select("query_id", "chunk_id", "document_id", "embedding_id", "subchunk_idx",
+                        _distance().alias("dist"))
 
 
 def chunk_stats(dists: DataFrame, subchunk_top_k: int = 3) -> DataFrame:
@@ -68,7 +71,7 @@ def chunk_stats(dists: DataFrame, subchunk_top_k: int = 3) -> DataFrame:
     nearest vectors (rank ties broken by sub-chunk index, then vector id)."""
     w = Window.partitionBy("query_id", "chunk_id").orderBy("dist", "subchunk_idx", "embedding_id")
     ranked = dists.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= subchunk_top_k)
-    return (ranked.groupBy("query_id", "chunk_id", "document_id", "chunk_idx", "chunk_text")
+    return (ranked.groupBy("query_id", "chunk_id", "document_id")
             .agg(F.min("dist").alias("best_distance"),
                  F.round(F.avg("dist"), DIST_DIGITS).alias("avg_distance"),
                  F.count(F.lit(1)).alias("match_count")))
@@ -88,6 +91,13 @@ def top_chunks(stats: DataFrame, top_k: int = 20) -> DataFrame:
             .where(F.col("chunk_rank") <= top_k))
 
 
+def attach_chunk_details(top: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add chunk_idx and chunk_text to top-k rows. ``top`` holds at most
+    MAX_QUESTIONS × top_k rows (the question table was size-checked before the search), so it
+    is the broadcast side and the chunk table is scanned once without a shuffle."""
+    return chunks.select("chunk_id", "chunk_idx", "chunk_text").join(F.broadcast(top), "chunk_id")
+
+
 def retrieve(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame,
              accessible: DataFrame | None = None, top_k: int = 20, subchunk_top_k: int = 3,
              score_threshold: float | None = None) -> DataFrame:
@@ -97,4 +107,4 @@ def retrieve(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame,
     scored = top.withColumn("score", blended_score(subchunk_top_k))
     if score_threshold is not None:
         scored = scored.where(F.col("score") >= F.lit(score_threshold))
-    return scored
+    return attach_chunk_details(scored, chunks)

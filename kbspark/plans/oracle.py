@@ -788,3 +788,7 @@ SQL["selected_fragments"] = with_ctes(["kb_documents", "imp", "doc_sents", "doc_
 SELECT document_id, chunk_idx, fragment_rank, round(dist, 6) AS centroid_distance FROM (
   SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY dist, chunk_idx) AS fragment_rank FROM fd)
 WHERE fragment_rank <= 2""")
+
+SQL["conform_chunks"] = with_ctes(["doc_sents", "doc_chunks"], """
+SELECT document_id * 100000 + chunk_idx AS chunk_id, document_id, chunk_idx % 2 = 0 AS is_hot, chunk_idx,
+  'sentence' AS chunk_scope, 0 AS overlap, length(chunk_text) AS text_length FROM doc_chunks""")

@@ -191,7 +191,7 @@ def q_vector_distance(spark, sf_dir):
 def q_retrieve_topk(spark, sf_dir):
     kb = KB(spark, sf_dir)
     d = rt.candidate_distances(kb.questions, kb.chunks, kb.embeddings)
-    top = rt.top_chunks(rt.chunk_stats(d, SUBCHUNK_TOP_K), TOP_K)
+    top = rt.attach_chunk_details(rt.top_chunks(rt.chunk_stats(d, SUBCHUNK_TOP_K), TOP_K), kb.chunks)
     return top.select("query_id", "chunk_id", "document_id", "chunk_idx", "chunk_text", "best_distance",
                       "avg_distance", "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"))
 
@@ -606,6 +606,18 @@ def q_conform_schema(spark, sf_dir):
                     "status", "attempts", "error_message", F.size("vector").cast("bigint").alias("dim"))
 
 
+@query("conform_chunks")
+def q_conform_chunks(spark, sf_dir):
+    """Chunks written before the rename of ``is_important`` to ``is_hot`` and before
+    ``chunk_scope``/``overlap`` existed, conformed to the current chunk schema."""
+    old = (KB(spark, sf_dir).doc_chunks
+           .select("document_id", "chunk_idx", "chunk_text", (F.col("chunk_idx") % 2 == 0).alias("is_important"))
+           .withColumn("chunk_id", F.col("document_id") * 100000 + F.col("chunk_idx")))
+    c = S.conform(old, S.CHUNKS, renames={"is_hot": "is_important"}, defaults={"chunk_scope": "sentence", "overlap": 0})
+    return c.select("chunk_id", "document_id", "is_hot", "chunk_idx", "chunk_scope", "overlap",
+                    F.length("chunk_text").cast("bigint").alias("text_length"))
+
+
 # ---------------------------------------------------------------------------------- ingestion
 @query("ingest_status")
 def q_ingest_status(spark, sf_dir):
