@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kbspark.operators.joins import bounded_broadcast, hot_key_join
+
 
 def unique_violations(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
     """(table_name, rule, n_violations): keys with NULL parts never collide (SQL unique)."""
@@ -56,9 +58,15 @@ def cascade_delete(deleted_companies: DataFrame, companies: DataFrame, users: Da
     embeddings and grants; documents owned by a deleted user keep living with ``owner_id``
     NULL (SET NULL). Each level is an anti join against the deleted keys of its parent."""
     dc = deleted_companies.select("company_id").distinct()
-    users_left = users.join(dc, "company_id", "left_anti")
-    users_gone = users.join(dc, "company_id", "left_semi").select(F.col("user_id").alias("owner_id"))
-    docs_left = documents.join(dc, "company_id", "left_anti")
+    # company ids are few and hot: the deleted set is broadcast after a size check, else salted
+    fits = bounded_broadcast(dc) is not None
+
+    def by_company(df: DataFrame, how: str, key: str) -> DataFrame:
+        return hot_key_join(df, dc, ["company_id"], how=how, salt_by=[key], small_fits=fits)
+
+    users_left = by_company(users, "left_anti", "user_id")
+    users_gone = by_company(users, "left_semi", "user_id").select(F.col("user_id").alias("owner_id"))
+    docs_left = by_company(documents, "left_anti", "document_id")
     docs_left = (docs_left.join(users_gone.withColumn("_gone", F.lit(True)), "owner_id", "left")
                  .withColumn("owner_id", F.when(F.col("_gone"), F.lit(None).cast("bigint")).otherwise(F.col("owner_id")))
                  .drop("_gone"))
