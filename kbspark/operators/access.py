@@ -58,12 +58,14 @@ def _fits(callers: DataFrame) -> bool:
     return bounded_broadcast(callers.select("user_id", "company_id", "user_type")) is not None
 
 
-def list_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_of: str) -> DataFrame:
-    """(user_id, document_id) for every document each caller may read under the list form."""
+def list_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_of: str,
+                callers_fit: bool | None = None) -> DataFrame:
+    """(user_id, document_id) for every document each caller may read under the list form.
+    ``callers_fit`` passes a size check already made on the callers (or a superset)."""
     docs = documents.select("document_id", "company_id", "owner_id", "access_level", "is_approved")
     known = callers.where(F.col("user_id").isNotNull()).select("user_id", "company_id", "user_type")
 
-    fits = _fits(known)
+    fits = _fits(known) if callers_fit is None else callers_fit
     public = _same_company(docs.where((F.col("access_level") == "PUBLIC") & (F.col("is_approved") == F.lit(True))),
                            known, fits)
     internal = _same_company(docs.where(F.col("access_level") == "INTERNAL"),
@@ -75,7 +77,8 @@ def list_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_
     return public.unionByName(owned).unionByName(internal).unionByName(granted).distinct()
 
 
-def point_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_of: str) -> DataFrame:
+def point_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_of: str,
+                 callers_fit: bool | None = None) -> DataFrame:
     """(user_id, document_id) visible under the ordered point form; anonymous callers
     (``user_id`` NULL) appear with ``user_id`` NULL."""
     docs = documents.select("document_id", "company_id", "owner_id", "access_level", "is_approved")
@@ -83,7 +86,7 @@ def point_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as
     anonymous = callers.where(F.col("user_id").isNull()).select("user_id")
 
     approved_public = docs.where((F.col("access_level") == "PUBLIC") & (F.col("is_approved") == F.lit(True)))
-    fits = _fits(known)
+    fits = _fits(known) if callers_fit is None else callers_fit
     public = _same_company(approved_public, known, fits)
     # Existence test only: one output row per approved PUBLIC document when any anonymous
     # caller is present (a semi join, no pairs are produced).

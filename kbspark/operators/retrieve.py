@@ -42,7 +42,7 @@ def _distance() -> F.Column:
 
 
 def candidate_distances(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame,
-                        accessible: DataFrame | None = None) -> DataFrame:
+                        accessible: DataFrame | None = None, questions_checked: bool = False) -> DataFrame:
     """(query_id, chunk_id, document_id, embedding_id, subchunk_idx, dist).
 
     Only ids and the distance travel through the per-chunk shuffle; chunk index and text are
@@ -54,14 +54,15 @@ def candidate_distances(questions: DataFrame, chunks: DataFrame, embeddings: Dat
     table is then broadcast after checking it holds at most ``MAX_QUESTIONS`` rows.
     """
     q = prepare_questions(questions)
+    qb = F.broadcast(q) if questions_checked else require_bounded(q, MAX_QUESTIONS, "question table")
     vecs = prepare_vectors(embeddings)
     cand = chunks.select("chunk_id", "document_id").join(vecs, "chunk_id")
     if accessible is None:
-        pairs = cand.crossJoin(require_bounded(q, MAX_QUESTIONS, "question table"))
+        pairs = cand.crossJoin(qb)
     else:
         acc = accessible.select("query_id", "document_id").distinct()
         pairs = (cand.join(acc, "document_id")
-                 .join(require_bounded(q, MAX_QUESTIONS, "question table"), "query_id"))
+                 .join(qb, "query_id"))
     return pairs.select("query_id", "chunk_id", "document_id", "embedding_id", "subchunk_idx",
                         _distance().alias("dist"))
 
@@ -100,9 +101,10 @@ def attach_chunk_details(top: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def retrieve(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame,
              accessible: DataFrame | None = None, top_k: int = 20, subchunk_top_k: int = 3,
-             score_threshold: float | None = None) -> DataFrame:
-    """Top chunks per question with their blended score; threshold applied after the top-k."""
-    d = candidate_distances(questions, chunks, embeddings, accessible)
+             score_threshold: float | None = None, questions_checked: bool = False) -> DataFrame:
+    """Top chunks per question with their blended score; threshold applied after the top-k.
+    ``questions_checked``: the caller already verified the question table's size bound."""
+    d = candidate_distances(questions, chunks, embeddings, accessible, questions_checked)
     top = top_chunks(chunk_stats(d, subchunk_top_k), top_k)
     scored = top.withColumn("score", blended_score(subchunk_top_k))
     if score_threshold is not None:

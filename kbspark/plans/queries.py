@@ -81,14 +81,22 @@ class KB:
     def conversations(self):
         return self.table("conversations").select("conv_id", "turn", "role", "text")
 
+    @cached_property
+    def questions_fit(self) -> bool:
+        """One size check of the question table per query. Callers are derived from questions,
+        so the same bound covers them (MAX_QUESTIONS <= the broadcast row bound)."""
+        require_bounded(self.questions.select("query_id"), rt.MAX_QUESTIONS, "question table")
+        return True
+
     # access
     @cached_property
     def list_access(self):
-        return access.list_policy(self.documents, self.callers, self.grants, fx.AS_OF)
+        return access.list_policy(self.documents, self.callers, self.grants, fx.AS_OF, callers_fit=self.questions_fit)
 
     @cached_property
     def point_access(self):
-        return access.point_policy(self.documents, self.callers, self.grants, fx.AS_OF)
+        return access.point_policy(self.documents, self.callers, self.grants, fx.AS_OF,
+                                   callers_fit=self.questions_fit)
 
     @cached_property
     def question_access(self):
@@ -99,7 +107,8 @@ class KB:
     def retrieve(self, with_access: bool, threshold):
         acc = self.question_access if with_access else None
         return rt.retrieve(self.questions, self.chunks, self.embeddings, accessible=acc, top_k=TOP_K,
-                           subchunk_top_k=SUBCHUNK_TOP_K, score_threshold=threshold)
+                           subchunk_top_k=SUBCHUNK_TOP_K, score_threshold=threshold,
+                           questions_checked=self.questions_fit)
 
     @cached_property
     def retrieved(self):
@@ -190,7 +199,7 @@ def q_vector_distance(spark, sf_dir):
 @query("retrieve_topk")
 def q_retrieve_topk(spark, sf_dir):
     kb = KB(spark, sf_dir)
-    d = rt.candidate_distances(kb.questions, kb.chunks, kb.embeddings)
+    d = rt.candidate_distances(kb.questions, kb.chunks, kb.embeddings, questions_checked=kb.questions_fit)
     top = rt.attach_chunk_details(rt.top_chunks(rt.chunk_stats(d, SUBCHUNK_TOP_K), TOP_K), kb.chunks)
     return top.select("query_id", "chunk_id", "document_id", "chunk_idx", "chunk_text", "best_distance",
                       "avg_distance", "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"))
