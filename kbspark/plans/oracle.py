@@ -792,3 +792,5 @@ WHERE fragment_rank <= 2""")
 SQL["conform_chunks"] = with_ctes(["doc_sents", "doc_chunks"], """
 SELECT document_id * 100000 + chunk_idx AS chunk_id, document_id, chunk_idx % 2 = 0 AS is_hot, chunk_idx,
   'sentence' AS chunk_scope, 0 AS overlap, length(chunk_text) AS text_length FROM doc_chunks""")
+
+SQL["dialog_stream"] = SQL["dialog_history"]

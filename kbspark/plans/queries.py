@@ -332,6 +332,15 @@ def q_dialog_compact(spark, sf_dir):
     return dialog.compact_history(KB(spark, sf_dir).conversations)
 
 
+@query("dialog_stream")
+def q_dialog_stream(spark, sf_dir):
+    """Conversation turns streamed through keyed state (newest 20 turns per conversation)."""
+    from kbspark.streaming.dialog_stream import latest_histories, run_dialog_stream
+    out = scratch_path(spark, "dialog-stream-" + uuid.uuid4().hex)
+    run_dialog_stream(spark, sf_dir, out, limit=20, file_glob="conversations.parquet")
+    return latest_histories(spark, out).select("conv_id", "n_turns", "history")
+
+
 @query("dialog_append")
 def q_dialog_append(spark, sf_dir):
     kb = KB(spark, sf_dir)

@@ -80,3 +80,18 @@ def test_importance_against_brute_force(spark):
         similar = sum(1 for e in texts if e != d and _jaccard(texts[d], texts[e]) >= 0.9)
         assert near[d] >= copies
         assert (near[d] > 0) == (similar > 0)
+
+
+def test_dialog_stream_state_across_epochs(spark):
+    from kbspark.operators import dialog
+    from kbspark.streaming.dialog_stream import latest_histories, run_dialog_stream
+    conv = read_table(spark, SF_SMALL, "conversations").select("conv_id", "turn", "role", "text")
+    landing = scratch_path(spark, "t-dialog-land-" + uuid.uuid4().hex)
+    conv.where("turn < 3").coalesce(1).write.parquet(os.path.join(landing, "part=a"))
+    conv.where("turn >= 3").coalesce(1).write.parquet(os.path.join(landing, "part=b"))
+    out = scratch_path(spark, "t-dialog-out-" + uuid.uuid4().hex)
+    run_dialog_stream(spark, landing + "/*", out, limit=4, max_files_per_trigger=1)
+    assert spark.read.parquet(out).select("epoch").distinct().count() >= 2
+    got = {tuple(r) for r in latest_histories(spark, out).select("conv_id", "n_turns", "history").collect()}
+    want = {tuple(r) for r in dialog.dialog_history(conv, limit=4).select("conv_id", "n_turns", "history").collect()}
+    assert got == want
