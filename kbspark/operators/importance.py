@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbspark.functions.exprs import let
 from kbspark.functions.text import BLANK, strip_blanks
-from kbspark.functions.vectors import DIST_DIGITS, cosine_distance
+from kbspark.functions.vectors import cosine_distance
 from kbspark.operators.joins import hot_key_join
 from kbspark.session import materialize
 

@@ -449,8 +449,6 @@ SQL["grouped_records"] = """SELECT CAST(o_custkey AS VARCHAR) || ' | ' || o_orde
 FROM (""" + _SEP + ")"
 
 
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
 
 
 # ------------------------------------------------------------------------------- mixing
@@ -551,9 +549,6 @@ SQL["qa_jsonl_load"] = """SELECT 'Is document ' || CAST(d.doc_id AS VARCHAR) ||
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
 
 # ------------------------------------------------------------------------------- GLEU
-_NG = " || ".join([])
-
-
 def _grams(t):
     parts = ["list_transform(range(0, len(" + t + ") - " + str(n) + " + 1), lambda i: '" + str(n) + ":' || array_to_string("
              + t + "[i + 1:i + " + str(n) + "], ' '))" for n in range(1, 5)]
@@ -759,8 +754,6 @@ SELECT r_name, month, n_orders, revenue, revenue_change, round((SELECT avg(reven
   coalesce(revenue_change < (SELECT avg(revenue_change) FROM last), false) AS is_problem FROM last""")
 
 
-def oracle_sql() -> dict[str, str]:  # noqa: F811 - the final registry
-    return dict(SQL)
 
 CTE["fragments"] = """sel AS (
   SELECT d.document_id FROM kb_documents d JOIN imp i ON i.document_id = d.document_id
@@ -794,3 +787,7 @@ SELECT document_id * 100000 + chunk_idx AS chunk_id, document_id, chunk_idx % 2
   'sentence' AS chunk_scope, 0 AS overlap, length(chunk_text) AS text_length FROM doc_chunks""")
 
 SQL["dialog_stream"] = SQL["dialog_history"]
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
