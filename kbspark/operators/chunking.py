@@ -52,7 +52,10 @@ def token_subchunks(chunks: DataFrame, text_col: str = "chunk_text", key_cols=("
                     tokenizer: Callable[[Column], Column] = tx.token_units) -> DataFrame:
     """One row per non-blank token window of a chunk:
     (*key_cols, subchunk_idx, token_start, n_tokens, subchunk_text)."""
-    wins = tx.token_windows(tokenizer(F.col(text_col)), max_tokens, special_tokens, overlap)
+    if tokenizer is tx.token_units:
+        wins = tx.token_windows_of_text(F.col(text_col), max_tokens, special_tokens, overlap)
+    else:
+        wins = tx.token_windows(tokenizer(F.col(text_col)), max_tokens, special_tokens, overlap)
     exploded = chunks.select(*key_cols, F.posexplode(wins).alias("subchunk_idx", "w"))
     return exploded.select(*key_cols,
                            F.col("subchunk_idx").cast("bigint").alias("subchunk_idx"),
