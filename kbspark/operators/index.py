@@ -28,8 +28,10 @@ def l2_topk(index: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec
     q = queries
     if query_text:
         q = q.where(F.length(F.trim(F.col(query_text))) > 0)
-    q = q.select("query_id", F.col(query_vec).alias("_q"))
-    pairs = index.select(id_col, F.col(vec_col).alias("_v")).crossJoin(require_bounded(q, MAX_QUERIES, "query table"))
+    # cast once per side, not once per (query, vector) pair
+    q = q.select("query_id", F.col(query_vec).cast("array<double>").alias("_q"))
+    pairs = (index.select(id_col, F.col(vec_col).cast("array<double>").alias("_v"))
+             .crossJoin(require_bounded(q, MAX_QUERIES, "query table")))
     d = pairs.select("query_id", id_col, l2_distance("_v", "_q").alias("l2_distance"))
     w = Window.partitionBy("query_id").orderBy("l2_distance", id_col)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -187,8 +187,9 @@ def q_requested_docs_filter(spark, sf_dir):
 @query("vector_distance")
 def q_vector_distance(spark, sf_dir):
     kb = KB(spark, sf_dir)
-    q = kb.questions.select("query_id", "query_vector")
-    e = kb.table("embeddings").select(F.col("vec_id").alias("embedding_id"), F.col("embedding").alias("v"))
+    q = kb.questions.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    e = kb.table("embeddings").select(F.col("vec_id").alias("embedding_id"),
+                                      F.col("embedding").cast("array<double>").alias("v"))
     pairs = e.crossJoin(require_bounded(q, rt.MAX_QUESTIONS, "question table"))
     return pairs.select("query_id", "embedding_id",
                         cosine_distance("v", "query_vector").alias("cosine_distance"),
