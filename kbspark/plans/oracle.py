@@ -309,7 +309,7 @@ CTE["used"] = """used AS (
 
 CTE["answer"] = """answer AS (
   SELECT q.query_id, coalesce(la.final_result, '') AS final_result, coalesce(fs.n_facts, 0) AS n_facts,
-    round(least(1.0, coalesce(fs.n_facts, 0) * 0.2), 6) AS confidence, coalesce(fs.reasoning, '') AS reasoning,
+    CAST(round(least(1.0, coalesce(fs.n_facts, 0) * 0.2), 6) AS DOUBLE) AS confidence, coalesce(fs.reasoning, '') AS reasoning,
     coalesce(u.used_documents, '') AS used_documents, coalesce(u.used_chunks, '') AS used_chunks
   FROM kb_questions q
   LEFT JOIN (SELECT query_id, arg_max(answer, doc_rank) AS final_result FROM replies_v GROUP BY query_id) la
@@ -710,7 +710,7 @@ b AS (SELECT document_id, chunk_idx, subchunk_idx,
 c AS (SELECT document_id, chunk_idx, subchunk_idx, list_transform(range(64), lambda i: len(list_filter(bk, lambda x: x = i))) AS cnt
       FROM b)
 SELECT document_id, chunk_idx, subchunk_idx, CAST(64 AS BIGINT) AS dim,
-  CASE WHEN list_sum(list_transform(cnt, lambda x: x * x)) > 0 THEN 1.0 ELSE 0.0 END AS norm,
+  CAST(CASE WHEN list_sum(list_transform(cnt, lambda x: x * x)) > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS norm,
   CAST(cnt[1] AS BIGINT) AS bucket0_count, CAST(list_sum(list_transform(cnt, lambda x: x * x)) AS BIGINT) AS sum_sq_counts
 FROM c""")
 
