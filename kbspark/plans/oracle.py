@@ -140,13 +140,15 @@ requests AS (
 SELECT a.query_id, a.document_id FROM question_access a JOIN requests r ON r.query_id = a.query_id
 WHERE r.doc_ids IS NULL OR list_contains(r.doc_ids, a.document_id)""")
 
-SQL["vector_distance"] = with_ctes(["kb_questions", "qvec"], """,
-ev AS (SELECT vec_id AS embedding_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+RETRIEVE_ACCESS = ACCESS_BASE + ["list_access", "question_access"] + ["kb_chunks", "kb_embeddings", "qvec", "evec"]
+
+SQL["vector_distance"] = with_ctes(RETRIEVE_ACCESS, """
 SELECT qv.query_id, e.embedding_id,
   """ + _COS + """ AS cosine_distance,
   round(sqrt(list_sum(list_transform(list_zip(e.v, qv.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS l2_distance,
   len(e.v) AS dim
-FROM ev e CROSS JOIN qvec qv""")
+FROM kb_chunks c JOIN evec e ON e.chunk_id = c.chunk_id JOIN question_access a ON a.document_id = c.document_id
+JOIN qvec qv ON qv.query_id = a.query_id""")
 
 SQL["retrieve_topk"] = with_ctes(RETRIEVE_BASE, ",\n" + _dists(False) + ",\n" + _STATS + """
 SELECT query_id, chunk_id, document_id, chunk_idx, chunk_text, best_distance, avg_distance, match_count, chunk_rank
@@ -156,7 +158,6 @@ SQL["retrieve_scored"] = with_ctes(RETRIEVE_BASE, ",\n" + _dists(False) + ",\n"
 SELECT query_id, chunk_id, document_id, chunk_idx, best_distance, avg_distance, match_count, chunk_rank, score
 FROM scored WHERE score >= 0.25""")
 
-RETRIEVE_ACCESS = ACCESS_BASE + ["list_access", "question_access"] + ["kb_chunks", "kb_embeddings", "qvec", "evec"]
 
 SQL["retrieve_with_access"] = with_ctes(RETRIEVE_ACCESS, ",\n" + _dists(True) + ",\n" + _STATS + """
 SELECT query_id, chunk_id, document_id, chunk_idx, chunk_text, best_distance, avg_distance, match_count, chunk_rank, score

@@ -186,15 +186,20 @@ def q_requested_docs_filter(spark, sf_dir):
 # ---------------------------------------------------------------------------------- vectors
 @query("vector_distance")
 def q_vector_distance(spark, sf_dir):
+    """Cosine and L2 distance of each question to every candidate vector it may see: COMPLETED
+    vectors of chunks in documents the asker can read (the candidate set of the search).
+    Candidates reach a question through equi-joins on document and chunk ids."""
     kb = KB(spark, sf_dir)
     q = kb.questions.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    e = kb.table("embeddings").select(F.col("vec_id").alias("embedding_id"),
-                                      F.col("embedding").cast("array<double>").alias("v"))
-    pairs = e.crossJoin(require_bounded(q, rt.MAX_QUESTIONS, "question table"))
-    return pairs.select("query_id", "embedding_id",
-                        cosine_distance("v", "query_vector").alias("cosine_distance"),
-                        l2_distance("v", "query_vector").alias("l2_distance"),
-                        F.size("v").cast("bigint").alias("dim"))
+    e = (kb.embeddings.where(F.col("status") == "COMPLETED")
+         .select("embedding_id", "chunk_id", F.col("vector").cast("array<double>").alias("v")))
+    cand = (kb.chunks.select("chunk_id", "document_id").join(e, "chunk_id")
+            .join(kb.question_access, "document_id")
+            .join(F.broadcast(q) if kb.questions_fit else q, "query_id"))
+    return cand.select("query_id", "embedding_id",
+                       cosine_distance("v", "query_vector").alias("cosine_distance"),
+                       l2_distance("v", "query_vector").alias("l2_distance"),
+                       F.size("v").cast("bigint").alias("dim"))
 
 
 @query("retrieve_topk")
