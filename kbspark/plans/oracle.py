@@ -150,11 +150,11 @@ SELECT qv.query_id, e.embedding_id,
 FROM kb_chunks c JOIN evec e ON e.chunk_id = c.chunk_id JOIN question_access a ON a.document_id = c.document_id
 JOIN qvec qv ON qv.query_id = a.query_id""")
 
-SQL["retrieve_topk"] = with_ctes(RETRIEVE_BASE, ",\n" + _dists(False) + ",\n" + _STATS + """
+SQL["retrieve_topk"] = with_ctes(RETRIEVE_ACCESS, ",\n" + _dists(True) + ",\n" + _STATS + """
 SELECT query_id, chunk_id, document_id, chunk_idx, chunk_text, best_distance, avg_distance, match_count, chunk_rank
 FROM top""")
 
-SQL["retrieve_scored"] = with_ctes(RETRIEVE_BASE, ",\n" + _dists(False) + ",\n" + _STATS + """
+SQL["retrieve_scored"] = with_ctes(RETRIEVE_ACCESS, ",\n" + _dists(True) + ",\n" + _STATS + """
 SELECT query_id, chunk_id, document_id, chunk_idx, best_distance, avg_distance, match_count, chunk_rank, score
 FROM scored WHERE score >= 0.25""")
 

@@ -205,7 +205,8 @@ def q_vector_distance(spark, sf_dir):
 @query("retrieve_topk")
 def q_retrieve_topk(spark, sf_dir):
     kb = KB(spark, sf_dir)
-    d = rt.candidate_distances(kb.questions, kb.chunks, kb.embeddings, questions_checked=kb.questions_fit)
+    d = rt.candidate_distances(kb.questions, kb.chunks, kb.embeddings, kb.question_access,
+                               questions_checked=kb.questions_fit)
     top = rt.attach_chunk_details(rt.top_chunks(rt.chunk_stats(d, SUBCHUNK_TOP_K), TOP_K), kb.chunks)
     return top.select("query_id", "chunk_id", "document_id", "chunk_idx", "chunk_text", "best_distance",
                       "avg_distance", "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"))
@@ -213,7 +214,7 @@ def q_retrieve_topk(spark, sf_dir):
 
 @query("retrieve_scored")
 def q_retrieve_scored(spark, sf_dir):
-    r = KB(spark, sf_dir).retrieve(False, 0.25)
+    r = KB(spark, sf_dir).retrieve(True, 0.25)
     return r.select("query_id", "chunk_id", "document_id", "chunk_idx", "best_distance", "avg_distance",
                     "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "score")
 
