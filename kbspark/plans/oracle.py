@@ -121,7 +121,6 @@ def with_ctes(names: list[str], body: str) -> str:
 
 
 ACCESS_BASE = ["kb_users", "kb_documents", "kb_grants", "kb_questions", "kb_callers", "live_grants", "callers"]
-RETRIEVE_BASE = ["kb_chunks", "kb_embeddings", "kb_questions", "qvec", "evec"]
 
 SQL: dict[str, str] = {}
 
