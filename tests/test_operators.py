@@ -379,3 +379,15 @@ def test_access_policies_salted_path(spark, monkeypatch):
     monkeypatch.setattr(access, "_fits", lambda c: False)
     assert _pairs(access.list_policy(docs, callers, grants, AS_OF)) == expected_list
     assert _pairs(access.point_policy(docs, callers, grants, AS_OF)) == expected_point
+
+
+# ----------------------------------------------------------------------------------- schema
+def test_conform_renames_defaults_and_bad_values(spark):
+    from kbspark import schema as S
+    old = spark.createDataFrame([(1, "7", "x", True)],
+                                "chunk_id long, document_id string, chunk_text string, is_important boolean")
+    r = S.conform(old, S.CHUNKS, renames={"is_hot": "is_important"}, defaults={"overlap": 0}).first()
+    assert r.document_id == 7 and r.is_hot is True and r.overlap == 0 and r.chunk_scope is None
+    assert r.chunk_text == "x" and r.chunk_idx is None
+    bad = spark.createDataFrame([(1, "seven")], "chunk_id long, document_id string")
+    assert S.conform(bad, S.CHUNKS).first().document_id is None
