@@ -74,6 +74,17 @@ def local_index(df: DataFrame, dataset_col: str, order_col: str) -> DataFrame:
             .withColumn("local_index", F.col("_g") - F.col("_start")).drop("_g", "_start"))
 
 
+def with_neighbours(df: DataFrame, key: str, order_col: str, cols: list[str]) -> DataFrame:
+    """``lead``/``lag`` of ``cols`` inside each ``key`` group without a per-group window: rows get
+    dense positions (range-partitioned numbering) and the neighbours arrive by equi-joins on
+    (key, position ± 1), so a group holding a third of all rows is spread over many tasks.
+    Adds ``next_<c>`` and ``prev_<c>`` columns (NULL at the group ends)."""
+    li = local_index(df, key, order_col)
+    nxt = li.select(key, (F.col("local_index") - 1).alias("local_index"), *[F.col(c).alias("next_" + c) for c in cols])
+    prv = li.select(key, (F.col("local_index") + 1).alias("local_index"), *[F.col(c).alias("prev_" + c) for c in cols])
+    return li.join(nxt, [key, "local_index"], "left").join(prv, [key, "local_index"], "left").drop("local_index")
+
+
 def _offsets(sizes: DataFrame, dataset_col: str) -> DataFrame:
     w = Window.orderBy(dataset_col).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(dataset_col, "n_rows", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).alias("offset"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from kbspark.functions.text import BLANK, strip_blanks
 
@@ -76,13 +76,11 @@ def load_yesno(spark: SparkSession, path: str, yes: str = "да", no: str = "н
 def conversation_examples(conversations: DataFrame) -> DataFrame:
     """Examples from dialog turns: question = a user turn, answer = the next turn when it is an
     assistant turn, context = the previous turn ('' when none)."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = (conversations.withColumn("_next_role", F.lead("role").over(w))
-         .withColumn("_next_text", F.lead("text").over(w))
-         .withColumn("_prev_text", F.lag("text").over(w)))
-    return t.where((F.col("role") == "user") & (F.col("_next_role") == "assistant")).select(
-        "conv_id", "turn", F.coalesce(F.col("_prev_text"), F.lit("")).alias("context"),
-        F.col("text").alias("question"), F.col("_next_text").alias("answer_text"))
+    from kbspark.operators.mixing import with_neighbours
+    t = with_neighbours(conversations.select("conv_id", "turn", "role", "text"), "conv_id", "turn", ["role", "text"])
+    return t.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
+        "conv_id", "turn", F.coalesce(F.col("prev_text"), F.lit("")).alias("context"),
+        F.col("text").alias("question"), F.col("next_text").alias("answer_text"))
 
 
 def format_input(context: Column, question: Column, context_marker: str = CONTEXT_MARKER,

@@ -495,8 +495,7 @@ def q_qa_jsonl_load(spark, sf_dir):
 
 # ---------------------------------------------------------------------------------- GLEU
 def gleu_input(kb: KB) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = kb.conversations.withColumn("reference", F.lead("text").over(w))
+    c = mx.with_neighbours(kb.conversations, "conv_id", "turn", ["text"]).withColumnRenamed("next_text", "reference")
     return c.where(F.col("reference").isNotNull()).select(
         F.concat_ws("-", "conv_id", "turn").alias("pair_id"), F.col("text").alias("hypothesis"), "reference")
 
