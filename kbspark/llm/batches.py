@@ -41,8 +41,9 @@ def in_batches(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = B
     return rows, max(1, min(n, max(parts, n // 8)))
 
 
-def pack(owners: int, batch: int, key: np.ndarray, *columns: np.ndarray) -> pa.Table:
-    """One row per owner of ``key``: keys sorted, the columns in the same order, as bytes."""
+def pack(owners: int, batch: int, key: np.ndarray, *columns: np.ndarray, send_key: bool = True) -> pa.Table:
+    """One row per owner of ``key``: keys sorted, the columns in the same order, as bytes. Without
+    ``send_key`` the key only chooses the owner."""
     order = np.lexsort((key, key % np.uint64(owners)))
     key, columns = key[order], [c[order] for c in columns]
     who = (key % np.uint64(owners)).astype(np.int32)
@@ -51,7 +52,7 @@ def pack(owners: int, batch: int, key: np.ndarray, *columns: np.ndarray) -> pa.T
     extra = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(at, stop, strict=True)]
     return pa.Table.from_arrays([
         pa.array(who[at], pa.int32()), pa.array(np.full(len(at), batch), pa.int64()),
-        pa.array([key[a:b].tobytes() for a, b in zip(at, stop, strict=True)], pa.binary()), pa.array(extra, pa.binary())], schema=_ASK)
+        pa.array([key[a:b].tobytes() if send_key else None for a, b in zip(at, stop, strict=True)], pa.binary()), pa.array(extra, pa.binary())], schema=_ASK)
 
 
 def unpack(rows: pa.Table, column: str, dtype) -> np.ndarray:
@@ -75,7 +76,7 @@ def ask_again(batches: DataFrame, answers: DataFrame, question: Callable[[int, p
 def answer(asked: DataFrame, reply: Callable[[list[np.ndarray], list[bytes]], list[tuple[bytes, bytes]]]) -> DataFrame:
     """``reply(keys of each batch, extras of each batch)`` gives (found, extra) for each batch."""
     def run(rows):
-        keys = [np.frombuffer(x, np.uint64) for x in rows.column("asked").to_pylist()]
+        keys = [np.frombuffer(x or b"", np.uint64) for x in rows.column("asked").to_pylist()]
         out = reply(keys, rows.column("extra").to_pylist())
         keep = [i for i, (a, b) in enumerate(out) if a or b]
         return pa.Table.from_arrays([rows.column("batch").combine_chunks().take(pa.array(keep, pa.int64())),

@@ -162,18 +162,18 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         longer = np.isin(key, large)
         longest = longer & np.isin(wide, large)
         key = np.where(longest, combine(wide, path[:, 2]), np.where(longer, wide, key))
-        return B.pack(owners, batch, key, path[:, 0], path[:, 1], path[:, 2], multi)
+        return B.pack(owners, batch, key, path[:, 0], path[:, 1], path[:, 2], multi, send_key=False)
 
     def subtrees(keys, extras):
         cols = [[], [], []]
         multi = []
-        for k, e in zip(keys, extras, strict=True):
+        for e in extras:
+            n = len(e) // 25
             for i in range(3):
-                cols[i].append(np.frombuffer(e, U64, len(k), 8 * len(k) * i))
-            multi.append(np.frombuffer(e, np.uint8, len(k), 24 * len(k)))
+                cols[i].append(np.frombuffer(e, U64, n, 8 * n * i))
+            multi.append(np.frombuffer(e, np.uint8, n, 24 * n))
         a, b, c = (np.concatenate(x) for x in cols)
-        every = np.concatenate(keys)
-        order = np.lexsort((c, b, a, every))   # suffixes of each group in lexicographic order of their path
+        order = np.lexsort((c, b, a))   # suffixes of each group in lexicographic order of their path
         depth = np.zeros(len(order) + 1, np.int64)   # words that a suffix shares with the one before
         shared = np.ones(len(order) - 1, bool)
         for path, cut in zip((a, b, c), cuts, strict=True):
@@ -183,10 +183,10 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         deep[order] = np.maximum(depth[1:], depth[:-1]) >= window
         deep |= np.concatenate(multi) > 0
         at, out = 0, []
-        for i, k in enumerate(keys):
-            hit = deep[at: at + len(k)]
-            out.append((combine(combine(cols[0][i][hit], cols[1][i][hit]), cols[2][i][hit]).tobytes(), b""))
-            at += len(k)
+        for x, y, z in zip(*cols, strict=True):
+            hit = deep[at: at + len(x)]
+            out.append((combine(combine(x[hit], y[hit]), z[hit]).tobytes(), b""))
+            at += len(x)
         return out
 
     def cut_out(table, found):
