@@ -11,10 +11,13 @@ empty coordinate. Two documents agree in a coordinate with the probability of th
 Jaccard similarity.
 
 Signatures are cut into bands of ``rows`` coordinates; documents with an equal band form a
-bucket. Exact copies are collapsed first. In each bucket the least document leads; every other is
-compared to it by exact similarity. Members that are in no leader's class then lead in turn and
-are compared with the whole bucket, until every member is in the class of a leader: one
-comparison per member and leader, never all pairs. Classes are connected components.
+bucket. Exact copies are collapsed first. A bucket names pairs to compare by its members' sketches
+(one byte per coordinate): the member nearest to the bucket's commonest sketch leads, and each
+member the leader resembles is a pair with it; members that no leader resembles lead in turn; and
+every member is a pair with its nearest neighbour. So the pairs grow with the members, not with
+their square. A bucket of more than ``BUCKET`` members is dealt into parts of about that size,
+whose leaders then meet in a bucket of their own. Pairs are compared by their exact similarity,
+and classes are the connected components of those that reach it.
 
 Null and empty texts have no grams and are classes of their own. Repeated rows are copies.
 """
@@ -25,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
@@ -34,6 +38,8 @@ from .components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
+BUCKET = 2000
+RESEMBLES, LED = 0.65, 0.7   # estimated similarity that makes a pair, and that spares a member from leading
 BROADCAST_IDS = 1_000_000   # of 8 bytes each
 _FINEST = 2.0 ** -6         # height of the lowest rank region
 
@@ -106,7 +112,8 @@ def dart_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """(id, copy: digest of the lower-case text, bands: array of band hashes or null without words)."""
+    """(id, copy: digest of the lower-case text, bands: array of band hashes or null without words,
+    sketch: the low byte of every coordinate)."""
     k = bands * rows
 
     def run(batches):
@@ -126,12 +133,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(words.n_docs + 1) * bands, pa.int32()), flat)
                     empty = pa.array(words.counts() == 0)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), part.column("copy"), pa.compute.if_else(empty, pa.scalar(None, lists.type), lists)],
-                        names=["id", "copy", "bands"])
+                        [part.column("id"), part.column("copy"), pc.if_else(empty, pa.scalar(None, lists.type), lists),
+                         pa.array([x.tobytes() for x in sig.reshape(-1, k).astype(np.uint8)], pa.binary())],
+                        names=["id", "copy", "bands", "sketch"])
 
     text = F.lower(F.col(text_col))
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.md5(text).alias("copy")).mapInArrow(
-        run, "id long, copy string, bands array<long>")
+        run, "id long, copy string, bands array<long>, sketch binary")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -180,42 +188,88 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def bucket_pairs(ids: np.ndarray, sketch: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """(pairs of members to compare, places of the leaders) of one bucket, members sorted by id."""
+    n, k = sketch.shape
+    near, best = np.full(n, -1), np.zeros(n)
+    for i in range(n):
+        same = (sketch == sketch[i]).sum(axis=1)
+        same[i] = -1
+        near[i] = same.argmax()
+        best[i] = same[near[i]]
+    pairs = {(min(i, j), max(i, j)) for i, j in enumerate(near.tolist()) if best[i] >= RESEMBLES * k}
+    common = np.array([np.bincount(c, minlength=256).argmax() for c in sketch.T], np.uint8)
+    free, leaders = np.ones(n, bool), []
+    for i in np.argsort(-(sketch == common).sum(axis=1), kind="stable").tolist():
+        if free[i]:
+            same = (sketch == sketch[i]).sum(axis=1)
+            free &= same < LED * k
+            free[i] = False
+            leaders.append(i)
+            pairs.update((min(i, j), max(i, j)) for j in np.flatnonzero(same >= RESEMBLES * k).tolist() if j != i)
+    return [(int(ids[i]), int(ids[j])) for i, j in pairs], leaders
+
+
+def _named(members: DataFrame) -> DataFrame:
+    """``bucket_pairs`` of each (band, part): rows (u, v, band: null) of pairs and (u, null, band) of leaders.
+    Rows of a partition come sorted, so a bucket is a run of them; one bucket is in memory at a time."""
+    def run(batches):
+        held, key = [], None
+
+        def flush():
+            ids = np.array([x[0] for x in held])
+            pairs, leaders = bucket_pairs(ids, np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1))
+            return [(u, v, None) for u, v in pairs] + [(int(ids[i]), None, key[0]) for i in leaders]
+
+        out = []
+        for batch in batches:
+            for band, part, rep, sketch in zip(*(batch.column(c).to_pylist() for c in ("band", "part", "rep", "sketch")), strict=True):
+                if (band, part) != key:
+                    if len(held) > 1:
+                        out += flush()
+                    held, key = [], (band, part)
+                held.append((rep, sketch))
+            if out:
+                yield _pair_batch(out)
+                out = []
+        if len(held) > 1:
+            out += flush()
+        if out:
+            yield _pair_batch(out)
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(n, "band", "part").sortWithinPartitions("band", "part", "rep").mapInArrow(run, "u long, v long, band long")
+
+
+def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
+    u, v, band = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(band, pa.int64())], names=["u", "v", "band"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-                    bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``docs``: id, class_id (least id of its class), copy_id (least id among
     its exact copies). Rows with a null id are classes of their own, with null ids."""
     sig = materialize(signatures(docs, id_col, text_col, bands, rows, shingle))
     known = sig.where("bands IS NOT NULL AND id IS NOT NULL")
     groups = known.groupBy("copy").agg(F.min("id").alias("rep"))
-    reps = known.join(groups, "copy").where("id = rep").dropDuplicates(["rep"])
+    reps = known.join(groups, "copy").where("id = rep").select("rep", "bands", "sketch").dropDuplicates(["rep"])
     band = reps.select("rep", F.explode("bands").alias("band"))
-    leaders = band.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(band.join(leaders, "band").select("band", "rep", "leader"))
-    sets = materialize(_gram_sets(docs, id_col, text_col, materialize(members.select(F.col("rep").alias("id")).distinct()), shingle))
-    led = members.select("band", "leader").distinct()
-    pairs = members.where("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
-    tried, edges = None, None
-    while True:
-        pairs = materialize(pairs)
-        tried = pairs if tried is None else materialize(tried.unionByName(pairs))
-        found = _similar(pairs, sets, similarity)
-        edges = materialize(found if edges is None else edges.unionByName(found))
-        classes = connected_components(edges)
-        where = materialize(members.select("band", "rep").join(classes, F.col("rep") == F.col("node"), "left").select(
-            "band", "rep", F.coalesce("component", "rep").alias("class")))
-        done = led.join(where, (led.band == where.band) & (led.leader == where.rep)).select(led.band, "class").distinct()
-        rest = where.join(done, ["band", "class"], "left_anti")
-        now = rest.groupBy("band").agg(F.min_by(F.struct("rep", "class"), "rep").alias("lead"))
-        # members are compared with the new leader unless they are in its class already
-        fresh = where.join(now, "band").where("class <> lead.class").select(
-            "band", F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v"))
-        fresh = fresh.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-        now = materialize(now.select("band", F.col("lead.rep").alias("leader")))
-        if now.isEmpty():
-            break
-        led = materialize(led.unionByName(now))
-        pairs = fresh
-    labels = classes.select(F.col("node").alias("copy_id"), "component")
+    sizes = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    found = band.join(sizes, "band").select("band", "rep", "n")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / bucket))
+    members = materialize(found.join(reps.select("rep", "sketch"), "rep").select("band", part.alias("part"), "rep", "sketch", "n"))
+    named = materialize(_named(members))
+    pairs = named.where("v IS NOT NULL").select("u", "v")
+    large = members.where(F.col("n") > bucket)
+    if not large.isEmpty():   # the leaders of a large bucket's parts meet
+        leaders = named.where("v IS NULL").select("band", F.col("u").alias("rep")).distinct()
+        met = large.join(leaders, ["band", "rep"], "left_semi").select("band", F.lit(0).alias("part"), "rep", "sketch")
+        pairs = pairs.unionByName(_named(met).where("v IS NOT NULL").select("u", "v"))
+    pairs = materialize(pairs.distinct())
+    ends = materialize(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
+    edges = _similar(pairs, materialize(_gram_sets(docs, id_col, text_col, ends, shingle)), similarity)
+    labels = connected_components(edges).select(F.col("node").alias("copy_id"), "component")
     copies = sig.join(groups, "copy", "left").select(
         "id", F.when(F.col("bands").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("rep")).alias("copy_id"))
     return copies.join(labels, "copy_id", "left").select("id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id")
