@@ -252,8 +252,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its exact copies). Rows with a null id are classes of their own, with null ids."""
     sig = materialize(signatures(docs, id_col, text_col, bands, rows, shingle))
     known = sig.where("bands IS NOT NULL AND id IS NOT NULL")
-    groups = known.groupBy("copy").agg(F.min("id").alias("rep"))
-    reps = known.join(groups, "copy").where("id = rep").select("rep", "bands", "sketch").dropDuplicates(["rep"])
+    # one row per text, combined before the shuffle: a text with very many copies is one row per task
+    first = known.groupBy("copy").agg(F.min(F.struct("id", "bands", "sketch")).alias("r"), F.count("*").alias("n"))
+    first = materialize(first.select("copy", "n", F.col("r.id").alias("rep"), "r.bands", "r.sketch"))
+    groups = first.where("n > 1").select("copy", "rep")
+    reps = first.select("rep", "bands", "sketch").dropDuplicates(["rep"])
     band = reps.select("rep", F.explode("bands").alias("band"))
     sizes = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     found = band.join(sizes, "band").select("band", "rep", "n")
@@ -271,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = _similar(pairs, materialize(_gram_sets(docs, id_col, text_col, ends, shingle)), similarity)
     labels = connected_components(edges).select(F.col("node").alias("copy_id"), "component")
     copies = sig.join(groups, "copy", "left").select(
-        "id", F.when(F.col("bands").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("rep")).alias("copy_id"))
+        "id", F.when(F.col("bands").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("rep", "id")).alias("copy_id"))
     return copies.join(labels, "copy_id", "left").select("id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id")
 
 
