@@ -9,8 +9,8 @@ left of it.
    have equal anchors, so a window can only repeat if its anchor occurs at two places. Few
    positions are anchors (2 in ``window - prefix``), so this finds the suffixes worth a tree.
 2. Those suffixes are split by their first ``prefix`` words into groups. A prefix shared by more
-   than ``group_size`` suffixes is lengthened (to two thirds of the window, then to all of it),
-   so that no group outgrows a task's memory. A batch sends equal suffixes once.
+   than ``group_size`` suffixes is lengthened to the whole window, so that no group outgrows a
+   task's memory: equal suffixes of a batch are sent once, so a group of equal windows is small.
 3. Each group's suffixes are sorted by their path: the hashes of the word runs between the prefix
    lengths. Neighbours in this order share an internal node as deep as their common path; the
    leaves under a node of depth ``window`` are repeated windows (their chains are the maximal repeats).
@@ -144,8 +144,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def group_sizes(batch, table, found):
         path, _ = suffixes(table, found)
         value, count = np.unique(path[:, 0], return_counts=True)
-        wide, wide_count = np.unique(combine(path[:, 0], path[:, 1]), return_counts=True)
-        return B.pack(owners, batch, np.concatenate([value, wide]), np.concatenate([count, wide_count]).astype(np.uint32))
+        return B.pack(owners, batch, value, count.astype(np.uint32))
 
     def too_large(keys, extras):
         every, count = np.concatenate(keys), np.frombuffer(b"".join(extras), np.uint32)
@@ -158,10 +157,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tag = np.array([x == b"L" for x in found.column("extra").to_pylist()], bool)
         path, multi = suffixes(table, found.filter(pa.array(~tag)))
         large = np.unique(B.unpack(found.filter(pa.array(tag)), "found", U64))
-        key, wide = path[:, 0], combine(path[:, 0], path[:, 1])
-        longer = np.isin(key, large)
-        longest = longer & np.isin(wide, large)
-        key = np.where(longest, combine(wide, path[:, 2]), np.where(longer, wide, key))
+        whole = combine(combine(path[:, 0], path[:, 1]), path[:, 2])
+        key = np.where(np.isin(path[:, 0], large), whole, path[:, 0])
         return B.pack(owners, batch, key, path[:, 0], path[:, 1], path[:, 2], multi, send_key=False)
 
     def subtrees(keys, extras):
