@@ -7,6 +7,8 @@ whole-stage codegen where Spark supports it. Blanks are the explicit class ``[ \
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from kbspark.functions.exprs import let
@@ -112,9 +114,10 @@ def token_windows_of_text(text: Column, max_tokens: int = 256, special_tokens: i
             .otherwise(token_windows(token_units(t), max_tokens, special_tokens, overlap)))
 
 
-def render_template(template: Column | str, values: dict[str, Column]) -> Column:
-    """Fill ``{name}`` placeholders of a template with column values (O-16)."""
-    out = F.lit(template) if isinstance(template, str) else template
-    for name, col in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(col.cast("string"), F.lit("")))
-    return out
+def render_template(template: str, values: dict[str, Column]) -> Column:
+    """Fill ``{name}`` placeholders of a template with column values (O-16). The template is cut
+    at its placeholders once, so braces inside a value stay as they are."""
+    names = "|".join(re.escape(n) for n in values) or "(?!)"
+    parts = re.split("\\{(" + names + ")\\}", template)
+    return F.concat(F.lit(parts[0]), *[
+        F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 == 0 else F.lit(p) for i, p in enumerate(parts[1:])])

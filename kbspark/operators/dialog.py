@@ -1,8 +1,7 @@
 """Dialog memory: formatted history, append, compaction (O-53, O-78, O-80).
 
-Conversations are a table (conv_id, turn, role, text). History is limited to the newest
-``limit`` turns with a ``row_number`` window, so the ordered string built per conversation is
-bounded by the limit no matter how long a conversation grows.
+Conversations are a table (conv_id, turn, role, text). History holds every turn unless a
+``limit`` asks for the newest ones only.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbspark.functions.text import BLANK
 
-HISTORY_LIMIT = 20
+HISTORY_LIMIT = None   # every turn; a number keeps the newest ones only
 RECENT_VERBATIM = 10
 
 
@@ -23,14 +22,16 @@ def _lines(rows: Column) -> Column:
                                                                             F.coalesce(m["text"], F.lit("")))), "\n")
 
 
-def newest(conversations: DataFrame, limit: int = HISTORY_LIMIT, key: str = "conv_id") -> DataFrame:
+def newest(conversations: DataFrame, limit: int | None = HISTORY_LIMIT, key: str = "conv_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col("turn").desc())
-    return conversations.withColumn("_age", F.row_number().over(w)).where(F.col("_age") <= limit)
+    rows = conversations.withColumn("_age", F.row_number().over(w))
+    return rows if limit is None else rows.where(F.col("_age") <= limit)
 
 
-def dialog_history(conversations: DataFrame, limit: int = HISTORY_LIMIT, key: str = "conv_id") -> DataFrame:
+def dialog_history(conversations: DataFrame, limit: int | None = HISTORY_LIMIT, key: str = "conv_id") -> DataFrame:
     """(key, n_turns, history) — newest ``limit`` turns as 'role: text' lines, oldest first."""
-    return (newest(conversations, limit, key).groupBy(key)
+    rows = conversations if limit is None else newest(conversations, limit, key)
+    return (rows.groupBy(key)
             .agg(F.count(F.lit(1)).alias("n_turns"),
                  _lines(F.collect_list(F.struct("turn", "role", "text"))).alias("history")))
 
@@ -57,11 +58,11 @@ def default_summary(old_lines: Column, n_old: Column) -> Column:
                     F.regexp_replace(old_lines, f"{BLANK}+", " "))
 
 
-def compact_history(conversations: DataFrame, limit: int = HISTORY_LIMIT, recent: int = RECENT_VERBATIM,
+def compact_history(conversations: DataFrame, limit: int | None = HISTORY_LIMIT, recent: int = RECENT_VERBATIM,
                     key: str = "conv_id",
                     summarize: Callable[[Column, Column], Column] = default_summary) -> DataFrame:
-    """(key, n_recent, n_old, history): the newest ``recent`` turns verbatim, the older turns
-    of the newest ``limit`` folded into one summary line placed first (O-78)."""
+    """(key, n_recent, n_old, history): the newest ``recent`` turns verbatim, all older
+    turns (within ``limit``, if given) folded into one summary line placed first (O-78)."""
     rows = newest(conversations, limit, key)
     g = rows.groupBy(key).agg(
         F.collect_list(F.when(F.col("_age") <= recent, F.struct("turn", "role", "text"))).alias("recent"),

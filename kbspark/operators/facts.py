@@ -3,7 +3,9 @@
 Reply parse (all or nothing): take the text from the first ``{`` to the last ``}``, decode it
 with an explicit schema, lower-case every certainty and require it in the domain, require
 ``fact`` and ``certainty`` on every fact; anything else gives the blank reply
-(answer "", no facts, can_answer false). Missing ``reasoning`` → "", missing ``id`` → NULL.
+(answer "", no facts, can_answer false): single quotes, text behind the object, a null or a
+non-list where a list belongs. Missing ``reasoning`` → "", missing ``id`` → NULL; an id may be a
+number and is compared as text.
 
 Fact fold, per question over its documents in rank order:
 1. the answer becomes the document's reply answer, even when blank;
@@ -19,9 +21,15 @@ questions); ``fold_facts_sequential`` runs the literal loop per question inside
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from kbspark.operators.context import REQUEST_TASK
 from kbspark.schema import FACT_CERTAINTIES, REPLY
 
 # Fixed value: the answer text of a question whose processing failed (confidence 0).
@@ -39,17 +47,27 @@ def _clean_fact(f: Column) -> Column:
                     F.coalesce(f["reasoning"], F.lit("")).alias("reasoning"))
 
 
+def _list_ok(strict: Column, field: str, decoded: Column) -> Column:
+    """The field is absent, or a list of which every element was decoded."""
+    there = F.try_variant_get(strict, f"$[0].{field}", "variant").isNotNull()
+    items = F.try_variant_get(strict, f"$[0].{field}", "array<variant>")
+    return ~there | F.coalesce(F.size(items) == F.size(decoded), F.lit(False))
+
+
 def parse_reply(text: Column) -> Column:
     """Reply text → struct<answer, reasoning, new_facts, updated_facts, can_answer, valid>."""
     start = F.locate("{", text)
     end = F.length(text) - F.locate("}", F.reverse(text)) + 1
     has = (start > 0) & (F.locate("}", F.reverse(text)) > 0) & (end >= start)
     body = F.when(has, text.substr(start, end - start + 1))
-    decoded = F.from_json(body, REPLY)
-    is_json = body.isNotNull() & F.get_json_object(body, "$").isNotNull() & F.trim(body).startswith("{")
+    # the variant parser takes no single quotes; inside a list nothing may stand behind the object
+    strict = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    alone = F.coalesce(F.size(F.try_variant_get(strict, "$", "array<variant>")) == 1, F.lit(False))
+    decoded = F.from_json(body, REPLY, {"allowSingleQuotes": "false"})
     new = F.coalesce(decoded["new_facts"], F.array().cast(REPLY["new_facts"].dataType))
     upd = F.coalesce(decoded["updated_facts"], F.array().cast(REPLY["updated_facts"].dataType))
-    valid = is_json & F.forall(new, _fact_ok) & F.forall(upd, _fact_ok)
+    valid = (alone & _list_ok(strict, "new_facts", new) & _list_ok(strict, "updated_facts", upd)
+             & F.forall(new, _fact_ok) & F.forall(upd, _fact_ok))
     empty = F.array().cast(REPLY["new_facts"].dataType)
     return F.struct(
         F.when(valid, F.coalesce(decoded["answer"], F.lit(""))).otherwise(F.lit("")).alias("answer"),
@@ -154,94 +172,139 @@ def answer_summary(questions: DataFrame, replies: DataFrame, facts: DataFrame, u
 
 
 # ----------------------------------------------------------------------------- sequential fold
+def json_as(value, kind: T.DataType):
+    """A decoded JSON value as the Spark type ``kind`` of the reply schema, as ``from_json`` reads
+    it; ValueError where a container is not one."""
+    if isinstance(kind, T.StructType):
+        if not isinstance(value, dict):
+            raise ValueError(f"not an object: {value!r}")
+        return {f.name: json_as(value[f.name], f.dataType) if f.name in value else None for f in kind}
+    if isinstance(kind, T.ArrayType):
+        if not isinstance(value, list):
+            raise ValueError(f"not a list: {value!r}")
+        return [json_as(v, kind.elementType) for v in value]
+    if isinstance(kind, T.BooleanType):
+        return value if isinstance(value, bool) else None
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+# What a decoded field becomes; a check that fails makes the whole reply blank.
+_FACT_FIELDS: dict[str, Callable] = {
+    "id": lambda v: v,
+    "fact": lambda v: _required(v),
+    "certainty": lambda v: _one_of(_required(v).lower(), FACT_CERTAINTIES),
+    "reasoning": lambda v: v or "",
+}
+_REPLY_FIELDS: dict[str, Callable] = {
+    "answer": lambda v: v or "",
+    "reasoning": lambda v: v or "",
+    "new_facts": lambda v: [_each(_FACT_FIELDS, f) for f in v or []],
+    "updated_facts": lambda v: [_each(_FACT_FIELDS, f) for f in v or []],
+    "can_answer": lambda v: bool(v),
+}
+
+
+def _required(value):
+    if value is None:
+        raise ValueError("missing")
+    return value
+
+
+def _one_of(value, domain):
+    if value not in domain:
+        raise ValueError(value)
+    return value
+
+
+def _each(fields: dict[str, Callable], record: dict) -> dict:
+    return {name: make(record[name]) for name, make in fields.items()}
+
+
 def parse_reply_py(text: str | None) -> dict:
-    """Python twin of ``parse_reply`` used inside the per-question loop."""
-    blank = {"answer": "", "reasoning": "", "new_facts": [], "updated_facts": [], "can_answer": False}
-    if not text:
-        return blank
-    start, end = text.find("{"), text.rfind("}")
-    if start < 0 or end < start:
-        return blank
+    """``parse_reply`` for one Python string, driven by the same schema."""
+    found = re.search(r"\{.*\}", text or "", re.DOTALL)
     try:
-        data = json.loads(text[start:end + 1])
-
-        def facts(lst):
-            out = []
-            for f in lst:
-                c = f["certainty"].lower()
-                if f["fact"] is None or c not in FACT_CERTAINTIES:
-                    raise ValueError(c)
-                out.append({"id": f.get("id"), "fact": f["fact"], "certainty": c,
-                            "reasoning": f.get("reasoning") or ""})
-            return out
-
-        return {"answer": data.get("answer") or "", "reasoning": data.get("reasoning") or "",
-                "new_facts": facts(data.get("new_facts") or []),
-                "updated_facts": facts(data.get("updated_facts") or []),
-                "can_answer": bool(data.get("can_answer", False))}
-    except Exception:  # noqa: BLE001 - any failure means the blank reply
-        return blank
-
-
-def fold_facts_sequential(rows: DataFrame, generate, prompt_col: str = "request") -> DataFrame:
-    """Literal fold per question with the generator in the loop (O-81 + O-84).
-
-    ``rows``: (query_id, doc_rank, question, context_json, dialog_history, + whatever the
-    generator reads). ``generate(request_json: str, row: dict) -> str`` is called once per
-    document in rank order with the facts and answer accumulated so far. Returns one row per
-    surviving fact plus the final answer: (query_id, fact_id, fact, certainty, reasoning,
-    final_result). Questions run in parallel; each question's documents (≤ top_k) are one
-    small group. A question whose processing raises (a failing generator) yields one row with
-    ``final_result`` = ``ERROR_ANSWER`` and no facts; the other questions are unaffected.
+        return _each(_REPLY_FIELDS, json_as(json.loads(found.group()), REPLY))
+    except (AttributeError, ValueError):   # no braces, no JSON, or a check that failed
+        return _each(_REPLY_FIELDS, dict.fromkeys(_REPLY_FIELDS))
+
+
+class Event(NamedTuple):
+    """One step of a question's history: ``answer``, ``create``, ``edit`` or ``delete``."""
+
+    kind: str
+    fact_id: str | None = None
+    values: dict | None = None
+
+
+@dataclass(frozen=True)
+class FactState:
+    """Facts of one question so far; ids count up and are never used again."""
+
+    answer: str = ""
+    created: int = 0
+    facts: Mapping[str, dict] = field(default_factory=dict)
+
+    def after(self, event: Event) -> FactState:
+        values = {k: v for k, v in (event.values or {}).items() if k in FACT_VALUES}
+        if event.kind == "answer":
+            return replace(self, answer=event.values["answer"])
+        if event.kind == "create":
+            return replace(self, created=self.created + 1, facts={**self.facts, str(self.created + 1): values})
+        if event.fact_id not in self.facts:
+            return self
+        rest = {k: v for k, v in self.facts.items() if event.kind != "delete" or k != event.fact_id}
+        if event.kind == "edit":
+            rest[event.fact_id] = {**rest[event.fact_id], **{k: v for k, v in values.items() if v}}
+        return replace(self, facts=rest)
+
+
+FACT_VALUES = ("fact", "certainty", "reasoning")
+
+
+def reply_events(reply: dict) -> list[Event]:
+    """What one parsed reply does to the state, in order."""
+    gone = "contradicts"
+    return [
+        Event("answer", values=reply),
+        *[Event("create", values=f) for f in reply["new_facts"] if f["certainty"] != gone],
+        *[Event("delete" if u["certainty"] == gone else "edit", u["id"], u) for u in reply["updated_facts"] if (u["id"] or "").strip()],
+    ]
+
+
+def request_of(row: Mapping, state: FactState) -> str:
+    """The request that a generator sees for one document."""
+    return json.dumps({
+        "task": REQUEST_TASK, "question": row.get("question"), "document_context": json.loads(row.get("context_json") or "[]"),
+        "previous_facts": [{"id": k, **v} for k, v in state.facts.items()], "previous_answer": state.answer,
+        "dialog_history": row.get("dialog_history") or ""}, ensure_ascii=False)
+
+
+def fold_facts_sequential(rows: DataFrame, generate) -> DataFrame:
+    """The fold with a generator in the loop (O-81 + O-84): each document's request holds the state
+    that the replies before it left.
+
+    ``rows``: (query_id, doc_rank, question, context_json, dialog_history, and whatever the
+    generator reads). ``generate(request_json: str, row: dict) -> str`` runs once per document in
+    rank order. One row per surviving fact: (query_id, fact_id, fact, certainty, reasoning,
+    final_result), or one with null fact columns. Questions run in parallel; a question's
+    documents (at most the top-k) are one small group. A question whose processing raises gives
+    one row with ``final_result`` = ``ERROR_ANSWER``; the others are unaffected.
     """
     import pandas as pd
 
-    schema = ("query_id long, fact_id string, fact string, certainty string, reasoning string, "
-              "final_result string")
+    names = ["query_id", "fact_id", *FACT_VALUES, "final_result"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        qid = int(pdf["query_id"].iloc[0])
+        query_id = int(pdf["query_id"].iloc[0])
+        state = FactState()
         try:
-            return fold_one(pdf, qid)
-        except Exception:  # noqa: BLE001 - one failing question yields its error answer only
-            return pd.DataFrame([{"query_id": qid, "fact_id": None, "fact": None, "certainty": None,
-                                  "reasoning": None, "final_result": ERROR_ANSWER}])
-
-    def fold_one(pdf: pd.DataFrame, qid: int) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_rank")
-        facts: dict[str, dict] = {}
-        counter = 0
-        answer = ""
-        for row in pdf.to_dict("records"):
-            request = json.dumps({
-                "task": "Analyze document for relevant information", "question": row.get("question"),
-                "document_context": json.loads(row.get("context_json") or "[]"),
-                "previous_facts": [{"id": k, **{f: v[f] for f in ("fact", "certainty", "reasoning")}}
-                                   for k, v in facts.items()],
-                "previous_answer": answer, "dialog_history": row.get("dialog_history") or ""},
-                ensure_ascii=False)
-            reply = parse_reply_py(generate(request, row))
-            answer = reply["answer"]
-            for nf in reply["new_facts"]:
-                if nf["certainty"] == "contradicts":
-                    continue
-                counter += 1
-                facts[str(counter)] = {"fact": nf["fact"], "certainty": nf["certainty"],
-                                       "reasoning": nf["reasoning"]}
-            for uf in reply["updated_facts"]:
-                fid = uf["id"]
-                if not fid or fid not in facts:
-                    continue
-                if uf["certainty"] == "contradicts":
-                    del facts[fid]
-                else:
-                    for f in ("fact", "certainty", "reasoning"):
-                        facts[fid][f] = uf[f] or facts[fid][f]
-        out = [{"query_id": qid, "fact_id": k, "fact": v["fact"], "certainty": v["certainty"],
-                "reasoning": v["reasoning"], "final_result": answer} for k, v in facts.items()]
-        if not out:
-            out = [{"query_id": qid, "fact_id": None, "fact": None, "certainty": None, "reasoning": None,
-                    "final_result": answer}]
-        return pd.DataFrame(out, columns=["query_id", "fact_id", "fact", "certainty", "reasoning", "final_result"])
-
-    return rows.groupBy("query_id").applyInPandas(run, schema)
+            for row in pdf.sort_values("doc_rank").to_dict("records"):
+                state = reduce(FactState.after, reply_events(parse_reply_py(generate(request_of(row, state), row))), state)
+        except Exception:  # noqa: BLE001 - a failing question gives its error answer only
+            state = FactState(answer=ERROR_ANSWER)
+        table = [(query_id, k, *[v[c] for c in FACT_VALUES], state.answer) for k, v in state.facts.items()]
+        return pd.DataFrame(table or [(query_id, None, None, None, None, state.answer)], columns=names)
+
+    return rows.groupBy("query_id").applyInPandas(
+        run, "query_id long, fact_id string, fact string, certainty string, reasoning string, final_result string")

@@ -90,11 +90,11 @@ def group_concat(df: DataFrame, group_by: str | list[str], concat: list[ConcatRu
             w = Window.partitionBy(*keys, F.col(r.column).isNull()).orderBy(*order)
             pos = F.row_number().over(w)
             extra.append(F.when(F.col(r.column).isNotNull(), _render(rule, val, pos, columns)).alias(piece))
-            aggs.append(F.expr(f"listagg({piece}, '') WITHIN GROUP (ORDER BY {order_sql})").alias(out_name))
+            aggs.append(F.expr(f"coalesce(listagg({piece}, '') WITHIN GROUP (ORDER BY {order_sql}), '')").alias(out_name))
         else:
             extra.append(val.alias(piece))
             sep = rule.replace("\\", "\\\\").replace("'", "\\'")
-            aggs.append(F.expr(f"listagg({piece}, '{sep}') WITHIN GROUP (ORDER BY {order_sql})").alias(out_name))
+            aggs.append(F.expr(f"coalesce(listagg({piece}, '{sep}') WITHIN GROUP (ORDER BY {order_sql}), '')").alias(out_name))
     prepared = data.select(*[F.col(c) for c in columns], *extra)
     return prepared.groupBy(*keys).agg(*aggs)
 

@@ -15,10 +15,12 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kbspark.functions.vectors import DIST_DIGITS, cosine_distance, l2_distance, unit
-from kbspark.operators.joins import require_bounded
+from kbspark.operators.joins import bounded_broadcast, row_blocks
 
 MAX_QUERIES = 100_000
 
@@ -30,8 +32,8 @@ def l2_topk(index: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec
         q = q.where(F.length(F.trim(F.col(query_text))) > 0)
     # cast once per side, not once per (query, vector) pair
     q = q.select("query_id", F.col(query_vec).cast("array<double>").alias("_q"))
-    pairs = (index.select(id_col, F.col(vec_col).cast("array<double>").alias("_v"))
-             .crossJoin(require_bounded(q, MAX_QUERIES, "query table")))
+    vectors = index.select(id_col, F.col(vec_col).cast("array<double>").alias("_v"))
+    pairs = reduce(DataFrame.unionByName, [vectors.crossJoin(F.broadcast(b)) for b in row_blocks(q, "query_id", MAX_QUERIES)])
     d = pairs.select("query_id", id_col, l2_distance("_v", "_q").alias("l2_distance"))
     w = Window.partitionBy("query_id").orderBy("l2_distance", id_col)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -111,7 +113,8 @@ def ivf_topk(assigned: DataFrame, centroids: list[list[float]], queries: DataFra
     q = queries.select("query_id", F.col(query_vec).alias("_q"))
     probe = q.select("query_id", "_q", F.explode(nearest_cells(F.col("_q"), centroids, nprobe)).alias("p")) \
         .select("query_id", "_q", F.col("p.cell").alias("cell"))
-    pb = require_bounded(probe, MAX_QUERIES * max(nprobe, 1), "probe table")
+    small = bounded_broadcast(probe, MAX_QUERIES * max(nprobe, 1))
+    pb = probe if small is None else small
     cand = assigned.join(pb, "cell")
     d = cand.select("query_id", id_col, "cell", cosine_distance(vec_col, "_q").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", id_col)

@@ -33,6 +33,15 @@ def require_bounded(df: DataFrame, max_rows: int, what: str) -> DataFrame:
     return b
 
 
+def row_blocks(df: DataFrame, key: str, max_rows: int = DEFAULT_BROADCAST_ROWS) -> list[DataFrame]:
+    """``df`` as disjoint frames of about ``max_rows`` rows at most, dealt by a hash of ``key``:
+    a query set of any size meets all rows block by block, each block small enough to broadcast."""
+    n = -(-df.count() // max_rows)
+    if n <= 1:
+        return [df]
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(2 * n)) == i) for i in range(2 * n)]
+
+
 def hot_key_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salt: int = DEFAULT_SALT,
                  salt_by: list[str] | None = None, small_fits: bool | None = None) -> DataFrame:

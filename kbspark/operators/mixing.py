@@ -19,7 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kbspark.operators.joins import bounded_broadcast, require_bounded
+from kbspark.operators.joins import bounded_broadcast
+from kbspark.session import materialize
 
 SMOOTHING = 0.3
 EPS = 1e-6
@@ -28,16 +29,19 @@ EPS = 1e-6
 def hash_uniform(*parts) -> Column:
     """Uniform in [0, 1) from the md5 of the '|'-free concatenation of ``parts``."""
     key = F.concat(*[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    # 52 bits: every value is an exact double, and any row of a dataset of 10^15 can be drawn
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
 def consecutive_index(df: DataFrame, order_cols: list[str], n_partitions: int | None = None,
                       name: str = "row_index") -> DataFrame:
     """0-based consecutive index in the total order of ``order_cols`` (must be unique)."""
     n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
+    # written once: rows and sizes must see the same range boundaries, and two plans over the
+    # same frame would each sample their own
+    ranged = materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -75,14 +79,11 @@ def local_index(df: DataFrame, dataset_col: str, order_col: str) -> DataFrame:
 
 
 def with_neighbours(df: DataFrame, key: str, order_col: str, cols: list[str]) -> DataFrame:
-    """``lead``/``lag`` of ``cols`` inside each ``key`` group without a per-group window: rows get
-    dense positions (range-partitioned numbering) and the neighbours arrive by equi-joins on
-    (key, position ± 1), so a group holding a third of all rows is spread over many tasks.
-    Adds ``next_<c>`` and ``prev_<c>`` columns (NULL at the group ends)."""
-    li = local_index(df, key, order_col)
-    nxt = li.select(key, (F.col("local_index") - 1).alias("local_index"), *[F.col(c).alias("next_" + c) for c in cols])
-    prv = li.select(key, (F.col("local_index") + 1).alias("local_index"), *[F.col(c).alias("prev_" + c) for c in cols])
-    return li.join(nxt, [key, "local_index"], "left").join(prv, [key, "local_index"], "left").drop("local_index")
+    """``df`` with ``next_<c>`` and ``prev_<c>``: ``lead`` and ``lag`` of ``cols`` inside each
+    ``key`` group (NULL at the group ends). One shuffle on ``key``; the window streams over its
+    sorted rows, so a long group costs time in its task but no memory."""
+    w = Window.partitionBy(key).orderBy(order_col)
+    return df.select("*", *[F.lead(c).over(w).alias("next_" + c) for c in cols], *[F.lag(c).over(w).alias("prev_" + c) for c in cols])
 
 
 def _offsets(sizes: DataFrame, dataset_col: str) -> DataFrame:
@@ -113,10 +114,12 @@ def weighted_sample(df: DataFrame, weights: DataFrame, dataset_col: str = "datas
     draws = indexed.select(F.col("global_index").alias("draw"),
                            hash_uniform(F.col("global_index"), F.lit(":" + seed + ":d")).alias("_u1"),
                            hash_uniform(F.col("global_index"), F.lit(":" + seed + ":r")).alias("_u2"))
-    # the dataset table has one row per dataset: a range lookup against a broadcast whose size is
-    # checked (a range condition must never meet a large table)
-    b = require_bounded(bounds, 100_000, "dataset table")
-    picked = draws.join(b, (F.col("_u1") >= F.col("_lo")) & (F.col("_u1") < F.col("_hi")))
+    # range lookup as an equi-join on 1024 slices of [0, 1): each dataset stands in every slice
+    # that its range meets, so the join works for any number of datasets
+    cell = lambda c: F.floor(F.least(F.col(c), F.lit(1.0)) * 1024)
+    cells = bounds.withColumn("_cell", F.explode(F.sequence(cell("_lo"), cell("_hi"))))
+    picked = (draws.withColumn("_cell", cell("_u1")).join(cells, "_cell")
+              .where((F.col("_u1") >= F.col("_lo")) & (F.col("_u1") < F.col("_hi"))))
     picked = picked.select("draw", dataset_col, F.floor(F.col("_u2") * F.col("n_rows")).cast("bigint").alias("local_index"))
     return picked.join(indexed.drop("global_index", "n_rows"), [dataset_col, "local_index"])
 

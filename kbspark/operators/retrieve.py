@@ -14,10 +14,12 @@ cross the network.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kbspark.functions.vectors import DIST_DIGITS, dot, norm, unit
-from kbspark.operators.joins import require_bounded
+from kbspark.operators.joins import bounded_broadcast, row_blocks
 
 MAX_QUESTIONS = 100_000
 
@@ -51,18 +53,19 @@ def candidate_distances(questions: DataFrame, chunks: DataFrame, embeddings: Dat
     With ``accessible`` (query_id, document_id): candidate vectors reach a question through an
     equi-join on document_id, so only permitted (question, vector) pairs are ever formed.
     Without it every vector is compared with every question (exact search); the question
-    table is then broadcast after checking it holds at most ``MAX_QUESTIONS`` rows.
+    table is then broadcast in blocks of about ``MAX_QUESTIONS`` rows at most.
     """
     q = prepare_questions(questions)
-    qb = F.broadcast(q) if questions_checked else require_bounded(q, MAX_QUESTIONS, "question table")
+    small = F.broadcast(q) if questions_checked else bounded_broadcast(q, MAX_QUESTIONS)
     vecs = prepare_vectors(embeddings)
     cand = chunks.select("chunk_id", "document_id").join(vecs, "chunk_id")
     if accessible is None:
-        pairs = cand.crossJoin(qb)
+        blocks = [small] if small is not None else [F.broadcast(b) for b in row_blocks(q, "query_id", MAX_QUESTIONS)]
+        pairs = reduce(DataFrame.unionByName, [cand.crossJoin(b) for b in blocks])
     else:
         acc = accessible.select("query_id", "document_id").distinct()
         pairs = (cand.join(acc, "document_id")
-                 .join(qb, "query_id"))
+                 .join(q if small is None else small, "query_id"))
     return pairs.select("query_id", "chunk_id", "document_id", "embedding_id", "subchunk_idx",
                         _distance().alias("dist"))
 

@@ -453,7 +453,7 @@ FROM (""" + _SEP + ")"
 
 # ------------------------------------------------------------------------------- mixing
 def _u(x):
-    return "(('0x' || substr(md5(" + x + "), 1, 8))::UBIGINT / 4294967296.0)"
+    return "(('0x' || substr(md5(" + x + "), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
 
 
 CTE["mix"] = """mix AS (
@@ -744,9 +744,8 @@ CTE["monthly"] = """monthly0 AS (
   FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
   JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name, month),
 monthly AS (
-  SELECT *, lag(revenue) OVER (PARTITION BY r_name ORDER BY month) AS prev_revenue,
-    round(revenue - lag(revenue) OVER (PARTITION BY r_name ORDER BY month), 2) AS revenue_change
-  FROM monthly0)"""
+  SELECT a.*, b.revenue AS prev_revenue, round(a.revenue - b.revenue, 2) AS revenue_change
+  FROM monthly0 a LEFT JOIN monthly0 b ON b.r_name = a.r_name AND b.month = a.month - INTERVAL 1 MONTH)"""
 SQL["order_dynamics"] = with_ctes(["monthly"], "SELECT r_name, month, n_orders, revenue, prev_revenue, revenue_change FROM monthly")
 SQL["problem_regions"] = with_ctes(["monthly"], """,
 last AS (SELECT * FROM monthly WHERE month = (SELECT max(month) FROM monthly))

@@ -21,7 +21,7 @@ from kbspark.operators import embed as emb, importance as imp, index as idx, int
 from kbspark.operators import mixing as mx, qa_data as qa, retrieve as rt
 from kbspark.plans import ingest, report
 from kbspark import schema as S
-from kbspark.operators.joins import require_bounded
+from kbspark.operators.joins import bounded_broadcast
 from kbspark.session import materialize, scratch_path
 from kbspark.sources import fixtures as fx
 from kbspark.sources.tables import read_table
@@ -83,10 +83,9 @@ class KB:
 
     @cached_property
     def questions_fit(self) -> bool:
-        """One size check of the question table per query. Callers are derived from questions,
-        so the same bound covers them (MAX_QUESTIONS <= the broadcast row bound)."""
-        require_bounded(self.questions.select("query_id"), rt.MAX_QUESTIONS, "question table")
-        return True
+        """Whether the question table may be broadcast: one size check per query. Callers are derived
+        from questions, so the same bound covers them (MAX_QUESTIONS <= the broadcast row bound)."""
+        return bounded_broadcast(self.questions.select("query_id"), rt.MAX_QUESTIONS) is not None
 
     # access
     @cached_property

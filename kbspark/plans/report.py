@@ -29,7 +29,9 @@ def monthly_by_region(orders: DataFrame, customer: DataFrame, nation: DataFrame,
     m = j.groupBy("r_name", "month").agg(F.count(F.lit(1)).alias("n_orders"),
                                          F.round(F.sum("o_totalprice"), 2).alias("revenue"))
     w = Window.partitionBy("r_name").orderBy("month")
-    return (m.withColumn("prev_revenue", F.lag("revenue").over(w))
+    # the month before, not the row before: a month without orders has no change after it
+    follows = F.lag("month").over(w) == F.add_months("month", -1).cast("timestamp")
+    return (m.withColumn("prev_revenue", F.when(follows, F.lag("revenue").over(w)))
             .withColumn("revenue_change", F.round(F.col("revenue") - F.col("prev_revenue"), 2)))
 
 

@@ -4,16 +4,17 @@ runs the same comparison at sf0.01)."""
 import pytest
 
 import __spark_entry__ as E
+from kbspark.plans import oracle, queries as plans
 from conftest import SF_SMALL
 from oracle_check import check
 
-NAMES = sorted(E.queries())
+NAMES = sorted(plans.queries())
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    rows_only = set(plans.queries()) - set(oracle.oracle_sql())
     assert rows_only <= {"vector_ivf_topk", "importance_lsh"}
-    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(oracle.oracle_sql()) <= set(plans.queries())
 
 
 def test_entry_smoke(spark):
