@@ -44,10 +44,12 @@ def in_batches(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = B
 def pack(owners: int, batch: int, key: np.ndarray, *columns: np.ndarray, send_key: bool = True) -> pa.Table:
     """One row per owner of ``key``: keys sorted, the columns in the same order, as bytes. Without
     ``send_key`` the key only chooses the owner."""
+    if not len(key):
+        return _ASK.empty_table()
     order = np.lexsort((key, key % np.uint64(owners)))
     key, columns = key[order], [c[order] for c in columns]
     who = (key % np.uint64(owners)).astype(np.int32)
-    at = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
     stop = np.r_[at[1:], len(who)]
     extra = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(at, stop, strict=True)]
     return pa.Table.from_arrays([

@@ -35,7 +35,7 @@ RECORDS = ("record_id string, type string, target_uri string, concurrent_to arra
 
 
 def _uuid(*parts: Column) -> Column:
-    h = F.md5(F.to_json(F.struct(*parts)))
+    h = F.md5(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
