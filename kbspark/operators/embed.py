@@ -96,6 +96,47 @@ def model_embedding(model_factory: Callable[[], Callable], dim: int) -> Callable
     return _embed
 
 
+MADE = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("attempts", T.IntegerType()),
+                     T.StructField("error_message", T.StringType())])
+
+
+def isolated_embedding(model_factory: Callable[[], Callable], dim: int, max_attempts: int = 3) -> Callable[[Column], Column]:
+    """As ``model_embedding``, but one text cannot fail the job: the column is a struct of vector,
+    attempts (failed tries) and error_message. A batch that fails is embedded text by text, each tried up to
+    ``max_attempts`` times; a vector that is not ``dim`` long counts as a failure. A text that
+    keeps failing has no vector and the last error."""
+
+    def checked(vec) -> list[float]:
+        out = [float(x) for x in vec]
+        if len(out) != dim:
+            raise ValueError(f"vector of {len(out)} numbers, not {dim}")
+        return out
+
+    def alone(encode, text: str) -> tuple:
+        error = ""
+        for tries in range(max_attempts):
+            try:
+                return checked(encode([text])[0]), tries, None
+            except Exception as e:  # noqa: BLE001 - the model's, kept with the row
+                error = f"{type(e).__name__}: {e}"
+        return None, max_attempts, error
+
+    @F.pandas_udf(MADE)
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode = model_factory()
+        for s in batches:
+            texts = s.fillna("").tolist()
+            try:
+                rows = [(checked(v), 0, None) for v in encode(texts)]
+                if len(rows) != len(texts):
+                    raise ValueError("as many vectors as texts expected")
+            except Exception:  # noqa: BLE001 - found out text by text
+                rows = [alone(encode, t) for t in texts]
+            yield pd.DataFrame(rows, columns=MADE.names)
+
+    return _embed
+
+
 def embed(text: Column, model: str | Callable[[Column], Column] = DEFAULT_MODEL_NAME, dim: int = DEFAULT_DIM) -> Column:
     if model == DEFAULT_MODEL_NAME:
         return hashed_embedding(text, dim)

@@ -43,9 +43,14 @@ def exact_importance(docs: DataFrame, id_col: str = "document_id", text_col: str
     # the (id, fingerprint) table is written once: both the group sizes and the join back read
     # it instead of hashing every text twice more
     fp = materialize(docs.select(id_col, fingerprint(F.col(text_col)).alias("fingerprint")))
-    sizes = fp.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("_n"))
-    j = hot_key_join(fp, sizes, ["fingerprint"], salt_by=[id_col])
-    return j.select(id_col, "fingerprint", (F.col("_n") - 1).alias("importance"))
+    sizes = _repeated(fp, ["fingerprint"])
+    j = hot_key_join(fp, sizes, ["fingerprint"], how="left", salt_by=[id_col])
+    return j.select(id_col, "fingerprint", F.coalesce(F.col("_n") - 1, F.lit(0)).alias("importance"))
+
+
+def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _n) of the keys that more than one row holds, written once: the others need no join."""
+    return materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
 
 
 def minhash(text: Column, n_hashes: int = N_HASHES, k: int = SHINGLE) -> Column:
@@ -69,8 +74,7 @@ def near_importance(docs: DataFrame, id_col: str = "document_id", text_col: str
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.xxhash64(F.slice(sg, b * rows_per_band + 1, rows_per_band))))).alias("band", "bucket"))
     banded = materialize(banded.where(F.col("bucket").isNotNull()))
-    sizes = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("_n"))
-    j = hot_key_join(banded, sizes, ["band", "bucket"], salt_by=[id_col])
+    j = hot_key_join(banded, _repeated(banded, ["band", "bucket"]), ["band", "bucket"], salt_by=[id_col])
     best = j.groupBy(id_col).agg((F.max("_n") - 1).alias("importance_near"))
     return docs.select(id_col).join(best, id_col, "left").select(
         id_col, F.coalesce(F.col("importance_near"), F.lit(0)).alias("importance_near"))

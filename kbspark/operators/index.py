@@ -14,29 +14,81 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
-
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from kbspark.functions.vectors import DIST_DIGITS, cosine_distance, l2_distance, unit
+from kbspark.functions.vectors import DIST_DIGITS, cosine_distance, unit
 from kbspark.operators.joins import bounded_broadcast, row_blocks
 
 MAX_QUERIES = 100_000
 
 
+QUERY_SLICE, VECTOR_SLICE = 2048, 512   # distances computed at once in a task: at most their product
+
+
+def _nearest(ids: np.ndarray, vectors: np.ndarray, q: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int) -> None:
+    """Merge the distances from every row of ``q`` to ``vectors`` into ``best``, the k nearest so far
+    (distances and ids per question, by distance, then id)."""
+    squares = np.zeros((len(q), len(vectors)))
+    for j in range(q.shape[1]):   # one coordinate at a time, in the order that a row-wise sum would take
+        squares += (q[:, j, None] - vectors[None, :, j]) ** 2
+    d = np.concatenate([best[0], np.round(np.sqrt(squares), DIST_DIGITS)], axis=1)
+    i = np.concatenate([best[1], np.broadcast_to(ids, squares.shape)], axis=1)
+    order = np.lexsort((i, d), axis=1)[:, :k]
+    best[0][:], best[1][:] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+
+def _search_block(index: DataFrame, block: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
+    """The k nearest vectors of each task to each question of ``block`` (broadcast)."""
+    got = block.toArrow()
+    dims = {}
+    for place, vec in enumerate(got.column("_q").to_pylist()):
+        dims.setdefault(len(vec), []).append((place, vec))
+    known = [(np.array([p for p, _ in rows]), np.array([v for _, v in rows]).reshape(len(rows), n)) for n, rows in dims.items()]
+    held = index.sparkSession.sparkContext.broadcast((got.column("query_id").combine_chunks(), known))
+    text_ids = isinstance(index.schema[id_col].dataType, T.StringType)
+
+    def run(batches):
+        query_ids, known = held.value
+        best = [(np.full((len(q), k), np.inf), np.full((len(q), k), "" if text_ids else 0, object if text_ids else np.int64)) for _, q in known]
+        id_type = None
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            size = pc.fill_null(pc.list_value_length(batch.column(1)), -1).to_numpy(zero_copy_only=False)
+            for (_, q), (d, i) in zip(known, best, strict=True):
+                part = batch.filter(pa.array(size == q.shape[1]))
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                for a in range(0, len(ids), VECTOR_SLICE):
+                    for c in range(0, len(q), QUERY_SLICE):
+                        _nearest(ids[a:a + VECTOR_SLICE], vectors[a:a + VECTOR_SLICE], q[c:c + QUERY_SLICE],
+                                 (d[c:c + QUERY_SLICE], i[c:c + QUERY_SLICE]), k)
+        for (place, _), (d, i) in zip(known, best, strict=True):
+            row, col = np.nonzero(np.isfinite(d))
+            if len(row):
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(place[row])), pa.array(i[row, col], id_type), pa.array(d[row, col])],
+                                                 names=["query_id", id_col, "l2_distance"])
+
+    schema = T.StructType([block.schema["query_id"], index.schema[id_col], T.StructField("l2_distance", T.DoubleType())])
+    return index.select(id_col, F.col(vec_col).cast("array<double>").alias("_v")).where(f"`{id_col}` IS NOT NULL").mapInArrow(run, schema)
+
+
 def l2_topk(index: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vec_col: str = "embedding",
             query_vec: str = "query_vector", query_text: str | None = "question") -> DataFrame:
+    """(query_id, id, l2_distance, rank): the k nearest vectors of each question, ties by id (a
+    number or a string). Vectors of another length than the question's, null ones and null ids match
+    nothing. Each task keeps its k nearest per question; only those are shuffled."""
     q = queries
     if query_text:
         q = q.where(F.length(F.trim(F.col(query_text))) > 0)
-    # cast once per side, not once per (query, vector) pair
-    q = q.select("query_id", F.col(query_vec).cast("array<double>").alias("_q"))
-    vectors = index.select(id_col, F.col(vec_col).cast("array<double>").alias("_v"))
-    pairs = reduce(DataFrame.unionByName, [vectors.crossJoin(F.broadcast(b)) for b in row_blocks(q, "query_id", MAX_QUERIES)])
-    d = pairs.select("query_id", id_col, l2_distance("_v", "_q").alias("l2_distance"))
+    q = q.select("query_id", F.col(query_vec).cast("array<double>").alias("_q")).where(F.size("_q") > 0)
+    found = reduce(DataFrame.unionByName, [_search_block(index, b, k, id_col, vec_col) for b in row_blocks(q, "query_id", MAX_QUERIES)])
     w = Window.partitionBy("query_id").orderBy("l2_distance", id_col)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 @dataclass

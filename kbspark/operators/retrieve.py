@@ -6,8 +6,8 @@ rank inside (question, chunk) → best, average of the first ``subchunk_top_k``,
 top ``top_k`` chunks per question by best distance (tie: chunk id) → blended score →
 ``score >= threshold`` applied *after* the top-k.
 
-Plan shape: vectors are normalised once per row; the question side is a size-checked
-broadcast; both per-group limits are ``row_number() <= k`` filters, which Spark turns into a
+Plan shape: vectors are normalised once per row; the question side is broadcast in blocks of
+checked size; both per-group limits are ``row_number() <= k`` filters, which Spark turns into a
 partial ``WindowGroupLimit`` before the shuffle, so at most k rows per group and map task
 cross the network.
 """
@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kbspark.functions.vectors import DIST_DIGITS, dot, norm, unit
-from kbspark.operators.joins import bounded_broadcast, row_blocks
+from kbspark.operators.joins import row_blocks
 
 MAX_QUESTIONS = 100_000
 
@@ -47,25 +47,24 @@ def candidate_distances(questions: DataFrame, chunks: DataFrame, embeddings: Dat
                         accessible: DataFrame | None = None, questions_checked: bool = False) -> DataFrame:
     """(query_id, chunk_id, document_id, embedding_id, subchunk_idx, dist).
 
-    Only ids and the distance travel through the per-chunk shuffle; chunk index and text are
-    attached to the (bounded) top-k rows at the end by ``attach_chunk_details``.
+    After the vectors have met their chunks once (by chunk_id), only ids and the distance travel;
+    chunk index and text are attached to the top-k rows at the end by ``attach_chunk_details``.
 
-    With ``accessible`` (query_id, document_id): candidate vectors reach a question through an
-    equi-join on document_id, so only permitted (question, vector) pairs are ever formed.
-    Without it every vector is compared with every question (exact search); the question
-    table is then broadcast in blocks of about ``MAX_QUESTIONS`` rows at most.
+    With ``accessible`` (query_id, document_id): permitted (question, chunk) rows are made from ids
+    alone, and vectors join them by chunk_id, so only permitted pairs are ever formed.
+    Without it every vector is compared with every question (exact search). Either way the
+    question vectors are broadcast, in blocks of about ``MAX_QUESTIONS`` rows at most.
     """
     q = prepare_questions(questions)
-    small = F.broadcast(q) if questions_checked else bounded_broadcast(q, MAX_QUESTIONS)
+    blocks = [F.broadcast(b) for b in ([q] if questions_checked else row_blocks(q, "query_id", MAX_QUESTIONS))]
     vecs = prepare_vectors(embeddings)
-    cand = chunks.select("chunk_id", "document_id").join(vecs, "chunk_id")
+    places = chunks.select("chunk_id", "document_id")
     if accessible is None:
-        blocks = [small] if small is not None else [F.broadcast(b) for b in row_blocks(q, "query_id", MAX_QUESTIONS)]
+        cand = places.join(vecs, "chunk_id")
         pairs = reduce(DataFrame.unionByName, [cand.crossJoin(b) for b in blocks])
     else:
-        acc = accessible.select("query_id", "document_id").distinct()
-        pairs = (cand.join(acc, "document_id")
-                 .join(q if small is None else small, "query_id"))
+        cand = places.join(accessible.select("query_id", "document_id").distinct(), "document_id").join(vecs, "chunk_id")
+        pairs = reduce(DataFrame.unionByName, [cand.join(b, "query_id") for b in blocks])
     return pairs.select("query_id", "chunk_id", "document_id", "embedding_id", "subchunk_idx",
                         _distance().alias("dist"))
 
@@ -96,10 +95,9 @@ def top_chunks(stats: DataFrame, top_k: int = 20) -> DataFrame:
 
 
 def attach_chunk_details(top: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add chunk_idx and chunk_text to top-k rows. ``top`` holds at most
-    MAX_QUESTIONS × top_k rows (the question table was size-checked before the search), so it
-    is the broadcast side and the chunk table is scanned once without a shuffle."""
-    return chunks.select("chunk_id", "chunk_idx", "chunk_text").join(F.broadcast(top), "chunk_id")
+    """Add chunk_idx and chunk_text to top-k rows. How many those are depends on the questions, so
+    the join carries no hint: Spark broadcasts the side that its statistics show to be small."""
+    return chunks.select("chunk_id", "chunk_idx", "chunk_text").join(top, "chunk_id")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame,

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kbspark import schema as S
 from kbspark.operators import chunking
@@ -71,27 +71,34 @@ def _stamp(as_of: str | None) -> Column:
 
 def build_embeddings(chunks: DataFrame, model=DEFAULT_MODEL_NAME, dim: int = DEFAULT_DIM,
                      as_of: str | None = None) -> DataFrame:
-    """Token windows of the chunks and their vectors."""
+    """Token windows of the chunks and their vectors. A window that the model cannot embed
+    (``embed.isolated_embedding``) is a FAILED row with its attempts and error and no vector."""
     sub = chunking.token_subchunks(chunks, key_cols=("chunk_id", "document_id", "chunk_idx"))
     model_name = model if isinstance(model, str) else getattr(model, "__name__", "user-model")
-    return sub.select(
+    made = sub.withColumn("_made", embed(F.col("subchunk_text"), model, dim))
+    if isinstance(made.schema["_made"].dataType, T.StructType):
+        vector, attempts, error = (F.col(f"_made.{c}") for c in ("vector", "attempts", "error_message"))
+    else:
+        vector, attempts, error = F.col("_made"), F.lit(0), F.lit(None).cast("string")
+    return made.select(
         stable_id("document_id", "chunk_idx", "subchunk_idx").alias("embedding_id"), "chunk_id", "subchunk_idx",
-        embed(F.col("subchunk_text"), model, dim).alias("vector"), F.lit(EMBEDDING_SCOPE).alias("embedding_scope"),
+        vector.alias("vector"), F.lit(EMBEDDING_SCOPE).alias("embedding_scope"),
         F.lit(model_name).alias("embedding_model"), F.lit(chunking.SUBCHUNK_OVERLAP_TOKENS).alias("overlap"),
-        F.lit("COMPLETED").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error_message"),
+        F.when(error.isNull(), F.lit("COMPLETED")).otherwise(F.lit("FAILED")).alias("status"),
+        attempts.alias("attempts"), error.alias("error_message"),
         _stamp(as_of).alias("created_at"))
 
 
-def write_batch(tables: dict[str, DataFrame], out_dir: str, batch_id: int) -> None:
+def write_batch(tables: dict[str, DataFrame], out_dir: str, batch_id: int | str) -> None:
     """Write each table under ``out_dir/<name>`` partition ``batch_id``, replacing that
     partition only (dynamic partition overwrite)."""
     for name, df in tables.items():
-        (df.withColumn("batch_id", F.lit(int(batch_id)))
+        (df.withColumn("batch_id", F.lit(str(batch_id)))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(os.path.join(out_dir, name)))
 
 
-def ingest_batch(requests: DataFrame, out_dir: str, batch_id: int, model=DEFAULT_MODEL_NAME,
+def ingest_batch(requests: DataFrame, out_dir: str, batch_id: int | str, model=DEFAULT_MODEL_NAME,
                  dim: int = DEFAULT_DIM, as_of: str | None = None) -> None:
     """Write one batch. Chunks are written first and the vectors are built from the written
     chunk rows, so sentence splitting runs once per document and the vector stage restarts
@@ -99,8 +106,9 @@ def ingest_batch(requests: DataFrame, out_dir: str, batch_id: int, model=DEFAULT
     responses, documents, chunks = build(requests, as_of)
     write_batch({"responses": responses, "documents": documents, "chunks": chunks}, out_dir, batch_id)
     spark = requests.sparkSession
-    written = (spark.read.parquet(os.path.join(out_dir, "chunks"))
-               .where(F.col("batch_id") == int(batch_id)).drop("batch_id"))
+    schema = T.StructType([*chunks.schema.fields, T.StructField("batch_id", T.StringType())])
+    written = (spark.read.schema(schema).parquet(os.path.join(out_dir, "chunks"))
+               .where(F.col("batch_id") == str(batch_id)).drop("batch_id"))
     write_batch({"embeddings": build_embeddings(written, model, dim, as_of)}, out_dir, batch_id)
 
 

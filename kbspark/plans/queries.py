@@ -192,9 +192,8 @@ def q_vector_distance(spark, sf_dir):
     q = kb.questions.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
     e = (kb.embeddings.where(F.col("status") == "COMPLETED")
          .select("embedding_id", "chunk_id", F.col("vector").cast("array<double>").alias("v")))
-    cand = (kb.chunks.select("chunk_id", "document_id").join(e, "chunk_id")
-            .join(kb.question_access, "document_id")
-            .join(F.broadcast(q) if kb.questions_fit else q, "query_id"))
+    cand = (kb.chunks.select("chunk_id", "document_id").join(kb.question_access, "document_id")
+            .join(e, "chunk_id").join(F.broadcast(q) if kb.questions_fit else q, "query_id"))
     return cand.select("query_id", "embedding_id",
                        cosine_distance("v", "query_vector").alias("cosine_distance"),
                        l2_distance("v", "query_vector").alias("l2_distance"),
@@ -340,10 +339,10 @@ def q_dialog_compact(spark, sf_dir):
 
 @query("dialog_stream")
 def q_dialog_stream(spark, sf_dir):
-    """Conversation turns streamed through keyed state (newest 20 turns per conversation)."""
+    """Conversation turns streamed through keyed state."""
     from kbspark.streaming.dialog_stream import latest_histories, run_dialog_stream
     out = scratch_path(spark, "dialog-stream-" + uuid.uuid4().hex)
-    run_dialog_stream(spark, sf_dir, out, limit=20, file_glob="conversations.parquet")
+    run_dialog_stream(spark, sf_dir, out, file_glob="conversations.parquet")
     return latest_histories(spark, out).select("conv_id", "n_turns", "history")
 
 

@@ -108,7 +108,8 @@ def conform(df: DataFrame, schema: T.StructType, renames: dict | None = None,
 
     Renamed columns are taken from their old name, missing columns are back-filled with the
     given default (or NULL), extra columns are dropped and every column is cast with
-    ``try_cast`` semantics so one bad value becomes NULL instead of failing the job.
+    ``try_cast`` semantics so one bad value becomes NULL instead of failing the job;
+    ``conform_rejects`` lists the rows and columns where that happened.
     A pure projection: no shuffle, and the Parquet scan reads only the columns used.
     """
     renames = renames or {}
@@ -133,3 +134,26 @@ def conform(df: DataFrame, schema: T.StructType, renames: dict | None = None,
         else:
             cols.append(c.try_cast(field.dataType).alias(field.name))
     return df.select(*cols)
+
+
+def conform_rejects(df: DataFrame, schema: T.StructType, renames: dict | None = None,
+                    defaults: dict | None = None) -> DataFrame:
+    """The rows of ``df``, as they are, that ``conform`` cannot carry over whole, with ``bad_columns``:
+    the target columns whose value does not fit their type, or which allow no NULL and get one."""
+    renames, defaults = renames or {}, defaults or {}
+    bad = []
+    for field in schema.fields:
+        source = renames.get(field.name, field.name)
+        if source not in df.columns:
+            if not field.nullable and field.name not in defaults:
+                bad.append(F.lit(field.name))
+            continue
+        lost = F.lit(False)
+        if not isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            lost = F.col(source).isNotNull() & F.col(source).try_cast(field.dataType).isNull()
+        if not field.nullable and field.name not in defaults:
+            lost = lost | F.col(source).isNull()
+        bad.append(F.when(lost, F.lit(field.name)))
+    none = F.array().cast("array<string>")
+    return (df.withColumn("bad_columns", F.array_compact(F.array(*bad)) if bad else none)
+            .where(F.size("bad_columns") > 0))

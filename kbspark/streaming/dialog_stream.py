@@ -1,9 +1,9 @@
 """Dialog memory as a stateful stream (O-80 / O-53, streaming form).
 
-Conversation turns arrive as files; ``applyInPandasWithState`` keeps, per conversation, only
-the newest ``limit`` turns as state (bounded no matter how long a conversation grows) and
-emits the conversation's formatted history whenever it changes. Each epoch is written to its
-own ``epoch`` partition with dynamic overwrite, so a replayed epoch rewrites the same rows;
+Conversation turns arrive as files; ``applyInPandasWithState`` keeps the turns of each conversation
+(with ``limit``, the newest ones only) as state and emits the conversation's formatted history
+whenever it changes. Each epoch is written to its own ``stream`` and ``epoch`` partition with
+dynamic overwrite, so a replayed epoch rewrites the same rows and another stream's rows stay;
 state is restored from the checkpoint, so replayed input is never counted twice.
 """
 
@@ -14,33 +14,34 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kbspark.session import checkpoint_dir
+from kbspark.streaming.drain import drain
 
 CONVERSATION_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
     T.StructField("role", T.StringType()), T.StructField("text", T.StringType()),
 ])
-OUTPUT_SCHEMA = "conv_id long, n_turns long, history string"
+OUTPUT_SCHEMA = "conv_id long, n_turns long, last_turn long, history string"
 STATE_SCHEMA = "turns string"
 
 
-def _updater(limit: int):
+def _updater(limit: int | None):
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turns = json.loads(state.get[0]) if state.exists else []
         for pdf in batches:
             turns.extend([int(t), r, x] for t, r, x in zip(pdf["turn"], pdf["role"], pdf["text"]))
-        turns = sorted({t[0]: t for t in turns}.values())[-limit:]
+        turns = sorted({t[0]: t for t in turns}.values(), key=lambda t: t[0])[-limit if limit else 0:]
         state.update((json.dumps(turns, ensure_ascii=False),))
         history = "\n".join(f"{r}: {x if x is not None else ''}" for _, r, x in turns)
-        yield pd.DataFrame({"conv_id": [int(key[0])], "n_turns": [len(turns)], "history": [history]})
+        yield pd.DataFrame({"conv_id": [int(key[0])], "n_turns": [len(turns)], "last_turn": [turns[-1][0]], "history": [history]})
 
     return update
 
 
-def run_dialog_stream(spark: SparkSession, landing: str, out_dir: str, limit: int = 20,
+def run_dialog_stream(spark: SparkSession, landing: str, out_dir: str, limit: int | None = None,
                       file_glob: str | None = None, checkpoint: str | None = None,
                       max_files_per_trigger: int | None = None) -> None:
     reader = spark.readStream.schema(CONVERSATION_SCHEMA)
@@ -52,18 +53,16 @@ def run_dialog_stream(spark: SparkSession, landing: str, out_dir: str, limit: in
     histories = turns.groupBy("conv_id").applyInPandasWithState(
         _updater(limit), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        (batch.withColumn("epoch", F.lit(int(epoch))).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_dir))
+    def sink(batch: DataFrame, stream_id: str, epoch: int) -> None:
+        (batch.withColumn("stream", F.lit(stream_id)).withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("stream", "epoch").parquet(out_dir))
 
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "dialog-stream-" + os.path.basename(out_dir.rstrip("/")))
-    q = (histories.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    drain(histories.writeStream.outputMode("update").option("checkpointLocation", ckpt), sink)
 
 
 def latest_histories(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The newest emitted history of every conversation."""
+    """The newest emitted history of every conversation: greatest last turn, then latest epoch."""
     h = spark.read.parquet(out_dir)
-    w = Window.partitionBy("conv_id").orderBy(F.col("epoch").desc())
-    return h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "epoch")
+    newest = F.max_by(F.struct("n_turns", "last_turn", "history"), F.struct("last_turn", "epoch", "stream"))
+    return h.groupBy("conv_id").agg(newest.alias("h")).select("conv_id", "h.*")

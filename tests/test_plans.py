@@ -34,6 +34,17 @@ def test_access_scoped_retrieval_plan(spark):
     assert plan.count("WindowGroupLimit") >= 2        # partial per-group limits before the shuffles
 
 
+def test_vectors_move_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = _plan(KB(spark, SF_SMALL).retrieve(True, 0.15))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = [b for b in plan.split("\n\n") if ") Exchange" in b.split("\n")[0]]
+    assert sum("_u#" in b for b in exchanges) == 1 and len(exchanges) > 5
+
+
 def test_status_filter_reaches_parquet_scan(spark):
     path = scratch_path(spark, "t-emb-" + uuid.uuid4().hex)
     (spark.range(0, 30).select(F.col("id").alias("embedding_id"), F.expr("id div 3").alias("chunk_id"),

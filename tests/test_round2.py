@@ -1,12 +1,18 @@
 """Numbering at size, strict replies, and other cases that small tables hide."""
 
 import random
+import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from kbspark import schema as S
 from kbspark.functions.text import render_template
-from kbspark.operators import dialog, facts, groupconcat, mixing as mx
+from kbspark.operators import dialog, embed as emb, facts, groupconcat, index as idx, mixing as mx
 from kbspark.operators.joins import row_blocks
+from kbspark.plans import ingest
+from kbspark.session import scratch_path
+from kbspark.streaming.dialog_stream import latest_histories, run_dialog_stream
+from kbspark.streaming.ingest_stream import run_ingest_stream
 
 
 def test_numbering_over_many_range_partitions(spark):
@@ -73,3 +79,68 @@ def test_row_blocks_cover_all_rows(spark):
     blocks = row_blocks(df, "id", 100)
     assert len(blocks) > 1 and sum(b.count() for b in blocks) == 1000
     assert len(row_blocks(df, "id", 1000)) == 1
+
+
+def test_nearest_vectors_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(3)
+    vecs = [[float(rnd.randrange(4)) for _ in range(3)] for _ in range(300)]   # many ties
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(300, None), (301, [1.0]), (None, vecs[0])]
+    index = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    asked = [(q, [float(rnd.randrange(4)) for _ in range(3)], "?") for q in range(30)] + [(30, None, "?"), (31, [1.0, 1.0, 1.0], " "), (32, [2.0], "?")]
+    questions = spark.createDataFrame(asked, "query_id long, query_vector array<float>, question string")
+    want = {(q, n + 1, i) for q, v, _ in asked[:30]
+            for n, (_, i) in enumerate(sorted((sum((a - b) ** 2 for a, b in zip(x, v)), i) for i, x in enumerate(vecs))[:4])} | {(32, 1, 301)}
+    names = index.withColumn("vec_id", F.lpad(F.col("vec_id").cast("string"), 5, "0"))
+    for bound, vectors, number in ((100_000, index, int), (7, index, int), (100_000, names, int)):
+        monkeypatch.setattr(idx, "MAX_QUERIES", bound)
+        got = {(r.query_id, r["rank"], number(r.vec_id)) for r in idx.l2_topk(vectors, questions, 4).collect()}
+        assert got == want
+    assert idx.l2_topk(index.limit(0), questions).count() == 0 and idx.l2_topk(index, questions.limit(0)).count() == 0
+
+
+def test_failing_texts_are_rows(spark):
+    def model():
+        def encode(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no vector for this")
+            return [[1.0, 2.0]] * len(texts)
+        return encode
+    chunks = spark.createDataFrame([("c1", "d", 0, "a good text"), ("c2", "d", 1, "a bad text"), ("c3", "d", 2, "another")],
+                                   "chunk_id string, document_id string, chunk_idx int, chunk_text string").coalesce(1)
+    made = ingest.build_embeddings(chunks, emb.isolated_embedding(model, 2), 2, as_of="2024-01-01")
+    assert {(r.chunk_id, r.status, r.attempts, r.error_message, tuple(r.vector or ())) for r in made.collect()} == {
+        ("c1", "COMPLETED", 0, None, (1.0, 2.0)), ("c2", "FAILED", 3, "RuntimeError: no vector for this", ()), ("c3", "COMPLETED", 0, None, (1.0, 2.0))}
+    short = ingest.build_embeddings(chunks, emb.isolated_embedding(model, 3), 3, as_of="2024-01-01")
+    assert short.where("status = 'FAILED' AND vector IS NULL").count() == 3
+
+
+def test_streams_and_batches_share_a_folder(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = scratch_path(spark, "t-shared-" + uuid.uuid4().hex)
+    for n in range(2):
+        landing = scratch_path(spark, "t-landing-" + uuid.uuid4().hex)
+        docs.where(F.col("doc_id") == n).write.parquet(landing)
+        ckpt = scratch_path(spark, "t-ckpt-" + uuid.uuid4().hex)
+        for _ in range(2):   # a restart finds nothing new
+            run_ingest_stream(spark, landing, out, checkpoint=ckpt)
+    for _ in range(2):
+        ingest.ingest_batch(ingest.requests_from_documents(docs.where("doc_id >= 2")), out, batch_id=0)
+    got = [r.request_id for r in spark.read.parquet(out + "/responses").collect()]
+    assert sorted(got) == [0, 1, 2, 3]
+
+
+def test_dialog_stream_keeps_long_conversations_whole(spark):
+    conv = spark.createDataFrame([(c, t, "user", f"t{t}") for c in range(3) for t in range(26 + c)], "conv_id long, turn long, role string, text string")
+    landing, out = scratch_path(spark, "t-long-" + uuid.uuid4().hex), scratch_path(spark, "t-long-out-" + uuid.uuid4().hex)
+    conv.write.parquet(landing)
+    run_dialog_stream(spark, landing, out)
+    want = {tuple(r) for r in dialog.dialog_history(conv).select("conv_id", "n_turns", "history").collect()}
+    assert {tuple(r) for r in latest_histories(spark, out).select("conv_id", "n_turns", "history").collect()} == want
+
+
+def test_conform_rejects_names_what_is_lost(spark):
+    old = spark.createDataFrame([("1", "7", "x"), ("2", "seven", "y"), (None, "8", "z")], "chunk_id string, document_id string, chunk_text string")
+    target = T.StructType([T.StructField("chunk_id", T.LongType(), False), T.StructField("document_id", T.LongType()), T.StructField("body", T.StringType())])
+    got = {r.chunk_text: r.bad_columns for r in S.conform_rejects(old, target, renames={"body": "chunk_text"}).collect()}
+    assert got == {"y": ["document_id"], "z": ["chunk_id"]}
+    assert S.conform_rejects(old.limit(0), target).count() == 0
