@@ -281,8 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that are not the least id of their class. Of repeated rows
     under one id one stays; rows with a null id all stay."""
-    gone = materialize(near_duplicates(docs, id_col, text_col, **options).where("id <> class_id").select("id").distinct())
-    kept = docs.join(_small(gone), F.col(f"`{id_col}`") == gone["id"], "left_anti")
+    gone = materialize(near_duplicates(docs, id_col, text_col, **options).where("id <> class_id").select(F.col("id").alias("_gone")).distinct())
+    kept = docs.join(_small(gone), docs[id_col] == gone["_gone"], "left_anti")
     twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     if twice.isEmpty():
         return kept

@@ -72,6 +72,8 @@ def test_near_duplicates(docs, none):
     kept = near_dedup.near_dedup(docs)
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [i for i in range(17) if i not in (1, 2, 11)]
     assert kept.columns == docs.columns and near_dedup.near_dedup(none).count() == 0
+    other = docs.drop("id").withColumnRenamed("doc_id", "id")   # the key under the operator's own name
+    assert near_dedup.near_dedup(other, id_col="id").count() == kept.count()
 
 
 def test_dart_minhash_estimates_weighted_similarity():
