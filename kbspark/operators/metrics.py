@@ -5,62 +5,43 @@ are counted; matches = Σ min(count_hyp, count_ref) over n-grams; total = max(nu
 n-grams, number of ref n-grams); GLEU = matches / total (0 when total is 0). Corpus GLEU =
 Σ matches / Σ totals.
 
-Spark shape: n-grams are exploded (narrow), counted per (pair, n-gram) with one aggregate
-that sums both sides at once (partial aggregation map-side), then summed per pair.
+Spark shape: a pair's n-grams are counted where the pair lies, in an Arrow-batched pandas UDF; no
+n-gram is shuffled. Only the corpus sums are aggregated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections import Counter
 
-from kbspark.functions.exprs import let
-from kbspark.functions.text import BLANK, strip_blanks
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 MAX_N = 4
+_BLANKS = re.compile("[ \t\r\n\f]+")
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(strip_blanks(F.coalesce(text, F.lit(""))), f"{BLANK}+"), lambda t: t != "")
+def _counted(text: str | None) -> tuple[Counter, int]:
+    """The 1..MAX_N-grams of a text with their numbers, and how many there are."""
+    t = [x for x in _BLANKS.split(text or "") if x]
+    grams = Counter(g for n in range(1, MAX_N + 1) for g in zip(*(t[i:] for i in range(n))))
+    return grams, sum(grams.values())
 
 
-def _gram_at(t: Column, n: int):
-    """One-argument lambda (PySpark treats a two-argument lambda as (element, index))."""
-    return lambda i: F.concat(F.lit(f"{n}:"), F.array_join(F.slice(t, i + 1, n), " "))
-
-
-def ngrams(toks: Column, max_n: int = MAX_N) -> Column:
-    """All 1..max_n-grams as strings (tokens never contain blanks, so ' ' joins unambiguously)."""
-    def build(t: Column) -> Column:
-        per_n = []
-        for n in range(1, max_n + 1):
-            starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
-            per_n.append(F.transform(starts, _gram_at(t, n)))
-        return F.flatten(F.array(*per_n))
-
-    return let(toks, build)
-
-
-def n_ngrams(toks: Column, max_n: int = MAX_N) -> Column:
-    total = F.lit(0)
-    for n in range(1, max_n + 1):
-        total = total + F.greatest(F.size(toks) - n + 1, F.lit(0))
-    return total.cast("bigint")
+@F.pandas_udf(T.StructType([T.StructField("matches", T.LongType()), T.StructField("total", T.LongType())]))
+def _parts(hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    out = []
+    for h, r in zip(hypothesis, reference):
+        (h, n), (r, m) = _counted(h), _counted(r)
+        out.append((sum(min(c, r[g]) for g, c in h.items() if g in r), max(n, m)))
+    return pd.DataFrame(out, columns=["matches", "total"])
 
 
 def gleu_parts(pairs: DataFrame, hyp_col: str = "hypothesis", ref_col: str = "reference",
                id_col: str = "pair_id") -> DataFrame:
-    """(pair_id, matches, total) per pair. One aggregate per (pair, n-gram) gives the clipped
-    matches and both sides' n-gram counts; pairs without any n-gram keep total 0."""
-    t = pairs.select(id_col, tokens(F.col(hyp_col)).alias("_h"), tokens(F.col(ref_col)).alias("_r"))
-    grams = (t.select(id_col, F.explode(ngrams(F.col("_h"))).alias("g"), F.lit(1).alias("h"), F.lit(0).alias("r"))
-             .unionByName(t.select(id_col, F.explode(ngrams(F.col("_r"))).alias("g"), F.lit(0).alias("h"),
-                                   F.lit(1).alias("r"))))
-    counts = grams.groupBy(id_col, "g").agg(F.sum("h").alias("ch"), F.sum("r").alias("cr"))
-    per_pair = counts.groupBy(id_col).agg(F.sum(F.least("ch", "cr")).cast("bigint").alias("matches"),
-                                          F.greatest(F.sum("ch"), F.sum("cr")).cast("bigint").alias("total"))
-    return pairs.select(id_col).join(per_pair, id_col, "left").select(
-        id_col, F.coalesce(F.col("matches"), F.lit(0)).cast("bigint").alias("matches"),
-        F.coalesce(F.col("total"), F.lit(0)).cast("bigint").alias("total"))
+    """(pair_id, matches, total) per row of ``pairs``: clipped n-gram matches and the greater number
+    of n-grams. A pair is counted where it lies, so nothing is shuffled; null texts have no n-grams."""
+    return pairs.select(id_col, _parts(F.col(hyp_col), F.col(ref_col)).alias("_p")).select(id_col, "_p.matches", "_p.total")
 
 
 def gleu_pairs(pairs: DataFrame, hyp_col: str = "hypothesis", ref_col: str = "reference",
