@@ -14,9 +14,11 @@ Signatures are cut into bands of ``rows`` coordinates; documents with an equal b
 bucket. Exact copies are collapsed first. A bucket names pairs to compare by its members' sketches
 (one byte per coordinate): the member nearest to the bucket's commonest sketch leads, and each
 member the leader resembles is a pair with it; members that no leader resembles lead in turn; and
-every member is a pair with its nearest neighbour. So the pairs grow with the members, not with
-their square. A bucket of more than ``BUCKET`` members is dealt into parts of about that size,
-whose leaders then meet in a bucket of their own. Pairs are compared by their exact similarity,
+the edges of ``FORESTS`` disjoint maximum spanning forests of the sketch similarity are pairs. A
+maximum spanning forest has the same components as the whole bucket at every threshold, and a
+second one stands in where an estimate put a wrong edge first. So the pairs grow with the members,
+not with their square. A bucket of more than ``BUCKET`` members is dealt into parts of about that
+size, differently in each band, whose leaders then meet in a bucket of their own. Pairs are compared by their exact similarity,
 and classes are the connected components of those that reach it.
 
 Null and empty texts have no grams and are classes of their own. Repeated rows are copies.
@@ -40,6 +42,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 BUCKET = 2000
 RESEMBLES, LED = 0.65, 0.7   # estimated similarity that makes a pair, and that spares a member from leading
+FORESTS = 2
 BROADCAST_IDS = 1_000_000   # of 8 bytes each
 _FINEST = 2.0 ** -6         # height of the lowest rank region
 
@@ -188,25 +191,41 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _forest(same: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest over the entries of ``same`` that reach ``least`` (Prim)."""
+    n = len(same)
+    todo, best, via, out = np.ones(n, bool), np.full(n, -1, np.int32), np.zeros(n, np.int64), []
+    for _ in range(n):
+        i = int(np.where(todo, best, -2).argmax())
+        if best[i] >= least:
+            out.append((min(i, int(via[i])), max(i, int(via[i]))))
+        todo[i] = False
+        nearer = todo & (same[i] > best)
+        best[nearer], via[nearer] = same[i][nearer], i
+    return out
+
+
 def bucket_pairs(ids: np.ndarray, sketch: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
     """(pairs of members to compare, places of the leaders) of one bucket, members sorted by id."""
     n, k = sketch.shape
-    near, best = np.full(n, -1), np.zeros(n)
+    same = np.zeros((n, n), np.int16)
     for i in range(n):
-        same = (sketch == sketch[i]).sum(axis=1)
-        same[i] = -1
-        near[i] = same.argmax()
-        best[i] = same[near[i]]
-    pairs = {(min(i, j), max(i, j)) for i, j in enumerate(near.tolist()) if best[i] >= RESEMBLES * k}
+        same[i] = (sketch == sketch[i]).sum(axis=1)
+        same[i, i] = -1
+    pairs = set()
     common = np.array([np.bincount(c, minlength=256).argmax() for c in sketch.T], np.uint8)
     free, leaders = np.ones(n, bool), []
     for i in np.argsort(-(sketch == common).sum(axis=1), kind="stable").tolist():
         if free[i]:
-            same = (sketch == sketch[i]).sum(axis=1)
-            free &= same < LED * k
+            free &= same[i] < LED * k
             free[i] = False
             leaders.append(i)
-            pairs.update((min(i, j), max(i, j)) for j in np.flatnonzero(same >= RESEMBLES * k).tolist() if j != i)
+            pairs.update((min(i, j), max(i, j)) for j in np.flatnonzero(same[i] >= RESEMBLES * k).tolist())
+    for _ in range(FORESTS):   # each without the edges of those before
+        edges = _forest(same, RESEMBLES * k)
+        pairs.update(edges)
+        for i, j in edges:
+            same[i, j] = same[j, i] = -1
     return [(int(ids[i]), int(ids[j])) for i, j in pairs], leaders
 
 
@@ -260,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = reps.select("rep", F.explode("bands").alias("band"))
     sizes = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     found = band.join(sizes, "band").select("band", "rep", "n")
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / bucket))
+    part = F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("n") / bucket))
     members = materialize(found.join(reps.select("rep", "sketch"), "rep").select("band", part.alias("part"), "rep", "sketch", "n"))
     named = materialize(_named(members))
     pairs = named.where("v IS NOT NULL").select("u", "v")

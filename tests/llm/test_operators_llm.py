@@ -97,6 +97,51 @@ def test_large_buckets_are_dealt_into_parts(spark):
     assert {r.class_id for r in near_dedup.near_duplicates(df, bucket=10).collect()} == {0}
 
 
+def test_classes_equal_those_of_all_pairs(spark):
+    """Families of drifting texts (each a few words from the one before): classes by brute force."""
+    rnd = random.Random(3)
+    rows, new = [], iter(range(10**6))
+    for _ in range(6):
+        line = [f"w{rnd.randrange(10**6)}" for _ in range(240)]
+        for i in range(25):
+            rows.append((len(rows), " ".join(line)))
+            line = list(line)
+            for _ in range(3 if i % 8 else 6):
+                line[rnd.randrange(240)] = f"new{next(new)}"
+    grams = [Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in (t.split(" ") for _, t in rows)]
+    least = list(range(len(rows)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (grams[i] & grams[j]).total() >= 0.8 * (grams[i] | grams[j]).total():
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    want = {i: root(i) for i in range(len(rows))}
+    assert len(set(want.values())) > 6 and got == want
+
+
+def test_spanning_forest_keeps_components():
+    rnd = np.random.default_rng(2)
+    same = np.triu(rnd.integers(0, 100, (40, 40)), 1).astype(np.int16)
+    same += same.T
+    np.fill_diagonal(same, -1)
+    edges = near_dedup._forest(same, 90)
+    for least in (90, 94, 97, 99):
+        def classes(pairs):
+            name = list(range(40))
+            for i, j in pairs:
+                name = [name[i] if x == name[j] else x for x in name]
+            return [name.index(x) for x in name]
+        assert classes([e for e in edges if same[e] >= least]) == classes(zip(*np.nonzero(same >= least), strict=True))
+
+
 def test_tiling(spark, docs, none):
     rnd = random.Random(5)
     items = [(i, " ".join(f"q{rnd.randrange(10**6)}" for _ in range(40))) for i in range(5)] + [(None, None), (7, ""), (8, "too short")]
