@@ -30,15 +30,24 @@ CTE["kb_documents"] = """kb_documents AS (
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 CTE["kb_grants"] = """kb_grants AS (
-  SELECT event_id AS grant_id, event_id % 200 AS document_id, user_id, 'READER' AS access_role,
+  SELECT event_id AS grant_id, event_id % (SELECT coalesce(max(doc_id) + 1, 1) FROM documents) AS document_id, user_id, 'READER' AS access_role,
     CASE WHEN event_type = 'error' THEN true WHEN event_type = 'signup' THEN NULL ELSE false END AS is_revoked,
     CASE WHEN event_type = 'view' THEN NULL ELSE CAST(ts AS TIMESTAMP) END AS expires_at
   FROM events)"""
 
-CTE["kb_chunks"] = """kb_chunks AS (
-  SELECT chunk_id, chunk_id % 20 AS document_id, chunk_id // 20 AS chunk_idx,
-    'chunk ' || CAST(chunk_id AS VARCHAR) AS chunk_text
-  FROM (SELECT DISTINCT vec_id // 3 AS chunk_id FROM embeddings) c)"""
+CTE["kb_chunks"] = """kb_sents AS (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n\\f]+', '\\1' || chr(1), 'g'), chr(1)),
+    lambda s: regexp_replace(s, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g')), lambda s: s <> '') AS s
+  FROM documents),
+kb_placed AS (
+  SELECT chunk_id, ((chunk_id // 3) * 7919) % n AS document_id, chunk_id % 3 + ((chunk_id // 3) // n) * 3 AS chunk_idx
+  FROM (SELECT DISTINCT vec_id // 3 AS chunk_id FROM embeddings) c,
+    (SELECT coalesce(max(doc_id) + 1, 1) AS n FROM documents) b),
+kb_chunks AS (
+  SELECT chunk_id, document_id, chunk_idx,
+    CASE WHEN len(s) > 3 * chunk_idx THEN array_to_string(list_slice(s, 3 * chunk_idx + 1, 3 * chunk_idx + 5), ' ')
+         ELSE 'chunk ' || CAST(chunk_id AS VARCHAR) END AS chunk_text
+  FROM kb_placed LEFT JOIN kb_sents ON doc_id = document_id)"""
 
 CTE["kb_embeddings"] = """kb_embeddings AS (
   SELECT vec_id AS embedding_id, vec_id // 3 AS chunk_id, vec_id % 3 AS subchunk_idx, embedding AS vector,
@@ -134,8 +143,8 @@ SELECT user_id, document_id, 'point_only' AS visible_in FROM (SELECT * FROM poin
 SQL["requested_docs_filter"] = with_ctes(ACCESS_BASE + ["list_access", "question_access"], """,
 requests AS (
   SELECT query_id, CASE WHEN query_id % 4 = 0 THEN NULL
-                        ELSE [query_id % 20, (query_id * 3) % 20, (query_id * 7) % 200] END AS doc_ids
-  FROM kb_questions)
+                        ELSE [query_id * 7919 % n, query_id * 3 * 7919 % n, query_id * 7 * 7919 % n] END AS doc_ids
+  FROM kb_questions, (SELECT coalesce(max(doc_id) + 1, 1) AS n FROM documents) b)
 SELECT a.query_id, a.document_id FROM question_access a JOIN requests r ON r.query_id = a.query_id
 WHERE r.doc_ids IS NULL OR list_contains(r.doc_ids, a.document_id)""")
 

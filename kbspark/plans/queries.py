@@ -174,11 +174,11 @@ def q_access_policy_diff(spark, sf_dir):
 @query("requested_docs_filter")
 def q_requested_docs_filter(spark, sf_dir):
     kb = KB(spark, sf_dir)
-    qid = F.col("query_id")
+    qid, n = F.col("query_id") * fx.STRIDE, fx.document_bound(spark, sf_dir)
     requests = kb.questions.select(
         "query_id",
-        F.when(qid % 4 == 0, F.lit(None).cast("array<bigint>"))
-         .otherwise(F.array(qid % 20, (qid * 3) % 20, (qid * 7) % 200)).alias("doc_ids"))
+        F.when(F.col("query_id") % 4 == 0, F.lit(None).cast("array<bigint>"))
+         .otherwise(F.array(qid % n, (qid * 3) % n, (qid * 7) % n)).alias("doc_ids"))
     return access.restrict_to_requested(kb.question_access, requests)
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kbspark.operators.chunking import sentence_chunks
 from kbspark.sources.tables import read_table
 
 AS_OF = "2024-01-15 00:00:00"
+STRIDE = 7919   # a prime: consecutive numbers land on documents all over the table
 
 
 def _pick(key: Column, values: list[str]) -> Column:
@@ -22,6 +24,11 @@ def _pick(key: Column, values: list[str]) -> Column:
     return expr
 
 
+def document_bound(spark: SparkSession, sf_dir: str) -> Column:
+    """One past the largest document id, as a scalar subquery (1 for an empty table)."""
+    return read_table(spark, sf_dir, "documents").agg(F.coalesce(F.max("doc_id") + 1, F.lit(1))).scalar()
+
+
 def kb_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     uid = F.col("user_id")
     return (read_table(spark, sf_dir, "events").select("user_id").distinct()
@@ -67,7 +74,7 @@ def kb_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     et = F.col("event_type")
     return read_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("grant_id"),
-        (F.col("event_id") % 200).alias("document_id"),
+        (F.col("event_id") % document_bound(spark, sf_dir)).alias("document_id"),
         "user_id",
         F.lit("READER").alias("access_role"),
         F.when(et == "error", F.lit(True)).when(et == "signup", F.lit(None).cast("boolean"))
@@ -78,11 +85,23 @@ def kb_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three vectors make a chunk, three chunks in a row belong to one document, and the documents
+    are taken ``STRIDE`` apart over the whole table. The text is the document's sentence chunk at
+    ``chunk_idx``, or the chunk's name where the document has fewer."""
     cid = F.col("chunk_id")
-    return (read_table(spark, sf_dir, "embeddings")
-            .select(F.expr("vec_id div 3").alias("chunk_id")).distinct()
-            .select(cid, (cid % 20).alias("document_id"), F.expr("chunk_id div 20").alias("chunk_idx"),
-                    F.concat(F.lit("chunk "), cid.cast("string")).alias("chunk_text")))
+    n = document_bound(spark, sf_dir)
+    ids = (read_table(spark, sf_dir, "embeddings")
+           .select(F.expr("vec_id div 3").alias("chunk_id")).distinct()
+           .select(cid, (F.expr("chunk_id div 3") * STRIDE % n).alias("document_id"),
+                   (cid % 3 + F.floor(F.expr("chunk_id div 3") / n) * 3).alias("chunk_idx")))
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    # one row per key, so Spark drops this join where only ids are read
+    texts = (sentence_chunks(docs.join(ids.select("document_id"), "document_id", "left_semi"))
+             .select("document_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_text")
+             .groupBy("document_id", "chunk_idx").agg(F.min("chunk_text").alias("chunk_text")))
+    return (ids.join(texts, ["document_id", "chunk_idx"], "left")
+            .select("chunk_id", "document_id", "chunk_idx",
+                    F.coalesce("chunk_text", F.concat(F.lit("chunk "), cid.cast("string"))).alias("chunk_text")))
 
 
 def kb_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
