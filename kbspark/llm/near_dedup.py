@@ -19,7 +19,15 @@ maximum spanning forest has the same components as the whole bucket at every thr
 second one stands in where an estimate put a wrong edge first. So the pairs grow with the members,
 not with their square. A bucket of more than ``BUCKET`` members is dealt into parts of about that
 size, differently in each band, whose leaders then meet in a bucket of their own. Pairs are compared by their exact similarity,
-and classes are the connected components of those that reach it.
+and those that reach it link members into groups.
+
+That finds nearly all links at a cost that grows with the members; the rest is found by comparing
+all pairs of a bucket whose members are in different groups. A bucket goes in blocks of at most
+about two times ``BLOCK`` members. Of a block stay the members of pairs whose sketches agree in at
+least as many coordinates as ``SIGMAS`` standard errors under the similarity, each pair in the
+first band that it shares; the similarities of all pairs of those are counted exactly. Two members
+of a bucket's largest group need no comparison, so a bucket that is one group, or nearly, stays
+cheap. Classes are the connected components of all links.
 
 Null and empty texts have no grams and are classes of their own. Repeated rows are copies.
 """
@@ -43,6 +51,8 @@ BANDS, ROWS = 20, 5
 BUCKET = 2000
 RESEMBLES, LED = 0.65, 0.7   # estimated similarity that makes a pair, and that spares a member from leading
 FORESTS = 2
+BLOCK, SIGMAS = 1000, 5
+GRAMS_AT_ONCE = 4096   # columns of a block's incidence matrix
 BROADCAST_IDS = 1_000_000   # of 8 bytes each
 _FINEST = 2.0 ** -6         # height of the lowest rank region
 
@@ -265,8 +275,108 @@ def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(band, pa.int64())], names=["u", "v", "band"])
 
 
+def _runs(batches, keys: int):
+    """(key, columns) of each run of rows that agree in the first ``keys`` columns."""
+    held, key = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != key:
+                if held:
+                    yield key, list(zip(*held, strict=True))
+                held, key = [], row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield key, list(zip(*held, strict=True))
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """(band, lo, hi, side, pos, rep, comp, sketch): the members of every two parts ``lo`` <= ``hi`` of
+    a bucket of several groups. A large bucket's largest group has parts of its own, which do not meet."""
+    groups = members.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    total = groups.groupBy("band").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("groups"))
+    total = total.where("groups > 1").select(
+        "band", F.col("top.comp").alias("main"), (F.col("n") > block).alias("parted"),
+        F.ceil((F.col("n") - F.col("top.c")) / block).alias("others"), F.ceil(F.col("top.c") / block).alias("mains"))
+    rows = members.join(total, "band")
+    deal, is_main = F.xxhash64("rep", "band"), F.col("comp") == F.col("main")
+    rows = rows.withColumn("side", F.when(~F.col("parted"), F.lit(0)).when(is_main, F.col("others") + F.pmod(deal, F.col("mains")))
+                           .otherwise(F.pmod(deal, F.col("others"))).cast("long"))
+    meets = F.when(~F.col("parted"), F.lit(0)).when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), meets.cast("long"))))
+    return rows.select("band", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "pos", "rep", "comp", "sketch")
+
+
+def _possible(blocks: DataFrame, least: float, rows: int) -> DataFrame:
+    """(band, lo, hi, side, rep, comp) of the members of a block that are in a pair of two groups whose
+    sketches agree in ``least`` coordinates or more, and in no band before this one."""
+    def run(batches):
+        for (band, lo, hi), (side, pos, rep, comp, sketch) in _runs(batches, 3):
+            side, comp = np.array(side), np.array(comp)
+            sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rep), -1)
+            right = np.flatnonzero(side == hi)
+            hit = np.zeros(len(rep), bool)
+            for i in np.flatnonzero(side == lo).tolist():
+                at = right[comp[right] != comp[i]]
+                same = sketch[at] == sketch[i]
+                near = np.count_nonzero(same, axis=1) >= least
+                if near.any():
+                    first = same[near].reshape(int(near.sum()), -1, rows).all(axis=2).argmax(axis=1) == pos[0]
+                    hit[at[near][first]] = True
+                    hit[i] |= first.any()
+            if hit.any():
+                n = int(hit.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x] * n, pa.int64()) for x in (band, lo, hi)]
+                    + [pa.array(x[hit], pa.int64()) for x in (side, np.array(rep), comp)], names=["band", "lo", "hi", "side", "rep", "comp"])
+
+    return _by_block(blocks).mapInArrow(run, "band long, lo long, hi long, side long, rep long, comp long")
+
+
+def shared_grams(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements every set on the left has in common with every one on the right."""
+    ends = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    one, other = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(one, other)
+    out = np.zeros((len(left), len(right)), np.float64)
+    for a in range(0, len(both), GRAMS_AT_ONCE):
+        some = both[a:a + GRAMS_AT_ONCE]
+        held = []
+        for sets, owner, grams in ((left, ends[0], one), (right, ends[1], other)):
+            at = np.minimum(np.searchsorted(some, grams), len(some) - 1)
+            ok = some[at] == grams
+            m = np.zeros((len(sets), len(some)), np.float32)
+            m[owner[ok], at[ok]] = 1
+            held.append(m)
+        out += held[0] @ held[1].T
+    return out
+
+
+def _links(possible: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): groups that a pair of members of one block links, by their exact similarity."""
+    def run(batches):
+        for (_, lo, hi), (side, comp, grams) in _runs(batches, 3):
+            side, comp = np.array(side), np.array(comp)
+            grams = [np.frombuffer(g, U64) for g in grams]
+            size = np.array([len(g) for g in grams])
+            a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+            if len(a) and len(b):
+                same = shared_grams([grams[i] for i in a], [grams[i] for i in b])
+                x, y = np.nonzero((same >= similarity * (size[a][:, None] + size[b] - same) - 1e-9) & (comp[a][:, None] != comp[b]))
+                if len(x):
+                    pairs = np.unique(np.sort(np.stack([comp[a[x]], comp[b[y]]], axis=1), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    rows = possible.join(sets, possible["rep"] == sets["id"]).select("band", "lo", "hi", "side", "comp", "grams")
+    return _by_block(rows).mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-                    bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: id, class_id (least id of its class), copy_id (least id among
     its exact copies). Rows with a null id are classes of their own, with null ids."""
     sig = materialize(signatures(docs, id_col, text_col, bands, rows, shingle))
@@ -276,11 +386,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(first.select("copy", "n", F.col("r.id").alias("rep"), "r.bands", "r.sketch"))
     groups = first.where("n > 1").select("copy", "rep")
     reps = first.select("rep", "bands", "sketch").dropDuplicates(["rep"])
-    band = reps.select("rep", F.explode("bands").alias("band"))
+    band = reps.select("rep", F.posexplode("bands").alias("pos", "band"))
     sizes = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    found = band.join(sizes, "band").select("band", "rep", "n")
+    found = band.join(sizes, "band").select("band", "pos", "rep", "n")
     part = F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("n") / bucket))
-    members = materialize(found.join(reps.select("rep", "sketch"), "rep").select("band", part.alias("part"), "rep", "sketch", "n"))
+    members = materialize(found.join(reps.select("rep", "sketch"), "rep").select("band", "pos", part.alias("part"), "rep", "sketch", "n"))
     named = materialize(_named(members))
     pairs = named.where("v IS NOT NULL").select("u", "v")
     large = members.where(F.col("n") > bucket)
@@ -291,10 +401,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialize(pairs.distinct())
     ends = materialize(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
     edges = _similar(pairs, materialize(_gram_sets(docs, id_col, text_col, ends, shingle)), similarity)
-    labels = connected_components(edges).select(F.col("node").alias("copy_id"), "component")
+    labels = materialize(connected_components(edges).select(F.col("node").alias("copy_id"), "component"))
+    # all pairs between the groups so far
+    grouped = members.join(labels, members["rep"] == labels["copy_id"], "left").select(
+        "band", "pos", "rep", "sketch", F.coalesce("component", "rep").alias("comp"))
+    least = (similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / (bands * rows))) * bands * rows
+    possible = materialize(_possible(_blocks(materialize(grouped), block), least - 1e-9, rows))
+    links = possible.limit(0).select(F.col("rep").alias("u"), F.col("comp").alias("v"))
+    if not possible.isEmpty():
+        ends = materialize(possible.select(F.col("rep").alias("id")).distinct())
+        links = _links(possible, _gram_sets(docs, id_col, text_col, ends, shingle), similarity)
+    joined = connected_components(links).select(F.col("node").alias("class_id"), F.col("component").alias("joined"))
     copies = sig.join(groups, "copy", "left").select(
         "id", F.when(F.col("bands").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("rep", "id")).alias("copy_id"))
-    return copies.join(labels, "copy_id", "left").select("id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id")
+    classes = copies.join(labels, "copy_id", "left").select("id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id")
+    return classes.join(joined, "class_id", "left").select("id", F.coalesce("joined", "class_id").alias("class_id"), "copy_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -127,6 +127,30 @@ def test_classes_equal_those_of_all_pairs(spark):
     assert len(set(want.values())) > 6 and got == want
 
 
+def _templated(texts, planted):
+    """Rows (id, text): ``texts`` of one template, each with words of its own at the end, 0.766 alike; and
+    near copies of the first ``planted`` (0.808), which have the first 6 of those 30 words in common."""
+    template = [f"t{i}" for i in range(200)]
+    tails = [[f"own{i}x{j}" for j in range(30)] for i in range(texts)]
+    tails += [tails[i][:6] + [f"copy{i}x{j}" for j in range(24)] for i in range(planted)]
+    return [(i, " ".join(template + tail)) for i, tail in enumerate(tails)]
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket": 100, "block": 60}])
+def test_near_copies_within_a_templated_family(spark, options):
+    df = spark.createDataFrame(_templated(500, 50), "doc_id long, text string").repartition(4)
+    got = {r.id: r.class_id for r in near_dedup.near_duplicates(df, **options).collect()}
+    assert got == {i: i if i < 500 else i - 500 for i in range(550)}
+
+
+def test_shared_grams_are_counted_exactly(monkeypatch):
+    monkeypatch.setattr(near_dedup, "GRAMS_AT_ONCE", 7)
+    rnd = random.Random(8)
+    sets = [np.array(sorted(rnd.sample(range(90), rnd.randrange(50))), np.uint64) for _ in range(30)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[10:]] for a in sets[:12]]
+    assert near_dedup.shared_grams(sets[:12], sets[10:]).tolist() == want
+
+
 def test_spanning_forest_keeps_components():
     rnd = np.random.default_rng(2)
     same = np.triu(rnd.integers(0, 100, (40, 40)), 1).astype(np.int16)
