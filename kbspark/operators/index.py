@@ -8,10 +8,14 @@
 * ``ivf_build`` / ``ivf_topk``: approximate search. ``pyspark.ml`` KMeans assigns every vector
   to a cell; a query is compared only with the vectors of its ``nprobe`` nearest cells — the
   candidates reach a query through an equi-join on the cell id — and re-ranked exactly.
+  ``cell_count`` scales the cells with the rows; ``choose_nprobe`` measures how many cells have
+  to be probed for a recall.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from kbspark.functions.vectors import DIST_DIGITS, cosine_distance, unit
 from kbspark.operators.joins import bounded_broadcast, row_blocks
+from kbspark.session import materialize
 
 MAX_QUERIES = 100_000
 
@@ -133,6 +138,14 @@ def update_index(spark: SparkSession, directory: str | None, name: str, data: Da
 
 
 # ------------------------------------------------------------------------------------------ IVF
+RECALL, RECALL_SAMPLE = 0.9, 200   # aim, and questions that it is measured on
+
+
+def cell_count(vectors: DataFrame) -> int:
+    """About as many cells as a cell has vectors."""
+    return max(2, math.ceil(math.sqrt(vectors.count())))
+
+
 def ivf_build(vectors: DataFrame, lists: int, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7,
               max_iter: int = 20):
     """Train cell centroids and assign every vector to its cell.
@@ -152,9 +165,9 @@ def ivf_build(vectors: DataFrame, lists: int, id_col: str = "vec_id", vec_col: s
 
 def nearest_cells(query_vec, centroids: list[list[float]], nprobe: int):
     """array<struct<d, cell>> of the ``nprobe`` cells nearest to the query vector; the
-    centroids enter the plan as a literal array, so no join is needed to probe them."""
-    cents = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(x) for x in c]).alias("c"))
-                      for i, c in enumerate(centroids)])
+    centroids enter the plan as one literal, so no join is needed to probe them."""
+    cents = F.from_json(F.lit(json.dumps([{"cell": i, "c": c} for i, c in enumerate(centroids)])),
+                        "array<struct<cell: int, c: array<double>>>")
     scored = F.transform(cents, lambda s: F.struct(cosine_distance(s["c"], query_vec).alias("d"), s["cell"].alias("cell")))
     return F.slice(F.array_sort(scored), 1, nprobe)
 
@@ -165,7 +178,7 @@ def ivf_topk(assigned: DataFrame, centroids: list[list[float]], queries: DataFra
     q = queries.select("query_id", F.col(query_vec).alias("_q"))
     probe = q.select("query_id", "_q", F.explode(nearest_cells(F.col("_q"), centroids, nprobe)).alias("p")) \
         .select("query_id", "_q", F.col("p.cell").alias("cell"))
-    small = bounded_broadcast(probe, MAX_QUERIES * max(nprobe, 1))
+    small = bounded_broadcast(probe, 3 * MAX_QUERIES)   # each row holds the question's vector
     pb = probe if small is None else small
     cand = assigned.join(pb, "cell")
     d = cand.select("query_id", id_col, "cell", cosine_distance(vec_col, "_q").alias("distance"))
@@ -173,6 +186,33 @@ def ivf_topk(assigned: DataFrame, centroids: list[list[float]], queries: DataFra
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def choose_nprobe(assigned: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int = 20, least: float = RECALL,
+                  sample: int = RECALL_SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding", query_vec: str = "query_vector") -> int:
+    """The least ``nprobe`` whose mean recall of the exact top ``k`` is ``least`` or more, counted over
+    all questions or, of more than ``sample``, over that many by least hash; then the recall less three
+    standard errors has to reach it."""
+    q = queries.select("query_id", query_vec).where(F.size(query_vec) > 0).orderBy(F.xxhash64("query_id"), "query_id").limit(sample + 1)
+    q = materialize(q)
+    all_of_them = q.count() <= sample
+    q = q.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    exact = ivf_topk(assigned.withColumn("cell", F.lit(0)), centroids[:1], q, k, 1, id_col, vec_col, query_vec).select("query_id", id_col)
+    places = q.select("query_id", F.posexplode(nearest_cells(F.col(query_vec), centroids, len(centroids))).alias("place", "p"))
+    cells = exact.join(assigned.select(id_col, "cell"), id_col)
+    found = cells.join(places.select("query_id", "place", F.col("p.cell").alias("cell")), ["query_id", "cell"])
+    rows = found.groupBy("query_id", "place").count().collect()   # at most k a question
+    if not rows:
+        return len(centroids)
+    at = {query: i for i, query in enumerate(sorted({r.query_id for r in rows}))}
+    hits = np.zeros((len(at), len(centroids)))
+    for r in rows:
+        hits[at[r.query_id], r.place] += r["count"]
+    share = np.cumsum(hits, axis=1) / hits.sum(axis=1, keepdims=True)
+    mean = share.mean(axis=0)
+    if not all_of_them:
+        mean = mean - 3 * share.std(axis=0) / math.sqrt(len(at))
+    return int(np.argmax(mean >= least)) + 1   # with all cells probed every share is 1
+
+
 def recall(approx: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """Per query: share of the exact top-k found by the approximate search."""
     hit = exact.join(approx.select("query_id", id_col), ["query_id", id_col], "left_semi")

@@ -531,8 +531,10 @@ def q_index_conditional_update(spark, sf_dir):
 def q_vector_ivf_topk(spark, sf_dir):
     kb = KB(spark, sf_dir)
     e = kb.table("embeddings").select("vec_id", "embedding")
-    assigned, cents = idx.ivf_build(e, lists=8)
-    r = idx.ivf_topk(assigned, cents, kb.questions, k=TOP_K, nprobe=3)
+    assigned, cents = idx.ivf_build(e, lists=idx.cell_count(e))
+    assigned = materialize(assigned)
+    nprobe = idx.choose_nprobe(assigned, cents, kb.questions, k=TOP_K)
+    r = idx.ivf_topk(assigned, cents, kb.questions, k=TOP_K, nprobe=nprobe)
     return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "distance")
 
 

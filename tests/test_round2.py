@@ -3,13 +3,14 @@
 import random
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F, types as T
 
 from kbspark import schema as S
 from kbspark.functions.text import render_template
 from kbspark.operators import dialog, embed as emb, facts, groupconcat, index as idx, mixing as mx
 from kbspark.operators.joins import row_blocks
-from kbspark.plans import ingest
+from kbspark.plans import ingest, queries as plans
 from kbspark.session import scratch_path
 from kbspark.streaming.dialog_stream import latest_histories, run_dialog_stream
 from kbspark.streaming.ingest_stream import run_ingest_stream
@@ -144,3 +145,41 @@ def test_conform_rejects_names_what_is_lost(spark):
     got = {r.chunk_text: r.bad_columns for r in S.conform_rejects(old, target, renames={"body": "chunk_text"}).collect()}
     assert got == {"y": ["document_id"], "z": ["chunk_id"]}
     assert S.conform_rejects(old.limit(0), target).count() == 0
+
+
+def test_registered_ivf_query_recalls_nine_tenths(spark):
+    """vector_ivf_topk as registered against brute force, at its own k."""
+    from conftest import SF_MID
+    kb = plans.KB(spark, SF_MID)
+    e = kb.table("embeddings").select("vec_id", "embedding").orderBy("vec_id").collect()
+    q = kb.questions.select("query_id", "query_vector").orderBy("query_id").collect()
+
+    def units(rows):
+        v = np.array(rows, float)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    d = np.round(1 - units([r.query_vector for r in q]) @ units([r.embedding for r in e]).T, 9)
+    ids = np.array([r.vec_id for r in e])
+    true = {r.query_id: set(ids[np.lexsort((ids, x))[:plans.TOP_K]].tolist()) for r, x in zip(q, d, strict=True)}
+    got = {}
+    for r in plans.queries()["vector_ivf_topk"](spark, SF_MID).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    share = [len(true[i] & got.get(i, set())) / plans.TOP_K for i in true]
+    assert np.mean(share) >= 0.9
+
+
+def test_nprobe_and_cells_follow_the_table(spark):
+    rng = np.random.default_rng(4)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 16)))], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 16)))], "query_id long, query_vector array<double>")
+    assert idx.cell_count(e) == 30 and idx.cell_count(e.limit(100)) == 10
+    assigned, cents = idx.ivf_build(e, lists=30)
+    assigned = assigned.localCheckpoint()
+    exact = idx.ivf_topk(assigned.withColumn("cell", F.lit(0)), cents[:1], q, k=10, nprobe=1)
+    n = idx.choose_nprobe(assigned, cents, q, k=10)
+
+    def mean(nprobe):
+        return idx.recall(idx.ivf_topk(assigned, cents, q, k=10, nprobe=nprobe), exact).agg(F.avg("recall")).first()[0]
+
+    assert 1 < n < 30 and mean(n) >= 0.9 > mean(n - 1)
+    assert idx.choose_nprobe(assigned, cents, q, k=10, sample=20) >= 1
