@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, lm_scoring, near_dedup, preference, quality_rules, sentencepiece_viterbi, substring_dedup, token_rans, url_filter, warc
+from . import decontaminate, lm_scoring, merkle_manifest, near_dedup, preference, quality_rules, sentencepiece_viterbi, substring_dedup, token_rans, url_filter, warc
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -115,10 +115,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_pieces", "n_byte_pieces", "ids_crc32", "score", "round_trip")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof; every seventh (by crc32) is checked with a tampered leaf."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle_manifest.record_digest(fields, {"n_chars": F.col("n_chars") + 1})
+    claim = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, tampered)
+    manifest = merkle_manifest.write_manifest(_table(spark, sf_dir, "documents"), columns=fields, claim=claim)
+    out = merkle_manifest.proofs(manifest)
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_filter, op2_minhash_near_dedup, op3_chat_preferences, op4_decontamination, op5_quality_rules,
-        op6_warc_assembly, op7_token_files, op8_lm_scoring, op9_substring_dedup, op10_sentencepiece)}
+        op6_warc_assembly, op7_token_files, op8_lm_scoring, op9_substring_dedup, op10_sentencepiece, op12_merkle_manifest)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -179,5 +190,35 @@ SELECT size.doc_id, size.n AS n_words, coalesce(sum(backoff::INT), 0)::BIGINT AS
 FROM size LEFT JOIN s USING (doc_id) GROUP BY size.doc_id, size.n"""
 
 
+#: crc32 of the digits of an integer: bytes, then eight shifts each.
+_CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END))"""
+_CRC = f"xor({_CRC}, 4294967295::UBIGINT)"
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format(n='n_chars')} AS leaf,
+    CASE WHEN {_CRC.format('doc_id')} % 7 = 0 THEN {_LEAF.format(n='(n_chars + 1)')} END AS claim FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM d),
+tree AS (SELECT g, 0 AS l, p::BIGINT AS p, n::BIGINT AS n, leaf AS h FROM p
+  UNION ALL SELECT g, l + 1, p // 2, (min(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM tree WHERE n > 1 GROUP BY g, l, p // 2),
+s AS (SELECT g, h, l, row_number() OVER (ORDER BY encode(g)) - 1 AS p, count(*) OVER () AS n FROM tree WHERE n = 1),
+wood AS (SELECT 0 AS l, p::BIGINT AS p, n::BIGINT AS n, h FROM s
+  UNION ALL SELECT l + 1, p // 2, (min(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM wood WHERE n > 1 GROUP BY l, p // 2),
+root AS (SELECT h AS root, l AS top FROM wood WHERE n = 1),
+up AS (SELECT p.g, p.p AS leaf_at, t.l, t.h, t.p & 1 AS odd FROM p JOIN tree t ON t.g = p.g AND t.p = xor(p.p >> t.l, 1)
+  UNION ALL SELECT p.g, p.p, s.l + w.l, w.h, w.p & 1 FROM p JOIN s USING (g) JOIN wood w ON w.p = xor(s.p >> w.l, 1)),
+proof AS (SELECT g, leaf_at, sha256(string_agg(h, '' ORDER BY l)) AS proof_sha256 FROM up GROUP BY ALL),
+fold AS (SELECT g, p AS leaf_at, 0 AS l, coalesce(claim, leaf) AS h FROM p
+  UNION ALL SELECT f.g, f.leaf_at, f.l + 1, sha256(CASE WHEN up.h IS NULL THEN f.h WHEN up.odd = 1 THEN f.h || up.h ELSE up.h || f.h END)
+  FROM fold f JOIN s ON s.g = f.g CROSS JOIN root LEFT JOIN up ON up.g = f.g AND up.leaf_at = f.leaf_at AND up.l = f.l WHERE f.l < s.l + root.top)
+SELECT p.doc_id, p.leaf, s.h AS subroot, root.root, coalesce(proof_sha256, sha256('')) AS proof_sha256, fold.h AS folded_root, fold.h = root.root AS verified
+FROM p JOIN s USING (g) CROSS JOIN root LEFT JOIN proof ON proof.g = p.g AND proof.leaf_at = p.p
+JOIN fold ON fold.g = p.g AND fold.leaf_at = p.p AND fold.l = s.l + root.top"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op6_warc_assembly": OP6, "op8_lm_scoring": OP8, "op9_substring_dedup": OP9}
+    return {"op5_quality_rules": OP5, "op6_warc_assembly": OP6, "op8_lm_scoring": OP8, "op9_substring_dedup": OP9, "op12_merkle_manifest": OP12}
