@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, lm_scoring, merkle_manifest, near_dedup, preference, quality_rules, sentencepiece_viterbi, substring_dedup, token_rans, url_filter, warc
+from . import decontaminate, lm_scoring, merkle_manifest, near_dedup, preference, prefix_trie, quality_rules, sentencepiece_viterbi, substring_dedup, token_rans, toxicity, url_filter, warc
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -115,6 +115,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_pieces", "n_byte_pieces", "ids_crc32", "score", "round_trip")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over all rebuilt conversations."""
+    rows, lengths = prefix_trie.rebuilt_turns(prefix_trie.turn_rows(_table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(rows, lengths)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, roots and proof; every seventh (by crc32) is checked with a tampered leaf."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -126,10 +132,19 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of rows that are held out are not looked at."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.fit_toxicity(docs, labels.where(fold != 1))
+    out = toxicity.score_documents(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_filter, op2_minhash_near_dedup, op3_chat_preferences, op4_decontamination, op5_quality_rules,
-        op6_warc_assembly, op7_token_files, op8_lm_scoring, op9_substring_dedup, op10_sentencepiece, op12_merkle_manifest)}
+        op6_warc_assembly, op7_token_files, op8_lm_scoring, op9_substring_dedup, op10_sentencepiece, op11_prefix_trie, op12_merkle_manifest, op13_toxicity)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -196,6 +211,26 @@ _CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_sp
     lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END))"""
 _CRC = f"xor({_CRC}, 4294967295::UBIGINT)"
 
+OP11 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format('conv_id')} % 9 AS h FROM t),
+r AS (SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN t ON t.conv_id = c.base AND i < h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i >= h),
+o AS (SELECT conv_id, octet_length(encode(text)) AS bytes, length(role) || ':' || role || text AS turn,
+    row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS depth FROM r),
+k AS (SELECT conv_id, depth, bytes, md5(string_agg(md5(turn), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM o
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+e AS (SELECT *, coalesce(lag(key) OVER w, '') AS above, depth = max(depth) OVER (PARTITION BY conv_id) AS ended FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+node AS (SELECT key, depth, above, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(CASE WHEN ended THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM e GROUP BY key, depth, above),
+kids AS (SELECT above AS key, count(*) AS n FROM node GROUP BY above),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (key)),
+below AS (SELECT a.key, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved
+  FROM e AS a JOIN e AS x ON x.conv_id = a.conv_id AND x.depth >= a.depth JOIN full_node b ON b.key = x.key AND b.conv_id = x.conv_id GROUP BY a.key)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN below USING (key) LEFT JOIN node p ON p.key = f.above"""
+
 _FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
 
@@ -221,4 +256,4 @@ JOIN fold ON fold.g = p.g AND fold.leaf_at = p.p AND fold.l = s.l + root.top"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op6_warc_assembly": OP6, "op8_lm_scoring": OP8, "op9_substring_dedup": OP9, "op12_merkle_manifest": OP12}
+    return {"op5_quality_rules": OP5, "op6_warc_assembly": OP6, "op8_lm_scoring": OP8, "op9_substring_dedup": OP9, "op11_prefix_trie": OP11, "op12_merkle_manifest": OP12}
