@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_words import slices
 
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_CHARS = 1200, 2400, 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_CHARS = 2000, 4000, 20_000
 WINDOW, STRIDE = 64, 48
 HIDDEN, EMBEDDING, BUCKETS, CHARS = 8, 8, 4096, 128
 PIECE, PIECE_STEP = 24, 16
-SLICE_BYTES, MAX_VOCABULARY, WINDOWS_AT_ONCE = 1 << 20, 100_000, 4096
+SLICE_BYTES, MAX_VOCABULARY, WINDOWS_AT_ONCE, WORDS_AT_ONCE = 1 << 20, 100_000, 4096, 4096
 #: Update gate of padding: the state passes through unchanged.
 _HOLD = 40.0
 
@@ -177,43 +177,59 @@ def _projections(model, level: str, x: np.ndarray) -> list[np.ndarray]:
 
 
 def word_inputs(model, words: list[str], keep: bool = False):
-    """Inputs of the word network [n + 1, 2H + E]: row i + 1 belongs to words[i], row 0 to padding."""
-    chars, bucket = read_words(words)
-    pooled = _two_ways(model, "c", _projections(model, "c", model["chars"]), chars, chars > 0, keep)
+    """Inputs of the word network [n + 1, 2H + E]: row i + 1 belongs to words[i], row 0 to padding.
+
+    Words are read in runs of like length, so that little of a run is padding."""
+    tables = _projections(model, "c", model["chars"])
     x = np.zeros((len(words) + 1, 2 * HIDDEN + EMBEDDING), model["words"].dtype)
-    x[1:, :2 * HIDDEN] = pooled[0] if keep else pooled
-    x[1:, 2 * HIDDEN:] = model["words"][bucket]
-    return (x, (chars, bucket, pooled[1])) if keep else x
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(length, kind="stable")
+    edges = np.searchsorted(length[order], [6, 9, 13, PIECE + 1])
+    parts = []
+    for a, b in zip([0, *edges], [*edges, len(order)]):
+        for lo in range(a, b, WORDS_AT_ONCE):
+            some = order[lo:min(b, lo + WORDS_AT_ONCE)]
+            chars, bucket = read_words([words[i] for i in some])
+            pooled = _two_ways(model, "c", tables, chars, chars > 0, keep)
+            x[some + 1, :2 * HIDDEN] = pooled[0] if keep else pooled
+            x[some + 1, 2 * HIDDEN:] = model["words"][bucket]
+            if keep:
+                parts.append((some, chars, bucket, pooled[1]))
+    return (x, parts) if keep else x
 
 
 def _two_ways_back(model, grads, level: str, pooled_grad, kept, ids, rows: np.ndarray) -> np.ndarray:
     """Adds the gradients of one level; returns that of ``rows``, the projections' inputs."""
     states, a, runs = kept
-    dstates, grads[f"{level}_attend"] = attend_back(pooled_grad, states, a, model[f"{level}_attend"])
+    dstates, dv = attend_back(pooled_grad, states, a, model[f"{level}_attend"])
+    grads[f"{level}_attend"] += dv
     drows = np.zeros_like(rows)
     for way, run, part in (("f", runs[0], dstates[:, :, :HIDDEN]), ("b", runs[1], dstates[:, :, HIDDEN:])):
-        dx, grads[f"{level}{way}_u"] = recur_back(np.ascontiguousarray(part), run, model[f"{level}{way}_u"], way == "b")
+        dx, du = recur_back(np.ascontiguousarray(part), run, model[f"{level}{way}_u"], way == "b")
         dtable = np.zeros((len(rows), 3 * HIDDEN), rows.dtype)
         add_rows(dtable, ids.ravel(), dx.reshape(-1, 3 * HIDDEN))
         dtable[0] = 0
-        grads[f"{level}{way}_in"], grads[f"{level}{way}_bias"] = rows.T @ dtable, dtable.sum(axis=0)
+        grads[f"{level}{way}_u"] += du
+        grads[f"{level}{way}_in"] += rows.T @ dtable
+        grads[f"{level}{way}_bias"] += dtable.sum(axis=0)
         drows += dtable @ model[f"{level}{way}_in"].T
     return drows
 
 
 def loss_and_gradients(model, windows: np.ndarray, words: list[str], label: np.ndarray, weight: np.ndarray):
     """Weighted log loss of windows [T, B] of word numbers (from 1; 0 is padding) and all gradients."""
-    x, (chars, bucket, char_kept) = word_inputs(model, words, keep=True)
+    x, parts = word_inputs(model, words, keep=True)
     pooled, kept = _two_ways(model, "w", _projections(model, "w", x), windows, windows > 0, keep=True)
     logit = pooled @ model["out"] + model["out_bias"]
     share = weight / weight.sum()
     loss = float((share * (np.logaddexp(0, logit) - label * logit)).sum())
     dlogit = (share * (gate(logit) - label)).astype(pooled.dtype)
-    grads = {"out": pooled.T @ dlogit, "out_bias": dlogit.sum(keepdims=True)}
+    grads = {k: np.zeros_like(v) for k, v in model.items()}
+    grads["out"], grads["out_bias"] = pooled.T @ dlogit, dlogit.sum(keepdims=True)
     dx = _two_ways_back(model, grads, "w", dlogit[:, None] * model["out"], kept, windows, x)[1:]
-    grads["words"] = np.zeros_like(model["words"])
-    add_rows(grads["words"], bucket, dx[:, 2 * HIDDEN:])
-    grads["chars"] = _two_ways_back(model, grads, "c", dx[:, :2 * HIDDEN], char_kept, chars, model["chars"])
+    for some, chars, bucket, char_kept in parts:
+        add_rows(grads["words"], bucket, dx[some, 2 * HIDDEN:])
+        grads["chars"] += _two_ways_back(model, grads, "c", dx[some, :2 * HIDDEN], char_kept, chars, model["chars"])
     grads["chars"][0] = 0
     return loss, grads
 
@@ -252,7 +268,7 @@ class Toxicity:
 
 
 def train(texts: list[str], labels: list[int], class_weight: dict[int, float], share: float,
-          rounds: int = 8, warm_steps: int = 160, steps: int = 40, batch: int = 192, rate: float = 0.01, seed: int = 13) -> Toxicity:
+          rounds: int = 8, warm_steps: int = 360, steps: int = 50, batch: int = 96, rate: float = 0.01, seed: int = 13) -> Toxicity:
     """Fit by Adam: ``warm_steps`` batches of any windows, then ``rounds`` x ``steps`` batches of each
     document's highest scoring window. The same rows give the same network."""
     numbers: dict[str, int] = {}
@@ -323,20 +339,16 @@ class Scorer:
 
     def _learn(self) -> None:
         fresh, self.known.new = self.known.new, []
-        for lo in range(0, len(fresh), 8192):
-            part = sorted(range(lo, min(lo + 8192, len(fresh))), key=lambda i: len(fresh[i]))
-            # words of like length together: little padding
-            for at in range(0, len(part), 1024):
-                some = part[at:at + 1024]
-                rows = [p[1:] for p in _projections(self.weights, "w", word_inputs(self.weights, [fresh[i] for i in some]))]
-                need = self.size + len(fresh)
-                for k in (0, 1):
-                    if len(self.tables[k]) < need:
-                        grown = np.empty((max(need, 2 * len(self.tables[k])), 3 * HIDDEN), np.float32)
-                        grown[:self.size] = self.tables[k][:self.size]
-                        self.tables[k] = grown
-                    self.tables[k][np.array(some) + self.size] = rows[k]
-        self.size += len(fresh)
+        if not fresh:
+            return
+        need = self.size + len(fresh)
+        for k, rows in enumerate(_projections(self.weights, "w", word_inputs(self.weights, fresh))):
+            if len(self.tables[k]) < need:
+                grown = np.empty((max(need, 2 * len(self.tables[k])), 3 * HIDDEN), np.float32)
+                grown[:self.size] = self.tables[k][:self.size]
+                self.tables[k] = grown
+            self.tables[k][self.size:need] = rows[1:]
+        self.size = need
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(score, number of windows) of each text."""
