@@ -1,99 +1,41 @@
-"""Vector index as a Parquet vector table (O-06, O-28, O-57, O-58, O-79).
+"""Vector index as a Parquet vector table (O-06, O-28, O-57, O-79).
 
-* ``l2_topk``: exact k nearest vectors per query by Euclidean distance; blank query text →
-  no result for that query. Queries are a size-checked broadcast; the per-query limit is a
-  ``row_number <= k`` filter (partial top-k before the shuffle).
-* ``update_index``: the conditional create / append / read decision of the index component;
-  appends skip vector ids already present (anti join), so a retried append is harmless.
-* ``ivf_build`` / ``ivf_topk``: approximate search. ``pyspark.ml`` KMeans assigns every vector
-  to a cell; a query is compared only with the vectors of its ``nprobe`` nearest cells — the
-  candidates reach a query through an equi-join on the cell id — and re-ranked exactly.
-  ``cell_count`` scales the cells with the rows; ``choose_nprobe`` measures how many cells have
-  to be probed for a recall.
+* ``l2_topk``: exact k nearest vectors per question by Euclidean distance; blank question text →
+  no result for that question. Questions go to the tasks in blocks of bounded bytes, each task
+  keeps its k nearest, and only rows within a bound found beforehand are shuffled (``nearest.py``).
+* ``update_index``: the conditional create / append / read decision of the index component. A
+  rebuild writes a new folder and names it last, so it may read the index that it replaces and a
+  killed one loses nothing; appends skip vector ids already present (anti join), so a retried
+  append is harmless.
+
+The stored approximate index (O-58) is in ``ivf.py``.
 """
 
 from __future__ import annotations
 
-import json
-import math
 import os
 from dataclasses import dataclass
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
-
-from kbspark.functions.vectors import DIST_DIGITS, cosine_distance, unit
-from kbspark.operators.joins import bounded_broadcast, row_blocks
-from kbspark.session import materialize
-
-MAX_QUERIES = 100_000
-
-
-QUERY_SLICE, VECTOR_SLICE = 2048, 512   # distances computed at once in a task: at most their product
-
 
-def _nearest(ids: np.ndarray, vectors: np.ndarray, q: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int) -> None:
-    """Merge the distances from every row of ``q`` to ``vectors`` into ``best``, the k nearest so far
-    (distances and ids per question, by distance, then id)."""
-    squares = np.zeros((len(q), len(vectors)))
-    for j in range(q.shape[1]):   # one coordinate at a time, in the order that a row-wise sum would take
-        squares += (q[:, j, None] - vectors[None, :, j]) ** 2
-    d = np.concatenate([best[0], np.round(np.sqrt(squares), DIST_DIGITS)], axis=1)
-    i = np.concatenate([best[1], np.broadcast_to(ids, squares.shape)], axis=1)
-    order = np.lexsort((i, d), axis=1)[:, :k]
-    best[0][:], best[1][:] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def _search_block(index: DataFrame, block: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
-    """The k nearest vectors of each task to each question of ``block`` (broadcast)."""
-    got = block.toArrow()
-    dims = {}
-    for place, vec in enumerate(got.column("_q").to_pylist()):
-        dims.setdefault(len(vec), []).append((place, vec))
-    known = [(np.array([p for p, _ in rows]), np.array([v for _, v in rows]).reshape(len(rows), n)) for n, rows in dims.items()]
-    held = index.sparkSession.sparkContext.broadcast((got.column("query_id").combine_chunks(), known))
-    text_ids = isinstance(index.schema[id_col].dataType, T.StringType)
-
-    def run(batches):
-        query_ids, known = held.value
-        best = [(np.full((len(q), k), np.inf), np.full((len(q), k), "" if text_ids else 0, object if text_ids else np.int64)) for _, q in known]
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            size = pc.fill_null(pc.list_value_length(batch.column(1)), -1).to_numpy(zero_copy_only=False)
-            for (_, q), (d, i) in zip(known, best, strict=True):
-                part = batch.filter(pa.array(size == q.shape[1]))
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
-                for a in range(0, len(ids), VECTOR_SLICE):
-                    for c in range(0, len(q), QUERY_SLICE):
-                        _nearest(ids[a:a + VECTOR_SLICE], vectors[a:a + VECTOR_SLICE], q[c:c + QUERY_SLICE],
-                                 (d[c:c + QUERY_SLICE], i[c:c + QUERY_SLICE]), k)
-        for (place, _), (d, i) in zip(known, best, strict=True):
-            row, col = np.nonzero(np.isfinite(d))
-            if len(row):
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(place[row])), pa.array(i[row, col], id_type), pa.array(d[row, col])],
-                                                 names=["query_id", id_col, "l2_distance"])
-
-    schema = T.StructType([block.schema["query_id"], index.schema[id_col], T.StructField("l2_distance", T.DoubleType())])
-    return index.select(id_col, F.col(vec_col).cast("array<double>").alias("_v")).where(f"`{id_col}` IS NOT NULL").mapInArrow(run, schema)
+from kbspark.operators import versions
+from kbspark.operators.nearest import blocks_of, nearest
 
 
 def l2_topk(index: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vec_col: str = "embedding",
             query_vec: str = "query_vector", query_text: str | None = "question") -> DataFrame:
     """(query_id, id, l2_distance, rank): the k nearest vectors of each question, ties by id (a
     number or a string). Vectors of another length than the question's, null ones and null ids match
-    nothing. Each task keeps its k nearest per question; only those are shuffled."""
+    nothing."""
     q = queries
     if query_text:
         q = q.where(F.length(F.trim(F.col(query_text))) > 0)
-    q = q.select("query_id", F.col(query_vec).cast("array<double>").alias("_q")).where(F.size("_q") > 0)
-    found = reduce(DataFrame.unionByName, [_search_block(index, b, k, id_col, vec_col) for b in row_blocks(q, "query_id", MAX_QUERIES)])
-    w = Window.partitionBy("query_id").orderBy("l2_distance", id_col)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    vectors = index.select(id_col, F.col(vec_col).cast("array<double>").alias("_v")).where(f"`{id_col}` IS NOT NULL")
+    blocks = blocks_of(q, query_vec)
+    if not blocks:
+        return vectors.limit(0).crossJoin(q.select("query_id").limit(0)).select(
+            "query_id", id_col, F.lit(0.0).alias("l2_distance"), F.lit(0).alias("rank"))
+    return nearest(vectors, blocks, k, "l2", id_col).withColumnRenamed("distance", "l2_distance")
 
 
 @dataclass
@@ -116,107 +58,15 @@ def decide(exists: bool, force_rebuild: bool, has_data: bool, search_query: str
     return IndexDecision("create", "missing index or rebuild requested")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS")))
-
-
 def update_index(spark: SparkSession, directory: str | None, name: str, data: DataFrame | None,
                  search_query: str | None = None, force_rebuild: bool = False, id_col: str = "vec_id") -> DataFrame:
     """Create, append to or read the vector table ``directory/name`` and return its contents."""
-    path = os.path.join(directory or "", name)
-    exists = bool(directory) and _exists(spark, path)
-    d = decide(exists, force_rebuild, data is not None, search_query, has_directory=bool(directory))
+    base = os.path.join(directory or "", name)
+    folder = versions.current(spark, base) if directory else None
+    d = decide(folder is not None, force_rebuild, data is not None, search_query, has_directory=bool(directory))
     if d.action == "create":
-        data.write.mode("overwrite").parquet(path)
+        folder = versions.replace(data, base)
     elif d.action == "append":
-        current = spark.read.parquet(path).select(id_col)
-        data.join(current, id_col, "left_anti").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-# ------------------------------------------------------------------------------------------ IVF
-RECALL, RECALL_SAMPLE = 0.9, 200   # aim, and questions that it is measured on
-
-
-def cell_count(vectors: DataFrame) -> int:
-    """About as many cells as a cell has vectors."""
-    return max(2, math.ceil(math.sqrt(vectors.count())))
-
-
-def ivf_build(vectors: DataFrame, lists: int, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7,
-              max_iter: int = 20):
-    """Train cell centroids and assign every vector to its cell.
-
-    Returns (vectors with ``cell``, centroids as a list). Vectors are L2-normalised first so
-    Euclidean cells follow cosine similarity. The centroid list is the fitted model itself
-    (``lists`` × dim numbers), which is all that ever reaches the driver.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors.select(id_col, vec_col, array_to_vector(unit(F.col(vec_col))).alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(v)
-    assigned = model.transform(v).select(id_col, vec_col, F.col("cell").cast("int").alias("cell"))
-    return assigned, [[float(x) for x in c] for c in model.clusterCenters()]
-
-
-def nearest_cells(query_vec, centroids: list[list[float]], nprobe: int):
-    """array<struct<d, cell>> of the ``nprobe`` cells nearest to the query vector; the
-    centroids enter the plan as one literal, so no join is needed to probe them."""
-    cents = F.from_json(F.lit(json.dumps([{"cell": i, "c": c} for i, c in enumerate(centroids)])),
-                        "array<struct<cell: int, c: array<double>>>")
-    scored = F.transform(cents, lambda s: F.struct(cosine_distance(s["c"], query_vec).alias("d"), s["cell"].alias("cell")))
-    return F.slice(F.array_sort(scored), 1, nprobe)
-
-
-def ivf_topk(assigned: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int = 20, nprobe: int = 2,
-             id_col: str = "vec_id", vec_col: str = "embedding", query_vec: str = "query_vector") -> DataFrame:
-    """Approximate top-k by cosine distance through the ``nprobe`` nearest cells."""
-    q = queries.select("query_id", F.col(query_vec).alias("_q"))
-    probe = q.select("query_id", "_q", F.explode(nearest_cells(F.col("_q"), centroids, nprobe)).alias("p")) \
-        .select("query_id", "_q", F.col("p.cell").alias("cell"))
-    small = bounded_broadcast(probe, 3 * MAX_QUERIES)   # each row holds the question's vector
-    pb = probe if small is None else small
-    cand = assigned.join(pb, "cell")
-    d = cand.select("query_id", id_col, "cell", cosine_distance(vec_col, "_q").alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def choose_nprobe(assigned: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int = 20, least: float = RECALL,
-                  sample: int = RECALL_SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding", query_vec: str = "query_vector") -> int:
-    """The least ``nprobe`` whose mean recall of the exact top ``k`` is ``least`` or more, counted over
-    all questions or, of more than ``sample``, over that many by least hash; then the recall less three
-    standard errors has to reach it."""
-    q = queries.select("query_id", query_vec).where(F.size(query_vec) > 0).orderBy(F.xxhash64("query_id"), "query_id").limit(sample + 1)
-    q = materialize(q)
-    all_of_them = q.count() <= sample
-    q = q.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
-    exact = ivf_topk(assigned.withColumn("cell", F.lit(0)), centroids[:1], q, k, 1, id_col, vec_col, query_vec).select("query_id", id_col)
-    places = q.select("query_id", F.posexplode(nearest_cells(F.col(query_vec), centroids, len(centroids))).alias("place", "p"))
-    cells = exact.join(assigned.select(id_col, "cell"), id_col)
-    found = cells.join(places.select("query_id", "place", F.col("p.cell").alias("cell")), ["query_id", "cell"])
-    rows = found.groupBy("query_id", "place").count().collect()   # at most k a question
-    if not rows:
-        return len(centroids)
-    at = {query: i for i, query in enumerate(sorted({r.query_id for r in rows}))}
-    hits = np.zeros((len(at), len(centroids)))
-    for r in rows:
-        hits[at[r.query_id], r.place] += r["count"]
-    share = np.cumsum(hits, axis=1) / hits.sum(axis=1, keepdims=True)
-    mean = share.mean(axis=0)
-    if not all_of_them:
-        mean = mean - 3 * share.std(axis=0) / math.sqrt(len(at))
-    return int(np.argmax(mean >= least)) + 1   # with all cells probed every share is 1
-
-
-def recall(approx: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """Per query: share of the exact top-k found by the approximate search."""
-    hit = exact.join(approx.select("query_id", id_col), ["query_id", id_col], "left_semi")
-    e = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
-    h = hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
-    return e.join(h, "query_id", "left").select("query_id", F.round(F.coalesce(F.col("hits"), F.lit(0)) / F.col("k"),
-                                                                    DIST_DIGITS).alias("recall"))
+        current = spark.read.parquet(folder).select(id_col)
+        data.join(current, id_col, "left_anti").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)

@@ -596,6 +596,11 @@ SELECT query_id, rank, vec_id, l2_distance FROM (
       round(sqrt(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAST(q.query_vector AS DOUBLE[])),
                                          lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9), e.vec_id) AS rank
   FROM embeddings e CROSS JOIN kb_questions q WHERE length(trim(q.question)) > 0) WHERE rank <= 4""")
+SQL["vector_ivf_all_cells"] = with_ctes(["kb_questions"], """
+SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM (
+  SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
+    SELECT q.query_id, e.vec_id, round(list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.query_vector AS DOUBLE[])), 9) AS distance
+    FROM embeddings e CROSS JOIN kb_questions q)) WHERE rank <= 20""")
 SQL["index_conditional_update"] = "SELECT vec_id, label, len(embedding) AS dim FROM embeddings"
 
 # ------------------------------------------------------------------------------- audits

@@ -327,21 +327,6 @@ def test_index_decision_table():
         idx.decide(False, False, True, "", has_directory=False)
 
 
-def test_ivf_recall(spark):
-    from conftest import SF_MID
-    from kbspark.plans.queries import KB
-    kb = KB(spark, SF_MID)
-    e = kb.table("embeddings").select("vec_id", "embedding")
-    q = kb.questions
-    assigned, cents = idx.ivf_build(e, lists=4)
-    approx = idx.ivf_topk(assigned, cents, q, k=10, nprobe=4)     # all cells probed: exact
-    exact = idx.ivf_topk(assigned.withColumn("cell", F.lit(0)), [cents[0]], q, k=10, nprobe=1)
-    rec = [r.recall for r in idx.recall(approx, exact).collect()]
-    assert min(rec) == 1.0
-    partial = idx.recall(idx.ivf_topk(assigned, cents, q, k=10, nprobe=2), exact)
-    assert partial.agg(F.avg("recall")).first()[0] > 0.3
-
-
 def test_sequential_fold_isolates_failing_question(spark):
     rows = [(1, 1, _reply(new=[("a", "low")])), (2, 1, _reply(new=[("b", "high")]))]
     df = (spark.createDataFrame(rows, "query_id long, doc_rank long, reply_text string")

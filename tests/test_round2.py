@@ -166,20 +166,3 @@ def test_registered_ivf_query_recalls_nine_tenths(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     share = [len(true[i] & got.get(i, set())) / plans.TOP_K for i in true]
     assert np.mean(share) >= 0.9
-
-
-def test_nprobe_and_cells_follow_the_table(spark):
-    rng = np.random.default_rng(4)
-    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 16)))], "vec_id long, embedding array<double>")
-    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 16)))], "query_id long, query_vector array<double>")
-    assert idx.cell_count(e) == 30 and idx.cell_count(e.limit(100)) == 10
-    assigned, cents = idx.ivf_build(e, lists=30)
-    assigned = assigned.localCheckpoint()
-    exact = idx.ivf_topk(assigned.withColumn("cell", F.lit(0)), cents[:1], q, k=10, nprobe=1)
-    n = idx.choose_nprobe(assigned, cents, q, k=10)
-
-    def mean(nprobe):
-        return idx.recall(idx.ivf_topk(assigned, cents, q, k=10, nprobe=nprobe), exact).agg(F.avg("recall")).first()[0]
-
-    assert 1 < n < 30 and mean(n) >= 0.9 > mean(n - 1)
-    assert idx.choose_nprobe(assigned, cents, q, k=10, sample=20) >= 1
