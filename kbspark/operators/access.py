@@ -11,7 +11,8 @@ Two policies exist and disagree in corner cases; both are built and named:
 
 Both are computed for a whole table of callers at once as a union of equi-joins, never as a
 callers × documents product. The company joins have very few distinct keys, so they go
-through ``hot_key_join`` (size-checked broadcast of callers, else salting).
+through ``hot_key_join`` (size-checked broadcast of callers, else salting). Retrieval does not use
+these rows: it tests the list policy per candidate (``scoped.py``).
 """
 
 from __future__ import annotations
@@ -33,75 +34,81 @@ def live_grants(grants: DataFrame, as_of: str) -> DataFrame:
             .select("user_id", "document_id"))
 
 
+_DOC = ["document_id", "company_id", "owner_id", "access_level", "is_approved"]
+
+
+def _known(callers: DataFrame) -> DataFrame:
+    return callers.where(F.col("user_id").isNotNull()).select("user_id", F.col("company_id").alias("_company"), "user_type").distinct()
+
+
 def _same_company(docs: DataFrame, callers: DataFrame, fits: bool) -> DataFrame:
-    c = callers.select("user_id", "company_id").where(F.col("company_id").isNotNull())
-    return hot_key_join(docs.select("document_id", "company_id"), c, ["company_id"],
-                        salt_by=["document_id"], small_fits=fits).select("user_id", "document_id")
+    """Documents beside the callers of their company (few distinct keys: broadcast if small, else salted)."""
+    c = callers.withColumnRenamed("_company", "company_id").where(F.col("company_id").isNotNull())
+    return hot_key_join(docs, c, ["company_id"], salt_by=["document_id"], small_fits=fits)
 
 
 def _owned(docs: DataFrame, callers: DataFrame, fits: bool) -> DataFrame:
-    """Documents owned by a caller; one owner may hold a large share of all documents, so the
-    caller side is broadcast (checked) or the join salted."""
-    c = callers.select(F.col("user_id").alias("owner_id"))
-    return hot_key_join(docs.select("document_id", "owner_id"), c, ["owner_id"], salt_by=["document_id"],
-                        small_fits=fits).select(F.col("owner_id").alias("user_id"), "document_id")
+    """Documents beside the caller that owns them; one owner may hold a large share of all documents."""
+    c = callers.withColumn("owner_id", F.col("user_id"))
+    return hot_key_join(docs.where(F.col("owner_id").isNotNull()), c, ["owner_id"], salt_by=["document_id"], small_fits=fits)
 
 
-def _granted_to(grants: DataFrame, callers: DataFrame, fits: bool) -> DataFrame:
-    """Live grants held by callers (semi join, same hot-key handling)."""
-    return hot_key_join(grants, callers.select("user_id").distinct(), ["user_id"], how="left_semi",
-                        salt_by=["user_id", "document_id"], small_fits=fits)
+def _granted(docs: DataFrame, grants: DataFrame, callers: DataFrame, as_of: str, fits: bool) -> DataFrame:
+    """Documents beside the callers that hold a live grant, each pair once."""
+    g = hot_key_join(live_grants(grants, as_of).distinct(), callers, ["user_id"], salt_by=["document_id"], small_fits=fits)
+    return g.join(docs, "document_id")
 
 
 def _fits(callers: DataFrame) -> bool:
-    """One size check of the caller table for all company joins of a policy."""
-    return bounded_broadcast(callers.select("user_id", "company_id", "user_type")) is not None
-
-
-def list_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_of: str,
-                callers_fit: bool | None = None) -> DataFrame:
-    """(user_id, document_id) for every document each caller may read under the list form.
-    ``callers_fit`` passes a size check already made on the callers (or a superset)."""
-    docs = documents.select("document_id", "company_id", "owner_id", "access_level", "is_approved")
-    known = callers.where(F.col("user_id").isNotNull()).select("user_id", "company_id", "user_type")
-
-    fits = _fits(known) if callers_fit is None else callers_fit
-    public = _same_company(docs.where((F.col("access_level") == "PUBLIC") & (F.col("is_approved") == F.lit(True))),
-                           known, fits)
-    internal = _same_company(docs.where(F.col("access_level") == "INTERNAL"),
-                             known.where(F.col("user_type") == "INTERNAL"), fits)
-    owned = _owned(docs.where(F.col("owner_id").isNotNull()), known, fits)
-    granted = (_granted_to(live_grants(grants, as_of), known, fits)
-               .join(docs.select("document_id"), "document_id", "left_semi")
-               .select("user_id", "document_id"))
-    return public.unionByName(owned).unionByName(internal).unionByName(granted).distinct()
-
-
-def point_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_of: str,
-                 callers_fit: bool | None = None) -> DataFrame:
+    """One size check of the caller table for all joins of a policy."""
+    return bounded_broadcast(callers) is not None
+
+
+def _yes(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def list_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_of: str) -> DataFrame:
+    """(user_id, document_id) for every document each caller may read under the list form. The branches
+    exclude each other row by row, so no pair arises twice and none has to be removed by a shuffle."""
+    docs, known = documents.select(*_DOC), _known(callers)
+    fits = _fits(known)
+    approved = _yes((F.col("access_level") == "PUBLIC") & F.col("is_approved"))
+    company = _yes(F.col("company_id") == F.col("_company"))
+    inside = _yes((F.col("access_level") == "INTERNAL") & (F.col("user_type") == "INTERNAL")) & company
+    own = _yes(F.col("owner_id") == F.col("user_id"))
+    # one pass over documents for both company branches
+    by_company = _same_company(docs.where(F.col("access_level").isin("PUBLIC", "INTERNAL")), known, fits).where(
+        approved | _yes((F.col("access_level") == "INTERNAL") & (F.col("user_type") == "INTERNAL")))
+    owned = _owned(docs, known, fits).where(~((approved & company) | inside))
+    granted = _granted(docs, grants, known, as_of, fits).where(~((approved & company) | inside | own))
+    return _pairs(by_company, owned, granted)
+
+
+def point_policy(documents: DataFrame, callers: DataFrame, grants: DataFrame, as_of: str) -> DataFrame:
     """(user_id, document_id) visible under the ordered point form; anonymous callers
-    (``user_id`` NULL) appear with ``user_id`` NULL."""
-    docs = documents.select("document_id", "company_id", "owner_id", "access_level", "is_approved")
-    known = callers.where(F.col("user_id").isNotNull()).select("user_id", "company_id", "user_type")
-    anonymous = callers.where(F.col("user_id").isNull()).select("user_id")
-
-    approved_public = docs.where((F.col("access_level") == "PUBLIC") & (F.col("is_approved") == F.lit(True)))
-    fits = _fits(known) if callers_fit is None else callers_fit
-    public = _same_company(approved_public, known, fits)
-    # Existence test only: one output row per approved PUBLIC document when any anonymous
-    # caller is present (a semi join, no pairs are produced).
-    public_anon = (approved_public.join(anonymous, how="left_semi")
-                   .select(F.lit(None).cast("bigint").alias("user_id"), "document_id"))
-    non_public = docs.where(F.col("access_level") != "PUBLIC")
-    owned = _owned(non_public.where(F.col("owner_id").isNotNull()), known, fits)
-    internal = _same_company(non_public.where(F.col("access_level") == "INTERNAL"),
-                             known.where(F.col("user_type") == "INTERNAL"), fits)
-    restricted = docs.where(F.col("access_level") == "RESTRICTED").select("document_id")
-    granted = (_granted_to(live_grants(grants, as_of), known, fits)
-               .join(restricted, "document_id", "left_semi")
-               .select("user_id", "document_id"))
-    return (public.unionByName(public_anon).unionByName(owned).unionByName(internal)
-            .unionByName(granted).distinct())
+    (``user_id`` NULL) appear with ``user_id`` NULL. Branches exclude each other as in ``list_policy``."""
+    docs, known = documents.select(*_DOC), _known(callers)
+    fits = _fits(known)
+    anonymous = F.broadcast(callers.where(F.col("user_id").isNull()).limit(1).select(F.lit(1).alias("_any")))
+    approved = _yes((F.col("access_level") == "PUBLIC") & F.col("is_approved"))
+    by_company = _same_company(docs.where(F.col("access_level").isin("PUBLIC", "INTERNAL")), known, fits).where(
+        approved | _yes((F.col("access_level") == "INTERNAL") & (F.col("user_type") == "INTERNAL")))
+    # existence only: every approved PUBLIC document once, if any caller is anonymous
+    unnamed = docs.where(approved).withColumn("_any", F.lit(1)).join(anonymous, "_any", "left_semi").select(
+        F.lit(None).cast(known.schema["user_id"].dataType).alias("user_id"), "document_id")
+    inside = _yes((F.col("access_level") == "INTERNAL") & (F.col("user_type") == "INTERNAL") & (F.col("company_id") == F.col("_company")))
+    own = _yes(F.col("owner_id") == F.col("user_id"))
+    owned = _owned(docs.where(F.col("access_level") != "PUBLIC"), known, fits).where(~inside)
+    granted = _granted(docs.where(F.col("access_level") == "RESTRICTED"), grants, known, as_of, fits).where(~own)
+    return _pairs(by_company, unnamed, owned, granted)
+
+
+def _pairs(*branches: DataFrame) -> DataFrame:
+    out = branches[0].select("user_id", "document_id")
+    for b in branches[1:]:
+        out = out.unionByName(b.select("user_id", "document_id"))
+    return out
 
 
 def point_access_flag(pairs: DataFrame, grants: DataFrame, as_of: str) -> DataFrame:

@@ -1,27 +1,22 @@
 """Multi-vector chunk retrieval (O-12, O-21, O-22, O-29, O-30, O-32, O-35..O-37, O-50, O-55).
 
-Order of operations (a whole table of questions in one plan):
-accessible documents → COMPLETED vectors of their chunks → cosine distance to the question →
-rank inside (question, chunk) → best, average of the first ``subchunk_top_k``, count of them →
-top ``top_k`` chunks per question by best distance (tie: chunk id) → blended score →
+A whole table of questions in one job: COMPLETED vectors of the chunks that the asker may read →
+cosine distance to the question → the ``top_k`` chunks per question by best distance (tie: chunk
+id) → of these the average and count of the first ``subchunk_top_k`` vectors → blended score →
 ``score >= threshold`` applied *after* the top-k.
 
-Plan shape: vectors are normalised once per row; the question side is broadcast in blocks of
-checked size; both per-group limits are ``row_number() <= k`` filters, which Spark turns into a
-partial ``WindowGroupLimit`` before the shuffle, so at most k rows per group and map task
-cross the network.
+The top chunks are found by tasks that read each vector once and decide access per candidate
+(``scoped.py``): neither (asker, document) nor (question, vector) rows exist. Only the questions ×
+top_k winners meet their vectors again, by chunk id, for their statistics.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kbspark.functions.vectors import DIST_DIGITS, dot, norm, unit
-from kbspark.operators.joins import row_blocks
-
-MAX_QUESTIONS = 100_000
+from kbspark.operators.scoped import Scope, nearest_chunks
+from kbspark.session import materialize
 
 
 def prepare_vectors(embeddings: DataFrame, status: str | None = "COMPLETED") -> DataFrame:
@@ -43,30 +38,11 @@ def _distance() -> F.Column:
     return F.round(raw, DIST_DIGITS)
 
 
-def candidate_distances(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame,
-                        accessible: DataFrame | None = None, questions_checked: bool = False) -> DataFrame:
-    """(query_id, chunk_id, document_id, embedding_id, subchunk_idx, dist).
-
-    After the vectors have met their chunks once (by chunk_id), only ids and the distance travel;
-    chunk index and text are attached to the top-k rows at the end by ``attach_chunk_details``.
-
-    With ``accessible`` (query_id, document_id): permitted (question, chunk) rows are made from ids
-    alone, and vectors join them by chunk_id, so only permitted pairs are ever formed.
-    Without it every vector is compared with every question (exact search). Either way the
-    question vectors are broadcast, in blocks of about ``MAX_QUESTIONS`` rows at most.
-    """
-    q = prepare_questions(questions)
-    blocks = [F.broadcast(b) for b in ([q] if questions_checked else row_blocks(q, "query_id", MAX_QUESTIONS))]
-    vecs = prepare_vectors(embeddings)
-    places = chunks.select("chunk_id", "document_id")
-    if accessible is None:
-        cand = places.join(vecs, "chunk_id")
-        pairs = reduce(DataFrame.unionByName, [cand.crossJoin(b) for b in blocks])
-    else:
-        cand = places.join(accessible.select("query_id", "document_id").distinct(), "document_id").join(vecs, "chunk_id")
-        pairs = reduce(DataFrame.unionByName, [cand.join(b, "query_id") for b in blocks])
-    return pairs.select("query_id", "chunk_id", "document_id", "embedding_id", "subchunk_idx",
-                        _distance().alias("dist"))
+def pair_distances(pairs: DataFrame, questions: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, document_id, embedding_id, subchunk_idx, dist) of given (query_id, chunk_id) rows."""
+    places = chunks.select("chunk_id", "document_id").join(pairs, "chunk_id")
+    d = places.join(prepare_vectors(embeddings), "chunk_id").join(prepare_questions(questions), "query_id")
+    return d.select("query_id", "chunk_id", "document_id", "embedding_id", "subchunk_idx", _distance().alias("dist"))
 
 
 def chunk_stats(dists: DataFrame, subchunk_top_k: int = 3) -> DataFrame:
@@ -100,14 +76,18 @@ def attach_chunk_details(top: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "chunk_idx", "chunk_text").join(top, "chunk_id")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame,
-             accessible: DataFrame | None = None, top_k: int = 20, subchunk_top_k: int = 3,
-             score_threshold: float | None = None, questions_checked: bool = False) -> DataFrame:
-    """Top chunks per question with their blended score; threshold applied after the top-k.
-    ``questions_checked``: the caller already verified the question table's size bound."""
-    d = candidate_distances(questions, chunks, embeddings, accessible, questions_checked)
-    top = top_chunks(chunk_stats(d, subchunk_top_k), top_k)
-    scored = top.withColumn("score", blended_score(subchunk_top_k))
+def top_stats(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame, scope: Scope | None = None, top_k: int = 20,
+              subchunk_top_k: int = 3) -> DataFrame:
+    """The top chunks per question with their statistics and rank; among all chunks without a ``scope``."""
+    ready = embeddings.where(F.col("status") == "COMPLETED")
+    winners = materialize(nearest_chunks(questions, chunks, ready, scope, top_k))   # questions x top_k ids
+    return top_chunks(chunk_stats(pair_distances(winners, questions, chunks, embeddings), subchunk_top_k), top_k)
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame, scope: Scope | None = None, top_k: int = 20,
+             subchunk_top_k: int = 3, score_threshold: float | None = None) -> DataFrame:
+    """Top chunks per question with their blended score; threshold applied after the top-k."""
+    scored = top_stats(questions, chunks, embeddings, scope, top_k, subchunk_top_k).withColumn("score", blended_score(subchunk_top_k))
     if score_threshold is not None:
         scored = scored.where(F.col("score") >= F.lit(score_threshold))
     return attach_chunk_details(scored, chunks)

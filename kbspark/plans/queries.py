@@ -21,7 +21,7 @@ from kbspark.operators import embed as emb, importance as imp, index as idx, int
 from kbspark.operators import mixing as mx, qa_data as qa, retrieve as rt
 from kbspark.plans import ingest, report
 from kbspark import schema as S
-from kbspark.operators.joins import bounded_broadcast
+from kbspark.operators.scoped import Scope
 from kbspark.session import materialize, scratch_path
 from kbspark.sources import fixtures as fx
 from kbspark.sources.tables import read_table
@@ -81,37 +81,31 @@ class KB:
     def conversations(self):
         return self.table("conversations").select("conv_id", "turn", "role", "text")
 
-    @cached_property
-    def questions_fit(self) -> bool:
-        """Whether the question table may be broadcast: one size check per query. Callers are derived
-        from questions, so the same bound covers them (MAX_QUESTIONS <= the broadcast row bound)."""
-        return bounded_broadcast(self.questions.select("query_id"), rt.MAX_QUESTIONS) is not None
-
     # access
     @cached_property
     def list_access(self):
-        return access.list_policy(self.documents, self.callers, self.grants, fx.AS_OF, callers_fit=self.questions_fit)
+        return access.list_policy(self.documents, self.callers, self.grants, fx.AS_OF)
 
     @cached_property
     def point_access(self):
-        return access.point_policy(self.documents, self.callers, self.grants, fx.AS_OF,
-                                   callers_fit=self.questions_fit)
+        return access.point_policy(self.documents, self.callers, self.grants, fx.AS_OF)
 
     @cached_property
     def question_access(self):
         q = self.questions.select("query_id", "user_id")
-        return q.join(self.list_access, "user_id").select("query_id", "document_id").distinct()
+        return q.join(self.list_access, "user_id").select("query_id", "document_id")   # each pair once
 
     # retrieval and answering
-    def retrieve(self, with_access: bool, threshold):
-        acc = self.question_access if with_access else None
-        return rt.retrieve(self.questions, self.chunks, self.embeddings, accessible=acc, top_k=TOP_K,
-                           subchunk_top_k=SUBCHUNK_TOP_K, score_threshold=threshold,
-                           questions_checked=self.questions_fit)
+    @cached_property
+    def scope(self):
+        return Scope(self.documents, self.callers, self.grants, fx.AS_OF)
+
+    def retrieve(self, threshold):
+        return rt.retrieve(self.questions, self.chunks, self.embeddings, self.scope, TOP_K, SUBCHUNK_TOP_K, threshold)
 
     @cached_property
     def retrieved(self):
-        return materialize(self.retrieve(True, FIXTURE_THRESHOLD))
+        return materialize(self.retrieve(FIXTURE_THRESHOLD))
 
     @cached_property
     def contexts(self):
@@ -138,7 +132,7 @@ class KB:
 
     @cached_property
     def user_history(self):
-        """Memory per asking user: the conversation with conv_id = user_id, newest 20 turns."""
+        """Memory per asking user: the conversation with conv_id = user_id."""
         return dialog.dialog_history(self.conversations).select(F.col("conv_id").alias("user_id"), "history")
 
     def with_question_history(self, df: DataFrame) -> DataFrame:
@@ -193,7 +187,7 @@ def q_vector_distance(spark, sf_dir):
     e = (kb.embeddings.where(F.col("status") == "COMPLETED")
          .select("embedding_id", "chunk_id", F.col("vector").cast("array<double>").alias("v")))
     cand = (kb.chunks.select("chunk_id", "document_id").join(kb.question_access, "document_id")
-            .join(e, "chunk_id").join(F.broadcast(q) if kb.questions_fit else q, "query_id"))
+            .join(e, "chunk_id").join(q, "query_id"))
     return cand.select("query_id", "embedding_id",
                        cosine_distance("v", "query_vector").alias("cosine_distance"),
                        l2_distance("v", "query_vector").alias("l2_distance"),
@@ -203,16 +197,14 @@ def q_vector_distance(spark, sf_dir):
 @query("retrieve_topk")
 def q_retrieve_topk(spark, sf_dir):
     kb = KB(spark, sf_dir)
-    d = rt.candidate_distances(kb.questions, kb.chunks, kb.embeddings, kb.question_access,
-                               questions_checked=kb.questions_fit)
-    top = rt.attach_chunk_details(rt.top_chunks(rt.chunk_stats(d, SUBCHUNK_TOP_K), TOP_K), kb.chunks)
+    top = rt.attach_chunk_details(rt.top_stats(kb.questions, kb.chunks, kb.embeddings, kb.scope, TOP_K, SUBCHUNK_TOP_K), kb.chunks)
     return top.select("query_id", "chunk_id", "document_id", "chunk_idx", "chunk_text", "best_distance",
                       "avg_distance", "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"))
 
 
 @query("retrieve_scored")
 def q_retrieve_scored(spark, sf_dir):
-    r = KB(spark, sf_dir).retrieve(True, 0.25)
+    r = KB(spark, sf_dir).retrieve(0.25)
     return r.select("query_id", "chunk_id", "document_id", "chunk_idx", "best_distance", "avg_distance",
                     "match_count", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "score")
 

@@ -160,6 +160,53 @@ def test_retrieval_edges(spark):
     assert r[1].chunk_rank == 1 and r[4].chunk_rank == 2
 
 
+def test_scoped_search_against_the_policy_rows(spark, monkeypatch):
+    """Nearest readable chunks = those of (question, document) rows made by the list policy, in one
+    block or many, with named documents and without."""
+    import random
+
+    import numpy as np
+    from kbspark.operators import scoped
+    rnd = random.Random(1)
+    docs, callers, grants = _access_tables(spark)
+    chunk_rows = [(f"c{i:03d}", rnd.randint(1, 10)) for i in range(80)]      # document 10 does not exist
+    chunks = spark.createDataFrame(chunk_rows, "chunk_id string, document_id long")
+    vec = [(c, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i, (c, _) in enumerate(chunk_rows) for _ in range(2)]
+    vec += [("c000", None), (None, [1.0] * 4), ("c001", [1.0, 2.0]), ("c002", [0.0] * 4)] + vec[:9]
+    emb = spark.createDataFrame(vec, "chunk_id string, vector array<double>").repartition(3)
+    asks = [(q, u, [float(x) for x in np.random.default_rng(100 + q).normal(size=4)]) for q, u in enumerate([10, 11, 10, None, 77, 11])]
+    questions = spark.createDataFrame([(q, v) for q, _, v in asks] + [(9, None)], "query_id long, query_vector array<double>")
+    who = spark.createDataFrame([(q, u) for q, u, _ in asks], "query_id long, user_id long").join(callers.where("user_id IS NOT NULL"), "user_id", "left")
+    requests = spark.createDataFrame([(0, None), (1, [7]), (2, [4, 8, 10]), (4, None), (5, [])], "query_id long, doc_ids array<long>")
+    allowed = _pairs(access.list_policy(docs, callers, grants, AS_OF))
+    named = {0: None, 1: [7], 2: [4, 8, 10], 3: [], 4: None, 5: []}
+    place = dict(chunk_rows)
+
+    def want(k, with_requests):
+        out = set()
+        for q, u, x in asks:
+            best = {}
+            for c, v in vec:
+                if c is None or v is None or len(v) != 4 or (u, place[c]) not in allowed:
+                    continue
+                if with_requests and named[q] is not None and place[c] not in named[q]:
+                    continue
+                n = np.linalg.norm(v)
+                d = round(1 - (np.dot(x, v) / np.linalg.norm(x) / n if n else 0), 9)
+                best[c] = min(best.get(c, 9), d)
+            out |= {(q, c) for _, c in sorted((d, c) for c, d in best.items())[:k]}
+        return out
+
+    for size in (4096, 2):
+        monkeypatch.setattr(scoped, "BLOCK_QUESTIONS", size)
+        for r in (None, requests):
+            s = scoped.Scope(docs, who, grants, AS_OF, r)
+            got = scoped.nearest_chunks(questions, chunks, emb, s, 5).collect()
+            assert {(x.query_id, x.chunk_id) for x in got} == want(5, r is not None) and len(got) == len(want(5, r is not None))
+    assert scoped.nearest_chunks(questions.limit(0), chunks, emb, s, 5).count() == 0
+    assert scoped.nearest_chunks(questions, chunks, emb.limit(0), s, 5).count() == 0
+
+
 # ----------------------------------------------------------------------------------- replies and fold
 def _parse(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")

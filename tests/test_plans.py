@@ -27,22 +27,42 @@ def test_access_policy_has_no_products(spark):
     assert "ReadSchema: struct<doc_id:bigint,text" not in plan
 
 
-def test_access_scoped_retrieval_plan(spark):
+def test_access_policies_shuffle_no_pairs(spark):
     kb = KB(spark, SF_SMALL)
-    plan = _plan(kb.retrieve(True, 0.15))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert plan.count("WindowGroupLimit") >= 2        # partial per-group limits before the shuffles
+    for policy in (kb.list_access, kb.point_access):
+        tree = [line.strip(" +-:*") for line in _plan(policy).split("\n\n")[0].split("\n") if line.strip()]
+        top = [line for line in tree if not line.startswith(("==", "AdaptiveSparkPlan"))][0]
+        assert top.startswith("Union")                 # no distinct over the pairs
+
+
+def _scoped_vectors(kb):
+    """The rows that the search tasks of the first block read."""
+    from kbspark.operators import scoped
+    block = scoped.question_blocks(kb.questions)[0]
+    ready = kb.embeddings.where("status = 'COMPLETED'").select("chunk_id", F.col("vector").cast("array<double>").alias("_v"))
+    return ready.join(kb.chunks.select("chunk_id", "document_id").join(scoped._policies(kb.scope, block), "document_id"), "chunk_id")
 
 
-def test_vectors_move_once(spark):
+def test_no_caller_document_rows_in_retrieval(spark):
+    """What is exchanged before the search are documents, grants, chunks and vectors; callers and
+    questions are broadcast, and no exchange holds a question or a user beside a document."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        plan = _plan(KB(spark, SF_SMALL).retrieve(True, 0.15))
+        plan = _plan(_scoped_vectors(KB(spark, SF_SMALL)))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     exchanges = [b for b in plan.split("\n\n") if ") Exchange" in b.split("\n")[0]]
-    assert sum("_u#" in b for b in exchanges) == 1 and len(exchanges) > 5
+    assert len(exchanges) >= 4
+    for block in exchanges:
+        assert not ("document_id" in block and "query_id" in block)
+    assert sum("_v#" in b for b in exchanges) == 1     # vectors move once
+
+
+def test_winners_alone_meet_their_vectors(spark):
+    plan = _plan(KB(spark, SF_SMALL).retrieve(0.15))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Scan ExistingRDD" in plan
 
 
 def test_status_filter_reaches_parquet_scan(spark):
