@@ -36,24 +36,21 @@ CTE["kb_grants"] = """kb_grants AS (
   FROM events)"""
 
 CTE["kb_chunks"] = """kb_sents AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n\\f]+', '\\1' || chr(1), 'g'), chr(1)),
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r\\n\\f]+', '\\1' || chr(1), 'g'), chr(1)),
     lambda s: regexp_replace(s, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g')), lambda s: s <> '') AS s
   FROM documents),
-kb_placed AS (
-  SELECT chunk_id, ((chunk_id // 3) * 7919) % n AS document_id, chunk_id % 3 + ((chunk_id // 3) // n) * 3 AS chunk_idx
-  FROM (SELECT DISTINCT vec_id // 3 AS chunk_id FROM embeddings) c,
-    (SELECT coalesce(max(doc_id) + 1, 1) AS n FROM documents) b),
 kb_chunks AS (
-  SELECT chunk_id, document_id, chunk_idx,
-    CASE WHEN len(s) > 3 * chunk_idx THEN array_to_string(list_slice(s, 3 * chunk_idx + 1, 3 * chunk_idx + 5), ' ')
-         ELSE 'chunk ' || CAST(chunk_id AS VARCHAR) END AS chunk_text
-  FROM kb_placed LEFT JOIN kb_sents ON doc_id = document_id)"""
+  SELECT doc_id * 1000000 + i // 3 AS chunk_id, doc_id AS document_id, i // 3 AS chunk_idx,
+    array_to_string(list_slice(s, i + 1, i + 5), ' ') AS chunk_text
+  FROM (SELECT doc_id, s, unnest(range(0, len(s), 3)) AS i FROM kb_sents))"""
 
-CTE["kb_embeddings"] = """kb_embeddings AS (
-  SELECT vec_id AS embedding_id, vec_id // 3 AS chunk_id, vec_id % 3 AS subchunk_idx, embedding AS vector,
-    CASE WHEN vec_id % 10 = 9 THEN 'FAILED' WHEN vec_id % 10 = 8 THEN 'PENDING' ELSE 'COMPLETED' END AS status,
-    CASE WHEN vec_id % 10 = 9 THEN 3 ELSE 1 END AS attempts
-  FROM embeddings)"""
+CTE["kb_embeddings"] = """kb_places AS (
+  SELECT chunk_id, document_id AS d, chunk_idx AS i, unnest(range(0, (document_id + chunk_idx) % 3 + 1)) AS j FROM kb_chunks),
+kb_embeddings AS (
+  SELECT chunk_id * 3 + j AS embedding_id, chunk_id, j AS subchunk_idx, embedding AS vector,
+    CASE WHEN (d + i + j) % 10 = 9 THEN 'FAILED' WHEN (d + i + j) % 10 = 8 THEN 'PENDING' ELSE 'COMPLETED' END AS status,
+    CASE WHEN (d + i + j) % 10 = 9 THEN 3 ELSE 1 END AS attempts
+  FROM kb_places JOIN embeddings ON vec_id = (d * 31 + i * 17 + j * 7) % (SELECT coalesce(max(vec_id) + 1, 1) FROM embeddings))"""
 
 CTE["kb_questions"] = """kb_questions AS (
   SELECT b.item_id AS query_id, b.item_id AS user_id, b.text AS question, e.embedding AS query_vector
@@ -645,7 +642,7 @@ def _dom(table, cte, rules):
                                 + cond + ", false)) AS n_violations FROM " + cte for name, cond in rules)
 
 
-SQL["audit_domain"] = with_ctes(["kb_users", "kb_documents", "kb_embeddings"], "\n" + "\nUNION ALL\n".join([
+SQL["audit_domain"] = with_ctes(["kb_users", "kb_documents", "kb_chunks", "kb_embeddings"], "\n" + "\nUNION ALL\n".join([
     _dom("documents", "kb_documents", [
         ("access_level in domain", "access_level IN ('RESTRICTED', 'INTERNAL', 'PUBLIC')"),
         ("source_type in domain", "source_type IN ('TEXT_INPUT', 'FILE', 'URI', 'WEB_SCRAPING', 'CONFLUENCE')"),
@@ -678,9 +675,10 @@ UNION ALL SELECT 'chunks', (SELECT count(*) FROM kb_chunks), (SELECT count(*) FR
 UNION ALL SELECT 'embeddings', (SELECT count(*) FROM kb_embeddings), (SELECT count(*) FROM e_left), 0
 UNION ALL SELECT 'grants', (SELECT count(*) FROM kb_grants), (SELECT count(*) FROM g_left), 0""")
 
-SQL["conform_schema"] = """SELECT vec_id AS embedding_id, vec_id // 3 AS chunk_id, vec_id % 3 AS subchunk_idx,
+SQL["conform_schema"] = with_ctes(["kb_chunks", "kb_embeddings"], """
+SELECT embedding_id, chunk_id, subchunk_idx,
   'chunk' AS embedding_scope, 'unknown' AS embedding_model, 0 AS overlap, 'PENDING' AS status, 0 AS attempts,
-  CAST(NULL AS VARCHAR) AS error_message, len(embedding) AS dim FROM embeddings"""
+  CAST(NULL AS VARCHAR) AS error_message, len(vector) AS dim FROM kb_embeddings""")
 
 # ------------------------------------------------------------------------------- ingestion
 CTE["requests"] = """requests AS (
@@ -702,7 +700,7 @@ SQL["ingest_status"] = with_ctes(["requests"], """
 SELECT request_id AS doc_id, title, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error,
   error IS NULL AS has_document_id FROM validated""")
 
-SQL["embedding_status"] = with_ctes(["kb_embeddings"], """
+SQL["embedding_status"] = with_ctes(["kb_chunks", "kb_embeddings"], """
 SELECT status, count(*) AS n_vectors, CAST(max(attempts) AS BIGINT) AS max_attempts, count(DISTINCT chunk_id) AS n_chunks
 FROM kb_embeddings GROUP BY status""")
 
@@ -796,7 +794,7 @@ SELECT document_id, chunk_idx, fragment_rank, round(dist, 6) AS centroid_distanc
 WHERE fragment_rank <= 2""")
 
 SQL["conform_chunks"] = with_ctes(["doc_sents", "doc_chunks"], """
-SELECT document_id * 100000 + chunk_idx AS chunk_id, document_id, chunk_idx % 2 = 0 AS is_hot, chunk_idx,
+SELECT document_id * 1000000 + chunk_idx AS chunk_id, document_id, chunk_idx % 2 = 0 AS is_hot, chunk_idx,
   'sentence' AS chunk_scope, 0 AS overlap, length(chunk_text) AS text_length FROM doc_chunks""")
 
 SQL["dialog_stream"] = SQL["dialog_history"]

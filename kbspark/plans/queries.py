@@ -24,6 +24,7 @@ from kbspark import schema as S
 from kbspark.operators.scoped import Scope
 from kbspark.session import materialize, scratch_path
 from kbspark.sources import fixtures as fx
+from kbspark.sources.stored import stored
 from kbspark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,20 +520,11 @@ def q_index_conditional_update(spark, sf_dir):
     return out.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dim"))
 
 
-#: Stored indexes of this session by what they hold: built by the first query that asks, searched by all.
-_BUILT: dict[tuple, str] = {}
-
-
 def stored_ivf(kb: KB) -> ivf.IvfIndex:
     """The stored index over the embeddings table, tuned on the questions at ``TOP_K``."""
     e = kb.table("embeddings").select("vec_id", "embedding")
-    mark = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("vec_id", "embedding")), F.sum(F.xxhash64("vec_id").cast("decimal(20,0)"))).first()
-    key = (kb.spark.sparkContext.applicationId, kb.sf_dir, *mark)
-    if key not in _BUILT:
-        base = scratch_path(kb.spark, "ivf-" + uuid.uuid4().hex)
-        ivf.tune(ivf.build_ivf(e, base), kb.questions, TOP_K)
-        _BUILT[key] = base
-    return ivf.open_ivf(kb.spark, _BUILT[key])
+    base = stored(kb.spark, "ivf", [e, kb.table("benchmark")], lambda path: ivf.tune(ivf.build_ivf(e, path), kb.questions, TOP_K))
+    return ivf.open_ivf(kb.spark, base)
 
 
 @query("vector_ivf_topk")
@@ -650,7 +642,7 @@ def q_conform_chunks(spark, sf_dir):
     ``chunk_scope``/``overlap`` existed, conformed to the current chunk schema."""
     old = (KB(spark, sf_dir).doc_chunks
            .select("document_id", "chunk_idx", "chunk_text", (F.col("chunk_idx") % 2 == 0).alias("is_important"))
-           .withColumn("chunk_id", F.col("document_id") * 100000 + F.col("chunk_idx")))
+           .withColumn("chunk_id", F.col("document_id") * fx.CHUNKS_PER_DOCUMENT + F.col("chunk_idx")))
     c = S.conform(old, S.CHUNKS, renames={"is_hot": "is_important"}, defaults={"chunk_scope": "sentence", "overlap": 0})
     return c.select("chunk_id", "document_id", "is_hot", "chunk_idx", "chunk_scope", "overlap",
                     F.length("chunk_text").cast("bigint").alias("text_length"))

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kbspark.operators.chunking import sentence_chunks
+from kbspark.sources.stored import stored
 from kbspark.sources.tables import read_table
 
 AS_OF = "2024-01-15 00:00:00"
+CHUNKS_PER_DOCUMENT = 1_000_000   # chunk ids leave room for so many chunks of a document
 STRIDE = 7919   # a prime: consecutive numbers land on documents all over the table
 
 
@@ -85,35 +87,34 @@ def kb_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three vectors make a chunk, three chunks in a row belong to one document, and the documents
-    are taken ``STRIDE`` apart over the whole table. The text is the document's sentence chunk at
-    ``chunk_idx``, or the chunk's name where the document has fewer."""
-    cid = F.col("chunk_id")
-    n = document_bound(spark, sf_dir)
-    ids = (read_table(spark, sf_dir, "embeddings")
-           .select(F.expr("vec_id div 3").alias("chunk_id")).distinct()
-           .select(cid, (F.expr("chunk_id div 3") * STRIDE % n).alias("document_id"),
-                   (cid % 3 + F.floor(F.expr("chunk_id div 3") / n) * 3).alias("chunk_idx")))
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    # one row per key, so Spark drops this join where only ids are read
-    texts = (sentence_chunks(docs.join(ids.select("document_id"), "document_id", "left_semi"))
-             .select("document_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_text")
-             .groupBy("document_id", "chunk_idx").agg(F.min("chunk_text").alias("chunk_text")))
-    return (ids.join(texts, ["document_id", "chunk_idx"], "left")
-            .select("chunk_id", "document_id", "chunk_idx",
-                    F.coalesce("chunk_text", F.concat(F.lit("chunk "), cid.cast("string"))).alias("chunk_text")))
+    """Every sentence chunk of every document, stored once: ``chunk_id = document_id * 10^6 + chunk_idx``."""
+    docs = read_table(spark, sf_dir, "documents")
+
+    def build(path: str) -> None:
+        c = sentence_chunks(docs.select(F.col("doc_id").alias("document_id"), "text"))
+        idx = F.col("chunk_idx").cast("bigint")
+        c.select((F.col("document_id") * CHUNKS_PER_DOCUMENT + idx).alias("chunk_id"), "document_id", idx.alias("chunk_idx"), "chunk_text").write.parquet(path)
+
+    return spark.read.parquet(stored(spark, "kb-chunks", [docs], build))
 
 
 def kb_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("vec_id")
-    return read_table(spark, sf_dir, "embeddings").select(
-        v.alias("embedding_id"),
-        F.expr("vec_id div 3").alias("chunk_id"),
-        (v % 3).alias("subchunk_idx"),
-        F.col("embedding").alias("vector"),
-        F.when(v % 10 == 9, "FAILED").when(v % 10 == 8, "PENDING").otherwise("COMPLETED").alias("status"),
-        F.when(v % 10 == 9, 3).otherwise(1).alias("attempts"),
-    )
+    """One to three vectors for every chunk, stored once: the given vectors in turn, all over the chunks."""
+    docs, given = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings")
+
+    def build(path: str) -> None:
+        n = given.agg(F.coalesce(F.max("vec_id") + 1, F.lit(1))).first()[0]
+        d, i, j = F.col("document_id"), F.col("chunk_idx"), F.col("subchunk_idx")
+        rows = kb_chunks(spark, sf_dir).select("chunk_id", d, i, F.explode(F.sequence(F.lit(0).cast("bigint"), (d + i) % 3)).alias("subchunk_idx"))
+        state = (d + i + j) % 10
+        rows = rows.select(
+            (F.col("chunk_id") * 3 + j).alias("embedding_id"), "chunk_id", "subchunk_idx", ((d * 31 + i * 17 + j * 7) % n).alias("vec_id"),
+            F.when(state == 9, "FAILED").when(state == 8, "PENDING").otherwise("COMPLETED").alias("status"),
+            F.when(state == 9, 3).otherwise(1).alias("attempts"))
+        vectors = given.select("vec_id", F.col("embedding").alias("vector"))
+        rows.join(vectors, "vec_id").select("embedding_id", "chunk_id", "subchunk_idx", "vector", "status", "attempts").write.parquet(path)
+
+    return spark.read.parquet(stored(spark, "kb-embeddings", [docs, given], build))
 
 
 def kb_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
