@@ -126,7 +126,8 @@ def length_filter(examples: DataFrame, max_context_tokens: int, max_text_tokens:
                        & (F.size(token_ids(F.col("question"))) <= max_text_tokens))
     if not drop_duplicates:
         return e
+    # texts are grouped by their hashes; the texts themselves travel once per group and map task
+    first = F.min(F.struct(*[F.col(c) for c in order_cols], *[F.col(c).alias("_" + c) for c in e.columns]))
+    g = e.groupBy(*[F.sha2(c, 256).alias("_h" + c) for c in ("context", "question")]).agg(first.alias("_f"))
     other = [c for c in e.columns if c not in ("context", "question")]
-    first = F.min(F.struct(*[F.col(c) for c in order_cols], *[F.col(c).alias("_" + c) for c in other]))
-    g = e.groupBy("context", "question").agg(first.alias("_f"))
-    return g.select("context", "question", *[F.col("_f._" + c).alias(c) for c in other])
+    return g.select(*[F.col("_f._" + c).alias(c) for c in ["context", "question", *other]])

@@ -276,7 +276,14 @@ def q_fact_fold(spark, sf_dir):
 
 @query("answer_summary")
 def q_answer_summary(spark, sf_dir):
-    return KB(spark, sf_dir).answers
+    """Answer rows of all questions; every tenth question's model fails, the times are fixture values."""
+    kb = KB(spark, sf_dir)
+    q = F.col("query_id")
+    failed = kb.questions.where(q % 10 == 9).select(q, F.concat(F.lit("model unavailable for question "), q.cast("string")).alias("error"))
+    a = facts.answer_summary(kb.questions, kb.replies, kb.folded, kb.used, failed, "table",
+                             kb.questions.select(q, (100 + q * 7).alias("processing_time_ms")))
+    return a.select("query_id", "final_result", F.to_json("facts").alias("facts"), "n_facts", "confidence", "reasoning", "used_documents",
+                    "used_chunks", "llm_provider", "processing_time_ms", F.to_json("warnings").alias("warnings"), "truncated")
 
 
 @query("fact_fold_model_loop")
@@ -630,7 +637,7 @@ def q_conform_schema(spark, sf_dir):
     """An old-revision vector table (no status/attempts/scope columns, ``is_important`` instead of
     ``is_hot`` on chunks) conformed to the current schema with back-filled defaults."""
     old = KB(spark, sf_dir).embeddings.select("embedding_id", "chunk_id", "subchunk_idx", "vector")
-    c = S.conform(old, S.EMBEDDINGS, defaults={"embedding_scope": "chunk", "embedding_model": "unknown", "overlap": 0,
+    c = S.conform(old, S.with_dimension(S.EMBEDDINGS, 64), defaults={"embedding_scope": "chunk", "embedding_model": "unknown", "overlap": 0,
                                                "status": "PENDING", "attempts": 0})
     return c.select("embedding_id", "chunk_id", "subchunk_idx", "embedding_scope", "embedding_model", "overlap",
                     "status", "attempts", "error_message", F.size("vector").cast("bigint").alias("dim"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # ---------------------------------------------------------------------------------------------
 # Enum members as stored (upper-case member names), lengths and dimensions that
@@ -67,7 +67,7 @@ CHUNKS = T.StructType([
 EMBEDDINGS = T.StructType([
     T.StructField("embedding_id", T.LongType(), False),
     T.StructField("chunk_id", T.LongType(), False),
-    T.StructField("vector", VECTOR, False),
+    T.StructField("vector", VECTOR, False, {"dim": VECTOR_DIM}),
     T.StructField("embedding_scope", T.StringType(), False),
     T.StructField("subchunk_idx", T.LongType(), False),
     T.StructField("embedding_model", T.StringType(), False),
@@ -102,44 +102,53 @@ REPLY = T.StructType([
 ])
 
 
+def with_dimension(schema: T.StructType, dim: int) -> T.StructType:
+    """``schema`` for vectors of another length."""
+    return T.StructType([T.StructField(f.name, f.dataType, f.nullable, {**f.metadata, "dim": dim} if "dim" in f.metadata else f.metadata)
+                         for f in schema.fields])
+
+
+def _fitted(source: str, field: T.StructField, same_type: bool) -> Column:
+    """The column as the target type, NULL (inside an array: a NULL element) where it does not fit; a
+    vector of another length than the schema's is NULL whole."""
+    c = F.col(source) if same_type else F.col(source).try_cast(_nullable(field.dataType))
+    return F.when(F.size(source) == field.metadata["dim"], c) if "dim" in field.metadata else c
+
+
+def _nullable(kind: T.DataType) -> T.DataType:
+    return T.ArrayType(_nullable(kind.elementType), True) if isinstance(kind, T.ArrayType) else kind
+
+
 def conform(df: DataFrame, schema: T.StructType, renames: dict | None = None,
             defaults: dict | None = None) -> DataFrame:
     """Bring a table written under an older revision to ``schema`` (O-91).
 
     Renamed columns are taken from their old name, missing columns are back-filled with the
-    given default (or NULL), extra columns are dropped and every column is cast with
-    ``try_cast`` semantics so one bad value becomes NULL instead of failing the job;
-    ``conform_rejects`` lists the rows and columns where that happened.
-    A pure projection: no shuffle, and the Parquet scan reads only the columns used.
+    given default (or NULL), extra columns are dropped and every column, nested ones too, is cast
+    with ``try_cast`` semantics so one bad value becomes NULL instead of failing the job; so does a
+    vector whose length is not the schema's. ``conform_rejects`` lists the rows and columns where
+    that happened. A pure projection: no shuffle, and the Parquet scan reads only the columns used.
     """
-    renames = renames or {}
-    defaults = defaults or {}
-    present = set(df.columns)
+    renames, defaults = renames or {}, defaults or {}
     cols = []
     for field in schema.fields:
         source = renames.get(field.name, field.name)
-        if source in present:
-            c = F.col(source)
+        if source in df.columns:
+            same = df.schema[source].dataType.simpleString() == field.dataType.simpleString()
+            c = _fitted(source, field, same)
             if field.name in defaults:
-                c = F.coalesce(c, F.lit(defaults[field.name]))
-        elif field.name in defaults:
-            c = F.lit(defaults[field.name])
-        else:
-            c = F.lit(None)
-        src_type = df.schema[source].dataType if source in present else None
-        if src_type is not None and src_type.simpleString() == field.dataType.simpleString():
-            cols.append(c.alias(field.name))
-        elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            cols.append(c.cast(field.dataType).alias(field.name))
+                c = F.when(F.col(source).isNull(), F.lit(defaults[field.name]).try_cast(field.dataType)).otherwise(c)
         else:
-            cols.append(c.try_cast(field.dataType).alias(field.name))
+            c = F.lit(defaults.get(field.name)).try_cast(field.dataType)
+        cols.append(c.alias(field.name))
     return df.select(*cols)
 
 
 def conform_rejects(df: DataFrame, schema: T.StructType, renames: dict | None = None,
                     defaults: dict | None = None) -> DataFrame:
     """The rows of ``df``, as they are, that ``conform`` cannot carry over whole, with ``bad_columns``:
-    the target columns whose value does not fit their type, or which allow no NULL and get one."""
+    the target columns whose value (or an element of it) does not fit their type, whose vector has
+    another length than the schema's, or which allow no NULL and get one."""
     renames, defaults = renames or {}, defaults or {}
     bad = []
     for field in schema.fields:
@@ -148,11 +157,15 @@ def conform_rejects(df: DataFrame, schema: T.StructType, renames: dict | None =
             if not field.nullable and field.name not in defaults:
                 bad.append(F.lit(field.name))
             continue
-        lost = F.lit(False)
-        if not isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            lost = F.col(source).isNotNull() & F.col(source).try_cast(field.dataType).isNull()
+        kind, c = df.schema[source].dataType, F.col(source)
+        fitted = _fitted(source, field, kind.simpleString() == field.dataType.simpleString())
+        lost = c.isNotNull() & fitted.isNull()
+        if isinstance(field.dataType, T.ArrayType) and isinstance(kind, T.ArrayType):
+            known = lambda a: F.size(F.filter(a, lambda x: x.isNotNull()))
+            short = F.lit(False) if field.dataType.containsNull else F.exists(c, lambda x: x.isNull())
+            lost = lost | F.coalesce((known(c) != known(fitted)) | short, F.lit(False))
         if not field.nullable and field.name not in defaults:
-            lost = lost | F.col(source).isNull()
+            lost = lost | c.isNull()
         bad.append(F.when(lost, F.lit(field.name)))
     none = F.array().cast("array<string>")
     return (df.withColumn("bad_columns", F.array_compact(F.array(*bad)) if bad else none)

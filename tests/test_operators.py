@@ -423,3 +423,17 @@ def test_conform_renames_defaults_and_bad_values(spark):
     assert r.chunk_text == "x" and r.chunk_idx is None
     bad = spark.createDataFrame([(1, "seven")], "chunk_id long, document_id string")
     assert S.conform(bad, S.CHUNKS).first().document_id is None
+
+
+def test_answer_rows_of_failed_questions(spark):
+    ask = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    replies = spark.createDataFrame([(1, 1, ("a",)), (1, 2, ("b",)), (2, 1, ("c",))], "query_id long, doc_rank int, reply struct<answer:string>")
+    folded = spark.createDataFrame([(1, "2", "f2", "high", "r2"), (1, "10", "f10", "low", "r10"), (2, "1", "g", "high", "s")],
+                                   "query_id long, fact_id string, fact string, certainty string, reasoning string")
+    used = spark.createDataFrame([(1, "7", "70"), (2, "8", "80")], "query_id long, used_documents string, used_chunks string")
+    errors = spark.createDataFrame([(2, "boom"), (2, "later")], "query_id long, error string")
+    got = {r.query_id: r for r in facts.answer_summary(ask, replies, folded, used, errors, "echo").collect()}
+    assert got[1].final_result == "b" and [f.id for f in got[1].facts] == ["2", "10"] and got[1].reasoning == "r2\nr10" and got[1].confidence == 0.4
+    assert (got[2].final_result, got[2].facts, got[2].confidence, got[2].reasoning, got[2].used_documents) == (facts.FAILED_RESULT, [], 0.0, "boom", "")
+    assert got[3].final_result == "" and got[3].facts == [] and got[3].warnings == [] and got[3].truncated is False and got[3].llm_provider == "echo"
+    assert got[1].processing_time_ms is None

@@ -166,3 +166,16 @@ def test_registered_ivf_query_recalls_nine_tenths(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     share = [len(true[i] & got.get(i, set())) / plans.TOP_K for i in true]
     assert np.mean(share) >= 0.9
+
+
+def test_vector_dimension_and_nested_values_in_conformance(spark):
+    wide = [0.5] * 768
+    old = spark.createDataFrame([(1, wide, ["1", "x"]), (2, wide[:384], ["1", "2"]), (3, None, None), (4, wide[:384], [None])],
+                                "embedding_id long, vector array<double>, tags array<string>")
+    target = T.StructType([T.StructField("embedding_id", T.LongType(), False), T.StructField("vector", S.VECTOR, False, {"dim": 384}),
+                           T.StructField("tags", T.ArrayType(T.IntegerType()))])
+    rows = {r.embedding_id: r for r in S.conform(old, target).collect()}
+    assert rows[1].vector is None and rows[1].tags == [1, None] and len(rows[2].vector) == 384 and rows[3].vector is None
+    assert {r.embedding_id: r.bad_columns for r in S.conform_rejects(old, target).collect()} == {1: ["vector", "tags"], 3: ["vector"]}
+    assert {r.embedding_id for r in S.conform_rejects(old, S.with_dimension(target, 768)).collect()} == {1, 2, 3, 4}
+    assert S.EMBEDDINGS["vector"].metadata["dim"] == 384
