@@ -8,6 +8,7 @@ window and never crosses a document boundary. Null texts read as empty ones.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from dataclasses import dataclass
 
@@ -132,8 +133,18 @@ def split_words(column, word_bytes: np.ndarray = BLANK_SEPARATED) -> Words:
     return Words(data, offsets, start, end, np.searchsorted(start, offsets), word_hashes(data, start, end))
 
 
+def release() -> None:
+    """Give memory that Arrow and the allocator hold for reuse back to the system: a worker outlives its
+    task, and what it keeps adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(column, max_bytes: int = 4 << 20):
-    """Row ranges of a string column of at most ``max_bytes`` each (one longer text stays whole)."""
+    """Row ranges of a string column of at most ``max_bytes`` each (one longer text stays whole). After
+    the last one, unused memory is released."""
     size = pc.fill_null(pc.binary_length(column), 0)
     total = np.cumsum(np.asarray(size, dtype=np.int64)) if len(column) else np.zeros(0, np.int64)
     at = 0
@@ -142,3 +153,4 @@ def slices(column, max_bytes: int = 4 << 20):
         stop = max(at + 1, int(np.searchsorted(total, base + max_bytes, side="right")))
         yield at, stop
         at = stop
+    release()

@@ -13,19 +13,18 @@ Jaccard similarity.
 Signatures are cut into bands of ``rows`` coordinates; documents with an equal band form a
 bucket. Exact copies are collapsed first. A bucket names pairs to compare by its members' sketches
 (one byte per coordinate): the member nearest to the bucket's commonest sketch leads, and each
-member the leader resembles is a pair with it; members that no leader resembles lead in turn; and
-the edges of ``FORESTS`` disjoint maximum spanning forests of the sketch similarity are pairs. A
-maximum spanning forest has the same components as the whole bucket at every threshold, and a
-second one stands in where an estimate put a wrong edge first. So the pairs grow with the members,
-not with their square. A bucket of more than ``BUCKET`` members is dealt into parts of about that
-size, differently in each band, whose leaders then meet in a bucket of their own. Pairs are compared by their exact similarity,
-and those that reach it link members into groups.
-
-That finds nearly all links at a cost that grows with the members; the rest is found by comparing
+member the leader resembles is a pair with it, named in the first band that the two share; members
+that no leader resembles lead in turn. So the pairs grow with the members, not with their square. A
+bucket of more than ``BUCKET`` members is dealt into parts of about that size, differently in each
+band, and the leaders of its parts are dealt and led again, level by level, until they fit one part
+or no longer get fewer. Pairs are compared by their exact similarity, and those that reach it link
+members into groups.
+
+That finds most links at a cost that grows with the members; the rest is found by comparing
 all pairs of a bucket whose members are in different groups. A bucket goes in blocks of at most
 about two times ``BLOCK`` members. Of a block stay the members of pairs whose sketches agree in at
 least as many coordinates as ``SIGMAS`` standard errors under the similarity, each pair in the
-first band that it shares; the similarities of all pairs of those are counted exactly. Two members
+first band that it shares (32 bits of every band's hash travel with a member); the similarities of all pairs of those are counted exactly. Two members
 of a bucket's largest group need no comparison, so a bucket that is one group, or nearly, stays
 cheap. Classes are the connected components of all links.
 
@@ -48,9 +47,8 @@ from .components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-BUCKET = 2000
+BUCKET = 500
 RESEMBLES, LED = 0.65, 0.7   # estimated similarity that makes a pair, and that spares a member from leading
-FORESTS = 2
 BLOCK, SIGMAS = 1000, 5
 GRAMS_AT_ONCE = 4096   # columns of a block's incidence matrix
 BROADCAST_IDS = 1_000_000   # of 8 bytes each
@@ -126,7 +124,7 @@ def dart_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """(id, copy: digest of the lower-case text, bands: array of band hashes or null without words,
-    sketch: the low byte of every coordinate)."""
+    sketch: the low byte of every coordinate, keys: the low 32 bits of every band hash)."""
     k = bands * rows
 
     def run(batches):
@@ -147,12 +145,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                     empty = pa.array(words.counts() == 0)
                     yield pa.RecordBatch.from_arrays(
                         [part.column("id"), part.column("copy"), pc.if_else(empty, pa.scalar(None, lists.type), lists),
-                         pa.array([x.tobytes() for x in sig.reshape(-1, k).astype(np.uint8)], pa.binary())],
-                        names=["id", "copy", "bands", "sketch"])
+                         pa.array([x.tobytes() for x in sig.reshape(-1, k).astype(np.uint8)], pa.binary()),
+                         pa.array([x.tobytes() for x in h.astype(np.uint32)], pa.binary())],
+                        names=["id", "copy", "bands", "sketch", "keys"])
 
     text = F.lower(F.col(text_col))
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.md5(text).alias("copy")).mapInArrow(
-        run, "id long, copy string, bands array<long>, sketch binary")
+        run, "id long, copy string, bands array<long>, sketch binary, keys binary")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -201,73 +200,53 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _forest(same: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest over the entries of ``same`` that reach ``least`` (Prim)."""
-    n = len(same)
-    todo, best, via, out = np.ones(n, bool), np.full(n, -1, np.int32), np.zeros(n, np.int64), []
-    for _ in range(n):
-        i = int(np.where(todo, best, -2).argmax())
-        if best[i] >= least:
-            out.append((min(i, int(via[i])), max(i, int(via[i]))))
-        todo[i] = False
-        nearer = todo & (same[i] > best)
-        best[nearer], via[nearer] = same[i][nearer], i
-    return out
+def _first_band(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Number of the first band that ``keys`` shares with each row of ``others`` (0 if none)."""
+    return (others == keys).argmax(axis=1)
 
 
-def bucket_pairs(ids: np.ndarray, sketch: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """(pairs of members to compare, places of the leaders) of one bucket, members sorted by id."""
+def bucket_pairs(ids: np.ndarray, sketch: np.ndarray, keys: np.ndarray, pos: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(pairs of members to compare, places of the leaders) of one bucket of band number ``pos``,
+    members sorted by id."""
     n, k = sketch.shape
-    same = np.zeros((n, n), np.int16)
-    for i in range(n):
-        same[i] = (sketch == sketch[i]).sum(axis=1)
-        same[i, i] = -1
     pairs = set()
     common = np.array([np.bincount(c, minlength=256).argmax() for c in sketch.T], np.uint8)
     free, leaders = np.ones(n, bool), []
     for i in np.argsort(-(sketch == common).sum(axis=1), kind="stable").tolist():
         if free[i]:
-            free &= same[i] < LED * k
+            same = np.count_nonzero(sketch == sketch[i], axis=1)
+            free &= same < LED * k
             free[i] = False
             leaders.append(i)
-            pairs.update((min(i, j), max(i, j)) for j in np.flatnonzero(same[i] >= RESEMBLES * k).tolist())
-    for _ in range(FORESTS):   # each without the edges of those before
-        edges = _forest(same, RESEMBLES * k)
-        pairs.update(edges)
-        for i, j in edges:
-            same[i, j] = same[j, i] = -1
+            near = np.flatnonzero(same >= RESEMBLES * k)
+            near = near[(near != i) & (_first_band(keys[i], keys[near]) == pos)]
+            pairs.update((min(i, j), max(i, j)) for j in near.tolist())
     return [(int(ids[i]), int(ids[j])) for i, j in pairs], leaders
 
 
 def _named(members: DataFrame) -> DataFrame:
-    """``bucket_pairs`` of each (band, part): rows (u, v, band: null) of pairs and (u, null, band) of leaders.
-    Rows of a partition come sorted, so a bucket is a run of them; one bucket is in memory at a time."""
+    """``bucket_pairs`` of each (band, part): rows (u, v, band: null) of pairs and, where the bucket has
+    other parts, (u, null, band) of leaders. Rows of a partition come sorted, so a part is a run of
+    them; one part is in memory at a time."""
     def run(batches):
-        held, key = [], None
+        for (band, _), (pos, rep, sketch, keys, parts) in _runs(batches, 2):
+            if len(rep) > 1 or parts[0] > 1:
+                ids = np.array(rep)
+                table = lambda x, kind: np.frombuffer(b"".join(x), kind).reshape(len(x), -1)
+                pairs, leaders = bucket_pairs(ids, table(sketch, np.uint8), table(keys, np.uint32), pos[0])
+                out = [(u, v, None) for u, v in pairs] + [(int(ids[i]), None, band) for i in leaders if parts[0] > 1]
+                if out:
+                    yield _pair_batch(out)
 
-        def flush():
-            ids = np.array([x[0] for x in held])
-            pairs, leaders = bucket_pairs(ids, np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(len(held), -1))
-            return [(u, v, None) for u, v in pairs] + [(int(ids[i]), None, key[0]) for i in leaders]
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (members.repartition(n, "band", "part").sortWithinPartitions("band", "part", "rep")
+            .select("band", "part", "pos", "rep", "sketch", "keys", "parts").mapInArrow(run, "u long, v long, band long"))
 
-        out = []
-        for batch in batches:
-            for band, part, rep, sketch in zip(*(batch.column(c).to_pylist() for c in ("band", "part", "rep", "sketch")), strict=True):
-                if (band, part) != key:
-                    if len(held) > 1:
-                        out += flush()
-                    held, key = [], (band, part)
-                held.append((rep, sketch))
-            if out:
-                yield _pair_batch(out)
-                out = []
-        if len(held) > 1:
-            out += flush()
-        if out:
-            yield _pair_batch(out)
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(n, "band", "part").sortWithinPartitions("band", "part", "rep").mapInArrow(run, "u long, v long, band long")
+def _dealt(found: DataFrame, bucket: int, level: int) -> DataFrame:
+    """``found`` (band, rep, ...) with its part of about ``bucket`` members and the number of parts."""
+    sizes = found.groupBy("band").agg(F.ceil(F.count("*") / bucket).alias("parts")).where("parts > 0")
+    return found.drop("parts", "part").join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("rep", "band", F.lit(level)), F.col("parts")))
 
 
 def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -295,7 +274,7 @@ def _by_block(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """(band, lo, hi, side, pos, rep, comp, sketch): the members of every two parts ``lo`` <= ``hi`` of
+    """(band, lo, hi, side, pos, rep, comp, sketch, keys): the members of every two parts ``lo`` <= ``hi`` of
     a bucket of several groups. A large bucket's largest group has parts of its own, which do not meet."""
     groups = members.groupBy("band", "comp").agg(F.count("*").alias("c"))
     total = groups.groupBy("band").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("groups"))
@@ -308,24 +287,23 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
                            .otherwise(F.pmod(deal, F.col("others"))).cast("long"))
     meets = F.when(~F.col("parted"), F.lit(0)).when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), meets.cast("long"))))
-    return rows.select("band", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "pos", "rep", "comp", "sketch")
+    return rows.select("band", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "pos", "rep", "comp", "sketch", "keys")
 
 
-def _possible(blocks: DataFrame, least: float, rows: int) -> DataFrame:
+def _possible(blocks: DataFrame, least: float) -> DataFrame:
     """(band, lo, hi, side, rep, comp) of the members of a block that are in a pair of two groups whose
     sketches agree in ``least`` coordinates or more, and in no band before this one."""
     def run(batches):
-        for (band, lo, hi), (side, pos, rep, comp, sketch) in _runs(batches, 3):
+        for (band, lo, hi), (side, pos, rep, comp, sketch, keys) in _runs(batches, 3):
             side, comp = np.array(side), np.array(comp)
-            sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rep), -1)
+            sketch, keys = (np.frombuffer(b"".join(x), kind).reshape(len(rep), -1) for x, kind in ((sketch, np.uint8), (keys, np.uint32)))
             right = np.flatnonzero(side == hi)
             hit = np.zeros(len(rep), bool)
             for i in np.flatnonzero(side == lo).tolist():
                 at = right[comp[right] != comp[i]]
-                same = sketch[at] == sketch[i]
-                near = np.count_nonzero(same, axis=1) >= least
+                near = np.count_nonzero(sketch[at] == sketch[i], axis=1) >= least
                 if near.any():
-                    first = same[near].reshape(int(near.sum()), -1, rows).all(axis=2).argmax(axis=1) == pos[0]
+                    first = _first_band(keys[i], keys[at[near]]) == pos[0]
                     hit[at[near][first]] = True
                     hit[i] |= first.any()
             if hit.any():
@@ -382,31 +360,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = materialize(signatures(docs, id_col, text_col, bands, rows, shingle))
     known = sig.where("bands IS NOT NULL AND id IS NOT NULL")
     # one row per text, combined before the shuffle: a text with very many copies is one row per task
-    first = known.groupBy("copy").agg(F.min(F.struct("id", "bands", "sketch")).alias("r"), F.count("*").alias("n"))
-    first = materialize(first.select("copy", "n", F.col("r.id").alias("rep"), "r.bands", "r.sketch"))
+    first = known.groupBy("copy").agg(F.min(F.struct("id", "bands", "sketch", "keys")).alias("r"), F.count("*").alias("n"))
+    first = materialize(first.select("copy", "n", F.col("r.id").alias("rep"), "r.bands", "r.sketch", "r.keys"))
     groups = first.where("n > 1").select("copy", "rep")
-    reps = first.select("rep", "bands", "sketch").dropDuplicates(["rep"])
+    reps = first.select("rep", "bands", "sketch", "keys").dropDuplicates(["rep"])
     band = reps.select("rep", F.posexplode("bands").alias("pos", "band"))
     sizes = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    found = band.join(sizes, "band").select("band", "pos", "rep", "n")
-    part = F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("n") / bucket))
-    members = materialize(found.join(reps.select("rep", "sketch"), "rep").select("band", "pos", part.alias("part"), "rep", "sketch", "n"))
+    found = band.join(sizes, "band").select("band", "pos", "rep", F.ceil(F.col("n") / bucket).alias("parts"))
+    part = F.pmod(F.xxhash64("rep", "band"), F.col("parts"))
+    members = materialize(found.withColumn("part", part).join(reps.select("rep", "sketch", "keys"), "rep"))
     named = materialize(_named(members))
-    pairs = named.where("v IS NOT NULL").select("u", "v")
-    large = members.where(F.col("n") > bucket)
-    if not large.isEmpty():   # the leaders of a large bucket's parts meet
+    pairs, level, before = named.where("v IS NOT NULL").select("u", "v"), 0, None
+    while (leading := named.where("v IS NULL").count()) and leading != before:   # leaders of several parts meet
+        before, level = leading, level + 1
         leaders = named.where("v IS NULL").select("band", F.col("u").alias("rep")).distinct()
-        met = large.join(leaders, ["band", "rep"], "left_semi").select("band", F.lit(0).alias("part"), "rep", "sketch")
-        pairs = pairs.unionByName(_named(met).where("v IS NOT NULL").select("u", "v"))
+        named = materialize(_named(_dealt(members.join(leaders, ["band", "rep"], "left_semi"), bucket, level)))
+        pairs = pairs.unionByName(named.where("v IS NOT NULL").select("u", "v"))
     pairs = materialize(pairs.distinct())
     ends = materialize(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
     edges = _similar(pairs, materialize(_gram_sets(docs, id_col, text_col, ends, shingle)), similarity)
     labels = materialize(connected_components(edges).select(F.col("node").alias("copy_id"), "component"))
     # all pairs between the groups so far
     grouped = members.join(labels, members["rep"] == labels["copy_id"], "left").select(
-        "band", "pos", "rep", "sketch", F.coalesce("component", "rep").alias("comp"))
+        "band", "pos", "rep", "sketch", "keys", F.coalesce("component", "rep").alias("comp"))
     least = (similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / (bands * rows))) * bands * rows
-    possible = materialize(_possible(_blocks(materialize(grouped), block), least - 1e-9, rows))
+    possible = materialize(_possible(_blocks(materialize(grouped), block), least - 1e-9))
     links = possible.limit(0).select(F.col("rep").alias("u"), F.col("comp").alias("v"))
     if not possible.isEmpty():
         ends = materialize(possible.select(F.col("rep").alias("id")).distinct())

@@ -127,6 +127,27 @@ def test_classes_equal_those_of_all_pairs(spark):
     assert len(set(want.values())) > 6 and got == want
 
 
+def test_pairs_at_the_threshold_are_found_in_their_first_band():
+    """10,000 planted pairs just over 0.8 among texts of families: all that share a band are compared."""
+    rnd = np.random.default_rng(5)
+    n, size = 10_000, 60
+    doc, gram = [], []
+    for i in range(n):   # similarity 53 / 66 = 0.803
+        own = rnd.integers(0, 2 ** 62, 73).astype(np.uint64)
+        doc += [2 * i] * size + [2 * i + 1] * (size - 1)
+        gram += [*own[:size], *own[:53], *own[size:size + 6]]
+    sig = near_dedup.dart_minhash(np.array(doc), near_dedup.mix(np.array(gram, np.uint64)), np.ones(len(doc)), 2 * n, 100).reshape(2 * n, 20, 5)
+    h = np.broadcast_to(near_dedup.mix(np.arange(1, 21, dtype=np.uint64)), (2 * n, 20))
+    for r in range(5):
+        h = near_dedup.combine(h, sig[:, :, r])
+    sketch, keys = sig.reshape(2 * n, 100).astype(np.uint8), h.astype(np.uint32)
+    a, b = slice(0, None, 2), slice(1, None, 2)
+    shared = h[a] == h[b]
+    least = (0.8 - near_dedup.SIGMAS * (0.16 / 100) ** 0.5) * 100
+    found = shared.any(axis=1) & ((keys[a] == keys[b]).argmax(axis=1) == shared.argmax(axis=1)) & ((sketch[a] == sketch[b]).sum(axis=1) >= least)
+    assert found.sum() >= n * 0.999 and (found | ~shared.any(axis=1)).sum() >= n - 1
+
+
 def _templated(texts, planted):
     """Rows (id, text): ``texts`` of one template, each with words of its own at the end, 0.766 alike; and
     near copies of the first ``planted`` (0.808), which have the first 6 of those 30 words in common."""
