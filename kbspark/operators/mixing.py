@@ -7,7 +7,8 @@
   one-to-one), so each row gets exactly one global index.
 * ``weighted_sample``: N = total rows draws with replacement; draw g picks dataset d with
   probability ∝ w_d · n_d and then a uniform row of d. Uniforms come from a hash of the draw
-  id, so the sample is reproducible by any engine and under task retries.
+  id, so the sample is reproducible by any engine and under task retries. Index and draws exist for
+  the whole table or per split, in one numbering pass either way.
 * ``hash_sample``: the n rows with the smallest seeded hash (a sampling operator).
 
 Consecutive row numbers are computed without a global single-task window: rows are range-
@@ -17,9 +18,11 @@ the preceding partitions (a table with one row per partition).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from kbspark.operators.joins import bounded_broadcast
+from kbspark.operators.joins import hot_key_join
 from kbspark.session import materialize
 
 SMOOTHING = 0.3
@@ -67,15 +70,23 @@ def dataset_weights(sizes: DataFrame, dataset_col: str = "dataset", split_col: s
     return w.withColumn("weight", F.col("_w") / F.sum("_w").over(part)).drop("_w")
 
 
-def local_index(df: DataFrame, dataset_col: str, order_col: str) -> DataFrame:
-    """Position of each row inside its dataset (0-based, in ``order_col`` order)."""
-    g = consecutive_index(df, [dataset_col, order_col], name="_g")
-    starts = g.groupBy(dataset_col).agg(F.min("_g").alias("_start"))
-    # one row per dataset, joined to every row: a checked broadcast keeps a dataset holding a
-    # third of all rows from landing in one join task
-    small = bounded_broadcast(starts, 100_000)
-    return (g.join(small if small is not None else starts, dataset_col)
-            .withColumn("local_index", F.col("_g") - F.col("_start")).drop("_g", "_start"))
+def _keys(dataset_col: str, split_col: str | None) -> list[str]:
+    return [split_col, dataset_col] if split_col else [dataset_col]
+
+
+def _beside(rows: DataFrame, small: DataFrame, keys: list[str], salt_by: list[str]) -> DataFrame:
+    """``rows`` beside the one row of their dataset: broadcast if there are few datasets, else salted, so
+    that a dataset with a third of all rows does not land in one task."""
+    return hot_key_join(rows, small, keys, max_broadcast_rows=100_000, salt=8, salt_by=salt_by)
+
+
+def local_index(df: DataFrame, dataset_col: str, order_col: str, split_col: str | None = None) -> DataFrame:
+    """Position of each row inside its dataset, or its dataset of its split (0-based, in ``order_col``
+    order). All splits are numbered in one range pass."""
+    keys = _keys(dataset_col, split_col)
+    g = consecutive_index(df, [*keys, order_col], name="_g")
+    starts = g.groupBy(*keys).agg(F.min("_g").alias("_start"))
+    return _beside(g, starts, keys, [order_col]).withColumn("local_index", F.col("_g") - F.col("_start")).drop("_g", "_start")
 
 
 def with_neighbours(df: DataFrame, key: str, order_col: str, cols: list[str]) -> DataFrame:
@@ -86,42 +97,65 @@ def with_neighbours(df: DataFrame, key: str, order_col: str, cols: list[str]) ->
     return df.select("*", *[F.lead(c).over(w).alias("next_" + c) for c in cols], *[F.lag(c).over(w).alias("prev_" + c) for c in cols])
 
 
-def _offsets(sizes: DataFrame, dataset_col: str) -> DataFrame:
-    w = Window.orderBy(dataset_col).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(dataset_col, "n_rows", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).alias("offset"))
+def _offsets(sizes: DataFrame, dataset_col: str, split_col: str | None = None) -> DataFrame:
+    part = Window.partitionBy(split_col) if split_col else Window.partitionBy()
+    w = part.orderBy(dataset_col).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(*_keys(dataset_col, split_col), "n_rows", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).alias("offset"))
 
 
-def global_index(df: DataFrame, dataset_col: str = "dataset", order_col: str = "id") -> DataFrame:
-    """Every row with (local_index, global_index); see module doc for the mapping."""
-    li = local_index(df, dataset_col, order_col)
-    offs = _offsets(dataset_sizes(df, dataset_col), dataset_col)
-    small = bounded_broadcast(offs, 100_000)
-    j = li.join(small if small is not None else offs, dataset_col)
+def global_index(df: DataFrame, dataset_col: str = "dataset", order_col: str = "id", split_col: str | None = None) -> DataFrame:
+    """Every row with (local_index, global_index); see module doc for the mapping. With ``split_col``
+    each split has an index of its own, over its own datasets."""
+    li = local_index(df, dataset_col, order_col, split_col)
+    offs = _offsets(dataset_sizes(df, dataset_col, split_col), dataset_col, split_col)
+    j = _beside(li, offs, _keys(dataset_col, split_col), [order_col])
     g = F.col("offset") + F.pmod(F.col("local_index") - F.col("offset"), F.col("n_rows"))
     return j.withColumn("global_index", g).drop("offset")
 
 
+def _picker(weights: DataFrame, draws: DataFrame, dataset_col: str, split_col: str | None) -> DataFrame:
+    """(split?, draw, dataset, local_index) of draws (split?, draw, _u1, _u2): a dataset by binary search
+    of ``_u1`` in the cumulated masses of its split, a row of it by ``_u2``. ``weights`` is one row per
+    dataset and goes to the tasks as arrays."""
+    keys = _keys(dataset_col, split_col)
+    table = weights.select(*keys, "n_rows", (F.col("weight") * F.col("n_rows")).alias("_m")).orderBy(*keys).toArrow()
+    splits = table[split_col].to_pylist() if split_col else [None] * table.num_rows
+    tables = {}
+    for split in dict.fromkeys(splits):
+        at = np.flatnonzero([x == split for x in splits])
+        mass = table["_m"].to_numpy()[at]
+        tables[split] = (np.cumsum(mass) / mass.sum(), table["n_rows"].to_numpy()[at], table[dataset_col].combine_chunks().take(pa.array(at)))
+    schema = T.StructType([draws.schema[c] for c in ([split_col] if split_col else []) + ["draw"]]
+                          + [weights.schema[dataset_col], T.StructField("local_index", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            names = b.column("_split").to_pylist() if split_col else [None] * b.num_rows
+            u1, u2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_u1", "_u2"))
+            for split in dict.fromkeys(names):
+                at = np.flatnonzero([x == split for x in names]) if split_col else np.arange(b.num_rows)
+                high, n_rows, datasets = tables[split]
+                place = np.minimum(np.searchsorted(high, u1[at], side="right"), len(high) - 1)
+                local = np.floor(u2[at] * n_rows[place]).astype(np.int64)
+                part = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(([part.column("_split")] if split_col else []) + [part.column("draw"), datasets.take(pa.array(place)), pa.array(local)],
+                                                 names=schema.fieldNames())
+
+    rows = draws.select(*([F.col(split_col).alias("_split")] if split_col else []), "draw", "_u1", "_u2")
+    return rows.mapInArrow(run, schema)
+
+
 def weighted_sample(df: DataFrame, weights: DataFrame, dataset_col: str = "dataset", order_col: str = "id",
-                    seed: str = "mix") -> DataFrame:
-    """N draws with replacement (N = rows of ``df``): (draw, dataset, local_index, + row columns)."""
-    indexed = global_index(df, dataset_col, order_col)
-    w = weights.select(dataset_col, "n_rows", (F.col("weight") * F.col("n_rows")).alias("_m"))
-    cum = Window.orderBy(dataset_col).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy()
-    bounds = w.select(dataset_col, "n_rows",
-                      ((F.sum("_m").over(cum) - F.col("_m")) / F.sum("_m").over(tot)).alias("_lo"),
-                      (F.sum("_m").over(cum) / F.sum("_m").over(tot)).alias("_hi"))
-    draws = indexed.select(F.col("global_index").alias("draw"),
-                           hash_uniform(F.col("global_index"), F.lit(":" + seed + ":d")).alias("_u1"),
-                           hash_uniform(F.col("global_index"), F.lit(":" + seed + ":r")).alias("_u2"))
-    # range lookup as an equi-join on 1024 slices of [0, 1): each dataset stands in every slice
-    # that its range meets, so the join works for any number of datasets
-    cell = lambda c: F.floor(F.least(F.col(c), F.lit(1.0)) * 1024)
-    cells = bounds.withColumn("_cell", F.explode(F.sequence(cell("_lo"), cell("_hi"))))
-    picked = (draws.withColumn("_cell", cell("_u1")).join(cells, "_cell")
-              .where((F.col("_u1") >= F.col("_lo")) & (F.col("_u1") < F.col("_hi"))))
-    picked = picked.select("draw", dataset_col, F.floor(F.col("_u2") * F.col("n_rows")).cast("bigint").alias("local_index"))
-    return picked.join(indexed.drop("global_index", "n_rows"), [dataset_col, "local_index"])
+                    seed: str = "mix", split_col: str | None = None) -> DataFrame:
+    """N draws with replacement (N = rows of ``df``, or of each split): (split?, draw, dataset, local_index,
+    + row columns). No join on the weights; the drawn (dataset, local_index) meet their rows."""
+    indexed = global_index(df, dataset_col, order_col, split_col)
+    name = [F.col(split_col), F.lit(":")] if split_col else []
+    draws = indexed.select(*([split_col] if split_col else []), F.col("global_index").alias("draw"),
+                           hash_uniform(*name, F.col("global_index"), F.lit(":" + seed + ":d")).alias("_u1"),
+                           hash_uniform(*name, F.col("global_index"), F.lit(":" + seed + ":r")).alias("_u2"))
+    picked = _picker(weights, draws, dataset_col, split_col)
+    return picked.join(indexed.drop("global_index", "n_rows"), [*_keys(dataset_col, split_col), "local_index"])
 
 
 def hash_sample(df: DataFrame, n: int, id_col: str, seed: str = "sample", by: str | None = None) -> DataFrame:

@@ -509,6 +509,36 @@ p AS (SELECT d.draw, b.dataset, CAST(floor(d.u2 * b.n_rows) AS BIGINT) AS local_
       FROM d JOIN b ON d.u1 >= b.lo AND d.u1 < b.hi)
 SELECT p.draw, p.dataset, p.local_index, i.doc_id FROM p JOIN mix_index i ON i.dataset = p.dataset AND i.local_index = p.local_index""")
 
+CTE["split_index"] = """split_local AS (
+  SELECT split, doc_id, dataset, row_number() OVER (PARTITION BY split, dataset ORDER BY doc_id) - 1 AS local_index FROM mix),
+split_sizes AS (SELECT split, dataset, count(*) AS n_rows FROM mix GROUP BY split, dataset),
+split_off AS (
+  SELECT split, dataset, n_rows, CAST(coalesce(sum(n_rows) OVER (
+    PARTITION BY split ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset
+  FROM split_sizes),
+split_index AS (
+  SELECT l.split, l.doc_id, l.dataset, l.local_index, o.n_rows,
+    o.offset + (((l.local_index - o.offset) % o.n_rows) + o.n_rows) % o.n_rows AS global_index
+  FROM split_local l JOIN split_off o ON o.split = l.split AND o.dataset = l.dataset)"""
+
+SQL["mixing_index_by_split"] = with_ctes(["mix", "split_index"], "SELECT split, doc_id, dataset, local_index, global_index FROM split_index")
+
+SQL["mixing_sample_by_split"] = with_ctes(["mix", "split_index"], """,
+m AS (SELECT split, dataset, n_rows, n_rows * pow(1.0 / (n_rows + 1e-6), 0.3)
+        / sum(pow(1.0 / (n_rows + 1e-6), 0.3)) OVER (PARTITION BY split) AS mass FROM split_sizes),
+b AS (SELECT split, dataset, n_rows,
+        (sum(mass) OVER (PARTITION BY split ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - mass)
+          / sum(mass) OVER (PARTITION BY split) AS lo,
+        sum(mass) OVER (PARTITION BY split ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+          / sum(mass) OVER (PARTITION BY split) AS hi
+      FROM m),
+d AS (SELECT split, global_index AS draw, """ + _u("split || ':' || CAST(global_index AS VARCHAR) || ':mix:d'") + """ AS u1,
+        """ + _u("split || ':' || CAST(global_index AS VARCHAR) || ':mix:r'") + """ AS u2 FROM split_index),
+p AS (SELECT d.split, d.draw, b.dataset, CAST(floor(d.u2 * b.n_rows) AS BIGINT) AS local_index
+      FROM d JOIN b ON d.split = b.split AND d.u1 >= b.lo AND d.u1 < b.hi)
+SELECT p.split, p.draw, p.dataset, p.local_index, i.doc_id
+FROM p JOIN split_index i ON i.split = p.split AND i.dataset = p.dataset AND i.local_index = p.local_index""")
+
 SQL["sample_rows"] = with_ctes(["mix"], """
 SELECT dataset, sample_rank, doc_id FROM (
   SELECT dataset, doc_id, row_number() OVER (PARTITION BY dataset ORDER BY md5(CAST(doc_id AS VARCHAR) || ':sample'), doc_id)

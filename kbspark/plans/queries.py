@@ -413,6 +413,19 @@ def q_mixing_sample(spark, sf_dir):
     return mx.weighted_sample(m, w, "dataset", "doc_id").select("draw", "dataset", "local_index", "doc_id")
 
 
+@query("mixing_index_by_split")
+def q_mixing_index_by_split(spark, sf_dir):
+    m = mix_input(KB(spark, sf_dir))
+    return mx.global_index(m, "dataset", "doc_id", "split").select("split", "doc_id", "dataset", "local_index", "global_index")
+
+
+@query("mixing_sample_by_split")
+def q_mixing_sample_by_split(spark, sf_dir):
+    m = mix_input(KB(spark, sf_dir))
+    w = mx.dataset_weights(mx.dataset_sizes(m, "dataset", "split"), "dataset", "split")
+    return mx.weighted_sample(m, w, "dataset", "doc_id", split_col="split").select("split", "draw", "dataset", "local_index", "doc_id")
+
+
 @query("sample_rows")
 def q_sample_rows(spark, sf_dir):
     m = mix_input(KB(spark, sf_dir)).select("doc_id", "dataset")

@@ -90,8 +90,26 @@ def test_dialog_stream_state_across_epochs(spark):
     conv.where("turn < 3").coalesce(1).write.parquet(os.path.join(landing, "part=a"))
     conv.where("turn >= 3").coalesce(1).write.parquet(os.path.join(landing, "part=b"))
     out = scratch_path(spark, "t-dialog-out-" + uuid.uuid4().hex)
-    run_dialog_stream(spark, landing + "/*", out, limit=4, max_files_per_trigger=1)
+    run_dialog_stream(spark, landing + "/*", out, max_files_per_trigger=1)
     assert spark.read.parquet(out).select("epoch").distinct().count() >= 2
-    got = {tuple(r) for r in latest_histories(spark, out).select("conv_id", "n_turns", "history").collect()}
+    got = {tuple(r) for r in latest_histories(spark, out, limit=4).select("conv_id", "n_turns", "history").collect()}
     want = {tuple(r) for r in dialog.dialog_history(conv, limit=4).select("conv_id", "n_turns", "history").collect()}
     assert got == want
+
+
+def test_memory_log_only_grows(spark):
+    """Each turn is appended once: later epochs, repeated turns and another stream rewrite nothing."""
+    from kbspark.streaming.dialog_stream import latest_histories, memory_log, run_dialog_stream
+    landing, out = (scratch_path(spark, f"t-log-{n}-" + uuid.uuid4().hex) for n in ("in", "out"))
+    ckpt = scratch_path(spark, "t-log-ckpt-" + uuid.uuid4().hex)
+    schema = "conv_id long, turn long, role string, text string"
+    for epoch in range(3):
+        rows = [(1, t, "user", f"e{epoch}") for t in range(epoch * 40, epoch * 40 + 50)] + [(2, epoch, "user", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+        run_dialog_stream(spark, landing, out, checkpoint=ckpt)
+    log = spark.read.parquet(out)
+    assert log.count() == 133 == log.select("conv_id", "turn").distinct().count()
+    assert log.where("conv_id = 1").groupBy("text").count().orderBy("text").collect() == [("e0", 50), ("e1", 40), ("e2", 40)]
+    run_dialog_stream(spark, landing, out, checkpoint=scratch_path(spark, "t-log-other-" + uuid.uuid4().hex))
+    assert spark.read.parquet(out).count() == 266 and memory_log(spark, out).count() == 133
+    assert {r.conv_id: r.n_turns for r in latest_histories(spark, out).collect()} == {1: 130, 2: 3}
