@@ -6,7 +6,9 @@ computed without ever forming document pairs:
 * exact copies: documents are grouped by a fingerprint of their normalised text; I(D) is the
   group size minus one (one aggregate, joined back with a salted join so a hot fingerprint —
   say a third of all rows — is spread over many tasks);
-* near copies: MinHash signatures over word 3-gram shingles, cut into bands; I_near(D) is the
+* similar documents: I(D) = number of other documents of at least a given similarity, counted
+  exactly in blocks (``similar.py``); ``select_training`` takes either form;
+* near copies, cheaply: MinHash signatures over word 3-gram shingles, cut into bands; I_near(D) is the
   size of D's most populated band bucket minus one. Bucket sizes are aggregates, not pairs.
 
 Selection follows the design: important (I > I_thr), selected old important documents
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kbspark.functions.exprs import let
 from kbspark.functions.text import BLANK, strip_blanks
 from kbspark.functions.vectors import cosine_distance
+from kbspark.operators import similar
 from kbspark.operators.joins import hot_key_join
 from kbspark.session import materialize
 
@@ -80,6 +83,11 @@ def near_importance(docs: DataFrame, id_col: str = "document_id", text_col: str
         id_col, F.coalesce(F.col("importance_near"), F.lit(0)).alias("importance_near"))
 
 
+def similar_importance(docs: DataFrame, id_col: str = "document_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, importance = number of other documents that are similar to it)."""
+    return similar.similar_importance(docs, normalized(F.col(text_col)), id_col, **options)
+
+
 def select_training(docs: DataFrame, importance: DataFrame, t_thr: str, t_recent: str, i_thr: float,
                     id_col: str = "document_id", t_col: str = "created_at") -> DataFrame:
     """T = important ∪ selected ∪ moderate, one row per document with its reasons (O-61, O-93)."""

@@ -769,15 +769,27 @@ CTE["imp"] = """imp AS (
   SELECT doc_id AS document_id, count(*) OVER (PARTITION BY fp) - 1 AS importance FROM (
     SELECT doc_id, sha256(lower(regexp_replace(""" + STRIP.format(x="coalesce(text, '')") + """, '""" + B + """+', ' ', 'g'))) AS fp
     FROM documents))"""
+CTE["similar"] = """words AS (
+  SELECT doc_id AS document_id, list_filter(string_split(lower(regexp_replace(""" + STRIP.format(x="coalesce(text, '')") + """, '""" + B + """+', ' ', 'g')), ' '),
+    lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT document_id, array_to_string(w[i:i+4], ' ') AS g
+  FROM (SELECT document_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT document_id, count(*) AS n FROM grams GROUP BY document_id),
+common AS (SELECT a.document_id AS x, b.document_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.document_id <> b.document_id GROUP BY ALL),
+near AS (SELECT x, count(*) AS n FROM common JOIN sizes p ON p.document_id = x JOIN sizes q ON q.document_id = y WHERE 5 * c >= 4 * (p.n + q.n - c) GROUP BY x),
+imp AS (SELECT doc_id AS document_id, coalesce(n, 0) AS importance FROM documents LEFT JOIN near ON x = doc_id)"""
+SQL["importance_similar"] = with_ctes(["similar"], "SELECT document_id, importance FROM imp")
 SQL["importance_exact"] = with_ctes(["imp"], "SELECT document_id, importance FROM imp")
-SQL["training_selection"] = with_ctes(["kb_documents", "imp"], """,
+_SELECTION = """,
 r AS (SELECT d.document_id, d.created_at, i.importance,
         list_filter([CASE WHEN i.importance > 0.5 THEN 'important' END,
                       CASE WHEN d.created_at < TIMESTAMP '2024-01-10 00:00:00' AND i.importance > 0.5 THEN 'selected' END,
                       CASE WHEN d.created_at > TIMESTAMP '2024-01-20 00:00:00' AND i.importance < 0.5 THEN 'moderate' END],
                      lambda x: x IS NOT NULL) AS rs
       FROM kb_documents d JOIN imp i ON i.document_id = d.document_id)
-SELECT document_id, created_at, importance, array_to_string(rs, ',') AS reasons FROM r WHERE len(rs) > 0""")
+SELECT document_id, created_at, importance, array_to_string(rs, ',') AS reasons FROM r WHERE len(rs) > 0"""
+SQL["training_selection"] = with_ctes(["kb_documents", "imp"], _SELECTION)
+SQL["training_selection_similar"] = with_ctes(["kb_documents", "similar"], _SELECTION)
 SQL["rag_only_new"] = with_ctes(["kb_documents"], """
 SELECT document_id, created_at,
   CASE WHEN created_at > TIMESTAMP '2024-01-28 00:00:00' THEN 'retrieval_only' ELSE 'training_candidate' END AS route,

@@ -727,6 +727,12 @@ def q_importance_lsh(spark, sf_dir):
     return imp.near_importance(d)
 
 
+@query("importance_similar")
+def q_importance_similar(spark, sf_dir):
+    d = KB(spark, sf_dir).table("documents").select(F.col("doc_id").alias("document_id"), "text")
+    return imp.similar_importance(d)
+
+
 T_THR, T_RECENT, T_LATEST = "2024-01-10 00:00:00", "2024-01-20 00:00:00", "2024-01-28 00:00:00"
 
 
@@ -738,6 +744,14 @@ def q_training_selection(spark, sf_dir):
     return imp.select_training(kb.documents, i, T_THR, T_RECENT, 0.5)
 
 
+@query("training_selection_similar")
+def q_training_selection_similar(spark, sf_dir):
+    """The training selection with importance by similar documents."""
+    kb = KB(spark, sf_dir)
+    d = kb.table("documents").select(F.col("doc_id").alias("document_id"), "text")
+    return imp.select_training(kb.documents, imp.similar_importance(d), T_THR, T_RECENT, 0.5)
+
+
 @query("selected_fragments")
 def q_selected_fragments(spark, sf_dir):
     """S(D): the two chunks closest to the document centroid, for old important documents."""
