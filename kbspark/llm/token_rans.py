@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .arrow_words import U64, slices, text_buffer, word_hashes
@@ -192,14 +193,28 @@ def _worker(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         held.tokenizer = Tokenizer.from_file(path)
-        held.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
+        held.special = [t.content for t in held.tokenizer.get_added_tokens_decoder().values()]
         held.chunks, held.path = Chunks(), path
     return held
 
 
 def encode_column(column, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, offsets): as the tokenizers library encodes each whole text."""
+    """(ids of all texts, offsets): as the tokenizers library encodes each whole text. A text that holds
+    the string of a special token goes to the library whole, which cuts it there."""
     held = _worker(path)
+    marked = np.zeros(len(column), bool)
+    for special in held.special:
+        marked |= pc.fill_null(pc.match_substring(column, special), False).to_numpy(zero_copy_only=False)
+    if not marked.any():
+        return _encode_plain(column, held)
+    flat, at = _encode_plain(pc.if_else(pa.array(marked), "", column), held)
+    parts = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+    for i in np.flatnonzero(marked).tolist():
+        parts[i] = np.array(held.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, flat.dtype)
+    return np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts])
+
+
+def _encode_plain(column, held) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_buffer(column)
     dtype = np.uint16 if held.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
     start = chunk_starts(data, offsets)

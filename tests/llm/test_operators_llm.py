@@ -238,12 +238,15 @@ def test_pieces_round_trip(spark, docs, none):
         assert flat.tolist() == whole[0] and s[0] == score[0]
 
 
-def test_token_files(spark, docs, tmp_path):
+def test_token_files(spark, docs, none, tmp_path):
     path, tok = f"{tmp_path}/t", public_tokenizers.path(queries.TOKENIZER)
+    token_rans.write_tokens(none, f"{tmp_path}/none", tok, 2)
+    assert token_rans.read_tokens(spark, f"{tmp_path}/none").count() == 0
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  y\n", "<|endoftext", "a <|endoftext|>" * 300]
+    docs = docs.unionByName(spark.createDataFrame([(100 + i, t, "en", 1, 1, "b") for i, t in enumerate(special)], DOCS))
     token_rans.write_tokens(docs, path, tok, 2)
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tok)
-    t.encode_special_tokens = True
     start = 0
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
     got = sorted(token_rans.read_tokens(spark, path).collect(), key=lambda r: r.start)
