@@ -172,21 +172,6 @@ def test_shared_grams_are_counted_exactly(monkeypatch):
     assert near_dedup.shared_grams(sets[:12], sets[10:]).tolist() == want
 
 
-def test_spanning_forest_keeps_components():
-    rnd = np.random.default_rng(2)
-    same = np.triu(rnd.integers(0, 100, (40, 40)), 1).astype(np.int16)
-    same += same.T
-    np.fill_diagonal(same, -1)
-    edges = near_dedup._forest(same, 90)
-    for least in (90, 94, 97, 99):
-        def classes(pairs):
-            name = list(range(40))
-            for i, j in pairs:
-                name = [name[i] if x == name[j] else x for x in name]
-            return [name.index(x) for x in name]
-        assert classes([e for e in edges if same[e] >= least]) == classes(zip(*np.nonzero(same >= least), strict=True))
-
-
 def test_tiling(spark, docs, none):
     rnd = random.Random(5)
     items = [(i, " ".join(f"q{rnd.randrange(10**6)}" for _ in range(40))) for i in range(5)] + [(None, None), (7, ""), (8, "too short")]
