@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -44,23 +45,34 @@ def hashed_counts_sql(text: Column, dim: int = DEFAULT_DIM) -> Column:
 _BLANKS = re.compile("[ \t\r\n\f]+")
 
 
+class _Buckets(dict):
+    """Bucket of every token met in a batch: a token is hashed once."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        self[token] = b = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+        return b
+
+
+TEXTS_AT_ONCE = 1000
+
+
 @functools.lru_cache(maxsize=None)
 def _counts_udf(dim: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def counts(texts: pd.Series) -> pd.Series:
-        cache: dict[str, int] = {}
-        out = []
-        for t in texts:
-            ids = []
-            for tok in _BLANKS.split((t or "").strip(" \t\r\n\f").lower()):
-                if not tok:
-                    continue
-                b = cache.get(tok)
-                if b is None:
-                    b = cache[tok] = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
-                ids.append(b)
-            out.append(np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float64))
-        return pd.Series(out)
+        buckets, out = _Buckets(dim), []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):   # one count over all tokens of many texts
+            tokens = [_BLANKS.split((t or "").strip(" \t\r\n\f").lower()) for t in texts.iloc[at:at + TEXTS_AT_ONCE]]
+            tokens = [[] if x == [""] else x for x in tokens]
+            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            ids = np.fromiter(map(buckets.__getitem__, itertools.chain.from_iterable(tokens)), np.int64, int(size.sum()))
+            table = np.bincount(np.repeat(np.arange(len(tokens)) * dim, size) + ids, minlength=len(tokens) * dim)
+            out.extend(table.reshape(len(tokens), dim).astype(np.float64))
+        return pd.Series(out, dtype=object)
 
     return counts
 

@@ -576,6 +576,7 @@ enc AS (SELECT conv_id, turn, """ + _enc(_ids(_INPUT), 396) + """ AS input_ids,
 SELECT conv_id, turn, array_to_string(input_ids, ' ') AS input_ids,
   CAST(len(list_filter(input_ids, lambda x: x <> 0)) AS BIGINT) AS n_attended,
   array_to_string(list_transform(target_ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ' ') AS labels,
+  array_to_string(list_transform(target_ids, lambda x: CASE WHEN x = 0 THEN '0' ELSE '1' END), '') AS labels_attention_mask,
   array_to_string(target_ids, ' ') AS labels_unmasked
 FROM enc""")
 SQL["qa_length_filter"] = with_ctes(["qa_ex"], """

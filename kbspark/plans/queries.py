@@ -456,6 +456,7 @@ def q_qa_pad_mask(spark, sf_dir):
                     F.aggregate(qa.attention_mask(F.col("input_ids")), F.lit(0), lambda a, x: a + x).cast("bigint")
                     .alias("n_attended"),
                     F.array_join(qa.mask_labels(F.col("target_ids")).cast("array<string>"), " ").alias("labels"),
+                    F.array_join(qa.attention_mask(F.col("target_ids")).cast("array<string>"), "").alias("labels_attention_mask"),
                     F.array_join(qa.unmask_labels(qa.mask_labels(F.col("target_ids"))).cast("array<string>"), " ")
                     .alias("labels_unmasked"))
 
