@@ -150,10 +150,12 @@ def _policies(scope: Scope, block: Block) -> DataFrame:
 def _nearest_of_block(vectors: DataFrame, block: Block, callers: _Callers | None, k: int) -> DataFrame:
     """(query_id, chunk_id, best): per task the k nearest readable chunks of each question."""
     text_ids = isinstance(vectors.schema["chunk_id"].dataType, T.StringType)
-    held = vectors.sparkSession.sparkContext.broadcast((block.ids, block.groups, callers))
+    # plain values: a broadcast is unpickled by workers that may not have this package
+    held = vectors.sparkSession.sparkContext.broadcast((block.ids, block.groups, None if callers is None else vars(callers)))
 
     def run(batches):
-        query_ids, groups, callers = held.value
+        query_ids, groups, known = held.value
+        callers = None if known is None else _Callers(**known)
         best = [_BestChunks(len(q), k, text_ids) for _, q in groups]
         id_type = None
         for whole in batches:

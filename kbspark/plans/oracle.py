@@ -54,7 +54,7 @@ kb_embeddings AS (
 
 CTE["kb_questions"] = """kb_questions AS (
   SELECT b.item_id AS query_id, b.item_id AS user_id, b.text AS question, e.embedding AS query_vector
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
+  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id % (SELECT coalesce(max(vec_id) + 1, 1) FROM embeddings))"""
 
 CTE["kb_callers"] = """kb_callers AS (
   SELECT q.query_id, q.user_id, u.company_id, u.user_type, u.provider, u.external_id

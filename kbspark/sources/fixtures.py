@@ -118,14 +118,14 @@ def kb_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item is a question; its vector is the embedding with ``vec_id = item_id``
-    and the asking user is ``user_id = item_id``."""
-    b = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
-                                                       F.col("text").alias("question"))
-    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"),
-                                                        F.col("embedding").alias("query_vector"))
-    return b.join(e, "query_id").select("query_id", F.col("query_id").alias("user_id"), "question",
-                                        "query_vector")
+    """Every benchmark item is a question; its vector is the embedding with ``vec_id = item_id`` modulo
+    the number of vectors and the asking user is ``user_id = item_id``."""
+    given = read_table(spark, sf_dir, "embeddings")
+    n = given.agg(F.coalesce(F.max("vec_id") + 1, F.lit(1))).scalar()
+    b = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    b = b.withColumn("vec_id", F.col("query_id") % n)
+    e = given.select("vec_id", F.col("embedding").alias("query_vector"))
+    return b.join(e, "vec_id").select("query_id", F.col("query_id").alias("user_id"), "question", "query_vector")
 
 
 def kb_callers(spark: SparkSession, sf_dir: str) -> DataFrame:

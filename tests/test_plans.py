@@ -84,3 +84,25 @@ def test_ingest_chunks_stay_narrow(spark):
         F.col("doc_id").alias("document_id"), "text")
     plan = _plan(chunking.token_subchunks(chunking.sentence_chunks(docs)))
     assert "Exchange" not in plan                      # chunking never shuffles
+
+
+def test_workers_need_not_find_the_package(tmp_path):
+    """A driver started elsewhere, with the repository on its own path alone: functions travel by value."""
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from kbspark.session import get_session
+from kbspark.plans.queries import queries
+spark = get_session("local[2]", 2)
+sys.path.remove({ROOT!r})
+for name in ("gleu_pair", "vector_l2_topk", "fact_fold_model_loop", "importance_similar", "retrieve_topk"):
+    print(name, queries()[name](spark, {SF_SMALL!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert len(out.stdout.strip().split("\n")) >= 5
