@@ -27,7 +27,7 @@ from .arrow_words import U64, slices, text_buffer, word_hashes
 MARK = "▁"
 _OWN_MARK = "\udfff"   # stands for a mark of the text; no valid text holds it
 _UNKNOWN_PENALTY = 10.0
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 
