@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from kbspark import schema as S
 from kbspark.functions.text import render_template
-from kbspark.operators import dialog, embed as emb, facts, groupconcat, index as idx, mixing as mx
+from kbspark.operators import dialog, embed as emb, facts, groupconcat, index as idx, mixing as mx, nearest
 from kbspark.operators.joins import row_blocks
 from kbspark.plans import ingest, queries as plans
 from kbspark.session import scratch_path
@@ -92,8 +92,8 @@ def test_nearest_vectors_against_brute_force(spark, monkeypatch):
     want = {(q, n + 1, i) for q, v, _ in asked[:30]
             for n, (_, i) in enumerate(sorted((sum((a - b) ** 2 for a, b in zip(x, v)), i) for i, x in enumerate(vecs))[:4])} | {(32, 1, 301)}
     names = index.withColumn("vec_id", F.lpad(F.col("vec_id").cast("string"), 5, "0"))
-    for bound, vectors, number in ((100_000, index, int), (7, index, int), (100_000, names, int)):
-        monkeypatch.setattr(idx, "MAX_QUERIES", bound)
+    for bound, vectors, number in ((1 << 20, index, int), (7 * 8 * 3, index, int), (1 << 20, names, int)):
+        monkeypatch.setattr(nearest, "BLOCK_BYTES", bound)
         got = {(r.query_id, r["rank"], number(r.vec_id)) for r in idx.l2_topk(vectors, questions, 4).collect()}
         assert got == want
     assert idx.l2_topk(index.limit(0), questions).count() == 0 and idx.l2_topk(index, questions.limit(0)).count() == 0
