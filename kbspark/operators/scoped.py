@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from kbspark.functions.vectors import DIST_DIGITS
 from kbspark.operators.access import live_grants
 from kbspark.operators.joins import row_blocks
-from kbspark.operators.nearest import BLOCK_BYTES, VECTOR_SLICE, Block, cosine, matrix
+from kbspark.operators.nearest import BLOCK_BYTES, Block, cosine, matrix
 
 #: Questions of a block: bounds the lists of question numbers that a document carries.
 BLOCK_QUESTIONS = 4096
+VECTOR_SLICE = 1024   # vectors compared with a block at once
 POLICY = ["company_id", "owner_id", "access_level", "is_approved"]
 
 
@@ -104,10 +105,12 @@ class _BestChunks:
 
     def merge(self, rows: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
         """``d``: distances of questions ``rows`` to vectors of the chunks ``ids`` (a chunk may come often)."""
-        hit = np.flatnonzero((d <= self.d[rows, -1][:, None]).any(axis=1) & np.isfinite(d).any(axis=1))
+        near = (d <= self.d[rows, -1][:, None]) & np.isfinite(d)
+        hit = np.flatnonzero(near.any(axis=1))
         if not len(hit):
             return
-        rows, d = rows[hit], d[hit]
+        some = np.flatnonzero(near[hit].any(axis=0))   # later on few vectors come near enough
+        rows, d, ids = rows[hit], d[np.ix_(hit, some)], ids[some]
         chunk, number = np.unique(ids, return_inverse=True)
         order = np.argsort(number, kind="stable")
         first = np.flatnonzero(np.r_[True, number[order][1:] != number[order][:-1]])
