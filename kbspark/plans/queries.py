@@ -25,7 +25,7 @@ from kbspark.operators.scoped import Scope
 from kbspark.session import materialize, scratch_path
 from kbspark.sources import fixtures as fx
 from kbspark.sources.stored import stored
-from kbspark.sources.tables import read_table
+from kbspark.sources.tables import read_table, table_glob
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -342,7 +342,7 @@ def q_dialog_stream(spark, sf_dir):
     """Conversation turns streamed through keyed state."""
     from kbspark.streaming.dialog_stream import latest_histories, run_dialog_stream
     out = scratch_path(spark, "dialog-stream-" + uuid.uuid4().hex)
-    run_dialog_stream(spark, sf_dir, out, file_glob="conversations.parquet")
+    run_dialog_stream(spark, table_glob(sf_dir, "conversations"), out)
     return latest_histories(spark, out).select("conv_id", "n_turns", "history")
 
 
@@ -697,7 +697,7 @@ def q_ingest_batch(spark, sf_dir):
 def q_ingest_stream(spark, sf_dir):
     from kbspark.streaming.ingest_stream import run_ingest_stream
     out = scratch_path(spark, "ingest-stream-" + uuid.uuid4().hex)
-    run_ingest_stream(spark, sf_dir, out, as_of=fx.AS_OF, file_glob="documents.parquet")
+    run_ingest_stream(spark, table_glob(sf_dir, "documents"), out, as_of=fx.AS_OF)
     return ingest.ingest_summary(spark, out)
 
 

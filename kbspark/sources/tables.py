@@ -14,6 +14,12 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def table_glob(sf_dir: str, name: str) -> str:
+    """A glob that matches one table only, be it a single file or a folder of part files: a stream
+    takes a glob of either form, but neither a plain file nor a name filter that part files fit."""
+    return os.path.join(sf_dir, f"{name}.parque[t]")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, schema=None) -> DataFrame:
     """Parquet scan of one input table.
 
