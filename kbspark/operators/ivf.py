@@ -203,7 +203,7 @@ def tune(index: IvfIndex, queries: DataFrame, k: int = 20, least: float = RECALL
     q = queries.select("query_id", F.col(query_vec).cast("array<double>").alias("_q")).where(F.size("_q") == index.dim)
     q = q.orderBy(F.xxhash64("query_id"), "query_id").limit(sample + 1).toArrow()
     whole = q.num_rows <= sample
-    q = index.spark.createDataFrame(q.slice(0, sample).to_pandas(), f"query_id {queries.schema['query_id'].dataType.simpleString()}, query_vector array<double>")
+    q = index.spark.createDataFrame(q.slice(0, sample).rename_columns(["query_id", "query_vector"]))   # Arrow: no conversion by the session's settings
     exact = search_ivf(index, q, k, index.n_cells).select("query_id", "cell").toArrow()
     hits: dict = {}
     for query, cell in zip(exact["query_id"].to_pylist(), exact["cell"].to_pylist()):
