@@ -15,10 +15,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kbspark.functions.html import html_to_text
-from kbspark.functions.vectors import cosine_distance, l2_distance, unit
+from kbspark.functions.vectors import unit
 from kbspark.operators import access, chunking, context as ctx, dialog, facts, generate as gen, groupconcat as gc
 from kbspark.operators import embed as emb, importance as imp, index as idx, integrity as integ, ivf, metrics
-from kbspark.operators import mixing as mx, qa_data as qa, retrieve as rt
+from kbspark.operators import mixing as mx, nearest as near, qa_data as qa, retrieve as rt
 from kbspark.plans import ingest, report
 from kbspark import schema as S
 from kbspark.operators.scoped import Scope
@@ -182,17 +182,10 @@ def q_requested_docs_filter(spark, sf_dir):
 def q_vector_distance(spark, sf_dir):
     """Cosine and L2 distance of each question to every candidate vector it may see: COMPLETED
     vectors of chunks in documents the asker can read (the candidate set of the search).
-    Candidates reach a question through equi-joins on document and chunk ids."""
+    A vector reaches its document's list of questions through equi-joins on chunk and document ids."""
     kb = KB(spark, sf_dir)
-    q = kb.questions.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    e = (kb.embeddings.where(F.col("status") == "COMPLETED")
-         .select("embedding_id", "chunk_id", F.col("vector").cast("array<double>").alias("v")))
-    cand = (kb.chunks.select("chunk_id", "document_id").join(kb.question_access, "document_id")
-            .join(e, "chunk_id").join(q, "query_id"))
-    return cand.select("query_id", "embedding_id",
-                       cosine_distance("v", "query_vector").alias("cosine_distance"),
-                       l2_distance("v", "query_vector").alias("l2_distance"),
-                       F.size("v").cast("bigint").alias("dim"))
+    e = kb.embeddings.where(F.col("status") == "COMPLETED")
+    return near.listed_distances(e, kb.chunks, kb.question_access, kb.questions, "embedding_id")
 
 
 @query("retrieve_topk")

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from kbspark.operators import ivf
+from kbspark.functions.vectors import cosine_distance, l2_distance
+from kbspark.operators import ivf, nearest as near
 from kbspark.plans import queries as plans
 from kbspark.sources.tables import read_table
 
@@ -40,3 +41,20 @@ def test_index_is_tuned_without_arrow_conversion(spark, tmp_path):
         assert ivf.search_ivf(ivf.open_ivf(spark, str(tmp_path / "ivf")), asked, 5).where("rank = 1 and query_id = vec_id").count() == 20
     finally:
         spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", on)
+
+
+def test_listed_distances_equal_the_column_functions(spark):
+    vectors = spark.createDataFrame(
+        [(1, 1, [3.0, 4.0]), (2, 1, [0.0, 0.0]), (3, 2, [1.0, None]), (4, 2, [1.0]), (5, 3, None), (6, 3, []), (6, 3, [0.5, 0.25]), (7, None, [1.0, 1.0])],
+        "embedding_id long, chunk_id long, vector array<float>")
+    chunks = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (3, 2), (4, None)], "chunk_id long, document_id long")
+    access = spark.createDataFrame([(q, d) for q in (1, 2, 3, 4, 5, 6) for d in (1, 2, None)] + [(1, 1)], "query_id long, document_id long")
+    questions = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [2.0, None]), (4, [2.0]), (5, None), (6, []), (None, [1.0, 1.0])],
+                                      "query_id long, query_vector array<float>")
+    got = near.listed_distances(vectors, chunks, access, questions, "embedding_id")
+    q = questions.select("query_id", F.col("query_vector").cast("array<double>").alias("q"))
+    v = vectors.select("embedding_id", "chunk_id", F.col("vector").cast("array<double>").alias("v"))
+    plain = chunks.join(access, "document_id").join(v, "chunk_id").join(q, "query_id").select(
+        "query_id", "embedding_id", cosine_distance("v", "q").alias("c"), l2_distance("v", "q").alias("l"), F.size("v").cast("bigint").alias("dim"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+    assert got.where("cosine_distance is null").count() and got.where("l2_distance > 0").count()
