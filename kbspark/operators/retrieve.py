@@ -15,17 +15,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kbspark.functions.vectors import DIST_DIGITS, dot, norm, unit
+from kbspark.operators.joins import bounded_broadcast
 from kbspark.operators.scoped import Scope, nearest_chunks
 from kbspark.session import materialize
 
 
-def prepare_vectors(embeddings: DataFrame, status: str | None = "COMPLETED") -> DataFrame:
-    """COMPLETED vectors (filter pushed into the scan), normalised once per row."""
+def prepare_vectors(embeddings: DataFrame, status: str | None = "COMPLETED", keep: DataFrame | None = None) -> DataFrame:
+    """COMPLETED vectors (filter pushed into the scan), normalised once per row; with ``keep`` (chunk_id
+    and more) those of its chunks, one row per row of ``keep`` and vector, with its columns."""
     e = embeddings
     if status is not None:
         e = e.where(F.col("status") == status)
     v = F.col("vector").cast("array<double>")
-    return e.select("embedding_id", "chunk_id", "subchunk_idx", unit(v).alias("_u"), (norm(v) > 0).alias("_nz"))
+    more = []
+    if keep is not None:
+        more = [c for c in keep.columns if c != "chunk_id"]
+        e = e.select("embedding_id", "chunk_id", "subchunk_idx", "vector").join(keep, "chunk_id")
+    return e.select("embedding_id", "chunk_id", "subchunk_idx", unit(v).alias("_u"), (norm(v) > 0).alias("_nz"), *more)
 
 
 def prepare_questions(questions: DataFrame, vector_col: str = "query_vector") -> DataFrame:
@@ -40,8 +46,14 @@ def _distance() -> F.Column:
 
 def pair_distances(pairs: DataFrame, questions: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """(query_id, chunk_id, document_id, embedding_id, subchunk_idx, dist) of given (query_id, chunk_id) rows."""
-    places = chunks.select("chunk_id", "document_id").join(pairs, "chunk_id")
-    d = places.join(prepare_vectors(embeddings), "chunk_id").join(prepare_questions(questions), "query_id")
+    small = bounded_broadcast(pairs)   # else both tables would be shuffled to find a few rows
+    places = chunks.select("chunk_id", "document_id").join(pairs if small is None else small, "chunk_id")
+    if small is not None:
+        found = materialize(places)
+        small = bounded_broadcast(found)   # more rows than pairs only where chunk ids repeat
+        places = found if small is None else small
+    # the vectors of these chunks only are normalised
+    d = prepare_vectors(embeddings, keep=places).join(prepare_questions(questions), "query_id")
     return d.select("query_id", "chunk_id", "document_id", "embedding_id", "subchunk_idx", _distance().alias("dist"))
 
 
@@ -71,9 +83,11 @@ def top_chunks(stats: DataFrame, top_k: int = 20) -> DataFrame:
 
 
 def attach_chunk_details(top: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add chunk_idx and chunk_text to top-k rows. How many those are depends on the questions, so
-    the join carries no hint: Spark broadcasts the side that its statistics show to be small."""
-    return chunks.select("chunk_id", "chunk_idx", "chunk_text").join(top, "chunk_id")
+    """Add chunk_idx and chunk_text to top-k rows. How many those are depends on the questions: they are
+    written and counted, and as long as they can be broadcast no chunk text is shuffled."""
+    top = materialize(top)
+    small = bounded_broadcast(top)
+    return chunks.select("chunk_id", "chunk_idx", "chunk_text").join(top if small is None else small, "chunk_id")
 
 
 def top_stats(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame, scope: Scope | None = None, top_k: int = 20,

@@ -190,10 +190,11 @@ def _nearest_of_block(vectors: DataFrame, block: Block, callers: _Callers | None
 def nearest_chunks(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame, scope: Scope | None, top_k: int) -> DataFrame:
     """(query_id, chunk_id): the ``top_k`` nearest chunks of each question by their nearest vector (ties
     by chunk id), among the readable ones with a ``scope``, else among all. ``embeddings``: chunk_id, vector."""
-    vectors = embeddings.select("chunk_id", F.col("vector").cast("array<double>").alias("_v")).where(F.col("chunk_id").isNotNull() & (F.size("_v") > 0))
+    double = F.col("_v").cast("array<double>").alias("_v")   # behind the shuffle: stored numbers may be half as wide
+    vectors = embeddings.select("chunk_id", F.col("vector").alias("_v")).where(F.col("chunk_id").isNotNull() & (F.size("_v") > 0))
     found = []
     for block in question_blocks(questions):
-        callers, rows = None, vectors
+        callers, rows = None, vectors.select("chunk_id", double)
         if scope is not None:
             numbers = _numbers(block, questions.sparkSession)
             of_block = scope.callers.join(numbers, "query_id").select("query_id", "user_id", "company_id", "user_type").toArrow()
@@ -203,7 +204,7 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, embeddings: DataFram
             callers = _Callers.of(block, of_block, named)
             # one row per document; chunks of a hot document are dealt anew by the adaptive skew join
             policies = chunks.select("chunk_id", "document_id").join(_policies(scope, block), "document_id")
-            rows = vectors.join(policies, "chunk_id").select("chunk_id", "_v", *POLICY, "granted", "wanted")
+            rows = vectors.join(policies, "chunk_id").select("chunk_id", double, *POLICY, "granted", "wanted")
         found.append(_nearest_of_block(rows, block, callers, top_k))
     if not found:
         return questions.select("query_id").limit(0).crossJoin(chunks.select("chunk_id").limit(0))

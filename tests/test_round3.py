@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from kbspark.functions.vectors import cosine_distance, l2_distance
-from kbspark.operators import ivf, nearest as near
+from kbspark.operators import ivf, nearest as near, retrieve as rt
 from kbspark.plans import queries as plans
 from kbspark.sources.tables import read_table
 
@@ -58,3 +58,25 @@ def test_listed_distances_equal_the_column_functions(spark):
         "query_id", "embedding_id", cosine_distance("v", "q").alias("c"), l2_distance("v", "q").alias("l"), F.size("v").cast("bigint").alias("dim"))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
     assert got.where("cosine_distance is null").count() and got.where("l2_distance > 0").count()
+
+
+def test_vectors_and_texts_are_not_shuffled_for_the_winners(spark):
+    chunks = spark.createDataFrame([(i, i // 3, i % 3, f"text {i}") for i in range(30)], "chunk_id long, document_id long, chunk_idx long, chunk_text string")
+    vectors = spark.createDataFrame([(i, i, 0, [float(i), 1.0], "COMPLETED", 1) for i in range(30)],
+                                    "embedding_id long, chunk_id long, subchunk_idx long, vector array<float>, status string, attempts int")
+    questions = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, query_vector array<float>")
+    wanted = spark.createDataFrame([(1, 29), (2, 0), (2, 1)], "query_id long, chunk_id long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # as with large tables
+    try:
+        found = rt.pair_distances(wanted, questions, chunks, vectors)
+        details = rt.attach_chunk_details(wanted, chunks)
+        for df in (found, details):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(chunk_id" not in plan and "BroadcastHashJoin" in plan
+        assert {(r.query_id, r.chunk_id, r.document_id) for r in found.collect()} == {(1, 29, 9), (2, 0, 0), (2, 1, 0)}
+        assert {(r.query_id, r.chunk_text) for r in details.collect()} == {(1, "text 29"), (2, "text 0"), (2, "text 1")}
+        everyone = rt.nearest_chunks(questions, chunks, vectors, None, 2)
+        assert everyone.where("query_id = 2").select("chunk_id").orderBy("chunk_id").collect() == [(0,), (1,)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
