@@ -19,18 +19,24 @@ number reaches a critical mass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kbspark.functions.exprs import let
 from kbspark.functions.text import BLANK, strip_blanks
 from kbspark.functions.vectors import cosine_distance
 from kbspark.operators import similar
-from kbspark.operators.joins import hot_key_join
+from kbspark.operators.joins import bounded_broadcast, hot_key_join
 from kbspark.session import materialize
 
 N_HASHES = 32
 ROWS_PER_BAND = 4
 SHINGLE = 3
+HOT_ROWS = 10_000        # groups of more rows do not meet their rows in one task
+SHINGLE_SLICE = 1 << 15  # shingles hashed at once in a task
+U64 = np.uint64
 
 
 def normalized(text: Column) -> Column:
@@ -47,7 +53,7 @@ def exact_importance(docs: DataFrame, id_col: str = "document_id", text_col: str
     # it instead of hashing every text twice more
     fp = materialize(docs.select(id_col, fingerprint(F.col(text_col)).alias("fingerprint")))
     sizes = _repeated(fp, ["fingerprint"])
-    j = hot_key_join(fp, sizes, ["fingerprint"], how="left", salt_by=[id_col])
+    j = _with_sizes(fp, sizes, ["fingerprint"], "left", id_col)
     return j.select(id_col, "fingerprint", F.coalesce(F.col("_n") - 1, F.lit(0)).alias("importance"))
 
 
@@ -56,14 +62,76 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
 
 
-def minhash(text: Column, n_hashes: int = N_HASHES, k: int = SHINGLE) -> Column:
+def _with_sizes(rows: DataFrame, sizes: DataFrame, keys: list[str], how: str, id_col: str) -> DataFrame:
+    """``rows`` with the size of their group (``sizes``: keys, _n). Few groups are broadcast. Of many, those of
+    more than ``HOT_ROWS`` rows are still few, and the others meet their rows by a plain join: no copies for a salt."""
+    small = bounded_broadcast(sizes)
+    if small is not None:
+        return rows.join(small, keys, how)
+    hot = sizes.where(F.col("_n") > HOT_ROWS)
+    hot_keys, few = hot.select(*keys), bounded_broadcast(hot)
+    rest = rows.join(hot_keys if few is None else F.broadcast(hot_keys), keys, "left_anti")
+    light = rest.join(sizes.where(F.col("_n") <= HOT_ROWS), keys, how)
+    return light.unionByName(hot_key_join(rows, hot, keys, salt_by=[id_col], small_fits=few is not None))
+
+
+def _short_hashes(seeds: np.ndarray, text: bytes) -> np.ndarray:
+    """xxhash64 of a text of less than four bytes, for every seed."""
+    x = seeds + (U64(0x27D4EB2F165667C5) + U64(len(text)))
+    for byte in text:
+        x ^= U64(byte * 0x27D4EB2F165667C5 % (1 << 64))
+        x = ((x << U64(11)) | (x >> U64(53))) * U64(0x9E3779B185EBCA87)
+    x ^= x >> U64(33)
+    x *= U64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> U64(29)
+    x *= U64(0x165667B19E3779F9)
+    return x ^ (x >> U64(32))
+
+
+def _least_hashes(column: pa.Array, n_hashes: int) -> pa.Array:
+    """Per row the least ``xxhash64(shingle, j)`` for every j, from the shingles' own hashes; nulls where there are none."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    seeds = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    stop = np.cumsum(n)
+    full = np.flatnonzero(n)
+    out = np.zeros((len(n), n_hashes), np.int64)
+    a = 0
+    while a < len(full):   # rows of about so many shingles at once, one row at least
+        first = stop[full[a]] - n[full[a]]
+        b = max(a + 1, int(np.searchsorted(stop[full], first + SHINGLE_SLICE, "right")))
+        some = full[a:b]
+        part, starts = seeds[first:stop[some[-1]]], stop[some] - n[some] - first
+        for j in range(n_hashes):
+            out[some, j] = np.minimum.reduceat(_short_hashes(part, str(j).encode()).view(np.int64), starts)
+        a = b
+    flat = pa.array(out.ravel(), mask=np.repeat(n == 0, n_hashes))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * n_hashes, pa.int32()), flat)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, n_hashes: int = N_HASHES, k: int = SHINGLE) -> DataFrame:
+    """(id, _sig): ``minhash`` of every text. ``xxhash64(s, j)`` continues from ``xxhash64(s)``, so a
+    shingle's text is hashed once and its numbers are hashed in arrays."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _least_hashes(b.column(1), n_hashes)], names=[id_col, "_sig"])
+
+    hashed = let(_shingles(F.col(text_col), k), lambda s_: F.transform(s_, lambda s: F.xxhash64(s)))
+    return docs.select(id_col, hashed.alias("_h")).mapInArrow(
+        run, T.StructType([docs.schema[id_col], T.StructField("_sig", T.ArrayType(T.LongType()))]))
+
+
+def _shingles(text: Column, k: int) -> Column:
     def shingles(toks: Column) -> Column:
         n = F.size(toks)
         starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.when(n > 0, F.array(F.lit(0))))
         return F.transform(F.coalesce(starts, F.array().cast("array<int>")),
                            lambda i: F.array_join(F.slice(toks, i + 1, k), " "))
 
-    sh = let(F.filter(F.split(normalized(text), " "), lambda t: t != ""), shingles)
+    return let(F.filter(F.split(normalized(text), " "), lambda t: t != ""), shingles)
+
+
+def minhash(text: Column, n_hashes: int = N_HASHES, k: int = SHINGLE) -> Column:
+    sh = _shingles(text, k)
     return let(sh, lambda s_: F.transform(F.sequence(F.lit(0), F.lit(n_hashes - 1)),
                                          lambda j: F.array_min(F.transform(s_, lambda s: F.xxhash64(s, j.cast("string"))))))
 
@@ -72,12 +140,15 @@ def near_importance(docs: DataFrame, id_col: str = "document_id", text_col: str
                     n_hashes: int = N_HASHES, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:
     """(id, importance_near): largest band bucket containing the document, minus one."""
     bands = n_hashes // rows_per_band
-    sig = docs.select(id_col, minhash(F.col(text_col), n_hashes).alias("_sig")).where(F.size("_sig") > 0)
+    if n_hashes <= 1000:   # numbers of up to three digits
+        sig = signatures(docs, id_col, text_col, n_hashes)
+    else:
+        sig = docs.select(id_col, minhash(F.col(text_col), n_hashes).alias("_sig")).where(F.size("_sig") > 0)
     banded = sig.select(id_col, F.posexplode(let(F.col("_sig"), lambda sg: F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.xxhash64(F.slice(sg, b * rows_per_band + 1, rows_per_band))))).alias("band", "bucket"))
     banded = materialize(banded.where(F.col("bucket").isNotNull()))
-    j = hot_key_join(banded, _repeated(banded, ["band", "bucket"]), ["band", "bucket"], salt_by=[id_col])
+    j = _with_sizes(banded, _repeated(banded, ["band", "bucket"]), ["band", "bucket"], "inner", id_col)
     best = j.groupBy(id_col).agg((F.max("_n") - 1).alias("importance_near"))
     return docs.select(id_col).join(best, id_col, "left").select(
         id_col, F.coalesce(F.col("importance_near"), F.lit(0)).alias("importance_near"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from kbspark.functions.vectors import cosine_distance, l2_distance
-from kbspark.operators import ivf, nearest as near, retrieve as rt
+from kbspark.operators import importance as imp, ivf, nearest as near, retrieve as rt
 from kbspark.plans import queries as plans
 from kbspark.sources.tables import read_table
 
@@ -80,3 +80,27 @@ def test_vectors_and_texts_are_not_shuffled_for_the_winners(spark):
         assert everyone.where("query_id = 2").select("chunk_id").orderBy("chunk_id").collect() == [(0,), (1,)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_minhash_is_the_least_hash_of_every_shingle(spark):
+    long = " ".join(f"w{i % 700}" for i in range(40_000))
+    rows = spark.createDataFrame([(1, "a b c d"), (2, ""), (3, None), (4, "One  word"), (5, long), (6, "x"), (7, "é ü ß ж")], "id long, text string")
+    got = {r.id: r.sig for r in imp.signatures(rows, "id", "text", 120).withColumnRenamed("_sig", "sig").collect()}
+    for r in rows.where("length(text) < 20").select("id", F.split(imp.normalized(F.col("text")), " ").alias("w")).collect() + [(5, long.split())]:
+        words = [w for w in r[1] if w]
+        s = {" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+        one = spark.createDataFrame([(x,) for x in s], "s string").select(
+            *[F.min(F.xxhash64("s", F.lit(str(j)))).alias(f"h{j}") for j in (0, 7, 42, 119)]).first()
+        assert [got[r[0]][j] for j in (0, 7, 42, 119)] == list(one)
+    assert got[3] == [None] * 120
+
+
+def test_group_sizes_meet_their_rows_without_salt_copies(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot" if i < 40 else f"k{i // 3}") for i in range(100)], "id long, fingerprint string")
+    sizes = rows.groupBy("fingerprint").count().withColumnRenamed("count", "_n").where("_n > 1")
+    want = {(i, n) for i, n in imp._with_sizes(rows, sizes, ["fingerprint"], "left", "id").select("id", "_n").collect()}
+    monkeypatch.setattr(imp, "HOT_ROWS", 10)
+    monkeypatch.setattr(imp, "bounded_broadcast", lambda df: F.broadcast(df) if df.count() <= 3 else None)
+    got = imp._with_sizes(rows, sizes, ["fingerprint"], "left", "id")
+    assert "_salt" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(want) == 100 and {(i, n) for i, n in got.select("id", "_n").collect()} == want and got.count() == 100
