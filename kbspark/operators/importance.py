@@ -19,6 +19,8 @@ number reaches a critical mass.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,13 +31,15 @@ from kbspark.functions.text import BLANK, strip_blanks
 from kbspark.functions.vectors import cosine_distance
 from kbspark.operators import similar
 from kbspark.operators.joins import bounded_broadcast, hot_key_join
-from kbspark.session import materialize
+from kbspark.session import materialize, scratch_path
 
 N_HASHES = 32
 ROWS_PER_BAND = 4
 SHINGLE = 3
 HOT_ROWS = 10_000        # groups of more rows do not meet their rows in one task
 SHINGLE_SLICE = 1 << 15  # shingles hashed at once in a task
+SUM_ROWS = 1 << 14       # vectors that a task adds up at once
+BROADCAST_VALUES = 1 << 22   # coordinates of centroids that are broadcast (32 MB)
 U64 = np.uint64
 
 
@@ -189,14 +193,69 @@ def recent_window(docs: DataFrame, days: int, t_col: str = "created_at") -> Data
     return docs.where(F.col(t_col) >= newest - F.make_interval(days=F.lit(days)))
 
 
+def _partial_sums(id_field: T.StructField):
+    """Task function: (id, sums and numbers of the non-null values by coordinate), one row per id and about
+    ``SUM_ROWS`` vectors; rows of one id that stand together, as a document's chunks do, give one row."""
+    out = T.StructType([id_field, T.StructField("_s", T.ArrayType(T.DoubleType())), T.StructField("_k", T.ArrayType(T.LongType()))])
+
+    def sums(rows: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
+        code = rows.column(0).combine_chunks().dictionary_encode()
+        owner, n = code.indices.to_numpy(zero_copy_only=False), len(code.dictionary)
+        vector = rows.column(1).combine_chunks()
+        size = pc.list_value_length(vector).to_numpy(zero_copy_only=False).astype(np.int64)
+        width = int(size.max())
+        value = vector.flatten()
+        at = np.repeat(owner.astype(np.int64) * width, size) + np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+        given = pc.is_valid(value).to_numpy(zero_copy_only=False)
+        x = pc.fill_null(value, 0.0).to_numpy(zero_copy_only=False)
+        total = np.bincount(at, weights=x, minlength=n * width)
+        number = np.bincount(at, weights=given, minlength=n * width).astype(np.int64)
+        reach = np.zeros(n, np.int64)
+        np.maximum.at(reach, owner, size)
+        inside = (np.arange(width) < reach[:, None]).ravel()
+        stops = np.r_[0, np.cumsum(reach)].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(stops, pa.array(y[inside])) for y in (total, number)]
+        return pa.RecordBatch.from_arrays([code.dictionary.cast(schema.field(0).type), *lists], names=out.names)
+
+    def run(batches):
+        held, n, schema = [], 0, None
+        for b in batches:
+            held, n, schema = held + [b], n + b.num_rows, b.schema
+            if n >= SUM_ROWS:
+                yield sums(pa.Table.from_batches(held), schema)
+                held, n = [], 0
+        if n:
+            yield sums(pa.Table.from_batches(held), schema)
+
+    return run, out
+
+
+def centroids(vectors: DataFrame, id_col: str, vector_col: str = "vector") -> DataFrame:
+    """(id, centroid): the mean of every coordinate over the id's vectors. Tasks add up their own vectors in
+    arrays; only one row per id and part is shuffled, not one per vector or coordinate."""
+    v = F.col(vector_col).cast("array<double>")
+    some = vectors.where(F.col(id_col).isNotNull()).select(id_col, v.alias("_v")).where(F.size("_v") > 0)
+    run, schema = _partial_sums(some.schema[id_col])
+    parts = some.mapInArrow(run, schema).groupBy(id_col).agg(F.collect_list(F.struct("_s", "_k")).alias("_p"))
+
+    def added(name: str) -> Column:
+        add = lambda a, p: F.zip_with(a, p[name], lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+        return F.aggregate(F.slice("_p", 2, F.size("_p")), F.element_at("_p", 1)[name], add)
+
+    mean = lambda s, k: F.when(k > 0, s / k)
+    return parts.select(id_col, F.zip_with(added("_s"), added("_k"), mean).alias("centroid"))
+
+
 def key_fragments(chunk_vectors: DataFrame, n: int, id_col: str = "document_id") -> DataFrame:
     """S(D): the ``n`` chunks of each document closest (cosine) to the document's centroid.
-    The centroid is an aggregate per document; ranking is a per-document window limit."""
-    cent = (chunk_vectors.select(id_col, F.posexplode(F.col("vector").cast("array<double>")).alias("_i", "_x"))
-            .groupBy(id_col, "_i").agg(F.avg("_x").alias("_m"))
-            .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
-            .select(id_col, F.transform("_c", lambda s: s["_m"]).alias("centroid")))
-    d = chunk_vectors.join(cent, id_col).withColumn("centroid_distance", cosine_distance("vector", "centroid"))
+    The vectors are written once and read for the centroids and for the distances; centroids that can be
+    broadcast meet them without a shuffle, and then a task sends at most ``n`` chunks per document to the ranking."""
+    path = scratch_path(chunk_vectors.sparkSession, f"chunk-vectors-{uuid.uuid4().hex}")
+    chunk_vectors.write.parquet(path)
+    vectors = chunk_vectors.sparkSession.read.parquet(path)
+    cent = materialize(centroids(vectors, id_col))
+    small = (cent.agg(F.sum(F.size("centroid"))).first()[0] or 0) <= BROADCAST_VALUES
+    d = vectors.join(F.broadcast(cent) if small else cent, id_col).withColumn("centroid_distance", cosine_distance("vector", "centroid"))
     # per-document windows: a document's chunks are bounded by its length
     w = Window.partitionBy(id_col).orderBy("centroid_distance", "chunk_idx")
     return d.withColumn("fragment_rank", F.row_number().over(w)).where(F.col("fragment_rank") <= n).drop("centroid")

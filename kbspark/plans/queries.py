@@ -21,6 +21,7 @@ from kbspark.operators import embed as emb, importance as imp, index as idx, int
 from kbspark.operators import mixing as mx, nearest as near, qa_data as qa, retrieve as rt
 from kbspark.plans import ingest, report
 from kbspark import schema as S
+from kbspark.operators.joins import bounded_broadcast
 from kbspark.operators.scoped import Scope
 from kbspark.session import materialize, scratch_path
 from kbspark.sources import fixtures as fx
@@ -753,7 +754,10 @@ def q_selected_fragments(spark, sf_dir):
     d = kb.table("documents").select(F.col("doc_id").alias("document_id"), "text")
     sel = imp.select_training(kb.documents, imp.exact_importance(d), T_THR, T_RECENT, 0.5)
     sel = sel.where(F.array_contains(F.split("reasons", ","), "selected")).select("document_id")
-    chunks = kb.doc_chunks.join(sel, "document_id", "left_semi")
+    # the texts are picked before they are cut and embedded: chunks of other documents are never made
+    sel = materialize(sel.distinct())
+    few = bounded_broadcast(sel)
+    chunks = chunking.sentence_chunks(d.join(sel if few is None else few, "document_id", "left_semi"))
     vecs = chunks.select("document_id", "chunk_idx", unit(emb.hashed_counts(F.col("chunk_text"))).alias("vector"))
     f = imp.key_fragments(vecs, 2)
     return f.select("document_id", "chunk_idx", F.col("fragment_rank").cast("bigint").alias("fragment_rank"),
