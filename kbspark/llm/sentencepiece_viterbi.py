@@ -3,12 +3,15 @@
 Spaces become the mark U+2581 and one mark is put in front of a non-empty text, as SentencePiece
 does with the identity normaliser. No vocabulary piece holds a mark behind another character
 (checked when the model is loaded), so the best segmentation of a text is that of its marked
-words: runs of marks and the characters up to the next mark. A batch's distinct marked words are
-sorted, which lays them out as the leaves of a trie in depth-first order; forward scores and back
-pointers are kept on a stack, and each word takes over those of its common prefix with the word
-before. The best path has the largest sum of piece scores; of equal sums the one whose last piece
-starts earliest. A character outside the vocabulary costs 10 less than the lowest score and is
-written as its UTF-8 byte pieces, as is a mark that stands in the text itself.
+words: runs of marks and the characters up to the next mark. A slice's distinct marked words of
+up to ``LONG_WORD`` characters go through the search together, in blocks of similar length: all
+their positions walk the trie of the pieces at once, then forward scores and back pointers are
+found for all words, position by position. Longer words are sorted, which lays them out as the
+leaves of a trie in depth-first order; forward scores and back pointers are kept on a stack, and
+each word takes over those of its common prefix with the word before. The best path has the largest
+sum of piece scores; of equal sums the one whose last piece starts earliest. A character outside the
+vocabulary costs 10 less than the lowest score and is written as its UTF-8 byte pieces, as is a mark
+that stands in the text itself.
 
 Encoding and decoding are exact inverses for every text. A null text gives null ids, an empty one
 no ids. Repeated rows, null ids and extra columns pass through. No data is shuffled.
@@ -28,8 +31,78 @@ MARK = "▁"
 _OWN_MARK = "\udfff"   # stands for a mark of the text; no valid text holds it
 _UNKNOWN_PENALTY = 10.0
 SLICE_BYTES = 2 << 20
+LONG_WORD = 48
+BLOCK_CELLS = 40_000
+RUN = 1 << 16
 
 
+def take_spans(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The spans of ``pool`` one behind another, in parts: the index of a whole slice's bytes would take
+    many times its memory."""
+    parts = []
+    for a in range(0, len(at), RUN):
+        n = size[a: a + RUN]
+        stop = np.cumsum(n)
+        where = np.repeat(at[a: a + RUN] - (stop - n), n)
+        where += np.arange(len(where))
+        parts.append(pool[where])
+    return parts
+
+
+class Trie:
+    """The pieces by character, as arrays. Node 0 is none, node 1 the root."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]) -> None:
+        texts = list(pieces)
+        size = np.array([len(x) for x in texts])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        known = np.unique(codes)
+        self.char = np.zeros(0x110000, np.int32)     # 0: in no piece
+        self.char[known] = np.arange(1, len(known) + 1)
+        self.width = len(known) + 1
+        at, node, keys, n = np.cumsum(size) - size, np.ones(len(texts), np.int64), [], 2
+        for level in range(int(size.max())):
+            here = np.flatnonzero(size > level)
+            key, which = np.unique(node[here] * self.width + self.char[codes[at[here] + level]], return_inverse=True)
+            keys.append(key)
+            node[here] = n + which
+            n += len(key)
+        self.piece, self.score = np.full(n, -1, np.int32), np.full(n, -np.inf)
+        self.piece[node] = [i for i, _ in pieces.values()]
+        self.score[node] = [s for _, s in pieces.values()]
+        self._fill(np.concatenate(keys))
+
+    def _fill(self, keys: np.ndarray) -> None:
+        """Hash table with linear probing: the child by parent and character."""
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.key = np.full((1 << self.bits) + len(keys), -1, np.int64)
+        self.node = np.zeros(len(self.key), np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.key[slot] < 0
+            self.key[slot[free]] = keys[todo[free]]
+            placed = self.key[slot] == keys[todo]
+            self.node[slot[placed]] = todo[placed] + 2
+            todo, slot = todo[~placed], slot[~placed] + 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def child(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The node behind each node by its character, 0 if there is none."""
+        key = node * np.int64(self.width) + char
+        slot = self._slot(key)
+        there = self.key[slot]
+        out = np.where(there == key, self.node[slot], 0)
+        todo = np.flatnonzero((there != key) & (there >= 0))
+        while len(todo):
+            slot[todo] += 1
+            there = self.key[slot[todo]]
+            hit = there == key[todo]
+            out[todo[hit]] = self.node[slot[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+        return out
+
 
 class Model:
     """Pieces and scores of a SentencePiece model file with byte pieces."""
@@ -56,6 +129,7 @@ class Model:
             raise ValueError("the model has no byte pieces")
         self.unknown = min(s for _, s in self.piece.values()) - _UNKNOWN_PENALTY
         self.longest = max(map(len, self.piece))
+        self.trie = Trie(self.piece)
         self.is_byte = np.zeros(len(self.raw), bool)
         self.is_byte[self.byte] = True
         self.size = np.array([len(x) for x in self.raw], np.int64)
@@ -101,6 +175,115 @@ def viterbi_words(words: list[str], model: Model) -> tuple[list[list[int]], list
     return ids_of, score_of
 
 
+def viterbi_block(codes: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items of all words, number of each word's items, score of each word) of words in falling order of
+    ``size``, given by their code points. An item is a piece's id or, of a character in no piece, -1 - code point."""
+    n, m, trie = len(size), int(size[0]), model.trie
+    n_from = np.searchsorted(-size, -np.arange(m + 1), side="right")     # words of at least so many characters
+    word = np.repeat(np.arange(n), size)
+    cell = (np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)) * n + word     # position by position
+    code = np.zeros(m * n, np.int64)
+    code[cell] = codes
+    char = np.zeros((m + model.longest) * n, np.int32)
+    char[cell] = trie.char[codes]
+    piece = np.full((model.longest, (m + 1) * n), -1, np.int32)     # by length and end
+    gain = np.full(piece.shape, -np.inf)
+    begin, node = cell, np.ones(len(cell), np.int32)
+    for length in range(1, model.longest + 1):
+        node = trie.child(node, char[begin + (length - 1) * n])
+        begin, node = begin[node > 0], node[node > 0]
+        whole = np.flatnonzero(trie.piece[node] >= 0)
+        end = begin[whole] + length * n
+        piece[length - 1, end] = trie.piece[node[whole]]
+        gain[length - 1, end] = trie.score[node[whole]]
+
+    score, taken = np.zeros((m + 1, n)), np.zeros((m + 1, n), np.int64)
+    gain = gain.reshape(model.longest, m + 1, n)
+    for j in range(1, m + 1):
+        k, far = n_from[j], min(j, model.longest)
+        paths = gain[far - 1::-1, j, :k] + score[j - far: j, :k]     # the earliest start first
+        first = paths.argmax(axis=0)
+        best, unknown = paths[first, np.arange(k)], score[j - 1, :k] + model.unknown
+        score[j, :k] = np.maximum(best, unknown)
+        taken[j, :k] = np.where(unknown > best, 0, far - first)     # 0: one unknown character
+
+    found, who, at = [], np.arange(n), size.copy()
+    n_items = np.zeros(n, np.int64)
+    while len(who):
+        length = taken[at, who]
+        found.append((who, np.where(length > 0, piece[length - 1, at * n + who], -1 - code[(at - 1) * n + who])))
+        n_items[who] += 1
+        at = at - np.maximum(length, 1)
+        who, at = who[at > 0], at[at > 0]
+    items, last = np.empty(int(n_items.sum()), np.int64), np.cumsum(n_items) - 1
+    for back, (who, item) in enumerate(found):
+        items[last[who] - back] = item
+    return items, n_items, score[size, np.arange(n)]
+
+
+def _with_bytes(items: np.ndarray, n_items: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of each word's ids): unknown characters become their byte pieces."""
+    lone = np.flatnonzero(items < 0)
+    if not len(lone):
+        return items.astype(np.uint32), n_items
+    codes, which = np.unique(-1 - items[lone], return_inverse=True)
+    raw = [MARK.encode() if c == ord(_OWN_MARK) else chr(c).encode() for c in codes.tolist()]
+    width = np.array([len(x) for x in raw])[which]
+    pieces = np.array([[model.byte[x] for x in r.ljust(4, b"\0")] for r in raw])
+    size = np.ones(len(items), np.int64)
+    size[lone] = width
+    at = np.cumsum(size) - size
+    ids = np.repeat(items, size)
+    for k in range(4):
+        some = width > k
+        ids[at[lone[some]] + k] = pieces[which[some], k]
+    edge = np.r_[at, len(ids)][np.r_[0, np.cumsum(n_items)]]
+    return ids.astype(np.uint32), np.diff(edge)
+
+
+def _code_points(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the marked words at these byte spans, number of each word's)."""
+    n_bytes = end - start
+    stop = np.cumsum(n_bytes)
+    raw = data[np.repeat(start - (stop - n_bytes), n_bytes) + np.arange(n_bytes.sum())]
+    codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.int64)
+    codes[codes == ord(MARK)] = ord(_OWN_MARK)
+    codes[codes == 0x20] = ord(MARK)
+    chars = np.diff(np.r_[0, np.cumsum((raw & 0xC0) != 0x80)[stop - 1]])
+    out = np.full(len(codes) + int(first.sum()), ord(MARK), np.int64)
+    out[np.arange(len(codes)) + np.repeat(np.cumsum(first), chars)] = codes
+    return out, chars + first
+
+
+def best_pieces(codes: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, where each word's begin, number of each word's, score of each word) of distinct marked words."""
+    at = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    n_long = int(np.searchsorted(-size[order], -LONG_WORD))
+    parts, begin, count, score, done = [], np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), np.zeros(len(size)), 0
+
+    def put(words, ids, n_ids, scores):
+        nonlocal done
+        parts.append(ids)
+        begin[words], count[words], score[words] = done + np.cumsum(n_ids) - n_ids, n_ids, scores
+        done += len(ids)
+
+    if n_long:
+        text = {i: codes[at[i]: at[i] + size[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for i in order[:n_long].tolist()}
+        words = sorted(text, key=text.__getitem__)
+        ids, scores = viterbi_words([text[i] for i in words], model)
+        n_ids = np.array([len(x) for x in ids], np.int64)
+        put(np.array(words), np.fromiter((y for x in ids for y in x), np.uint32, int(n_ids.sum())), n_ids, scores)
+    while n_long < len(order):
+        words = order[n_long: n_long + max(1, BLOCK_CELLS // int(size[order[n_long]]))]
+        stop = np.cumsum(size[words])
+        chars = codes[np.repeat(at[words] - (stop - size[words]), size[words]) + np.arange(stop[-1])]
+        items, n_items, scores = viterbi_block(chars, size[words], model)
+        put(words, *_with_bytes(items, n_items, model), scores)
+        n_long += len(words)
+    return np.concatenate(parts), begin, count, score
+
+
 def _marked(raw: bytes, first: bool) -> str:
     text = raw.decode().replace(MARK, _OWN_MARK).replace(" ", MARK)
     return MARK + text if first else text
@@ -130,30 +313,19 @@ def encode_texts(column, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarr
     first = np.isin(start, offsets[:-1], assume_unique=False)
     h[first] ^= U64(0xA5A5A5A5A5A5A5A5)
     _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    words = [_marked(raw[start[i]:end[i]], bool(first[i])) for i in one]
-    order = sorted(range(len(words)), key=words.__getitem__)
-    ids, scores = viterbi_words([words[i] for i in order], model)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    n_ids = np.array([len(x) for x in ids], np.int64)
-    pool = np.fromiter((y for x in ids for y in x), np.uint32, int(n_ids.sum()))
-    pool_at = np.cumsum(n_ids) - n_ids
-    unit = place[inverse]
-    size = n_ids[unit]
-    stop = np.cumsum(size)
-    flat = pool[np.repeat(pool_at[unit] - (stop - size), size) + np.arange(size.sum())]
+    pool, pool_at, n_ids, scores = best_pieces(*_code_points(data, start[one], end[one], first[one]), model)
+    stop = np.cumsum(n_ids[inverse])
+    flat = np.concatenate(take_spans(pool, pool_at[inverse], n_ids[inverse]))
     unit_of_doc = np.searchsorted(start, offsets)
-    score = np.concatenate([[0.0], np.cumsum(np.array(scores)[unit])])[unit_of_doc]
+    score = np.concatenate([[0.0], np.cumsum(scores[inverse])])[unit_of_doc]
     return flat, np.r_[0, stop][unit_of_doc], np.diff(score)
 
 
 def decode_ids(flat: np.ndarray, offsets: np.ndarray, model: Model) -> list[bytes]:
     """The UTF-8 text of each run of ids: piece bytes in a row, without the space put in front."""
-    size = model.size[flat]
-    stop = np.cumsum(size)
-    raw = model.bytes[np.repeat(model.at[flat] - (stop - size), size) + np.arange(size.sum())].tobytes()
-    edge = np.r_[0, stop][offsets]
+    raw = b"".join(x.tobytes() for a in range(0, len(flat), RUN)
+                   for x in take_spans(model.bytes, model.at[flat[a: a + RUN]], model.size[flat[a: a + RUN]]))
+    edge = np.r_[0, np.cumsum(model.size[flat])][offsets]
     return [raw[a + 1:b] if b > a and raw[a] == 0x20 else raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
