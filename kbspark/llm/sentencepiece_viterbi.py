@@ -30,9 +30,9 @@ from .arrow_words import U64, slices, text_buffer, word_hashes
 MARK = "▁"
 _OWN_MARK = "\udfff"   # stands for a mark of the text; no valid text holds it
 _UNKNOWN_PENALTY = 10.0
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 LONG_WORD = 48
-BLOCK_CELLS = 40_000
+BLOCK_CELLS = 24_000
 RUN = 1 << 16
 
 

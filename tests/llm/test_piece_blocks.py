@@ -1,5 +1,6 @@
-"""Block search of op10: short words go through together, with the results of the word-by-word search."""
+"""Block search of op10: short words go through together, with the results of the word-by-word search, in little memory."""
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from kbspark.llm import queries, sentencepiece_viterbi as sp
+from kbspark.llm.arrow_words import slices
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +57,19 @@ def test_short_words_do_not_go_one_by_one(model, monkeypatch):
     monkeypatch.setattr(sp, "viterbi_words", no)
     flat, at, _ = sp.encode_texts(pa.array(["the cats sat on the mat", "straße 漢 ▁"]), model)
     assert sp.decode_ids(flat, at, model) == ["the cats sat on the mat".encode(), "straße 漢 ▁".encode()]
+
+
+def test_a_slice_takes_little_memory(model):
+    rnd = random.Random(3)
+    parts = ["a", "er", "tion", "ou", "le", "ne", "qui", "s", "th", "in"]
+    texts = [" ".join("".join(rnd.choices(parts, k=rnd.randint(1, 5))) for _ in range(500)) for _ in range(900)]
+    column = pa.array(texts)
+    assert column.nbytes > 3 << 20
+    tracemalloc.start()
+    try:
+        for a, b in slices(column, sp.SLICE_BYTES):
+            flat, at, _ = sp.encode_texts(column.slice(a, b - a), model)
+            assert sp.decode_ids(flat, at, model) == [x.encode() for x in texts[a:b]]
+        assert tracemalloc.get_traced_memory()[1] < 36 << 20     # the word-by-word search in slices of 2 MB took 52 MB
+    finally:
+        tracemalloc.stop()
